@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from postlake.llm import simhash
+from postlake.llm import html_text, sharding, simhash, warc
 
-QUERIES = {"op2_simhash": simhash.op2_simhash}
+QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
+    "op5_warc": warc.op5_warc,
+    "op6_main_text": html_text.op6_main_text,
+    "op10_shards": sharding.op10_shards,
+}
 ORACLES: dict[str, str] = {}
