@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from postlake.llm import html_text, sharding, simhash, warc
+from postlake.llm import html_text, language, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op5_warc": warc.op5_warc,
     "op6_main_text": html_text.op6_main_text,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_language": language.op9_language,
     "op10_shards": sharding.op10_shards,
 }
 ORACLES: dict[str, str] = {}
