@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from postlake.llm import html_text, language, sharding, simhash, toxicity, warc
+from postlake.llm import collision_search, cover_tree, html_text, language, sharding, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_collision_search": collision_search.op1_collision_search,
     "op2_simhash": simhash.op2_simhash,
+    "op4_cover_tree": cover_tree.op4_cover_tree,
     "op5_warc": warc.op5_warc,
     "op6_main_text": html_text.op6_main_text,
     "op8_toxicity": toxicity.op8_toxicity,
