@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,3 +43,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ranked(df: DataFrame, group: list[str], order: Column, parts: int, out: str) -> DataFrame:
+    """``df`` with the 0-based rank ``out`` of a row in its group under a random order.
+
+    ``order`` is a hash of ``_key``, a column of ``df``. A group is ranked in ``parts`` parts, in as
+    many tasks, so a hot group isn't sorted in one. Group columns mustn't be null.
+    """
+    df = df.withColumn("_order", order).withColumn("_part", F.pmod(F.shiftrightunsigned("_order", 20), F.lit(parts)).cast("int"))
+    counts = df.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    starts = stored(counts.withColumn("_start", F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")).drop("_n"), "rank-starts")
+    own = F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_order", "_key")) - 1
+    return df.withColumn(out, own.cast("long")).join(starts, [*group, "_part"]).withColumn(out, F.col(out) + F.col("_start")).drop("_order", "_part", "_start")

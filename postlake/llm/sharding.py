@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from postlake.llm._shared import stored, table
+from postlake.llm._shared import ranked, stored, table
 
 #: Blocks of the communication matrix; the matrix has BLOCKS rows and one column per shard.
 BLOCKS = 64
@@ -67,15 +67,6 @@ def communication_matrix(blocks: DataFrame, n_shards: int, seed: int) -> DataFra
     return one.select(F.explode(F.expr(folded)).alias("r")).select("r.block", "r.got").select("block", F.expr(ends).alias("ends"))
 
 
-def _ranked(df: DataFrame, group: str, order: Column, parts: int, out: str) -> DataFrame:
-    """``df`` with the 0-based rank of a row in its group under a random order; a group is ranked in parts, in parallel."""
-    df = df.withColumn("_order", order).withColumn("_part", F.pmod(F.shiftrightunsigned("_order", 20), F.lit(parts)).cast("int"))
-    counts = df.groupBy(group, "_part").agg(F.count("*").alias("_n"))
-    starts = stored(counts.withColumn("_start", F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n")).drop("_n"), "shard-starts")
-    own = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_order", "_key")) - 1
-    return df.withColumn(out, own.cast("long")).join(starts, [group, "_part"]).withColumn(out, F.col(out) + F.col("_start")).drop("_order", "_part", "_start")
-
-
 def shard_rows(df: DataFrame, key: list[str], n_shards: int = 8, seed: int = 42) -> DataFrame:
     """``df`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard): a uniform shuffle.
 
@@ -88,9 +79,9 @@ def shard_rows(df: DataFrame, key: list[str], n_shards: int = 8, seed: int = 42)
     base = df.drop("shard", "slot").withColumn("_key", F.xxhash64(F.lit(seed), *[F.col(x) for x in key], *[F.col(x).isNull() for x in key]))
     base = base.withColumn("_block", F.pmod("_key", F.lit(BLOCKS)).cast("int"))
     matrix = stored(communication_matrix(base.groupBy(F.col("_block").alias("block")).agg(F.count("*").alias("n")), n_shards, seed).withColumnRenamed("block", "_block"), "shard-matrix")
-    local = _ranked(base, "_block", F.xxhash64(F.lit(seed + 1), "_key"), max(1, math.ceil(n / BLOCKS / PART_ROWS)), "_at")
+    local = ranked(base, ["_block"], F.xxhash64(F.lit(seed + 1), "_key"), max(1, math.ceil(n / BLOCKS / PART_ROWS)), "_at")
     sent = local.join(F.broadcast(matrix), "_block").withColumn("shard", F.size(F.filter("ends", lambda x: x <= F.col("_at"))).cast("int")).drop("_block", "_at", "ends")
-    return _ranked(sent, "shard", F.xxhash64(F.lit(seed + 2), "_key"), max(1, math.ceil(n / n_shards / PART_ROWS)), "slot").drop("_key")
+    return ranked(sent, ["shard"], F.xxhash64(F.lit(seed + 2), "_key"), max(1, math.ceil(n / n_shards / PART_ROWS)), "slot").drop("_key")
 
 
 def op10_shards(spark, sf_dir: str) -> DataFrame:
