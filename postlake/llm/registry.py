@@ -1,15 +1,17 @@
-"""The registered queries of the training-data operators."""
+"""The registered queries of the training-data operators. None of them is expressible in SQL; tests hold them against brute force."""
 
 from __future__ import annotations
 
-from postlake.llm import collision_search, cover_tree, html_text, language, sharding, simhash, toxicity, warc
+from postlake.llm import collision_search, cover_tree, html_text, language, mixing, pieces, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_collision_search": collision_search.op1_collision_search,
     "op2_simhash": simhash.op2_simhash,
+    "op3_mixing": mixing.op3_mixing,
     "op4_cover_tree": cover_tree.op4_cover_tree,
     "op5_warc": warc.op5_warc,
     "op6_main_text": html_text.op6_main_text,
+    "op7_pieces": pieces.op7_pieces,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language": language.op9_language,
     "op10_shards": sharding.op10_shards,
