@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from postlake.llm._shared import table
+from postlake.llm._shared import table, text_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -32,8 +32,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-#: Words and pairs that a task remembers; beyond it the memory is emptied.
-REMEMBERED = 500_000
+#: Words, and pairs of pieces, that a generation of the memory holds; there are two of words.
+REMEMBERED = 200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -88,7 +88,6 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown_id = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
-        self.silent = frozenset(i for i, k in enumerate(self.kinds) if k == CONTROL)
         self.least = min((self.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.automaton = ahocorasick.Automaton()
@@ -96,8 +95,12 @@ class Model:
             self.automaton.add_word(p, p)
         if self.ids:
             self.automaton.make_automaton()
-        self.words: dict[str, list[int]] = {}
+        self.cost = {p: -self.scores[i] for p, i in self.ids.items()}
+        self.special = np.array([k in (BYTE, CONTROL, UNKNOWN) for k in self.kinds], bool)
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.lives: dict[str, tuple[list[float], list[str], list[str]] | None] = {}
 
     # Encoding
 
@@ -130,14 +133,54 @@ class Model:
             offer(left)
         return [x for x in part if x]
 
+    def _life(self, text: str) -> tuple[list[float], list[str], list[str]] | None:
+        """How a text merges into one piece: the costs of the steps, and its first and last symbol before each and after all. None if it doesn't."""
+        found = self.lives.get(text, False)
+        if found is False:
+            part, costs, firsts, lasts = list(text), [], [text[0]], [text[-1]]
+            while len(part) > 1:
+                least, at = float("inf"), -1
+                for i in range(len(part) - 1):
+                    c = self.cost.get(part[i] + part[i + 1])
+                    if c is not None and c < least:
+                        least, at = c, i
+                if at < 0:
+                    break
+                part[at : at + 2] = [part[at] + part[at + 1]]
+                costs.append(least)
+                firsts.append(part[0])
+                lasts.append(part[-1])
+            found = self.lives[text] = ([*costs, float("inf")], firsts, lasts) if len(part) == 1 else None
+        return found
+
     def apart(self, a: str, b: str) -> bool:
+        """Whether merging a + b gives just these two. Both merge on their own, the cheaper step first, until a merge across their border would come before."""
         found = self.pairs.get((a, b))
         if found is None:
             if len(self.pairs) >= REMEMBERED:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            found = self.pairs[a, b] = self._apart(a, b)
         return found
 
+    def _apart(self, a: str, b: str) -> bool:
+        right = self._life(b)
+        left = self._life(a) if a else None
+        if right is None or not a:
+            return right is not None
+        if left is None:
+            return False
+        (left_costs, _, lasts), (right_costs, firsts, _), i, j = left, right, 0, 0
+        while True:
+            across = self.cost.get(lasts[i] + firsts[j])
+            if across is not None and across < left_costs[i] and across <= right_costs[j]:
+                return False
+            if left_costs[i] == right_costs[j] == float("inf"):
+                return True
+            if left_costs[i] <= right_costs[j]:
+                i += 1
+            else:
+                j += 1
+
     def segments(self, word: str) -> list[str]:
         """The pieces of a text, and the characters that no piece covers, in order."""
         if self.kind == BPE and word.startswith(SPACE + SPACE):
@@ -152,15 +195,15 @@ class Model:
 
     def _admissible(self, word: str) -> list[str]:
         """For each prefix the last piece of its merged form; empty for a character that no piece covers."""
-        last, pairs = [""] * (len(word) + 1), self.pairs
+        last, known = [""] * (len(word) + 1), self.pairs.get
         for end, piece in self.automaton.iter(word) if self.ids else ():
-            end += 1
-            if not last[end]:
-                start = end - len(piece)
-                before = last[start] or (word[start - 1] if start else "")
-                fits = pairs.get((before, piece))
-                if fits or (fits is None and self.apart(before, piece)):
-                    last[end] = piece
+            if last[end + 1]:
+                continue
+            start = end + 1 - len(piece)
+            before = last[start] or (word[start - 1] if start else "")
+            fits = known((before, piece))
+            if fits or (fits is None and self.apart(before, piece)):
+                last[end + 1] = piece
         return last
 
     def _best_scored(self, word: str) -> list[str]:
@@ -187,42 +230,66 @@ class Model:
                 out.append(self.unknown_id)
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def _packed(self, word: str) -> bytes:
+        return np.array(self._ids(word), np.int32).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word after one space mark, as bytes. Words seen since the last turn of generations are remembered."""
+        found = self.words.get(word)
+        if found is None:
+            found = self.older.get(word)
+            if found is None:
+                found = self._packed(SPACE + word)
+            if len(word) < 64:
+                if len(self.words) >= REMEMBERED:
+                    self.older, self.words = self.words, {}
+                self.words[word] = found
+        return found
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, as 32-bit integers."""
         text = self.normalise(text)
+        if not text:
+            return np.empty(0, np.int32)
         if not self.by_word or len(self.bytes) != 256:
-            return self._ids(text)
-        out: list[int] = []
-        for word in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text):
-            found = self.words.get(word)
-            if found is None:
-                found = self._ids(word)
-                if len(word) < 64:
-                    if len(self.words) >= REMEMBERED:
-                        self.words.clear()
-                    self.words[word] = found
-            out += found
-        return out
+            return np.array(self._ids(text), np.int32)
+        if text[0] == SPACE and text[-1] != SPACE and SPACE + SPACE not in text:
+            words = text.split(SPACE)[1:]
+            found = list(map(self.words.get, words))
+            if None in found:
+                found = [self._word(w) if x is None else x for w, x in zip(words, found)]
+        else:
+            words = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text)
+            found = [self._word(w[1:]) if w[0] == SPACE and w[1:2] not in ("", SPACE) else self._packed(w) for w in words]
+        return np.frombuffer(b"".join(found), np.int32)
 
     # Decoding
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids; control pieces are silent, broken byte runs give U+FFFD."""
-        out: list[str] = []
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            return ""
+        if not self.special[ids].any():
+            text = "".join(map(self.pieces.__getitem__, ids.tolist()))
+        else:
+            text = "".join(self._spelt(ids.tolist()))
+        text = text.replace(SPACE, " ")
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
+    def _spelt(self, ids: list[int]) -> Iterator[str]:
         held = bytearray()
         for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                held.append(b)
+            if self.kinds[i] == BYTE:
+                held.append(self.byte_of[i])
                 continue
             if held:
-                out.append(held.decode("utf-8", "replace"))
+                yield held.decode("utf-8", "replace")
                 held.clear()
-            if i not in self.silent:
-                out.append(" ⁇ " if i == self.unknown_id else self.pieces[i])
+            if self.kinds[i] != CONTROL:
+                yield " ⁇ " if self.kinds[i] == UNKNOWN else self.pieces[i]
         if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+            yield held.decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
@@ -242,7 +309,7 @@ def encoder(model: bytes):
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         m = _model(model)
-        return pd.Series([None if x is None else np.array(m.encode(x), np.int32) for x in texts], dtype=object)
+        return pd.Series([None if x is None else m.encode(x) for x in texts], dtype=object)
 
     return encode
 
@@ -253,7 +320,7 @@ def decoder(model: bytes):
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
         m = _model(model)
-        return pd.Series([None if x is None else m.decode(x.tolist()) for x in ids], dtype=object)
+        return pd.Series([None if x is None else m.decode(x) for x in ids], dtype=object)
 
     return decode
 
@@ -264,6 +331,7 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text") -> DataF
     A null text has null ids and a null count, an empty one no ids and count 0. Whole texts are
     encoded; columns of these two names are replaced; repeated rows stay repeated.
     """
+    text_batches(docs.sparkSession)
     return docs.withColumn("ids", encoder(model)(F.col(text))).withColumn("n_tokens", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")))
 
 
