@@ -22,6 +22,8 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from postlake.llm._shared import table, text_batches
@@ -33,7 +35,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: Words, and pairs of pieces, that a generation of the memory holds; there are two of words.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -95,8 +97,10 @@ class Model:
             self.automaton.add_word(p, p)
         if self.ids:
             self.automaton.make_automaton()
+        plain = {i: chr(b) for i, b in self.byte_of.items() if b < 128}  # such a byte is a character by itself
+        self.spelling = pa.array([plain.get(i, p.replace(SPACE, " ")) for i, p in enumerate(self.pieces)])
         self.cost = {p: -self.scores[i] for p, i in self.ids.items()}
-        self.special = np.array([k in (BYTE, CONTROL, UNKNOWN) for k in self.kinds], bool)
+        self.special = np.array([k in (CONTROL, UNKNOWN) or self.byte_of.get(i, 0) >= 128 for i, k in enumerate(self.kinds)], bool)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -220,9 +224,10 @@ class Model:
         return last
 
     def _ids(self, word: str) -> list[int]:
-        out = []
+        out: list[int] = []
         for x in self.segments(word):
-            if (i := self.ids.get(x)) is not None:
+            i = self.ids.get(x)
+            if i is not None:
                 out.append(i)
             elif len(self.bytes) == 256:
                 out += [self.bytes[b] for b in x.encode("utf-8", "surrogatepass")]
@@ -267,15 +272,18 @@ class Model:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; control pieces are silent, broken byte runs give U+FFFD."""
-        ids = np.asarray(ids, np.int64)
-        if not len(ids):
-            return ""
-        if not self.special[ids].any():
-            text = "".join(map(self.pieces.__getitem__, ids.tolist()))
-        else:
-            text = "".join(self._spelt(ids.tolist()))
-        text = text.replace(SPACE, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return self.decode_all([np.asarray(ids, np.int64)])[0]
+
+    def decode_all(self, rows: list[np.ndarray]) -> list[str]:
+        """The texts of several arrays of ids."""
+        if not rows:
+            return []
+        ids, ends = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.spelling.take(pa.array(ids))), "").to_pylist()
+        odd = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(self.special[ids])])[ends]))
+        for i in odd:
+            joined[i] = "".join(self._spelt(rows[i].tolist())).replace(SPACE, " ")
+        return [x.removeprefix(" ") for x in joined] if self.prefix else joined
 
     def _spelt(self, ids: list[int]) -> Iterator[str]:
         held = bytearray()
@@ -319,8 +327,9 @@ def decoder(model: bytes):
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
-        m = _model(model)
-        return pd.Series([None if x is None else m.decode(x) for x in ids], dtype=object)
+        there = [x for x in ids if x is not None]
+        texts = iter(_model(model).decode_all(there))
+        return pd.Series([None if x is None else next(texts) for x in ids], dtype=object)
 
     return decode
 
