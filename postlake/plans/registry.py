@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from postlake.plans import aggregates, catalogues, connectors, eligibility, normalisation, relations, states  # noqa: F401  each module registers its queries
+from postlake.plans.base import ORACLES, QUERIES  # noqa: F401
