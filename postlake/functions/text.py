@@ -168,3 +168,9 @@ def snippet(text: Column, start: Column, end: Column, around: int = 40) -> Colum
     """Text from ``around`` characters before to as many after the 0-based span, white space collapsed."""
     low = F.greatest(F.lit(0), start - around)
     return F.trim(F.regexp_replace(F.substr(text, low + 1, F.least(F.length(text), end + around) - low), r"\s+", " "))
+
+
+def escape_html(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text

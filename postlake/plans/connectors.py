@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from postlake.sources import boards as B, demo, markup as M, notify
+from postlake.sources.policy import load_policy
 from postlake.plans.base import Tables, query
 
 
@@ -29,7 +30,7 @@ def c02(t: Tables) -> DataFrame:
     return good.select("external_id", "source_id", "title", "url", "location", "department", F.unix_seconds("published_at").alias("published"))
 
 
-@query("C03_lever", "SELECT 'L' || doc_id AS external_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'Berlin, Paris' END AS location, CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN true WHEN 1 THEN false END AS remote_hint, '<p>d</p><h3>Needs</h3><ul><li>x</li></ul>end' AS description_html, 1717200000 AS published FROM documents")
+@query("C03_lever", "SELECT 'L' || doc_id AS external_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'Berlin, Paris' END AS location, CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN true WHEN 1 THEN false END AS remote_hint, '<p>d</p><h3>Needs</h3><ul><li>x</li></ul>end' AS description_html, 1717200000::BIGINT AS published FROM documents")
 def c03(t: Tables) -> DataFrame:
     id_ = F.col("doc_id")
     place = F.when(id_ % 3 == 0, "remote").when(id_ % 3 == 1, "onsite").otherwise("hybrid")
@@ -52,6 +53,14 @@ def c04(t: Tables) -> DataFrame:
     return B.ashby(listing).select("external_id", "location", "remote_hint")
 
 
+@query("C05_feed", "SELECT source AS source_id, 'g' || doc_id AS external_id, 'Job ' || lang AS title, 'https://f.example/' || doc_id AS url, 1717200000::BIGINT AS published FROM documents")
+def c05(t: Tables) -> DataFrame:
+    id_ = F.col("doc_id").cast("string")
+    item = F.concat(F.lit("<item><title>Job "), "lang", F.lit("</title><guid>g"), id_, F.lit("</guid><link>https://f.example/"), id_, F.lit("</link><pubDate>Sat, 01 Jun 2024 00:00:00 +0000</pubDate></item>"))
+    listing = _per_listing(t).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("body"))
+    return B.feed(listing).select("source_id", "external_id", "title", "url", F.unix_seconds("published_at").alias("published"))
+
+
 @query("C06_generic_json", "SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS external_id, 'Job ' || lang AS title, 'https://b.example/jobs/' || doc_id AS url FROM documents")
 def c06(t: Tables) -> DataFrame:
     id_ = F.col("doc_id").cast("string")
@@ -71,6 +80,17 @@ def c09(t: Tables) -> DataFrame:
     return demo.visible(t.spark, 11)
 
 
+@query("C10_kinds", "SELECT unnest(['ashby', 'greenhouse', 'lever', 'rss']) AS kind")
+def c10(t: Tables) -> DataFrame:
+    return t.spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in sorted(B.KINDS)])).alias("kind"))
+
+
+@query("C21_policy", "SELECT 'remote' AS model, 2.0::DOUBLE AS experience_min, 6.0::DOUBLE AS experience_max")
+def c21(t: Tables) -> DataFrame:
+    policy = load_policy('{"experience_min": 2.0, "allowed_work_models": ["remote"]}')
+    return t.spark.range(1).select(F.lit(policy.allowed_work_models[0]).alias("model"), F.lit(policy.experience_min).alias("experience_min"), F.lit(policy.experience_max).alias("experience_max"))
+
+
 @query("C12_definitions", "SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 3 AND c_custkey % 4 <> 1")
 def c12(t: Tables) -> DataFrame:
     k = F.col("c_custkey") % 4

@@ -227,15 +227,9 @@ def e07(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(F.format_string("Focus: %s\n<posting>\n%s\n</posting>", F.array_join(F.array(F.lit("skills"), F.lit("location")), ", "), body)).alias("prompt"))
 
 
-def escape_html(x):
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
-
-
 @query("E08_escape_html", """SELECT doc_id, md5('<p>' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</p>') AS html, '42%' AS share FROM documents""")
 def e08(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(F.format_string("<p>%s</p>", escape_html(F.col("text")))).alias("html"), F.format_string("%.0f%%", F.lit(0.42) * 100).alias("share"))
+    return t.documents.select("doc_id", F.md5(F.format_string("<p>%s</p>", X.escape_html(F.col("text")))).alias("html"), F.format_string("%.0f%%", F.lit(0.42) * 100).alias("share"))
 
 
 @query("E10_resolve", "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/jobs/1' AS rooted, 'https://x.example/a' AS absolute FROM pages")

@@ -122,17 +122,14 @@ def read_listings(spark: SparkSession, path: str, source_id: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.lit(source_id).alias("source_id"), F.col("value").alias("body"))
 
 
-def feed(spark: SparkSession, path: str, source_id: str) -> DataFrame:
-    """Postings of an RSS or Atom feed, by Spark's XML reader; the id is the item's id, guid or link."""
-    schema = "guid string, id string, title string, link string, description string, content string, summary string, pubDate string, published string, updated string"
-    rows = None
-    for tag in ("item", "entry"):
-        one = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
-        rows = one if rows is None else rows.unionByName(one)
+_ENTRY = "guid string, id string, title string, link string, description string, content string, summary string, pubDate string, published string, updated string"
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """Postings of feed entries; the id is the entry's id, guid or link."""
     stamp = F.coalesce(F.try_to_timestamp(F.regexp_replace("pubDate", r"^[A-Za-z]{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z")), parse_datetime(F.coalesce("published", "updated")))
-    made = rows.withColumn("source_id", F.lit(source_id)).withColumn("position", F.lit(None).cast("int"))
     return _postings(
-        made,
+        rows,
         external_id=F.substring(F.coalesce("id", "guid", "link"), 1, 255),
         title=F.col("title"),
         url=F.col("link"),
@@ -141,8 +138,25 @@ def feed(spark: SparkSession, path: str, source_id: str) -> DataFrame:
     )
 
 
+def read_feed(spark: SparkSession, path: str, source_id: str) -> DataFrame:
+    """Postings of RSS or Atom files of any size, by Spark's XML reader."""
+    rows = None
+    for tag in ("item", "entry"):
+        one = spark.read.format("xml").option("rowTag", tag).schema(_ENTRY).load(path)
+        rows = one if rows is None else rows.unionByName(one)
+    return _entries(rows.withColumn("source_id", F.lit(source_id)).withColumn("position", F.lit(None).cast("int")))
+
+
+def feed(listing: DataFrame) -> DataFrame:
+    """Postings of fetched RSS feeds (source_id, body)."""
+    channel = F.from_xml("body", f"channel struct<item array<struct<{_ENTRY.replace(' string', ':string')}>>>".replace("struct<item ", "struct<item:"))
+    items = channel.channel["item"]
+    checked = F.when(items.isNull(), F.raise_error(F.concat(F.lit("no list of postings in the listing of "), "source_id"))).otherwise(items)
+    return _entries(listing.select("source_id", F.posexplode(checked).alias("position", "entry")).select("source_id", "position", "entry.*"))
+
+
 #: Kinds of boards and what reads their listings; kinds that need a token, and those that need a URL.
-KINDS = {"greenhouse": greenhouse, "lever": lever, "ashby": ashby}
+KINDS = {"greenhouse": greenhouse, "lever": lever, "ashby": ashby, "rss": feed}
 NEEDS_TOKEN, NEEDS_URL = ("greenhouse", "lever", "ashby"), ("rss", "generic_json", "static_html", "dynamic_html")
 
 

@@ -8,7 +8,7 @@ import hmac
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postlake.functions.text import canonical_json
+from postlake.functions.text import canonical_json, escape_html
 
 
 def signature(secret: str, timestamp: Column, body: Column) -> Column:
@@ -29,8 +29,6 @@ def webhook(jobs: DataFrame, secret: str, timestamp: Column) -> DataFrame:
 
 def email(title: Column, score: Column, reasons: Column, most: int = 8) -> Column:
     """HTML of an e-mail: escaped title, score in percent, up to ``most`` reasons."""
-    from postlake.plans.normalisation import escape_html
-
     items = F.array_join(F.transform(F.slice(reasons, 1, most), lambda r: F.concat(F.lit("<li>"), escape_html(r), F.lit("</li>"))), "")
     return F.format_string("<h2>%s</h2><p>%.0f%%</p><ul>%s</ul>", escape_html(title), score * 100, items)
 

@@ -43,7 +43,7 @@ def test_generic_needs_its_paths(spark):
 
 def test_feed(spark, tmp_path):
     (tmp_path / "feed.xml").write_text("<rss><channel><item><title>Dev</title><link>https://x.io/1?utm_source=a</link><guid>g1</guid><description>Hi</description><pubDate>Mon, 03 Jun 2024 10:00:00 +0000</pubDate></item></channel></rss>")
-    row = B.feed(spark, str(tmp_path / "feed.xml"), "rss1").select("external_id", "title", "url", F.unix_seconds("published_at").alias("at")).first()
+    row = B.read_feed(spark, str(tmp_path / "feed.xml"), "rss1").select("external_id", "title", "url", F.unix_seconds("published_at").alias("at")).first()
     assert tuple(row) == ("g1", "Dev", "https://x.io/1?utm_source=a", 1717408800)
 
 
@@ -103,3 +103,17 @@ def test_export_nests_all_rows(spark):
     jobs = spark.createDataFrame([(1, "x"), (1, "y")], "id int, job string")
     docs = {r.id: json.loads(r.document) for r in export.workspace_export(w, {"jobs": jobs}, "id").collect()}
     assert docs[1]["jobs"] == [{"job": "x"}, {"job": "y"}] and docs[2]["jobs"] == []
+
+
+def test_policies(spark):
+    from postlake.sources.policy import load_policy, load_sources
+
+    assert load_policy('{"experience_min": 1.0}').experience_min == 1.0
+    for text in ("[1]", '{"nope": 1}', '{"experience_min": 9.0}', "{" + " " * 70_000 + "}"):
+        with pytest.raises(ValueError):
+            load_policy(text)
+    seeds = load_sources(spark, '{"sources": [{"kind": "lever", "token": "a"}, {"kind": "lever", "token": "a"}, {"kind": "rss"}]}')
+    good, bad = B.split_definitions(seeds)
+    assert good.count() == 1 and bad.count() == 1
+    with pytest.raises(ValueError):
+        B.postings_of("nope", seeds)
