@@ -23,7 +23,7 @@ WEIGHTS, CAP = (5, 2, 1), 3
 #: The dual is solved when each source's words are within this share of its target.
 CLOSE, ROUNDS = 1e-9, 200
 #: Documents of one source and size that one task ranks.
-PART_ROWS = 10_000
+PART_ROWS = 500
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -140,7 +140,8 @@ def take_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     keyed = docs.withColumn("_row_key", _row_key(doc_id, source, text))
     repeated = stored(taken.where("_n > 1").select("_row_key"), "mix-repeated")
     once = keyed.join(repeated, "_row_key", "left_anti").unionByName(keyed.join(repeated, "_row_key", "left_semi").dropDuplicates(["_row_key"]))
-    return once.join(taken, "_row_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    # always a shuffle join: what a size check would broadcast for small tables says nothing about large ones
+    return once.join(taken.hint("shuffle_hash"), "_row_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
