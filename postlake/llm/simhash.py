@@ -8,8 +8,8 @@ bitwise addition serving 64 distances; counters start at ``2^k - 1 - radius`` so
 the top counter means "beyond the radius", and rows and words whose 64 lanes are all beyond are
 abandoned.
 
-A bucket returns a spanning forest of its links (a binary tree over each set of linked members), never
-all pairs; the forests are joined by :func:`connected_components`.
+A bucket returns a star over each set of linked members, never all pairs; the stars are joined by
+:func:`connected_components`.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from postlake.llm._shared import stored, table
+from postlake.llm._shared import stored, table, text_batches
 from postlake.llm.components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, bits: int
     def make(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(x, words, bits) for x in texts], dtype=object)
 
+    text_batches(docs.sparkSession)
     return docs.withColumn("fp", make(F.col(text)))
 
 
@@ -116,25 +117,23 @@ def _least_labels(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray | None
             return label
 
 
-def _forest(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a binary tree over the members of each label: no member has more than three."""
-    order = np.argsort(label, kind="stable")
-    lab = label[order]
+def _stars(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the members of each label to the smallest id among them. Buckets with the same members give the same edges."""
+    order = np.lexsort((ids, label))
+    lab, own = label[order], ids[order]
     first = np.r_[True, lab[1:] != lab[:-1]] if len(lab) else np.empty(0, bool)
-    start = np.maximum.accumulate(np.where(first, np.arange(len(lab)), 0))
-    pos = np.arange(len(lab)) - start
-    child = pos > 0
-    return ids[order[child]], ids[order[(start + (pos - 1) // 2)[child]]]
+    least = own[np.maximum.accumulate(np.where(first, np.arange(len(lab)), 0))]
+    return own[own != least], least[own != least]
 
 
 def linked(ids: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among these fingerprints, block by block."""
+    """Stars over the linked sets of these fingerprints, which are compared block by block."""
     label = np.arange(len(ids))
     for at in range(0, len(ids), BLOCK):
         for to in range(at, len(ids), BLOCK):
             i, j = within(fps[at : at + BLOCK], fps[to : to + BLOCK], radius)
             label = _least_labels(len(ids), i + at, j + to, label)
-    return _forest(ids, label)
+    return _stars(ids, label)
 
 
 def _compare(radius: int):
@@ -165,9 +164,9 @@ def _compare(radius: int):
 
 
 def near_links(nodes: DataFrame, radius: int, bands: int, bits: int = 64) -> DataFrame:
-    """A spanning forest (a, b) of the links within ``radius`` bits between the rows (node, fp) of ``nodes``.
+    """Stars (a, b) over the sets of rows (node, fp) of ``nodes`` that links within ``radius`` bits connect in a bucket.
 
-    The forest loses no link's connection if ``bands > radius``. Buckets above ``CHUNK`` rows, such as
+    They lose no link's connection if ``bands > radius``. Buckets above ``CHUNK`` rows, such as
     those of a large group of near copies, are dealt as pairs of chunks to as many tasks.
     """
     cuts = [bits * i // bands for i in range(bands + 1)]
