@@ -17,11 +17,11 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from postlake.llm._shared import stored, table
+from postlake.llm._shared import stored, table, text_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents that the fit uses at most, those with the smallest hashes of doc_id.
-SAMPLE = 24_000
+SAMPLE = 12_000
 #: A word needs this many sample documents and this many standard errors between mean grades; the strongest MOST stay.
 LEAST_DOCS, LEAST_ERRORS, MOST = 5, 5.0, 512
 RIDGE = 0.05
@@ -123,7 +123,7 @@ def train(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str
     among them one counts. Null grades, ids and texts take no part, the largest grade of a repeated id
     counts. Without two grades the model is empty and every severity is 0.
     """
-    spark = docs.sparkSession
+    text_batches(docs.sparkSession)
     graded = grades.where(F.col(grade).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(grade).cast("int").alias("grade"))
     chosen = stored(graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "toxicity-sample")
 
@@ -179,6 +179,7 @@ def grade_documents(docs: DataFrame, model: Ordinal, text: str = "text") -> Data
     Null and empty texts have severity 0 and are kept. Whole texts count. Columns of these two names
     are replaced; repeated rows stay repeated.
     """
+    text_batches(docs.sparkSession)
     return docs.withColumn("severity", severity(model)(F.col(text))).withColumn("rejected", F.col("severity") >= SEVERE)
 
 
