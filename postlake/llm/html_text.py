@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from postlake.llm._shared import stored, table
+from postlake.llm._shared import stored, table, text_batches
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -25,7 +25,7 @@ _TOKEN = re.compile(
       | <[!?][^>]*(?:>|\Z)""",
     re.X | re.S | re.I,
 )
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,9 +38,14 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search di
 #: Words of a class or id that mark furniture of a page; they're compared with the name's parts.
 FURNITURE = frozenset(
     "nav navbar navigation menu menubar header masthead footer foot sidebar side aside rail ad ads adv advert adverts advertisement adsense advertising sponsor sponsored sponsors promo promotion promoted "
-    "banner cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist respond replies reply discussion disqus share sharing social related "
+    "banner cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist respond replies reply discussion responses feedback disqus share sharing social related "
     "recommended recommendations breadcrumb breadcrumbs newsletter subscribe subscription signup login search widget widgets toolbar pagination pager skip copyright form".split()
 )
+#: Words beside which a furniture word only tells what a page has, as in "has-sidebar".
+TELLING = frozenset("has with no without".split())
+#: Blocks that end where the next of their kind begins.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
+LIST_ITEMS = frozenset("li dt dd".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -56,7 +61,9 @@ def _names(attrs: str) -> tuple[str, set[str], bool]:
                     css = ".".join(sorted(re.sub(r"\d+", "#", x) for x in value.split()))
             elif name == "role":
                 gone |= value.lower() in DROPPED_ROLES
-            elif name == "hidden" or value.lower() == "true":
+            elif name == "style":
+                gone |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
                 gone = True
     return css, words, gone
 
@@ -88,24 +95,25 @@ class Page:
                 self._flush(stack[-1][0])
             if tag in VOID:
                 continue
-            if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd") and not m["attrs"].strip() and not m["close"]:
-                continue
             if m["close"]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][1] == tag:
                         del stack[i:]
                         break
                 continue
-            if tag in ("html",):
+            if tag in PARAGRAPHS or tag in LIST_ITEMS:
+                while stack[-1][1] in PARAGRAPHS or stack[-1][1] == tag:
+                    stack.pop()
+                if not m["attrs"].strip():
+                    continue
+            if tag == "html":
                 continue
             css, words, gone = _names(m["attrs"])
             parent, _, dropped = stack[-1]
             inside = any(x[1] in ("article", "main") for x in stack)
-            gone |= tag in DROPPED or (tag == "header" and not inside) or (bool(words & FURNITURE) and tag not in ("body", "article", "main"))
-            if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd"):
-                while stack[-1][1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or stack[-1][1] == tag:
-                    stack.pop()
-                parent, _, dropped = stack[-1]
+            marks = set() if words & TELLING or tag in ("body", "article", "main") else words & FURNITURE
+            marks -= {"header"} if inside else set()
+            gone |= tag in DROPPED or (tag == "header" and not inside) or bool(marks)
             path = f"{self.nodes[parent][2]}/{tag}.{css}" if css else f"{self.nodes[parent][2]}/{tag}"
             self.nodes.append((parent, tag, path))
             stack.append((len(self.nodes) - 1, tag, dropped or gone))
@@ -198,6 +206,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     other columns are not read. The table of winning paths is broadcast only if it is below Spark's
     threshold; beyond it, pages are joined by sort-merge and hot hosts are split.
     """
+    text_batches(pages.sparkSession)
     paths = stored(host_paths(pages, url, html), "host-paths")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))).alias("host"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -21,6 +21,9 @@ def page(main: str, before: str = "", after: str = "") -> str:
         (page(f"<main><p>{LONG}</p><aside><p>{LONG} aside</p></aside><form><p>{LONG} form</p></form></main>", f"<header><p>{LONG} header</p></header>", f"<div class='ad'>{LONG} advert</div>"), LONG),
         (page(f"<article><p>{LONG}\n\n  \t x &#233;&eacute;&hellip;</p><ul><li>one<li>two</ul></article>"), f"{LONG} x éé…\none\ntwo"),
         (f"<body><article><p>{LONG}", LONG),
+        (f"<article><p class='ad'>{LONG} advert<p>{LONG}<p id='share-bar'>{LONG} share</p><p style='display: none'>{LONG} hidden</p></article>", LONG),
+        (f"<div class='page has-sidebar'><article><div class='post-header'><h1>T</h1></div><p>{LONG}</p></article></div>", f"T\n{LONG}"),
+        (f"<section id='respond'><p>{LONG} reply</p></section><div><p>{LONG}</p><section class='reader-responses'><p>{LONG} reader</p></section></div>", LONG),
         (f"<p>{LONG}</p><!-- <p>gone</p> -->", LONG),
         ("plain & simple", "plain & simple"),
         ("", ""),
