@@ -210,7 +210,7 @@ def w02(t: Tables) -> DataFrame:
 @query("W03_order", f"{_VIEW}SELECT job_id, row_number() OVER (ORDER BY score DESC NULLS LAST, published_at DESC NULLS LAST, job_id DESC) AS place FROM seen ORDER BY place LIMIT 100")
 def w03(t: Tables) -> DataFrame:
     top = Q.ordered(t.postings.join(overlay(t), "job_id", "left").select("job_id", "score", "published_at")).limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("published_at"), F.desc("job_id")))).select("job_id", "place")
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("published_at"), F.desc("job_id"))).cast("long")).select("job_id", "place")
 
 
 @query("W04_page", f"{_VIEW}SELECT job_id, score FROM seen ORDER BY score DESC NULLS LAST, published_at DESC NULLS LAST, job_id DESC LIMIT 25 OFFSET 50")
@@ -231,7 +231,7 @@ def w06(t: Tables) -> DataFrame:
 @query("W07_membership_order", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal > 5000 DESC, c_custkey) AS at FROM customer")
 def w07(t: Tables) -> DataFrame:
     order = Window.partitionBy("c_nationkey").orderBy((F.col("c_acctbal") > 5000).desc(), "c_custkey")
-    return t.customer.select("c_custkey", F.row_number().over(order).alias("at"))
+    return t.customer.select("c_custkey", F.row_number().over(order).cast("long").alias("at"))
 
 
 @query(

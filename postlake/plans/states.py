@@ -121,7 +121,7 @@ def f12(t: Tables) -> DataFrame:
 @query("X28_event_numbers", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number FROM events WHERE event_type <> 'view'")
 def x28(t: Tables) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return t.events.where("event_type <> 'view'").select("event_id", number.alias("number"))
+    return t.events.where("event_type <> 'view'").select("event_id", number.cast("long").alias("number"))
 
 
 @query("X29_feed_ring", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50")
