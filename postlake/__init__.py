@@ -1,0 +1 @@
+"""Analytics for opportunity postings on PySpark."""

@@ -1,0 +1 @@
+"""DataFrame operators."""

@@ -1,0 +1 @@
+"""Registered queries with their oracle SQL."""

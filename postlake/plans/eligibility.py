@@ -13,7 +13,6 @@ POLICY = R.Policy()
 HAVE = ["python", "docker", "kubernetes", "postgresql", "fastapi", "llm", "redis"]
 ROLES = ["AI Engineer", "Backend Developer"]
 _ALIASES = {a: c for c, aliases, _ in reversed(G.GAZETTEER) for a in (c, *aliases)}
-_ALLOWED = G.expand_allowed(POLICY.allowed_locations)[0]
 _COUNTRY = "CASE lower(trim(n_name)) " + " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in _ALIASES.items()) + " END"
 
 
@@ -123,7 +122,6 @@ def r02(t: Tables) -> DataFrame:
     return t.postings.select("job_id", R.excluded_region(F.col("requirement"), POLICY).alias("outcome"))
 
 
-_LOC = f"{_named('location')}"
 _R03 = f"""CASE WHEN trim(coalesce(location, '')) = '' THEN 'unknown' WHEN list_contains({_named('location')}, 'india') THEN 'pass' WHEN list_contains({_regions('location')}, 'worldwide') THEN 'pass'
   WHEN len(list_intersect({_regions('location')}, ['asia', 'apac'])) > 0 THEN 'pass' WHEN len({_named('location')}) + len({_regions('location')}) > 0 THEN 'fail' ELSE 'unknown' END"""
 
@@ -245,9 +243,6 @@ def r14(t: Tables) -> DataFrame:
     return routed.select("doc_id", "r.used", "r.tokens")
 
 
-_HAVE = "[" + ", ".join(f"'{s}'" for s in HAVE) + "]"
-
-
 @query("K01_skill_match", "SELECT doc_id, round(CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 0.5 WHEN 1 THEN 1.5 / 2.5 END, 4)::DOUBLE AS value, CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'rust' WHEN 1 THEN 'java' ELSE '' END AS missing FROM documents")
 def k01(t: Tables) -> DataFrame:
     k = F.col("doc_id") % 3

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from postlake.functions.text import trigram_similarity, trigrams
+from postlake.functions.text import seniority, trigram_similarity, trigrams
 from postlake.operators import scope as S, search as Q
 from postlake.operators.dedupe import first_per
 from postlake.plans.base import WITH_POSTINGS, Tables, query
+from postlake.plans.normalisation import _POLICY as _MODEL, _SENIORITY, with_policy
 
 _ME = 7  # the workspace of the examples: a nation
 
@@ -48,13 +51,9 @@ def overlay(t: Tables) -> DataFrame:
 
 _STATE = "CASE quality WHEN 1 THEN 'eligible' WHEN 0 THEN 'ineligible' END"
 _VIEW = f"{WITH_POSTINGS}, seen AS (SELECT p.*, {_STATE} AS status, CASE WHEN quality IS NOT NULL THEN (p.job_id % 100) / 100.0 END AS score FROM postings p LEFT JOIN labels l ON l.doc_id = p.job_id)\n"
-_POLICY = "company_domain"
 
 
 def _searchable(t: Tables) -> DataFrame:
-    from postlake.plans.normalisation import with_policy
-    from postlake.functions.text import seniority
-
     p = with_policy(t.postings).withColumn("seniority", seniority(F.col("title")))
     return p.withColumns({"closed_at": F.when(F.col("job_id") % 10 == 0, F.col("published_at")), "duplicate_of": F.when(F.col("job_id") % 11 == 0, F.col("job_id") - 1), "first_seen_at": F.col("published_at")})
 
@@ -63,16 +62,11 @@ def _followed(t: Tables) -> DataFrame:
     return t.documents.select(F.col("source").alias("source_id")).distinct().where("source_id NOT IN ('src1', 'src2')")
 
 
-from postlake.plans.normalisation import _POLICY as _MODEL, _SENIORITY  # noqa: E402
-
-
 @query(
     "F04_ten_filters",
     f"{_VIEW}SELECT job_id FROM seen WHERE source_id NOT IN ('src1', 'src2') AND coalesce(status, 'pending') = 'eligible' AND score >= 0.3 AND ({_MODEL}) = 'remote' AND ({_SENIORITY}) = 'senior' AND published_at >= TIMESTAMP '2024-06-10' AND job_id % 10 <> 0 AND job_id % 11 <> 0",
 )
 def f04(t: Tables) -> DataFrame:
-    import datetime
-
     f = Q.JobFilters(eligibility="eligible", min_score=0.3, remote_policy="remote", seniority="senior", published_after=datetime.datetime(2024, 6, 10))
     return Q.search(_searchable(t), _followed(t), overlay(t), f).select("job_id")
 

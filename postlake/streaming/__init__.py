@@ -1,0 +1 @@
+"""Sequential state per key."""
