@@ -60,3 +60,42 @@ def test_routing_a_stream(spark, tmp_path):
     query.awaitTermination(60)
     assert sorted((r.source_id, r.workspace_id) for r in spark.table("routed").collect() if r.workspace_id) == [("s1", 1)]
     assert spark.table("routed").count() == 2
+
+
+def finished(stream, name, tmp_path, mode="append"):
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    return query
+
+
+def test_windows_of_streams(spark, tmp_path):
+    import datetime as d
+
+    from postlake.streaming import events as E
+
+    at = lambda day, hour, second=0: d.datetime(2024, 1, day, hour, 0, second)
+    rows = [("a", "k1", at(1, 1)), ("a", "k1", at(1, 2)), ("b", "k2", at(1, 3)), ("a", "k3", at(2, 1)), ("a", "k4", at(2, 1, 10)), ("z", "k5", at(9, 0))]
+    batch(spark, rows, "user string, key string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: E.read_events(spark, str(tmp_path / "in"), "user string, key string, ts timestamp")
+    finished(E.daily_usage(stream(), "user"), "usage", tmp_path)
+    assert {(r.user, r.day.day, r.n) for r in spark.table("usage").collect()} == {("a", 1, 2), ("b", 1, 1), ("a", 2, 2)}
+    finished(E.delivered_once(stream(), "key"), "once", tmp_path)
+    assert sorted(r.key for r in spark.table("once").collect()) == ["k1", "k2", "k3", "k4", "k5"]
+    finished(E.in_flight(stream(), "user"), "flights", tmp_path)
+    assert ("a", 2) in {(r.user, r.n) for r in spark.table("flights").collect()}
+
+
+def test_listings_stream_into_a_catalogue(spark, tmp_path):
+    import datetime as d
+
+    from postlake.streaming import events as E
+    from test_operators import empty_catalogue, listing
+
+    schema = listing(spark, [(1, "a", "x")]).schema
+    for n, rows in enumerate([[(1, "a", "x"), (2, "b", "y")], [(1, "a", "X"), (2, "b", "y")]]):
+        listing(spark, rows).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    sink = E.catalogue_sink(spark, str(tmp_path / "catalogue"), empty_catalogue(spark), lambda: F.lit(d.datetime(2024, 1, 1)))
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    last = spark.read.parquet(str(tmp_path / "catalogue" / "1"))
+    assert {(r.external_id, r.content_hash, r.version) for r in last.collect()} == {("a", "X", 2), ("b", "y", 1)}
