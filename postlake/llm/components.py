@@ -16,7 +16,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     link table gives an empty result. Labels are joined by sort-merge joins, which Spark splits when a
     component's label is hot; neighbour minima are summed up before the shuffle.
     """
-    pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    down = checkpointed(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a) != F.col(b)).distinct())
+    # every node keeps the link to its smallest neighbour, which takes over the others
+    least = down.groupBy("u").agg(F.min("v").alias("least"))
+    pairs = down.join(least, "u").select(F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v"))
     both = checkpointed(pairs.union(pairs.select(F.col("v"), F.col("u"))).distinct())
     labels = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")))
     while True:
