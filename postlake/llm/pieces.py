@@ -35,7 +35,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: Words, and pairs of pieces, that a generation of the memory holds; there are two of words.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -161,7 +161,7 @@ class Model:
         """Whether merging a + b gives just these two. Both merge on their own, the cheaper step first, until a merge across their border would come before."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) >= REMEMBERED:
+            if len(self.pairs) >= REMEMBERED // 2:
                 self.pairs.clear()
             found = self.pairs[a, b] = self._apart(a, b)
         return found
