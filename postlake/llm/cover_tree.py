@@ -155,3 +155,12 @@ def exact_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, scale: in
 
 def op4_cover_tree(spark, sf_dir: str) -> DataFrame:
     return exact_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
+#: The same by comparing every query with every row, for DuckDB.
+ORACLE_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rank
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 5"""

@@ -218,3 +218,12 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
         "record_type",
         F.expr("try_cast(substring_index(refers_to, ':', -1) as bigint)").alias("refers_to"),
     )
+
+
+#: The same from the table alone, for DuckDB; base32 is spelt out from the bits of the digest.
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+  b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(CAST('0x' || substring(sha1(html), i, 1) AS INT)), 4, '0')), '') AS bits FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to,
+  array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * substring(bits, 5 * i + 1, 1)::INT + 8 * substring(bits, 5 * i + 2, 1)::INT + 4 * substring(bits, 5 * i + 3, 1)::INT + 2 * substring(bits, 5 * i + 4, 1)::INT + substring(bits, 5 * i + 5, 1)::INT AS INT), 1)), '') AS payload_digest
+FROM b"""
