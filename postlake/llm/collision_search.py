@@ -43,14 +43,15 @@ def collisions(places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(ids)
-    norms = np.einsum("ij,ij->i", vectors, vectors)
-    lifted = np.c_[vectors, np.sqrt(np.maximum(norms.max() - norms, 0))]
-    m = DIRECTIONS
+    n, m = len(ids), DIRECTIONS
+    # components are brought to 1 at most, so that squares neither overflow nor vanish; queries only count by their direction
+    small = vectors / np.abs(vectors).max()
+    norms = np.einsum("ij,ij->i", small, small)
+    lifted = np.c_[small, np.sqrt(np.maximum(norms.max() - norms, 0))]
     axes = directions(lifted.shape[1], m)
-    # queries only count by their direction, so they're brought to the vectors' scale
-    scale = np.sqrt(norms.max()) / np.sqrt(np.einsum("ij,ij->i", queries, queries))
-    at, asked = lifted @ axes, np.c_[queries * scale[:, None], np.zeros(len(queries))] @ axes
+    aimed = queries / np.abs(queries).max(axis=1, keepdims=True)
+    aimed *= np.sqrt(norms.max() / np.einsum("ij,ij->i", aimed, aimed))[:, None]
+    at, asked = lifted @ axes, np.c_[aimed, np.zeros(len(queries))] @ axes
     order = np.argsort(at, axis=0, kind="stable")
     arrays = np.take_along_axis(at, order, 0)
     places = np.empty((m, n), np.uint16 if n < 65536 else np.uint32)

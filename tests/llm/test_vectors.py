@@ -91,3 +91,9 @@ def test_zero_vectors_take_part_in_the_exact_search_only(spark):
 def test_scores_that_are_not_exact_are_refused(spark):
     with pytest.raises(Exception, match="2\\^53"):
         C.exact_neighbours(table(spark, [[1e12, 0.0], [1e12, 1.0]]), F.col("id") == 0, 1).collect()
+
+
+def test_huge_and_tiny_components_end_the_search(spark):
+    x = [[1e200, 0.0], [1e-200, 1e-200], [1e180, -1e200], [3.0, 4.0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert {i for i, _ in result(A.approximate_neighbours(df, F.col("id") == 3, 5))[3]} == {0, 1, 2}
