@@ -26,7 +26,7 @@ SAMPLE = 12_000
 LEAST_DOCS, LEAST_ERRORS, MOST = 5, 5.0, 512
 RIDGE = 0.05
 #: Documents whose expected severity is at least this are rejected.
-SEVERE = 0.4
+SEVERE = 0.3
 
 
 def words(text: str | None) -> set[str]:
