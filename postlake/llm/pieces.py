@@ -34,8 +34,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
-#: Words, and pairs of pieces, that a generation of the memory holds; there are two of words.
-REMEMBERED = 300_000
+#: Words that a generation of the memory holds, of which there are two, and pairs of pieces that it holds.
+WORDS, PAIRS = 300_000, 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -161,7 +161,7 @@ class Model:
         """Whether merging a + b gives just these two. Both merge on their own, the cheaper step first, until a merge across their border would come before."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) >= REMEMBERED // 2:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             found = self.pairs[a, b] = self._apart(a, b)
         return found
@@ -246,7 +246,7 @@ class Model:
             if found is None:
                 found = self._packed(SPACE + word)
             if len(word) < 64:
-                if len(self.words) >= REMEMBERED:
+                if len(self.words) >= WORDS:
                     self.older, self.words = self.words, {}
                 self.words[word] = found
         return found
