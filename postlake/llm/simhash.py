@@ -10,6 +10,9 @@ abandoned.
 
 A bucket returns a star over each set of linked members, never all pairs; the stars are joined by
 :func:`connected_components`.
+
+Where a link needs an exact Jaccard similarity, these components only gather candidates: their members'
+sets of shingles are then compared, and components are built anew from the links that hold.
 """
 
 from __future__ import annotations
@@ -34,21 +37,36 @@ AT_A_TIME = 65536
 CHUNK = 8192
 #: Fingerprints that are compared as one block of planes.
 BLOCK = 1024
+#: Members of a candidate group whose sets one task takes on each side, and bytes of these sets; larger groups are dealt as pairs of chunks.
+SET_CHUNK = 2048
+SET_BYTES = 32 << 20
 #: Pairs whose sketches are compared at a time.
 PAIRS_AT_A_TIME = 50_000
 
 
-def fingerprint(text: str | None, words: int, bits: int, bins: int = 0) -> bytes:
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's distinct shingles; empty without words."""
+    found = WORD.findall(text.encode("utf-8", "surrogatepass").translate(LOWER)) if text else []
+    n = max(1, len(found) - words + 1) if found else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), SEED) for i in range(n)), np.uint64, n))
+
+
+def digest(shingles: np.ndarray) -> bytes:
+    return xxhash.xxh64_digest(shingles.astype("<u8").tobytes(), SEED)
+
+
+def fingerprint(text: str | None, words: int, bits: int, bins: int = 0, whole: bool = False) -> bytes:
     """The SimHash of a whole text, most significant byte first; all zero without words.
 
     ``bins`` bytes of a one-permutation sketch of the set of shingles follow it: each bin, a power of two in
-    number, keeps eight bits of its smallest hash, and 0 if it's empty.
+    number, keeps eight bits of its smallest hash, and 0 if it's empty. With ``whole``, eight bytes that stand
+    for the whole set come last.
     """
     found = WORD.findall(text.encode("utf-8", "surrogatepass").translate(LOWER)) if text else []
     if not found:
-        return bytes(bits // 8 + bins)
+        return bytes(bits // 8 + bins) + (digest(np.empty(0, np.uint64)) if whole else b"")
     n = max(1, len(found) - words + 1)
-    parts, least = [], np.full(bins, 2**64 - 1, np.uint64)
+    parts, least, all_of = [], np.full(bins, 2**64 - 1, np.uint64), []
     for seed in range(SEED, SEED + bits // 64):
         ones = np.zeros(64, np.int64)
         for at in range(0, n, AT_A_TIME):
@@ -56,9 +74,11 @@ def fingerprint(text: str | None, words: int, bits: int, bins: int = 0) -> bytes
             ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
             if bins and seed == SEED:
                 np.minimum.at(least, (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
+            if whole and seed == SEED:
+                all_of.append(np.unique(h))
         parts.append(np.packbits(ones * 2 > n).tobytes())
     sketch = np.where(least == 2**64 - 1, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return b"".join(parts) + sketch.tobytes()
+    return b"".join(parts) + sketch.tobytes() + (digest(np.unique(np.concatenate(all_of))) if whole else b"")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,12 +87,12 @@ def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(used == 0, 1.0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(used, 1))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, bits: int = 64, bins: int = 0) -> DataFrame:
-    """``docs`` with a binary column ``fp``: fingerprint and sketch. A null or empty text has all zeros."""
+def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, bits: int = 64, bins: int = 0, whole: bool = False) -> DataFrame:
+    """``docs`` with a binary column ``fp``: fingerprint, sketch and digest. A null or empty text has all zeros before its digest."""
 
     @F.pandas_udf(T.BinaryType())
     def make(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(x, words, bits, bins) for x in texts], dtype=object)
+        return pd.Series([fingerprint(x, words, bits, bins, whole) for x in texts], dtype=object)
 
     text_batches(docs.sparkSession)
     return docs.withColumn("fp", make(F.col(text)))
@@ -156,15 +176,54 @@ def linked(ids: np.ndarray, fps: np.ndarray, radius: int, sketches: np.ndarray |
     return _stars(ids, label)
 
 
-def _compare(radius: int, bits: int, bins: int, least: float):
+def linked_exactly(ids: np.ndarray, fps: np.ndarray, radius: int, sketches: np.ndarray | None, least: float, sets: list[np.ndarray], jaccard: float) -> tuple[np.ndarray, np.ndarray]:
+    """Like :func:`linked`, but of these candidates only pairs whose ``sets`` have a Jaccard similarity of ``jaccard`` or more are links.
+
+    A pair that earlier links connect isn't compared.
+    """
+    size = np.array([len(x) for x in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.r_[0, np.cumsum(size)]
+    own = np.zeros(int(code.max(initial=-1)) + 1, bool)
+    label = np.arange(len(ids))
+    for at in range(0, len(ids), BLOCK):
+        for to in range(at, len(ids), BLOCK):
+            i, j = within(fps[at : at + BLOCK], fps[to : to + BLOCK], radius)
+            order = np.argsort(i, kind="stable")
+            i, j = i[order] + at, j[order] + to
+            edges = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+            for s, e in zip(edges, np.r_[edges[1:], len(i)].astype(int)):
+                a, b = i[s], j[s:e]
+                b = b[label[b] != label[a]]
+                b = b[np.minimum(size[a], size[b]) >= jaccard * np.maximum(size[a], size[b]) - 1e-6]
+                if sketches is not None and len(b):
+                    b = b[similar(sketches[b], sketches[a]) >= least]
+                if not len(b):
+                    continue
+                own[code[start[a] : start[a + 1]]] = True
+                both = np.array([np.count_nonzero(own[code[start[x] : start[x + 1]]]) for x in b])
+                own[code[start[a] : start[a + 1]]] = False
+                union = size[a] + size[b] - both
+                real = b[np.where(union == 0, 1.0, both / np.maximum(union, 1)) >= jaccard]
+                if len(real):
+                    together = np.r_[label[a], label[real]]
+                    label[np.isin(label, together)] = together.min()
+    return _stars(ids, label)
+
+
+def _compare(radius: int, bits: int, bins: int, least: float, jaccard: float = 0.0):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(ids: list, fps: list) -> pd.DataFrame:
+        def flush(ids: list, fps: list, sets: list) -> pd.DataFrame:
             made = np.concatenate(fps)
-            sketches = np.ascontiguousarray(made[:, bits // 8 :]) if bins else None
-            a, b = linked(np.concatenate(ids), np.ascontiguousarray(made[:, : bits // 8]).view(np.uint64), radius, sketches, least)
+            sketches = np.ascontiguousarray(made[:, bits // 8 : bits // 8 + bins]) if bins else None
+            own = np.ascontiguousarray(made[:, : bits // 8]).view(np.uint64)
+            if jaccard:
+                a, b = linked_exactly(np.concatenate(ids), own, radius, sketches, least, [np.frombuffer(x, "<u8") for x in sets], jaccard)
+            else:
+                a, b = linked(np.concatenate(ids), own, radius, sketches, least)
             return pd.DataFrame({"a": a, "b": b})
 
-        ids, fps, held, last = [], [], 0, None  # whole buckets that are compared together: a link found across buckets is a link too
+        ids, fps, sets, held, last = [], [], [], 0, None  # whole buckets that are compared together: a link found across buckets is a link too
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -173,14 +232,16 @@ def _compare(radius: int, bits: int, bins: int, least: float):
             edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             for s, e in zip(edges, np.r_[edges[1:], len(pdf)]):
                 if bucket[s] != last and held and held + (e - s) > BLOCK:
-                    yield flush(ids, fps)
-                    ids, fps, held = [], [], 0
+                    yield flush(ids, fps, sets)
+                    ids, fps, sets, held = [], [], [], 0
                 last = bucket[s]
                 ids.append(node[s:e])
                 fps.append(fp[s:e])
+                if jaccard:
+                    sets.extend(pdf["set"].iloc[s:e])
                 held += e - s
         if held:
-            yield flush(ids, fps)
+            yield flush(ids, fps, sets)
 
     return run
 
@@ -207,32 +268,65 @@ def near_links(nodes: DataFrame, radius: int, bands: int, bits: int = 64, bins:
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_compare(radius, bits, bins, least), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 64, radius: int = 4, bands: int = 5, bins: int = 0, least: float = 0.0) -> DataFrame:
+def exact_links(docs: DataFrame, suspects: DataFrame, words: int, radius: int, bits: int, bins: int, least: float, jaccard: float) -> DataFrame:
+    """Stars (a, b) over the rows (node, fp, component) of ``suspects`` that links of an exact Jaccard similarity connect within a component.
+
+    Sets come from the texts of ``docs`` (doc_id, text) whose digest is the one in ``fp``. Components above
+    ``SET_CHUNK`` rows or ``SET_BYTES`` are dealt as pairs of chunks to as many tasks.
+    """
+
+    @F.pandas_udf(T.BinaryType())
+    def sets_of(texts: pd.Series, fps: pd.Series) -> pd.Series:
+        made = (shingle_set(x, words) for x in texts)
+        return pd.Series([x.astype("<u8").tobytes() if digest(x) == fp[-8:] else None for x, fp in zip(made, fps)], dtype=object)
+
+    rows = docs.select(F.col("doc_id").alias("node"), "text").join(suspects, "node")
+    with_sets = rows.select("node", "fp", "component", sets_of("text", "fp").alias("set")).where("set IS NOT NULL")
+    held = stored(with_sets.groupBy("node", "fp").agg(F.first("component").alias("component"), F.first("set").alias("set")), "simhash-sets")
+    chunks = F.greatest(F.ceil(F.count("*") / SET_CHUNK), F.ceil(F.sum(F.length("set")) / SET_BYTES)).cast("int")
+    hot = stored(held.groupBy("component").agg(chunks.alias("chunks")).where("chunks > 1"), "simhash-hot-sets")
+    dealt = (
+        held.join(hot, "component", "left")
+        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+        .select("node", "fp", "set", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
+    )
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_compare(radius, bits, bins, least, jaccard), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 64, radius: int = 4, bands: int = 5, bins: int = 0, least: float = 0.0, jaccard: float = 0.0) -> DataFrame:
     """One row per document: doc_id, fp (binary) and component_id, the smallest doc_id reachable over links.
 
     With ``bins``, ``fp`` ends with a sketch of so many bytes, and a link also needs an estimated Jaccard
-    similarity of ``least``. Documents with equal fingerprints (and sketches) are one node, named by its
-    smallest doc_id. Null, empty and
+    similarity of ``least``. With ``jaccard``, all this only finds candidates, and a link needs that exact
+    similarity; ``fp`` then ends with a digest of the set of shingles. Documents with equal fingerprints (sketches
+    and digests) are one node, named by its smallest doc_id. Null, empty and
     blank texts share the zero fingerprint and are linked by it like any other. A row with a null
     doc_id gets its fingerprint, a null component and takes no part in linking. Repeated rows stay
     repeated; other columns of ``docs`` are not read. An empty table gives an empty result.
     """
-    marked = stored(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", words, bits, bins).select("doc_id", "fp"), "simhash-fp")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    marked = stored(fingerprints(texts, "text", words, bits, bins, jaccard > 0).select("doc_id", "fp"), "simhash-fp")
     nodes = stored(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
     groups = connected_components(near_links(nodes, radius, bands, bits, bins, least))
+    if jaccard:
+        suspects = stored(nodes.join(groups, "node"), "simhash-suspects")
+        groups = connected_components(exact_links(texts, suspects, words, radius, bits, bins, least, jaccard))
     classes = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, bits: int = 128, radius: int = 28, bands: int = 14, bins: int = 128, least: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, bits: int = 128, radius: int = 32, bands: int = 16, bins: int = 128, least: float = 0.65, jaccard: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each near-duplicate group is kept.
 
-    Documents link if the Jaccard similarity of their sets of five-word shingles is 0.8 or more, as
-    estimated from sketches (standard error 0.035) of pairs within 28 of 128 bits. At similarity 0.8 such a
-    pair differs in 19 bits on average, and 14 bands find it in 97 % of cases; at 0.9 in 99.8 %.
+    Documents link if the Jaccard similarity of their sets of five-word shingles, by 64-bit hashes, is 0.8 or
+    more. Candidates are pairs within 32 of 128 bits whose sketches (standard error 0.035) agree in 0.65. At
+    similarity 0.8 a pair differs in 19 bits on average; 16 bands find 99.4 % of such pairs and the radius
+    holds 99.8 %, in a simulation of sets of 200.
     Of rows that repeat the kept doc_id one stays; rows with a null doc_id all stay.
     """
-    found = stored(near_duplicates(docs, doc_id, text, words, bits, radius, bands, bins, least).where("doc_id IS NOT NULL"), "simhash-found")
+    found = stored(near_duplicates(docs, doc_id, text, words, bits, radius, bands, bins, least, jaccard).where("doc_id IS NOT NULL"), "simhash-found")
     gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), "simhash-gone")
     repeated = stored(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(doc_id)).count().where("count > 1").select(doc_id), "simhash-repeated")
     once = docs.join(repeated, doc_id, "left_anti").unionByName(docs.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id]))

@@ -88,6 +88,34 @@ def test_keep_one_leaves_other_documents_alone(spark):
     assert sorted(r.doc_id for r in S.keep_one(df).collect()) == list(range(60))
 
 
+def test_keep_one_takes_links_at_an_exact_similarity(spark):
+    """Pairs just above 0.8 all lose their copy, and pairs just below keep both."""
+    rng = random.Random(8)
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows, want = [], set()
+    for i in range(240):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(304)]
+        tail = 33 if i % 2 else 35  # of 300 shingles, so many differ: 267 of 333 are shared, or 265 of 335
+        a, b = " ".join(words), " ".join(words[:-tail] + [f"v{rng.randrange(10**6)}" for _ in range(tail)])
+        similarity = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        assert 0.785 < similarity < 0.815
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        want |= {2 * i} if similarity >= 0.8 else {2 * i, 2 * i + 1}
+    kept = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= kept and len(kept - want) <= 4  # candidates are found by chance: 99 % of those just above
+    assert 100 < len(rows) - len(want) < 140
+
+
+def test_large_candidate_groups_are_dealt_in_chunks(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(w if rng.random() > 0.012 else f"v{rng.randrange(10**6)}" for w in base)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id for r in S.keep_one(df).collect()}
+    monkeypatch.setattr(S, "SET_CHUNK", 16)
+    assert {r.doc_id for r in S.keep_one(df).collect()} == whole and len(whole) < 60
+
+
 def test_a_very_long_text_is_counted_in_parts(monkeypatch):
     text = " ".join(f"w{i % 977}" for i in range(5000))
     whole = S.fingerprint(text, 4, 64)
