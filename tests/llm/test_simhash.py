@@ -106,6 +106,15 @@ def test_keep_one_takes_links_at_an_exact_similarity(spark):
     assert 100 < len(rows) - len(want) < 140
 
 
+def test_keep_one_finds_copies_that_repeat_a_line(spark):
+    rng = random.Random(10)
+    rows = []
+    for i in range(20):
+        text, line = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (300, 12))
+        rows += [(2 * i, text), (2 * i + 1, f"{text} {' '.join([line] * 10)}")]
+    assert {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {2 * i for i in range(20)}
+
+
 def test_large_candidate_groups_are_dealt_in_chunks(spark, monkeypatch):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(300)]
