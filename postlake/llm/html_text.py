@@ -46,6 +46,8 @@ TELLING = frozenset("has with no without".split())
 #: Blocks that end where the next of their kind begins.
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 LIST_ITEMS = frozenset("li dt dd".split())
+#: Share of running text that an ancestor has to add to the best container to take its place; the whole page has to add more.
+ADDED, ADDED_BY_BODY = 0.1, 0.5
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -74,6 +76,8 @@ class Page:
     def __init__(self, source: str):
         self.nodes: list[tuple[int, str, str]] = [(-1, "", "")]  # parent, tag, path
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
+        self._heads: set[int] = set()  # blocks that are headings
+        self._head = False
         self._text: list[str] = []
         self._linked = self._in_link = 0
         stack: list[tuple[int, str, bool]] = [(0, "", False)]  # node, tag, dropped
@@ -93,6 +97,7 @@ class Page:
                 continue
             if not stack[-1][2]:
                 self._flush(stack[-1][0])
+            self._head = not m["close"] and tag in PARAGRAPHS and tag != "p"
             if tag in VOID:
                 continue
             if m["close"]:
@@ -129,6 +134,8 @@ class Page:
         if self._text:
             text = _SPACE.sub(" ", entities.unescape("".join(self._text))).strip()
             if text:
+                if self._head:
+                    self._heads.add(len(self.blocks))
                 self.blocks.append((node, text, self._linked))
         self._text, self._linked = [], 0
 
@@ -139,7 +146,10 @@ class Page:
         return node
 
     def best(self) -> tuple[str, int]:
-        """Path and score of the container with most running text: a block counts for its container, and half for the next one out."""
+        """Path and score of the container with most running text: a block counts for its container, and half for the next one out.
+
+        An ancestor that adds running text takes its place, and so does an article whose heading stands before it.
+        """
         scores: dict[int, float] = {}
         for node, text, linked in self.blocks:
             plain = max(0, len(text) - 2 * linked)
@@ -154,7 +164,31 @@ class Page:
         for node in scores:
             scores[node] *= 1.5 if self.nodes[node][1] in ("article", "main") else 1.0
         node = max(scores, key=lambda n: (scores[n], n))
-        return self.nodes[node][2], round(scores[node])
+        return self.nodes[self._widened(node)][2], round(scores[node])
+
+    def _widened(self, node: int) -> int:
+        running = [0] * len(self.nodes)  # characters of long blocks at and below a node
+        first = [len(self.blocks)] * len(self.nodes)
+        head = first.copy()  # first block and first heading there
+        for at, (home, text, linked) in enumerate(self.blocks):
+            running[home] += max(0, len(text) - 2 * linked) if len(text) >= 80 else 0
+            first[home] = min(first[home], at)
+            if at in self._heads:
+                head[home] = min(head[home], at)
+        for i in range(len(self.nodes) - 1, 0, -1):
+            parent = self.nodes[i][0]
+            running[parent] += running[i]
+            first[parent], head[parent] = min(first[parent], first[i]), min(head[parent], head[i])
+        out = node
+        while out and self.nodes[node][1] not in ("article", "main", "body"):
+            out = self._home(self.nodes[out][0])
+            tag = self.nodes[out][1]
+            share = ADDED if out and tag != "body" else ADDED_BY_BODY
+            if running[node] and running[out] - running[node] >= share * running[node] or tag in ("article", "main") and head[out] < first[node]:
+                node = out
+            if tag in ("article", "main", "body"):
+                break
+        return node
 
     def text(self, path: str) -> str | None:
         """The blocks in containers on ``path``, or None if the page has none there."""

@@ -36,6 +36,18 @@ def test_one_page(source, want):
     assert H.extract(source, None) == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        (f"<article><h1>T</h1><div class='content'><p>{LONG}<p>{LONG}</div></article>", ["T", LONG, LONG]),
+        (f"<article><div class='intro'><p>{LONG}</div><div class='body'>{f'<p>{LONG}' * 4}</div></article>", [LONG] * 5),
+        (f"<div class='post'><div class='a'><div class='x'><p>{LONG}</div><div class='y'><p>{LONG}</div></div><div class='b'><p>{LONG}</div></div>", [LONG] * 3),
+    ],
+)
+def test_split_articles_are_whole(source, want):
+    assert H.extract(page(source), None) == "\n".join(want)
+
+
 def test_the_host_decides(spark):
     shared = "<div class='box3'><p>{}</p></div><div class='story'><p>{}</p></div>"
     rows = [(i, "http://a.io/x", page(shared.format("short", LONG))) for i in range(5)]
