@@ -7,14 +7,20 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+#: Bytes of an Arrow batch at most; a single row may be larger.
+BATCH_BYTES = 8 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or else the context's checkpoint folder.
 
-    Only where the setting is missing, as in tests on one machine, a temporary folder is set.
+    Only where neither is set and Spark runs on one machine, as in tests, a temporary folder is set; on
+    a cluster that's an error, as executors wouldn't see each other's files.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="postlake-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -22,10 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets Arrow batches of this session hold ``rows`` rows at most: they're counted in rows, and texts may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+    """Lets Arrow batches of this session hold ``rows`` rows and ``BATCH_BYTES`` bytes at most; settings below stay.
+
+    Spark reads both settings when it runs a query, so they're set for the session; smaller batches
+    change no result.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -1,9 +1,13 @@
 """Approximate nearest neighbours by collision counting.
 
-Every projection keeps its vectors in one sorted array. Round a query's own projection a window is opened
-in each array; vectors within it collide with the query there. Windows widen round by round (virtual
-rehashing: the arrays stay as they are) until enough vectors collide in at least the threshold's
-share of projections, and those vectors are verified by their exact inner products.
+Every projection of a block keeps its vectors in one sorted array. Round a query's own projection a window
+is opened in each array; vectors within it collide with the query there. Windows widen round by round
+(virtual rehashing: the arrays stay as they are, and only entries that newly enter are counted), and
+vectors that collide in the threshold's share of projections are verified by their exact inner
+products. A query's windows stop widening once they're wide enough for its kth nearest so far, and at a
+width, found on a bounded sample, at which a fixed share of all vectors collides. Cells of vectors
+that these widest windows can't reach in enough projections are never sent the query. Queries that end with
+too few vectors are asked again with wider windows.
 
 Largest inner product becomes smallest distance by one more coordinate: vectors get
 sqrt(M^2 - |x|^2), with M the largest norm, and queries 0.
@@ -12,18 +16,28 @@ sqrt(M^2 - |x|^2), with M the largest norm, and queries 0.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postlake.llm._shared import table
-from postlake.llm.vectors import best_of, nearest_in_blocks, usable
+from postlake.llm import vectors as V
+from postlake.llm._shared import stored, table
+from postlake.llm.vectors import best_of, best_rows, by_length, usable
 
-#: Directions, share of them that must collide, and share of a block that is verified before windows stop widening.
+#: Directions, share of them that must collide, and share of all vectors that is verified before windows stop widening.
 DIRECTIONS, THRESHOLD, ENOUGH = 64, 0.85, 0.1
-#: Windows widen by this factor, from this many root mean square distances between projections on either side.
-WIDEN, START = 1.05, 1.7
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
+#: As many times k vectors more, which matters in small tables.
+FEW = 10
+#: Sample vectors that this share is measured on.
+TRIED = 512
+#: Rounds of windows, as shares of the widest one; and how many root mean square projections of the kth distance make a window wide enough.
+ROUNDS, COVERED = (0.6, 0.75, 0.87, 1.0), 1.8
+#: Queries with too few vectors are asked again with windows this much wider.
+WIDEN = 2.0
+#: Rows that make another cell, up to ``vectors.CELLS``.
+CELL_ROWS = 4096
 SEED = 20
 
 
@@ -34,70 +48,147 @@ def directions(dim: int, m: int, seed: int = SEED) -> np.ndarray:
     return np.concatenate(sets, axis=1)[:, :m]
 
 
-def collisions(places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """How many projections' windows [low, high) each vector's place lies in: (queries, vectors)."""
-    counts = np.zeros((low.shape[0], places.shape[1]), np.uint8)
-    for j in range(places.shape[0]):
-        counts += (places[j][None, :] - low[:, j, None]) < (high - low)[:, j, None]
-    return counts
-
-
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m = len(ids), DIRECTIONS
-    # components are brought to 1 at most, so that squares neither overflow nor vanish; queries only count by their direction
-    small = vectors / np.abs(vectors).max()
-    norms = np.einsum("ij,ij->i", small, small)
-    lifted = np.c_[small, np.sqrt(np.maximum(norms.max() - norms, 0))]
-    axes = directions(lifted.shape[1], m)
-    aimed = queries / np.abs(queries).max(axis=1, keepdims=True)
-    aimed *= np.sqrt(norms.max() / np.einsum("ij,ij->i", aimed, aimed))[:, None]
-    at, asked = lifted @ axes, np.c_[aimed, np.zeros(len(queries))] @ axes
-    order = np.argsort(at, axis=0, kind="stable")
-    arrays = np.take_along_axis(at, order, 0)
-    places = np.empty((m, n), np.uint16 if n < 65536 else np.uint32)
-    for j in range(m):
-        places[j, order[:, j]] = np.arange(n)
-    least = math.ceil(THRESHOLD * m)
-    goal = min(n, math.ceil(ENOUGH * n) + 5 * k)
-    half = START * float(np.sqrt(np.mean((at - asked.mean(axis=0)) ** 2))) + 1e-12
-    rows, cols, active = [], [], np.arange(len(queries))
-    while len(active):
-        q = asked[active]
-        low = np.stack([np.searchsorted(arrays[:, j], q[:, j] - half, "left") for j in range(m)], axis=1)
-        high = np.stack([np.searchsorted(arrays[:, j], q[:, j] + half, "right") for j in range(m)], axis=1)
-        whole = ((low == 0) & (high == n)).all(axis=1)
-        kind = places.dtype
-        hits = collisions(places, low.astype(kind), high.astype(kind)) >= least
-        done = (hits.sum(axis=1) >= goal) | whole
-        i, j = np.nonzero(hits[done])
-        rows.append(active[done][i])
-        cols.append(j)
-        active = active[~done]
-        half *= WIDEN
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    keep = query_ids[row] != ids[col]
-    row, col = row[keep], col[keep]
-    score = np.concatenate([np.einsum("ij,ij->i", queries[row[s : s + 200_000]], vectors[col[s : s + 200_000]]) for s in range(0, max(1, len(row)), 200_000)])
-    best = best_of(row, ids, col, score, k)
-    return row[best], col[best], score[best]
+class Space:
+    """What brings vectors to one scale, lifts and projects them; ``most`` is the largest norm at that scale."""
+
+    def __init__(self, length: int, scale: float, most: float):
+        self.scale, self.most, self.axes = scale, most, directions(length + 1, DIRECTIONS)
+        self.least = math.ceil(THRESHOLD * DIRECTIONS)
+
+    def rows(self, v: np.ndarray) -> np.ndarray:
+        x = v / self.scale
+        return np.c_[x, np.sqrt(np.maximum(self.most**2 - np.einsum("ij,ij->i", x, x), 0))] @ self.axes
+
+    def queries(self, v: np.ndarray) -> np.ndarray:
+        """Projections of queries, which only count by their direction, at the largest norm."""
+        x = v / np.abs(v).max(axis=1, keepdims=True)
+        return (x * (self.most / np.sqrt(np.einsum("ij,ij->i", x, x)))[:, None]) @ self.axes[:-1]
+
+
+class Block:
+    """The sorted arrays of one block."""
+
+    def __init__(self, space: Space, ids: np.ndarray, v: np.ndarray, k: int):
+        self.space, self.ids, self.v, self.k = space, ids, v, k
+        at = space.rows(v)
+        self.order = np.argsort(at, axis=0, kind="stable").astype(np.int32)
+        self.arrays = np.take_along_axis(at, self.order, 0)
+
+    def windows(self, asked: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places [low, high) of the windows: (queries, directions)."""
+        sides = [(np.searchsorted(a, q - half, "left"), np.searchsorted(a, q + half, "right")) for a, q in zip(self.arrays.T, asked.T)]
+        return np.array([x for x, _ in sides]).T, np.array([x for _, x in sides]).T
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, vector row, score) of each query's ``k`` best vectors among those that reach the threshold within ``width``."""
+        asked = self.space.queries(queries)
+        rounds = [self.windows(asked, width * x) for x in ROUNDS]
+        m, n, dim = DIRECTIONS, len(self.ids), self.v.shape[1] + 1
+        norm = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        out = []
+        for i in range(len(queries)):
+            counts = np.zeros(n, np.int64)
+            fresh = self.ids != query_ids[i]
+            rows, scores = np.empty(0, np.int64), np.empty(0)
+            before: tuple | None = None
+            for share, (low, high) in zip(ROUNDS, rounds):
+                lo, hi = low[i], high[i]
+                if before is None:
+                    entered = [self.order[lo[j] : hi[j], j] for j in range(m)]
+                else:
+                    entered = [self.order[lo[j] : before[0][j], j] for j in range(m)] + [self.order[before[1][j] : hi[j], j] for j in range(m)]
+                before = lo, hi
+                counts += np.bincount(np.concatenate(entered), minlength=n)
+                new = np.flatnonzero((counts >= self.space.least) & fresh)
+                if len(new):
+                    fresh[new] = False
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        got = np.einsum("ij,j->i", self.v[new], queries[i])
+                    rows, scores = np.r_[rows, new], np.r_[scores, got]
+                if len(rows) >= self.k and share < 1:
+                    kth = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+                    cos = kth / (norm[i] * self.space.scale * self.space.most)
+                    far = self.space.most * math.sqrt(max(0.0, 2 - 2 * cos)) if np.isfinite(cos) else math.inf
+                    if width[i] * share >= COVERED * far / math.sqrt(dim):
+                        break
+            best = best_of(np.zeros(len(rows), np.int64), self.ids, rows, scores, self.k)
+            out.append((np.full(len(best), i), rows[best], scores[best]))
+        return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
+
+
+def _search_length(rows: DataFrame, length: int, k: int) -> DataFrame:
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    rows = stored(rows.withColumn("largest", largest), "vector-rows")
+    n, scale = rows.groupBy().agg(F.count("*"), F.max("largest")).first()
+    sample = V.sampled(rows, length)
+    most = min(V.CELLS, max(1, V.CENTER_VALUES // length), max(1, n // CELL_ROWS))
+    placed, cells = V.dealt(rows, np.unique(sample[:most] / scale, axis=0), scale)
+    space = Space(length, scale, float(cells.high.max()))
+    share = ENOUGH + FEW * k / n
+    tried = space.rows(sample[:TRIED])
+
+    def widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The half-width at which the share of the sample collides; without bound where it's all of it."""
+        for batch in batches:
+            asked = space.queries(V.matrix(batch.column("v"))) if batch.num_rows else np.empty((0, DIRECTIONS))
+            out = np.full(len(asked), np.inf)
+            if share < 1:
+                for i, q in enumerate(asked):
+                    reached = np.partition(np.abs(tried - q), space.least - 1, axis=1)[:, space.least - 1]
+                    at = min(len(tried), math.ceil(share * len(tried))) - 1
+                    out[i] = np.partition(reached, at)[at]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "width"])
+
+    # where a cell's vectors may lie on each direction
+    middle = cells.centers @ space.axes[:-1]
+    reach = cells.radius[:, None] * np.sqrt((space.axes[:-1] ** 2).sum(axis=0))[None, :] * (1 + 1e-9) + 1e-9
+    lifted = [np.sqrt(np.maximum(space.most**2 - x**2, 0))[:, None] * space.axes[-1] for x in (cells.high, cells.low)]
+    low, high = middle - reach + np.minimum(*lifted), middle + reach + np.maximum(*lifted)
+
+    def opened(batch: pa.RecordBatch) -> np.ndarray:
+        asked, width = space.queries(V.matrix(batch.column("v"))), batch.column("width").to_numpy()
+        hits = np.zeros((len(asked), len(low)), np.int64)
+        for j in range(DIRECTIONS):
+            hits += (asked[:, j, None] - width[:, None] <= high[None, :, j]) & (asked[:, j, None] + width[:, None] >= low[None, :, j])
+        return hits >= space.least
+
+    def index(ids: np.ndarray, v: np.ndarray):
+        block = Block(space, ids, v, k)
+        return lambda batch: block.search(batch.column("id").to_numpy(), V.matrix(batch.column("v")), batch.column("width").to_numpy())
+
+    queries = stored(V.only_queries(placed).select("id", "v").mapInArrow(widths, "id long, v array<double>, width double"), "vector-queries")
+    found = []
+    while True:
+        found.append(stored(best_rows(V.searched(placed, queries, cells, opened, index, "double"), k), "vector-found"))
+        if share >= 1:
+            break
+        full = found[-1].groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= k).select("id")
+        wider = F.col("width") * WIDEN
+        short = queries.where("width < double('inf')").join(full, "id", "left_anti").select("id", "v", F.when(wider > 3 * space.most, F.lit(float("inf"))).otherwise(wider).alias("width"))
+        queries = stored(short, "vector-queries")
+        if queries.isEmpty():
+            break
+        found[-1] = found[-1].join(queries.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(found[-1].columns)
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def approximate_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): about the ``k`` rows with the largest inner products per query.
 
     ``is_query`` is a predicate on the column ``id``. Scores are exact, in double precision, on the
-    original vectors; ties go to the smaller vec_id. Vectors that are null, empty, zero, of an uncommon
-    length, or hold null or non-finite components take no part, nor do rows with a null id. A query
-    with fewer than ``k`` candidates gets all of them. Rows with the query's own id are no candidates;
-    repeated rows are candidates as often as they occur. Other columns are not read. No candidate above the
-    threshold is left out, however many there are.
+    original vectors; ties go to the smaller vec_id. Vectors that are null, empty, zero, or hold null or
+    non-finite components take no part, nor do rows with a null id. Rows of different lengths have no
+    inner product: a query's candidates are the rows of its own length. A query with fewer than ``k``
+    candidates gets all of them. Rows with the query's own id are no candidates; repeated rows are
+    candidates as often as they occur; of rows that repeat a query's id the smallest vector asks. Other
+    columns are not read. No candidate above the threshold is left out, however many there are. A
+    score that overflows is infinite; one that isn't a number ranks last.
     """
-    rows = usable(vectors, vec_id, embedding, nonzero=True)
-
-    def search(ids, v, query_ids, q):
-        return search_block(ids, v, query_ids, q, k)
-
-    return nearest_in_blocks(rows, is_query, k, search, VECTOR_BLOCK, QUERY_BLOCK, "double")
+    rows = usable(vectors, vec_id, embedding, nonzero=True).withColumn("q", F.coalesce(is_query, F.lit(False)))
+    return by_length(rows, lambda df, length: _search_length(df, length, k), "double")
 
 
 def op1_collision_search(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,15 @@
 """Exact top-k inner products with two cover trees.
 
-Queries and data are both indexed. A node has a center, a covering radius round it, and children whose
-centers lie apart by half the parent's scale. For nodes Q and P the best score is at most
-``q.p + |q| r_P + |p| r_Q + r_Q r_P``; a pair below the worst kth score of Q's queries is pruned, others
-are split, best bound first, down to leaves, where scores are computed together.
+Queries and data are indexed together. A node has a center, a covering radius round it, and children whose
+centers lie apart by more than half the radius, at most ``FAN`` of them; what no child covers in half
+the scale joins its nearest child, whose radius is measured. The top of the tree is grown on a bounded
+sample, and its leaves are cells that all rows join and that tasks index further, so one tree spans
+the whole table; each cell is a node of the queries' tree as well.
+
+For nodes Q and P the best score is at most ``q.p + |q| r_P + |p| r_Q + r_Q r_P``; a pair below the
+worst kth score of Q's queries is pruned. Queries first search the cell that promises most, which gives kth
+scores; with these, pairs of cells are pruned and queries go only to cells left. Inside a cell pairs of nodes
+are taken best bound first, down to leaves, where scores are computed together.
 """
 
 from __future__ import annotations
@@ -12,145 +18,237 @@ import heapq
 from itertools import count
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postlake.llm._shared import table
-from postlake.llm.vectors import best_of, nearest_in_blocks, usable
+from postlake.llm import vectors as V
+from postlake.llm._shared import stored, table
+from postlake.llm.vectors import best_of, best_rows, by_length, usable
 
-LEAF, CHILD = 64, 16
-VECTOR_BLOCK, QUERY_BLOCK = 2048, 1024
-#: Points whose center covers fewer than CHILD points are gathered in one leaf of their parent; after so many such centers in a row, all that are left.
-PROBE = 32
+#: Rows of a leaf of the data and of the queries, which a leaf prunes one by one as well; children of a node.
+LEAF, QUERY_LEAF, FAN = 128, 256, 16
+#: Rows that make another cell, up to ``vectors.CELLS``.
+CELL_ROWS = 4096
+#: No score: below all others.
+NONE = -(2**63)
+#: Components are cut here, so that squares stay finite; scores of such rows lie beyond a long anyway, unless huge terms cancel.
+MOST = 2.0**500
 
 
 class Node:
-    __slots__ = ("center", "radius", "norm", "points", "children", "worst")
+    __slots__ = ("center", "radius", "norm", "points", "children", "worst", "at")
 
-    def __init__(self, center: np.ndarray, radius: float, points: np.ndarray, children: list[Node] | None):
-        self.center, self.radius, self.points, self.children = center, radius, points, children
-        self.norm = float(np.sqrt(center @ center))
+    def __init__(self, x: np.ndarray, at: int, points: np.ndarray):
+        self.at, self.center, self.points, self.children = at, x[at], points, None
+        off = x[points] - self.center
+        self.radius = float(np.sqrt(np.einsum("ij,ij->i", off, off).max()))
+        self.norm = float(np.sqrt(self.center @ self.center))
         self.worst = -np.inf
 
 
-def cover_tree(x: np.ndarray) -> Node:
-    """A cover tree over the rows of ``x``; leaves hold row numbers in rising order."""
-
-    def distances(rows: np.ndarray, center: np.ndarray) -> np.ndarray:
-        d = x[rows] - center
-        return np.sqrt(np.einsum("ij,ij->i", d, d))
-
-    def build(rows: np.ndarray, first: int) -> Node:
-        center = x[first]
-        d = distances(rows, center)
-        radius = float(d.max())
-        if len(rows) <= LEAF or radius == 0:
-            return Node(center, radius, rows, None)
-        children, rest, left, at, apart, alone = [], [], rows, d, radius / 2, 0
-        pivot = first
-        while len(left):
-            near = at <= apart
-            group, left = left[near], left[~near]
-            alone = alone + 1 if len(group) < CHILD else 0
-            if len(group) < CHILD:
-                rest.append(group)
-            else:
-                children.append(build(group, pivot))
-            if alone == PROBE:
-                rest.append(left)
-                break
-            if len(left):
-                pivot = int(left[0])
-                at = distances(left, x[pivot])
-        if rest:
-            scattered = np.sort(np.concatenate(rest))
-            children.append(Node(center, float(distances(scattered, center).max()), scattered, None))
-        return children[0] if len(children) == 1 else Node(center, radius, rows, children)
+def split(x: np.ndarray, node: Node) -> list[Node]:
+    """Children of a node of positive radius: its center, its farthest point, and points of it that are more than half the radius from all before."""
+    points = node.points
+    own = x[points]
+    off = own - node.center
+    rng = np.random.default_rng(len(points))
+    tried = rng.permutation(len(points))[: 4 * FAN]
+    at = [node.at, int(points[np.argmax(np.einsum("ij,ij->i", off, off))])]
+    for i in points[tried]:
+        if len(at) == FAN:
+            break
+        apart = x[at] - x[i]
+        if np.sqrt(np.einsum("ij,ij->i", apart, apart).min()) > node.radius / 2:
+            at.append(int(i))
+    child, _ = V.nearest(own, x[at])
+    place = np.searchsorted(points, at)
+    child[place] = np.arange(len(at))
+    return [Node(x, c, points[child == i]) for i, c in enumerate(at)]
+
+
+def cover_tree(x: np.ndarray, leaf: int = LEAF, leaves: int | None = None) -> tuple[Node, list[Node]]:
+    """A cover tree over the rows of ``x`` and its leaves, which hold row numbers in rising order.
 
-    return build(np.arange(len(x)), 0)
+    The largest leaf is split until all hold ``leaf`` rows at most or one point only, or until there are ``leaves`` of them.
+    """
+    root = Node(x, 0, np.arange(len(x)))
+    serial = count()
+    open_, done = [(-len(x), next(serial), root)], []
+    while open_:
+        _, _, node = heapq.heappop(open_)
+        if len(node.points) <= leaf or node.radius == 0 or (leaves and len(open_) + len(done) + FAN > leaves):
+            done.append(node)
+            continue
+        node.children = split(x, node)
+        for c in node.children:
+            heapq.heappush(open_, (-len(c.points), next(serial), c))
+    return root, done
 
 
-def _up(value: float) -> float:
-    """A little more, so that rounding never prunes a pair that reaches the bound."""
-    return value + 1e-9 * abs(value) + 1e-9
+def bound(dot: np.ndarray, q_norm: np.ndarray, p_norm: np.ndarray, q_radius: np.ndarray, p_radius: np.ndarray) -> np.ndarray:
+    """The best score of two nodes at most, and a little more, so that rounding never prunes a pair that reaches it."""
+    reach = q_norm * p_radius + p_norm * q_radius + q_radius * p_radius
+    return dot + reach + 1e-9 * (q_norm * p_norm + reach) + 1e-9
 
 
-def dual_search(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, data row, score) of each query's ``k`` best rows; ``ids`` must rise. Whole numbers below 2^53 are exact."""
-    q_root, p_root = cover_tree(queries), cover_tree(data)
-    best_score = np.full((len(queries), k), -np.inf)
-    best_row = np.full((len(queries), k), -1)
+class Search:
+    """A block's tree, which batches of queries are compared with. ``compared`` counts pairs of a query and a row whose score was computed."""
 
-    def bound(q: Node, p: Node) -> float:
-        return _up(float(q.center @ p.center) + q.norm * p.radius + p.norm * q.radius + q.radius * p.radius)
+    def __init__(self, ids: np.ndarray, data: np.ndarray, k: int):
+        self.ids, self.data, self.k, self.compared = ids, data, k, 0
+        self.root = cover_tree(data)[0]
+        self.norms = np.sqrt(np.einsum("ij,ij->i", data, data))
 
-    def worst(q: Node) -> float:
+    def __call__(self, query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, data row, score) of each query's ``k`` best rows that reach ``least``, the score it asks for."""
+        self.query_ids, self.queries = query_ids, queries
+        self.query_norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        self.least = np.full(len(queries), NONE) if least is None else least
+        self.score = np.full((len(queries), self.k), NONE)
+        self.row = np.full((len(queries), self.k), -1)
+        serial = count()
+        q, p = cover_tree(queries, QUERY_LEAF)[0], self.root
+        heap = [(-self._bound(q, p), next(serial), q, p)]
+        while heap:
+            up, _, q, p = heapq.heappop(heap)
+            if -up < self._worst(q):
+                continue
+            if q.children is None and p.children is None:
+                self._compare(q, p)
+            elif p.children is None or (q.children is not None and q.radius > p.radius):
+                for c in q.children:
+                    heapq.heappush(heap, (-self._bound(c, p), next(serial), c, p))
+            else:
+                for c in p.children:
+                    heapq.heappush(heap, (-self._bound(q, c), next(serial), q, c))
+        i, j = np.nonzero(self.row >= 0)
+        return i, self.row[i, j], self.score[i, j]
+
+    @staticmethod
+    def _bound(q: Node, p: Node) -> float:
+        return float(bound(q.center @ p.center, q.norm, p.norm, q.radius, p.radius))
+
+    def _worst(self, q: Node) -> float:
         """The worst kth score of a node's queries; it rises as children improve."""
-        now = float(best_score[q.points, -1].min()) if q.children is None else min(c.worst for c in q.children)
+        if q.children is None:
+            now = np.maximum(self.score[q.points, -1], self.least[q.points]).min()
+            now = -np.inf if now == NONE else float(now)
+        else:
+            now = min(c.worst for c in q.children)
         q.worst = max(q.worst, now)
         return q.worst
 
-    def compare(q: Node, p: Node) -> None:
-        points = p.points
+    def _exact(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Scores in whole numbers of any size; those beyond a long become the nearest long."""
+        out = [sum(int(a) * int(b) for a, b in zip(self.queries[i], self.data[j])) for i, j in zip(r, c)]
+        return np.array([min(2**63 - 1, max(1 - 2**63, x)) for x in out], np.int64)
+
+    def _compare(self, q: Node, p: Node) -> None:
+        points, ids, k = p.points, self.ids, self.k
+        kth = np.maximum(self.score[q.points, -1], self.least[q.points])
+        mine = q.points[bound(self.queries[q.points] @ p.center, self.query_norms[q.points], p.norm, 0.0, p.radius) >= np.where(kth == NONE, -np.inf, kth)]
+        if not len(mine):
+            return
         if p.radius == 0:  # equal rows have equal scores, so only the smallest ids can count; a query may be one of them
             distinct = np.flatnonzero(np.r_[True, ids[points][1:] != ids[points][:-1]])
             points = points[: distinct[k + 1]] if len(distinct) > k + 1 else points
-        s = queries[q.points] @ data[points].T
-        s[query_ids[q.points][:, None] == ids[points][None, :]] = -np.inf
-        floor = best_score[q.points, -1]
+        s = self.queries[mine] @ self.data[points].T
+        self.compared += s.size
+        size = self.query_norms[mine][:, None] * self.norms[points][None, :]
+        inexact = size >= 2.0**52  # whole numbers below are exact in double precision, however they are added up
+        slack = np.where(inexact, size * (self.data.shape[1] * 2.0**-50), 0.0) if inexact.any() else None
+        low, high = (s, s) if slack is None else (s - slack, s + slack)
+        own = self.query_ids[mine][:, None] == ids[points][None, :]
+        if own.any():
+            low, high = np.where(own, -np.inf, low), np.where(own, -np.inf, high)
+        kth = np.maximum(self.score[mine, -1], self.least[mine])
+        floor = np.where(kth == NONE, -np.inf, np.nextafter(kth.astype(float), -np.inf) if slack is not None else kth)
         if len(points) > k:
-            floor = np.maximum(floor, np.partition(s, len(points) - k, axis=1)[:, len(points) - k])
-        r, c = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
+            floor = np.maximum(floor, np.partition(low, len(points) - k, axis=1)[:, len(points) - k])
+        r, c = np.nonzero((high >= floor[:, None]) & (high > -np.inf))
         if not len(r):
             return
-        old_r, old_c = np.nonzero(best_row[q.points] >= 0)
+        new = np.zeros(len(r), np.int64)
+        wide = inexact[r, c]
+        new[~wide] = s[r, c][~wide].astype(np.int64)
+        new[wide] = self._exact(mine[r[wide]], points[c[wide]])
+        old_r, old_c = np.nonzero(self.row[mine] >= 0)
         touched = np.isin(old_r, r)
         old_r, old_c = old_r[touched], old_c[touched]
         rows = np.r_[r, old_r]
-        cols = np.r_[points[c], best_row[q.points][old_r, old_c]]
-        scores = np.r_[s[r, c], best_score[q.points][old_r, old_c]]
+        cols = np.r_[points[c], self.row[mine][old_r, old_c]]
+        scores = np.r_[new, self.score[mine][old_r, old_c]]
         top = best_of(rows, ids, cols, scores, k)
         rows, cols, scores = rows[top], cols[top], scores[top]
         start = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         place = np.arange(len(rows)) - np.repeat(start, np.diff(np.r_[start, len(rows)]))
-        best_score[q.points[rows], place], best_row[q.points[rows], place] = scores, cols
+        self.score[mine[rows], place], self.row[mine[rows], place] = scores, cols
 
-    serial = count()
-    heap = [(-bound(q_root, p_root), next(serial), q_root, p_root)]
-    while heap:
-        up, _, q, p = heapq.heappop(heap)
-        if -up < worst(q):
-            continue
-        if q.children is None and p.children is None:
-            compare(q, p)
-        elif p.children is None or (q.children is not None and q.radius > p.radius):
-            for c in q.children:
-                heapq.heappush(heap, (-bound(c, p), next(serial), c, p))
-        else:
-            for c in p.children:
-                heapq.heappush(heap, (-bound(q, c), next(serial), q, c))
-    i, j = np.nonzero(best_row >= 0)
-    return i, best_row[i, j], best_score[i, j]
+
+def _search_length(rows: DataFrame, length: int, k: int) -> DataFrame:
+    rows = stored(rows, "vector-rows")
+    most = min(V.CELLS, max(1, V.CENTER_VALUES // length), max(1, rows.count() // CELL_ROWS))
+    sample = V.sampled(rows, length)
+    centers = sample[:1] if most < FAN else np.array([x.center for x in cover_tree(sample, leaf=8, leaves=most)[1]])
+    placed, cells = V.dealt(rows, centers)
+    queries = stored(V.only_queries(placed), "vector-queries")
+    norms = np.sqrt(np.einsum("ij,ij->i", centers, centers))
+
+    def index(ids: np.ndarray, v: np.ndarray):
+        search = Search(ids, v, k)
+
+        def run(batch: pa.RecordBatch):
+            least = batch.column("least").to_numpy() if "least" in batch.schema.names else None
+            return search(batch.column("id").to_numpy(), V.matrix(batch.column("v")), least)
+
+        return run
+
+    usual = np.where(cells.count > k, 0.0, -np.inf)  # cells that can give k scores come first
+
+    def promising(batch: pa.RecordBatch) -> np.ndarray:
+        best = np.argmax(np.maximum(V.matrix(batch.column("v")) @ centers.T + usual, np.where(cells.count > 0, -1.7e308, -np.inf)), axis=1)
+        return best[:, None] == np.arange(len(centers))[None, :]
+
+    found = best_rows(V.searched(placed, queries, cells, promising, index, "long"), k)
+    if len(centers) == 1:
+        return found
+    found = stored(found, "vector-found")
+    reached = found.groupBy(F.col("query_id").alias("id")).agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    queries = stored(queries.join(reached, "id", "left").select("id", "v", "cell", F.when(F.col("n") == k, F.col("least")).otherwise(F.lit(NONE)).alias("least")), "vector-queries")
+    worst = np.full(len(centers), np.inf)  # of each cell's queries
+    for r in queries.groupBy("cell").agg(F.min("least").alias("least")).collect():
+        worst[r.cell] = -np.inf if r.least == NONE else float(r.least)
+    pairs = bound(centers @ centers.T, norms[:, None], norms[None, :], cells.query_radius[:, None], cells.radius[None, :]) >= worst[:, None]
+
+    def unpruned(batch: pa.RecordBatch) -> np.ndarray:
+        x, least = V.matrix(batch.column("v")), batch.column("least").to_numpy()
+        own = bound(x @ centers.T, np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], norms[None, :], 0.0, cells.radius[None, :])
+        return pairs[batch.column("cell").to_numpy()] & ~promising(batch) & (own >= np.where(least == NONE, -np.inf, least.astype(float))[:, None])
+
+    rest = V.searched(placed, queries, cells, unpruned, index, "long")
+    return best_rows(found.drop("rank").unionByName(rest), k)
 
 
 def exact_neighbours(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): exactly the ``k`` rows with the largest integer inner products per query.
 
     Every component x becomes floor(scale * x), x as double; ``is_query`` is a predicate on the column
-    ``id``. Ties go to the smaller vec_id. Vectors that are null, empty, of an uncommon length, or hold
-    null or non-finite components take no part, nor do rows with a null id; zero vectors do. A query with
+    ``id``. Ties go to the smaller vec_id. Vectors that are null, empty, or hold
+    null or non-finite components take no part, nor do rows with a null id; zero vectors do. Rows of
+    different lengths have no inner product: a query's candidates are the rows of its own length. A query with
     fewer than ``k`` candidates gets all of them. Rows with the query's own id are no candidates;
-    repeated rows are candidates as often as they occur. Other columns are not read. Scores must stay
-    below 2^53 in size; larger ones raise an error rather than lose digits.
+    repeated rows are candidates as often as they occur; of rows that repeat a query's id the smallest vector asks.
+    Other columns are not read. Scores are exact whole numbers; those beyond a long are ranked and
+    returned as the largest (smallest) long.
     """
-    rows = usable(vectors, vec_id, embedding).withColumn("v", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("double")))
 
-    def search(ids, v, query_ids, q):
-        if np.sqrt((v**2).sum(axis=1).max()) * np.sqrt((q**2).sum(axis=1).max()) >= 2.0**53:
-            raise OverflowError("inner products of 2^53 and more aren't exact in double precision")
-        i, j, s = dual_search(ids, v, query_ids, q, k)
-        return i, j, s.astype(np.int64)
+    def whole(x: Column) -> Column:
+        y = F.lit(float(scale)) * x
+        y = F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)  # doubles beyond are whole numbers
+        return F.greatest(F.lit(-MOST), F.least(F.lit(MOST), y))
 
-    return nearest_in_blocks(rows, is_query, k, search, VECTOR_BLOCK, QUERY_BLOCK, "long")
+    rows = usable(vectors, vec_id, embedding).withColumn("v", F.transform("v", whole)).withColumn("q", F.coalesce(is_query, F.lit(False)))
+    return by_length(rows, lambda df, length: _search_length(df, length, k), "long")
 
 
 def op4_cover_tree(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postlake.llm import collision_search as A, cover_tree as C
+from postlake.llm import collision_search as A, cover_tree as C, vectors as V
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -40,23 +42,63 @@ def result(df) -> dict[int, list[tuple[int, float]]]:
 
 @pytest.mark.parametrize(("n", "d", "spread"), [(900, 16, 1.0), (900, 32, 0.05), (60, 3, 1.0)])
 def test_cover_tree_equals_brute_force(spark, monkeypatch, n, d, spread):
-    monkeypatch.setattr(C, "VECTOR_BLOCK", 256)
+    monkeypatch.setattr(C, "CELL_ROWS", 20)  # many cells, several blocks in some
+    monkeypatch.setattr(V, "LEAST_BLOCK", 40)
+    monkeypatch.setattr(V, "QUERY_PART", 7)
     x, ids = vectors(n, d, n, spread), np.arange(n)
     got = result(C.exact_neighbours(table(spark, x), F.col("id") % 50 == 0, 5))
     want = brute(np.floor(256 * x.astype(float)), ids, 50, 5)
     assert got == {q: [(i, int(s)) for i, s in v] for q, v in want.items()}
 
 
-def test_cover_tree_prunes_clusters_and_covers_all_points():
-    x = np.repeat(np.random.default_rng(0).normal(size=(40, 8)) * 50, 30, axis=0) + np.random.default_rng(1).normal(size=(1200, 8))
-    tree = C.cover_tree(x)
-    leaves, todo = [], [tree]
+@pytest.mark.parametrize("spread", [0.01, 1.0])
+def test_cover_tree_covers_all_points_and_keeps_centers_apart(spread):
+    x = np.repeat(np.random.default_rng(0).normal(size=(40, 8)) * 50 * (spread < 1), 100, axis=0) + np.random.default_rng(1).normal(size=(4000, 8))
+    tree, leaves = C.cover_tree(x, leaf=16)
+    assert len(leaves) > 100 and sorted(np.concatenate([n.points for n in leaves])) == list(range(4000))
+    todo = [tree]
     while todo:
         node = todo.pop()
         assert np.sqrt(((x[node.points] - node.center) ** 2).sum(1)).max() <= node.radius + 1e-9
-        todo += node.children or []
-        leaves += [] if node.children else [node.points]
-    assert len(leaves) > 20 and sorted(np.concatenate(leaves)) == list(range(1200))
+        if node.children:
+            centers = np.array([c.center for c in node.children])
+            apart = np.sqrt(((centers[:, None] - centers[None, :]) ** 2).sum(2)) + 1e9 * np.eye(len(centers))
+            assert len(centers) <= C.FAN and apart.min() > node.radius / 2 and any(c.at == node.at for c in node.children)
+            todo += node.children
+
+
+def test_tree_of_equal_rows_and_of_scales():
+    x = np.r_[np.ones((500, 2)), 2.0 ** np.arange(300)[:, None] * np.ones(2)]
+    _, leaves = C.cover_tree(x, leaf=4)
+    assert sorted(np.concatenate([n.points for n in leaves])) == list(range(800)) and max((len(n.points) for n in leaves if n.radius > 0), default=0) <= 4
+
+
+def test_dual_search_prunes_clustered_vectors():
+    rng = np.random.default_rng(0)
+    centers = rng.normal(size=(60, 32)) * 20
+    x = np.floor(256 * (np.repeat(centers, 100, axis=0) + rng.normal(size=(6000, 32))))
+    search = C.Search(np.arange(6000), x, 5)
+    q = np.arange(0, 6000, 50)
+    i, j, s = search(q, x[q])
+    assert search.compared < 0.2 * len(q) * len(x)
+    for n in range(len(q)):
+        scores = x @ x[q[n]]
+        scores[q[n]] = -np.inf
+        assert list(j[i == n]) == list(np.lexsort((np.arange(6000), -scores))[:5])
+
+
+def test_scores_beyond_double_precision_are_exact(spark):
+    rng = np.random.default_rng(1)
+    x = [[float(v) for v in rng.integers(-(2**22), 2**22, 4)] for _ in range(60)]  # scores up to 2^62
+    x += [[v + w for v, w in zip(x[0], d)] for d in ((0, 0, 0, 1.0), (0, 0, 1.0, 0), (0, 1.0, 0, 0))]
+    x += [[3e11, 4e11, 0.0, 0.0], [1e300, 1.0, 0.0, 0.0], [-1e300, 1.0, 0.0, 0.0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = result(C.exact_neighbours(df, F.col("id") < 60, 5))
+    whole = [[math.floor(256 * v) for v in row] for row in x]
+    for q in range(60):
+        scores = [max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(whole[q], whole[i])))) for i in range(len(x))]
+        order = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-scores[i], i))[:5]
+        assert got[q] == [(i, scores[i]) for i in order]
 
 
 def test_collision_search_recall(spark):
@@ -76,7 +118,7 @@ def test_odd_vectors_and_ties(spark, search):
     x = [[1.0, 0.0]] * 8 + [None, [None, 1.0], [nan, 1.0], [inf, 1.0], [], [1.0, 2.0, 3.0]] + [[0.5, 0.5]]
     df = table(spark, x, [0, 7, 6, 5, 4, 3, 2, 1, 50, 100, 150, 200, 250, 300, 8])
     assert [i for i, _ in result(search(df))[0]] == [1, 2, 3, 4, 5]
-    assert set(result(search(df))) == {0}
+    assert set(result(search(df))) == {0}  # 300 has a length of its own and no candidates
     assert result(search(df.limit(0))) == {}
     few = table(spark, [[1.0, 0.0], [0.0, 1.0]])
     assert len(result(search(few))[0]) == 1
@@ -88,12 +130,43 @@ def test_zero_vectors_take_part_in_the_exact_search_only(spark):
     assert [i for i, _ in result(A.approximate_neighbours(df, F.col("id") == 0, 5))[0]] == [2]
 
 
-def test_scores_that_are_not_exact_are_refused(spark):
-    with pytest.raises(Exception, match="2\\^53"):
-        C.exact_neighbours(table(spark, [[1e12, 0.0], [1e12, 1.0]]), F.col("id") == 0, 1).collect()
-
-
 def test_huge_and_tiny_components_end_the_search(spark):
     x = [[1e200, 0.0], [1e-200, 1e-200], [1e180, -1e200], [3.0, 4.0]]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     assert {i for i, _ in result(A.approximate_neighbours(df, F.col("id") == 3, 5))[3]} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("search", [lambda df: C.exact_neighbours(df, F.col("id") % 10 == 0, 5), lambda df: A.approximate_neighbours(df, F.col("id") % 10 == 0, 5)])
+def test_each_length_is_searched_among_its_own(spark, search):
+    rng = np.random.default_rng(5)
+    x = [list(rng.normal(size=2 + i % 3)) for i in range(90)]
+    got = result(search(table(spark, x)))
+    assert set(got) == set(range(0, 90, 10))
+    assert all(len(rows) == 5 and {len(x[i]) for i, _ in rows} == {len(x[q])} for q, rows in got.items())
+
+
+@pytest.mark.parametrize("search", [lambda df: C.exact_neighbours(df, F.col("id") == 0, 5), lambda df: A.approximate_neighbours(df, F.col("id") == 0, 5)])
+def test_repeated_rows(spark, search):
+    df = table(spark, [[1.0, 0.0], [1.0, 0.0], [0.5, 0.5], [1.0, 1.0], [1.0, 1.0], [0.0, 1.0]], [0, 0, 0, 3, 3, 4])
+    assert [i for i, _ in result(search(df))[0]] == [3, 3, 4]  # the query is the smallest vector of its id, (0.5, 0.5)
+
+
+def test_windows_widen_until_enough_collide(spark, monkeypatch):
+    monkeypatch.setattr(A, "ENOUGH", 0.0)
+    monkeypatch.setattr(A, "FEW", 0)  # windows so narrow that queries end short and are asked again
+    monkeypatch.setattr(A, "CELL_ROWS", 50)
+    monkeypatch.setattr(V, "LEAST_BLOCK", 60)
+    x = vectors(400, 12, 9)
+    got = result(A.approximate_neighbours(table(spark, x), F.col("id") % 40 == 0, 20))
+    assert set(got) == set(range(0, 400, 40)) and all(len(rows) == 20 for rows in got.values())
+
+
+def test_entries_that_newly_enter_are_all_that_is_counted():
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(300, 16))
+    space = A.Space(16, 1.0, float(np.sqrt((v**2).sum(1)).max()))
+    block = A.Block(space, np.arange(300), v, 300)
+    width = np.full(10, 0.9)
+    i, j, _ = block.search(np.full(10, -1), v[:10], width)
+    hits = (np.abs(space.rows(v)[None, :, :] - space.queries(v[:10])[:, None, :]) <= 0.9).sum(axis=2) >= space.least
+    assert {(a, b) for a, b in zip(*np.nonzero(hits))} == set(zip(i.tolist(), j.tolist()))
