@@ -33,11 +33,11 @@ FEW = 10
 #: Sample vectors that this share is measured on.
 TRIED = 512
 #: Rounds of windows, as shares of the widest one; and how many root mean square projections of the kth distance make a window wide enough.
-ROUNDS, COVERED = (0.6, 0.75, 0.87, 1.0), 1.8
+ROUNDS, COVERED = (0.5, 0.75, 1.0), 1.8
 #: Queries with too few vectors are asked again with windows this much wider.
 WIDEN = 2.0
 #: Rows that make another cell, up to ``vectors.CELLS``.
-CELL_ROWS = 4096
+CELL_ROWS = 16_384
 SEED = 20
 
 
@@ -70,13 +70,13 @@ class Block:
 
     def __init__(self, space: Space, ids: np.ndarray, v: np.ndarray, k: int):
         self.space, self.ids, self.v, self.k = space, ids, v, k
-        at = space.rows(v)
-        self.order = np.argsort(at, axis=0, kind="stable").astype(np.int32)
-        self.arrays = np.take_along_axis(at, self.order, 0)
+        at = np.ascontiguousarray(space.rows(v).T)
+        self.order = np.argsort(at, axis=1, kind="stable")
+        self.arrays = np.take_along_axis(at, self.order, 1)
 
     def windows(self, asked: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places [low, high) of the windows: (queries, directions)."""
-        sides = [(np.searchsorted(a, q - half, "left"), np.searchsorted(a, q + half, "right")) for a, q in zip(self.arrays.T, asked.T)]
+        sides = [(np.searchsorted(a, q - half, "left"), np.searchsorted(a, q + half, "right")) for a, q in zip(self.arrays, asked.T)]
         return np.array([x for x, _ in sides]).T, np.array([x for _, x in sides]).T
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,9 +94,9 @@ class Block:
             for share, (low, high) in zip(ROUNDS, rounds):
                 lo, hi = low[i], high[i]
                 if before is None:
-                    entered = [self.order[lo[j] : hi[j], j] for j in range(m)]
+                    entered = [self.order[j, lo[j] : hi[j]] for j in range(m)]
                 else:
-                    entered = [self.order[lo[j] : before[0][j], j] for j in range(m)] + [self.order[before[1][j] : hi[j], j] for j in range(m)]
+                    entered = [self.order[j, lo[j] : before[0][j]] for j in range(m)] + [self.order[j, before[1][j] : hi[j]] for j in range(m)]
                 before = lo, hi
                 counts += np.bincount(np.concatenate(entered), minlength=n)
                 new = np.flatnonzero((counts >= self.space.least) & fresh)

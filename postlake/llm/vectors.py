@@ -24,7 +24,7 @@ CELLS, CENTER_VALUES = 256, 1 << 21
 #: Sample rows at most, and numbers in all of them.
 SAMPLE, SAMPLE_VALUES = 4096, 1 << 21
 #: Vectors of a block: as many as make BLOCKS blocks of all, within these bounds.
-BLOCKS, LEAST_BLOCK, MOST_BLOCK = 16, 4096, 131_072
+BLOCKS, LEAST_BLOCK, MOST_BLOCK = 16, 8192, 131_072
 #: Queries that stream past one copy of a block, and queries that are searched together.
 QUERY_PART, TOGETHER = 262_144, 1024
 
