@@ -1,24 +1,29 @@
 """SimHash near-duplicates, compared in bit slices.
 
-Fingerprints are cut into bands; documents whose fingerprints agree in a band meet in one bucket.
-With ``bands > radius`` every pair within the radius agrees in some band (pigeonhole), so no link is
-lost. Inside a bucket, fingerprints are stored vertically: plane ``b`` holds bit ``b`` of 64
-fingerprints per machine word. A query's differing bits are added into carry-save counters, one
-bitwise addition serving 64 distances; counters start at ``2^k - 1 - radius`` so that a carry out of
-the top counter means "beyond the radius", and rows and words whose 64 lanes are all beyond are
-abandoned.
+Fingerprints are cut into blocks, and documents whose fingerprints agree in some of them meet in one bucket:
+of ``blocks`` blocks, at least ``blocks - radius`` agree for every pair within the radius, so with one key
+per choice of that many blocks no link is lost. More blocks mean more but longer keys; the number is
+chosen from the number of fingerprints, so that buckets stay small as a corpus grows. Inside a
+bucket, fingerprints are stored vertically: plane ``b`` holds bit ``b`` of 64 fingerprints per machine word. A
+query's differing bits are added into carry-save counters, one bitwise addition serving 64 distances;
+counters start at ``2^k - 1 - radius`` so that a carry out of the top counter means "beyond the radius", and
+rows and words whose 64 lanes are all beyond are abandoned.
 
 A bucket returns a star over each set of linked members, never all pairs; the stars are joined by
 :func:`connected_components`.
 
-Where a link needs an exact Jaccard similarity, these components only gather candidates: their members'
-sets of shingles are then compared, and components are built anew from the links that hold.
+Where a link needs an exact Jaccard similarity, the radius is too wide for keys of fingerprint blocks. Buckets
+then come from bands of the set's smallest hashes, fingerprints are compared in them as above, and
+the components only gather candidates: their members' sets of shingles are compared, and components are
+built anew from the links that hold.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -40,8 +45,10 @@ BLOCK = 1024
 #: Members of a candidate group whose sets one task takes on each side, and bytes of these sets; larger groups are dealt as pairs of chunks.
 SET_CHUNK = 2048
 SET_BYTES = 32 << 20
-#: Pairs whose sketches are compared at a time.
-PAIRS_AT_A_TIME = 50_000
+#: Smallest hashes that make a band.
+BAND = 6
+#: What a row of a bucket costs, in comparisons of two fingerprints.
+ROW_COST = 5000
 
 
 def _hashes(found: list[bytes], words: int, seed: int, starts: np.ndarray) -> np.ndarray:
@@ -59,47 +66,49 @@ def digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh64_digest(shingles.astype("<u8").tobytes(), SEED)
 
 
-def fingerprint(text: str | None, words: int, bits: int, bins: int = 0, whole: bool = False) -> bytes:
-    """The SimHash of a whole text, most significant byte first; all zero without words.
+def bands_of(shingles: np.ndarray, bands: int) -> list[int]:
+    """One key per band of ``BAND`` bins; a bin holds its smallest hash, and an empty one what the next full one holds."""
+    bins = bands * BAND
+    least = np.full(bins, 2**64 - 1, np.uint64)
+    np.minimum.at(least, (shingles % np.uint64(bins)).astype(np.int64), shingles)
+    full = np.flatnonzero(least != np.uint64(2**64 - 1))
+    if not len(full):
+        return [0] * bands
+    held = least[full[np.searchsorted(full, np.arange(bins)) % len(full)]].astype("<u8").tobytes()
+    return [int.from_bytes(xxhash.xxh64_digest(held[i : i + 8 * BAND], i), "big", signed=True) for i in range(0, len(held), 8 * BAND)]
 
-    ``bins`` bytes of a one-permutation sketch of the set of shingles follow it: each bin, a power of two in
-    number, keeps eight bits of its smallest hash, and 0 if it's empty. With ``whole``, bits are
-    counted over distinct shingles, so that repeats don't weigh, and eight bytes that stand for the set come last.
+
+def fingerprint(text: str | None, words: int, bits: int, bands: int = 0) -> tuple[bytes, list[int]]:
+    """The SimHash of a whole text, most significant byte first, and keys of bands; all bits are zero without words.
+
+    With ``bands``, bits are counted over distinct shingles, so that repeats don't weigh, and eight
+    bytes that stand for the set of shingles follow them.
     """
     found = WORD.findall(text.encode("utf-8", "surrogatepass").translate(LOWER)) if text else []
-    if not found:
-        return bytes(bits // 8 + bins) + (digest(np.empty(0, np.uint64)) if whole else b"")
-    starts = np.arange(max(1, len(found) - words + 1))
-    parts, least, all_of = [], np.full(bins, 2**64 - 1, np.uint64), np.empty(0, np.uint64)
-    if whole:
+    starts = np.arange(max(1, len(found) - words + 1) if found else 0)
+    all_of = np.empty(0, np.uint64)
+    if bands:
         all_of, starts = np.unique(_hashes(found, words, SEED, starts), return_index=True)
+    parts = []
     for seed in range(SEED, SEED + bits // 64):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(starts), AT_A_TIME):
-            h = all_of[at : at + AT_A_TIME] if whole and seed == SEED else _hashes(found, words, seed, starts[at : at + AT_A_TIME])
+            h = all_of[at : at + AT_A_TIME] if bands and seed == SEED else _hashes(found, words, seed, starts[at : at + AT_A_TIME])
             ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            if bins and seed == SEED:
-                np.minimum.at(least, (h % np.uint64(bins)).astype(np.int64), h // np.uint64(bins))
         parts.append(np.packbits(ones * 2 > len(starts)).tobytes())
-    sketch = np.where(least == 2**64 - 1, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return b"".join(parts) + sketch.tobytes() + (digest(all_of) if whole else b"")
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of the sets behind rows of sketches; 1 where both are empty."""
-    used = ((a != 0) | (b != 0)).sum(axis=1)
-    return np.where(used == 0, 1.0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(used, 1))
+    return b"".join(parts) + (digest(all_of) if bands else b""), bands_of(all_of, bands) if bands else []
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, bits: int = 64, bins: int = 0, whole: bool = False) -> DataFrame:
-    """``docs`` with a binary column ``fp``: fingerprint, sketch and digest. A null or empty text has all zeros before its digest."""
+def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, bits: int = 64, bands: int = 0) -> DataFrame:
+    """``docs`` with ``fp`` (binary), fingerprint and digest, and ``keys`` (array of long); see :func:`fingerprint`."""
 
-    @F.pandas_udf(T.BinaryType())
-    def make(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(x, words, bits, bins, whole) for x in texts], dtype=object)
+    @F.pandas_udf("fp binary, keys array<long>")
+    def make(texts: pd.Series) -> pd.DataFrame:
+        made = [fingerprint(x, words, bits, bands) for x in texts]
+        return pd.DataFrame({"fp": [x for x, _ in made], "keys": [x for _, x in made]})
 
     text_batches(docs.sparkSession)
-    return docs.withColumn("fp", make(F.col(text)))
+    return docs.withColumn("_made", make(F.col(text))).withColumns({"fp": F.col("_made.fp"), "keys": F.col("_made.keys")}).drop("_made")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -165,22 +174,24 @@ def _stars(ids: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own[own != least], least[own != least]
 
 
-def linked(ids: np.ndarray, fps: np.ndarray, radius: int, sketches: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Stars over the linked sets of these fingerprints, which are compared block by block; links whose sketches are less similar than ``least`` don't count."""
+def _blocks(n: int, side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of rows to compare: every two of all rows, or with ``side`` every two from different sides."""
+    left, right = (np.arange(n), np.arange(n)) if side is None else (np.flatnonzero(~side), np.flatnonzero(side))
+    for at in range(0, len(left), BLOCK):
+        for to in range(at if side is None else 0, len(right), BLOCK):
+            yield left[at : at + BLOCK], right[to : to + BLOCK]
+
+
+def linked(ids: np.ndarray, fps: np.ndarray, radius: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Stars over the linked sets of these fingerprints, which are compared block by block."""
     label = np.arange(len(ids))
-    for at in range(0, len(ids), BLOCK):
-        for to in range(at, len(ids), BLOCK):
-            i, j = within(fps[at : at + BLOCK], fps[to : to + BLOCK], radius)
-            i, j = i + at, j + to
-            if sketches is not None:
-                parts = range(0, len(i), PAIRS_AT_A_TIME)
-                real = np.concatenate([np.empty(0, bool), *[similar(sketches[i[p : p + PAIRS_AT_A_TIME]], sketches[j[p : p + PAIRS_AT_A_TIME]]) >= least for p in parts]])
-                i, j = i[real], j[real]
-            label = _least_labels(len(ids), i, j, label)
+    for a, b in _blocks(len(ids), side):
+        i, j = within(fps[a], fps[b], radius)
+        label = _least_labels(len(ids), a[i], b[j], label)
     return _stars(ids, label)
 
 
-def linked_exactly(ids: np.ndarray, fps: np.ndarray, radius: int, sketches: np.ndarray | None, least: float, sets: list[np.ndarray], jaccard: float) -> tuple[np.ndarray, np.ndarray]:
+def linked_exactly(ids: np.ndarray, fps: np.ndarray, radius: int, side: np.ndarray | None, sets: list[np.ndarray], jaccard: float) -> tuple[np.ndarray, np.ndarray]:
     """Like :func:`linked`, but of these candidates only pairs whose ``sets`` have a Jaccard similarity of ``jaccard`` or more are links.
 
     A pair that earlier links connect isn't compared.
@@ -190,154 +201,183 @@ def linked_exactly(ids: np.ndarray, fps: np.ndarray, radius: int, sketches: np.n
     start = np.r_[0, np.cumsum(size)]
     own = np.zeros(int(code.max(initial=-1)) + 1, bool)
     label = np.arange(len(ids))
-    for at in range(0, len(ids), BLOCK):
-        for to in range(at, len(ids), BLOCK):
-            i, j = within(fps[at : at + BLOCK], fps[to : to + BLOCK], radius)
-            order = np.argsort(i, kind="stable")
-            i, j = i[order] + at, j[order] + to
-            edges = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
-            for s, e in zip(edges, np.r_[edges[1:], len(i)].astype(int)):
-                a, b = i[s], j[s:e]
-                b = b[label[b] != label[a]]
-                b = b[np.minimum(size[a], size[b]) >= jaccard * np.maximum(size[a], size[b]) - 1e-6]
-                if sketches is not None and len(b):
-                    b = b[similar(sketches[b], sketches[a]) >= least]
-                if not len(b):
-                    continue
-                own[code[start[a] : start[a + 1]]] = True
-                both = np.array([np.count_nonzero(own[code[start[x] : start[x + 1]]]) for x in b])
-                own[code[start[a] : start[a + 1]]] = False
-                union = size[a] + size[b] - both
-                real = b[np.where(union == 0, 1.0, both / np.maximum(union, 1)) >= jaccard]
-                if len(real):
-                    together = np.r_[label[a], label[real]]
-                    label[np.isin(label, together)] = together.min()
+    for left, right in _blocks(len(ids), side):
+        i, j = within(fps[left], fps[right], radius)
+        order = np.argsort(i, kind="stable")
+        i, j = left[i[order]], right[j[order]]
+        edges = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+        for s, e in zip(edges, np.r_[edges[1:], len(i)].astype(int)):
+            a, b = i[s], j[s:e]
+            b = b[label[b] != label[a]]
+            b = b[np.minimum(size[a], size[b]) >= jaccard * np.maximum(size[a], size[b]) - 1e-6]
+            if not len(b):
+                continue
+            own[code[start[a] : start[a + 1]]] = True
+            both = np.array([np.count_nonzero(own[code[start[x] : start[x + 1]]]) for x in b])
+            own[code[start[a] : start[a + 1]]] = False
+            union = size[a] + size[b] - both
+            real = b[np.where(union == 0, 1.0, both / np.maximum(union, 1)) >= jaccard]
+            if len(real):
+                together = np.r_[label[a], label[real]]
+                label[np.isin(label, together)] = together.min()
     return _stars(ids, label)
 
 
-def _compare(radius: int, bits: int, bins: int, least: float, jaccard: float = 0.0):
+def _compare(radius: int, bits: int, jaccard: float = 0.0):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(ids: list, fps: list, sets: list) -> pd.DataFrame:
-            made = np.concatenate(fps)
-            sketches = np.ascontiguousarray(made[:, bits // 8 : bits // 8 + bins]) if bins else None
+        def flush(pieces: list[pd.DataFrame], crossed: bool) -> pd.DataFrame:
+            rows = pd.concat(pieces, ignore_index=True) if len(pieces) > 1 else pieces[0]
+            made = np.frombuffer(b"".join(rows["fp"]), np.uint8).reshape(len(rows), -1)
             own = np.ascontiguousarray(made[:, : bits // 8]).view(np.uint64)
+            side = rows["side"].to_numpy() if crossed else None
             if jaccard:
-                a, b = linked_exactly(np.concatenate(ids), own, radius, sketches, least, [np.frombuffer(x, "<u8") for x in sets], jaccard)
+                a, b = linked_exactly(rows["node"].to_numpy(), own, radius, side, [np.frombuffer(x, "<u8") for x in rows["set"]], jaccard)
             else:
-                a, b = linked(np.concatenate(ids), own, radius, sketches, least)
+                a, b = linked(rows["node"].to_numpy(), own, radius, side)
             return pd.DataFrame({"a": a, "b": b})
 
-        ids, fps, sets, held, last = [], [], [], 0, None  # whole buckets that are compared together: a link found across buckets is a link too
+        # whole buckets that are compared together, as a link found across buckets is a link too; two chunks of a large bucket stand alone
+        pieces, held, last = [], 0, (None, False)
         for pdf in batches:
             if not len(pdf):
                 continue
-            bucket, node = pdf["bucket"].to_numpy(), pdf["node"].to_numpy()
-            fp = np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(len(pdf), -1)
-            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            bucket, crossed = pdf["bucket"].to_numpy(), pdf["crossed"].to_numpy()
+            edges = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (crossed[1:] != crossed[:-1])])
             for s, e in zip(edges, np.r_[edges[1:], len(pdf)]):
-                if bucket[s] != last and held and held + (e - s) > BLOCK:
-                    yield flush(ids, fps, sets)
-                    ids, fps, sets, held = [], [], [], 0
-                last = bucket[s]
-                ids.append(node[s:e])
-                fps.append(fp[s:e])
-                if jaccard:
-                    sets.extend(pdf["set"].iloc[s:e])
+                now = bucket[s], bool(crossed[s])
+                if now != last and held and (held + (e - s) > BLOCK or now[1] or last[1]):
+                    yield flush(pieces, last[1])
+                    pieces, held = [], 0
+                last = now
+                pieces.append(pdf.iloc[s:e])
                 held += e - s
         if held:
-            yield flush(ids, fps, sets)
+            yield flush(pieces, last[1])
 
     return run
 
 
-def near_links(nodes: DataFrame, radius: int, bands: int, bits: int = 64, bins: int = 0, least: float = 0.0) -> DataFrame:
-    """Stars (a, b) over the sets of rows (node, fp) of ``nodes`` that links within ``radius`` bits connect in a bucket.
-
-    They lose no link's connection if ``bands > radius``. Buckets above ``CHUNK`` rows, such as
-    those of a large group of near copies, are dealt as pairs of chunks to as many tasks.
-    """
-    cuts = [bits * i // bands for i in range(bands + 1)]
-    as_bits = F.concat(*[F.lpad(F.conv(F.substring(F.hex(F.substring("fp", 1, bits // 8)), 8 * i + 1, 8), 16, 2), 32, "0") for i in range(bits // 32)])
-    keys = F.array(*[F.concat(F.lit(f"{i}:"), F.conv(F.substring("bits", cuts[i] + 1, cuts[i + 1] - cuts[i]), 2, 16)) for i in range(bands)])
-    banded = nodes.withColumn("bits", as_bits).select("node", "fp", F.explode(keys).alias("band"))
-    hot = stored(banded.groupBy("band").count().where(F.col("count") > CHUNK).select("band", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "simhash-hot")
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+def _dealt(rows: DataFrame, group: str, hot: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """``rows`` by bucket: groups in ``hot`` are dealt as single chunks and as pairs of chunks, whose two sides are marked."""
+    own, other = F.col("own"), F.col("other")
     dealt = (
-        banded.join(hot, "band", "left")
+        rows.join(hot, group, "left")
         .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        .withColumn("own", own)
+        .withColumn("own", F.pmod(F.xxhash64(by), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-        .select("node", "fp", F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
     )
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_compare(radius, bits, bins, least), "a long, b long")
+    dealt = dealt.select(*columns, F.xxhash64(group, F.least(own, other), F.greatest(own, other)).alias("bucket"), (own != other).alias("crossed"), (own > other).alias("side"))
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "crossed")
+
+
+def key_blocks(n: int, bits: int, radius: int) -> int:
+    """Into how many blocks fingerprints are cut, so that bucket rows and comparisons of ``n`` fingerprints cost least."""
+
+    def cost(blocks: int) -> float:
+        return math.comb(blocks, radius) * (ROW_COST + n / 2.0 ** (bits * (blocks - radius) / blocks))
+
+    return min(range(radius + 1, min(bits, radius + 8) + 1), key=cost)
 
 
-def exact_links(docs: DataFrame, suspects: DataFrame, words: int, radius: int, bits: int, bins: int, least: float, jaccard: float) -> DataFrame:
-    """Stars (a, b) over the rows (node, fp, component) of ``suspects`` that links of an exact Jaccard similarity connect within a component.
+def near_links(nodes: DataFrame, radius: int, bits: int = 64, blocks: int | None = None, bands: bool = False) -> DataFrame:
+    """Stars (a, b) over the sets of rows (node, fp) of ``nodes`` that links within ``radius`` bits connect in a bucket.
+
+    Buckets are keys of ``blocks`` blocks (chosen by :func:`key_blocks` if None), which lose no link, or with ``bands`` the values
+    of ``keys``. Buckets above ``CHUNK`` rows, such as those of a large group of near copies, are dealt
+    as pairs of chunks to as many tasks.
+    """
+    if bands:
+        keys = F.expr("transform(keys, (x, i) -> xxhash64(i, x))")
+        banded = nodes.select("node", F.substring("fp", 1, bits // 8).alias("fp"), F.explode(keys).alias("band"))
+    else:
+        blocks = blocks or key_blocks(nodes.count(), bits, radius)
+        cuts = [bits * i // blocks for i in range(blocks + 1)]
+        as_bits = F.concat(*[F.lpad(F.conv(F.substring(F.hex(F.substring("fp", 1, bits // 8)), 8 * i + 1, 8), 16, 2), 32, "0") for i in range(bits // 32)])
+        parts = [F.substring("bits", cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(blocks)]
+        keys = F.array(*[F.xxhash64(F.lit(at), *[parts[i] for i in chosen]) for at, chosen in enumerate(combinations(range(blocks), blocks - radius))])
+        banded = nodes.withColumn("bits", as_bits).select("node", "fp", F.explode(keys).alias("band"))
+    hot = stored(banded.groupBy("band").count().where(F.col("count") > CHUNK).select("band", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")), "simhash-hot")
+    return _dealt(banded, "band", hot, "node", ["node", "fp"]).mapInPandas(_compare(radius, bits), "a long, b long")
 
-    Sets come from the texts of ``docs`` (doc_id, text) whose digest is the one in ``fp``. Components above
+
+def exact_links(docs: DataFrame, suspects: DataFrame, words: int, radius: int, bits: int, jaccard: float) -> DataFrame:
+    """Stars (a, b) over the rows (node, fp, first, component) of ``suspects`` that links of an exact Jaccard similarity connect within a component.
+
+    Sets come from the texts of ``docs`` (doc_id, text, text_key) that ``first`` names. Components above
     ``SET_CHUNK`` rows or ``SET_BYTES`` are dealt as pairs of chunks to as many tasks.
     """
 
     @F.pandas_udf(T.BinaryType())
-    def sets_of(texts: pd.Series, fps: pd.Series) -> pd.Series:
-        made = (shingle_set(x, words) for x in texts)
-        return pd.Series([x.astype("<u8").tobytes() if digest(x) == fp[-8:] else None for x, fp in zip(made, fps)], dtype=object)
+    def set_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(x, words).astype("<u8").tobytes() for x in texts], dtype=object)
 
-    rows = docs.select(F.col("doc_id").alias("node"), "text").join(suspects, "node")
-    with_sets = rows.select("node", "fp", "component", sets_of("text", "fp").alias("set")).where("set IS NOT NULL")
-    held = stored(with_sets.groupBy("node", "fp").agg(F.first("component").alias("component"), F.first("set").alias("set")), "simhash-sets")
+    named = suspects.select("node", "fp", "component", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
+    rows = docs.join(named, ["doc_id", "text_key"]).groupBy("node", "fp", "component").agg(F.first("text").alias("text"))
+    held = stored(rows.select("node", "fp", "component", set_of("text").alias("set")), "simhash-sets")
     chunks = F.greatest(F.ceil(F.count("*") / SET_CHUNK), F.ceil(F.sum(F.length("set")) / SET_BYTES)).cast("int")
     hot = stored(held.groupBy("component").agg(chunks.alias("chunks")).where("chunks > 1"), "simhash-hot-sets")
-    dealt = (
-        held.join(hot, "component", "left")
-        .withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-        .select("node", "fp", "set", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
-    )
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_compare(radius, bits, bins, least, jaccard), "a long, b long")
+    return _dealt(held, "component", hot, "node", ["node", "fp", "set"]).mapInPandas(_compare(radius, bits, jaccard), "a long, b long")
+
+
+def _text_key(text: str):
+    """128 bits of a text, which tell apart rows that repeat a doc_id."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b""))))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 64, radius: int = 4, bands: int = 5, bins: int = 0, least: float = 0.0, jaccard: float = 0.0) -> DataFrame:
+def _classes(docs: DataFrame, doc_id: str, text: str, words: int, bits: int, radius: int, bands: int, jaccard: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, fp) per row, and (fp, first) per fingerprint: the smallest (doc_id, text_key) reachable over links."""
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), (_text_key(text) if jaccard else F.lit(None).cast("binary")).alias("text_key"))
+    marked = stored(fingerprints(texts, "text", words, bits, bands).select("doc_id", "text_key", "fp", "keys"), "simhash-fp")
+    nodes = marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("keys").alias("keys"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
+    groups = connected_components(near_links(nodes, radius, bits, bands=bands > 0))
+    if jaccard:
+        suspects = stored(nodes.drop("keys").join(groups, "node"), "simhash-suspects")
+        groups = connected_components(exact_links(texts, suspects, words, radius, bits, jaccard))
+    groups = stored(groups, "simhash-groups")
+    firsts = nodes.join(groups, "node").groupBy("component").agg(F.min("first").alias("least"))
+    return marked.drop("keys"), nodes.join(groups.join(firsts, "component"), "node", "left").select("fp", F.coalesce("least", "first").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 64, radius: int = 4, bands: int = 0, jaccard: float = 0.0) -> DataFrame:
     """One row per document: doc_id, fp (binary) and component_id, the smallest doc_id reachable over links.
 
-    With ``bins``, ``fp`` ends with a sketch of so many bytes, and a link also needs an estimated Jaccard
-    similarity of ``least``. With ``jaccard``, all this only finds candidates, and a link needs that exact
-    similarity; ``fp`` then ends with a digest of the set of shingles. Documents with equal fingerprints (sketches
-    and digests) are one node, named by its smallest doc_id. Null, empty and
-    blank texts share the zero fingerprint and are linked by it like any other. A row with a null
-    doc_id gets its fingerprint, a null component and takes no part in linking. Repeated rows stay
-    repeated; other columns of ``docs`` are not read. An empty table gives an empty result.
+    Without ``bands``, all pairs within ``radius`` bits are links. With ``bands``, fingerprints count distinct shingles, and pairs that share a band
+    and lie within the radius are candidates; a link needs an exact Jaccard similarity of ``jaccard``; ``fp`` then ends
+    with a digest of the set of shingles. Documents with equal fingerprints (and digests) are one node.
+    Null, empty and blank texts share the zero fingerprint and are linked by it like any other. A row with a
+    null doc_id gets its fingerprint, a null component and takes no part in linking. Repeated rows stay
+    repeated, and rows that repeat a doc_id with another text are documents of their own; other columns of ``docs`` are not read.
+    An empty table gives an empty result.
     """
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marked = stored(fingerprints(texts, "text", words, bits, bins, jaccard > 0).select("doc_id", "fp"), "simhash-fp")
-    nodes = stored(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    groups = connected_components(near_links(nodes, radius, bands, bits, bins, least))
-    if jaccard:
-        suspects = stored(nodes.join(groups, "node"), "simhash-suspects")
-        groups = connected_components(exact_links(texts, suspects, words, radius, bits, bins, least, jaccard))
-    classes = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return marked.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    marked, classes = _classes(docs, doc_id, text, words, bits, radius, bands, jaccard)
+    return marked.join(classes, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("first.doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, bits: int = 128, radius: int = 32, bands: int = 16, bins: int = 128, least: float = 0.65, jaccard: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each near-duplicate group is kept.
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, bits: int = 128, radius: int = 32, bands: int = 21, jaccard: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each near-duplicate group is kept, that with the smallest doc_id.
 
     Documents link if the Jaccard similarity of their sets of five-word shingles, by 64-bit hashes, is 0.8 or
-    more, however often a shingle repeats. Candidates are pairs within 32 of 128 bits whose sketches (standard error 0.035) agree in 0.65. At
-    similarity 0.8 a pair differs in 19 bits on average; 16 bands find 99.4 % of such pairs and the radius
+    more, however often a shingle repeats. Candidates share one of 21 bands of six smallest hashes and lie within 32 of 128 bits: at
+    similarity 0.8 a pair differs in 19 bits on average, 1 - (1 - 0.8^6)^21 = 99.8 % of such pairs share a band, and the radius
     holds 99.8 %, in a simulation of sets of 200.
-    Of rows that repeat the kept doc_id one stays; rows with a null doc_id all stay.
+    Rows are told apart by doc_id and text: a doc_id that repeats with an unlike text keeps both rows. Of rows that repeat both, one
+    stays, the one whose columns hash lowest; rows with a null doc_id all stay.
     """
-    found = stored(near_duplicates(docs, doc_id, text, words, bits, radius, bands, bins, least, jaccard).where("doc_id IS NOT NULL"), "simhash-found")
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct(), "simhash-gone")
-    repeated = stored(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(doc_id)).count().where("count > 1").select(doc_id), "simhash-repeated")
-    once = docs.join(repeated, doc_id, "left_anti").unionByName(docs.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id]))
+    marked, classes = _classes(docs, doc_id, text, words, bits, radius, bands, jaccard)
+    found = stored(marked.where("doc_id IS NOT NULL").join(classes, "fp").select("doc_id", "text_key", ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).alias("stays")), "simhash-found")
+    row = [doc_id, "_text_key"]
+    named = [F.col("doc_id").alias(doc_id), F.col("text_key").alias("_text_key")]
+    gone = stored(found.where(~F.col("stays")).select(*named).distinct(), "simhash-gone")
+    repeated = stored(found.where("stays").groupBy("doc_id", "text_key").count().where("count > 1").select(*named), "simhash-repeated")
+    keyed = docs.withColumn("_text_key", _text_key(text))
+    order = F.xxhash64(F.lit(SEED), *[F.col(f.name) for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    one = keyed.join(repeated, row, "left_semi").groupBy(*row).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    once = keyed.join(repeated, row, "left_anti").unionByName(one.select("row.*", "_text_key"))
     # always a shuffle join: what a size check would broadcast for small tables says nothing about large ones
-    return once.join(gone.hint("shuffle_hash"), doc_id, "left_anti").select(docs.columns)
+    return once.join(gone.hint("shuffle_hash"), row, "left_anti").select(docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=64, radius=4, bands=5)
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=64, radius=4)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

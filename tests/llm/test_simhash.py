@@ -129,7 +129,34 @@ def test_a_very_long_text_is_counted_in_parts(monkeypatch):
     text = " ".join(f"w{i % 977}" for i in range(5000))
     whole = S.fingerprint(text, 4, 64)
     monkeypatch.setattr(S, "AT_A_TIME", 100)
-    assert S.fingerprint(text, 4, 64) == whole == slow_fingerprint(text).to_bytes(8, "big")
+    assert S.fingerprint(text, 4, 64) == whole == (slow_fingerprint(text).to_bytes(8, "big"), [])
+
+
+@pytest.mark.parametrize("blocks", [5, 6, 8])
+def test_more_blocks_find_the_same_components(spark, monkeypatch, blocks):
+    monkeypatch.setattr(S, "key_blocks", lambda n, bits, radius: blocks)
+    rows = corpus(4)
+    want = slow_components([(i, slow_fingerprint(t)) for i, t in rows], 4)
+    assert {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_blocks_grow_with_the_corpus():
+    assert [S.key_blocks(n, 64, 4) for n in (10**3, 10**6, 10**9, 10**11)] == [5, 5, 6, 7]
+
+
+def test_rows_that_repeat_a_doc_id_are_told_apart(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, c, "x"), (3, c, "y"), (3, b, "x"), (4, c, "z")]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    # of 2's texts the copy of 1 goes and the other stays; 3 has one row of c, and its b is a copy of 2's
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (2, b), (3, c)])
+
+
+def test_short_texts_find_their_copies(spark):
+    rows = [(1, "a b c d e f g h i"), (2, "a b c d e f g h i j"), (3, "one two"), (4, "one two"), (5, "one two three"), (6, "b c d e f g h i x y z")]
+    kept = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {1, 3, 5, 6}  # 5 of 6 shingles are shared by 1 and 2
 
 
 def test_components_of_a_long_chain(spark):
