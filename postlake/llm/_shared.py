@@ -63,14 +63,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ranked(df: DataFrame, group: list[str], order: Column, parts: int, out: str) -> DataFrame:
-    """``df`` with the 0-based rank ``out`` of a row in its group under a random order.
+def ranked(df: DataFrame, group: list[str], order: Column, parts: int | Column, out: str, weight: str | None = None) -> DataFrame:
+    """``df`` with the 0-based rank ``out`` of a row in its group under a random order; with ``weight`` the sum of the weights before it.
 
-    ``order`` is a hash of ``_key``, a column of ``df``. A group is ranked in ``parts`` parts, in as
+    ``order`` is a hash of ``_key``, a column of ``df``. A group is ranked in ``parts`` parts (a column of the group), in as
     many tasks, so a hot group isn't sorted in one. Group columns mustn't be null.
     """
-    df = df.withColumn("_order", order).withColumn("_part", F.pmod(F.shiftrightunsigned("_order", 20), F.lit(parts)).cast("int"))
-    counts = df.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    one = F.lit(1) if weight is None else F.col(weight)
+    df = df.withColumn("_order", order).withColumn("_parts", F.lit(parts) if isinstance(parts, int) else parts)
+    df = df.withColumn("_part", F.pmod(F.shiftrightunsigned("_order", 20), F.col("_parts")).cast("int"))
+    counts = df.where("_parts > 1").groupBy(*group, "_part").agg(F.sum(one).alias("_n"))
     starts = stored(counts.withColumn("_start", F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")).drop("_n"), "rank-starts")
-    own = F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_order", "_key")) - 1
-    return df.withColumn(out, own.cast("long")).join(starts, [*group, "_part"]).withColumn(out, F.col(out) + F.col("_start")).drop("_order", "_part", "_start")
+    inside = Window.partitionBy(*group, "_part").orderBy("_order", "_key")
+    own = F.row_number().over(inside) - 1 if weight is None else F.coalesce(F.sum(one).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn(out, own.cast("long")).join(starts, [*group, "_part"], "left").withColumn(out, F.col(out) + F.coalesce("_start", F.lit(0))).drop("_order", "_parts", "_part", "_start")
+
+
+def numbered(df: DataFrame, order: Column, out: str) -> DataFrame:
+    """``df`` sorted and stored, with the 0-based place ``out`` of each row: places in range partitions, plus the counts of those before."""
+    place = F.monotonically_increasing_id()
+    placed = stored(df.orderBy(order).withColumns({"_range": F.shiftright(place, 33).cast("int"), out: place.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    before = placed.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_start", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n"))
+    return placed.join(F.broadcast(before.select("_range", "_start")), "_range").withColumn(out, F.col(out) + F.col("_start")).drop("_range", "_start")

@@ -1,11 +1,11 @@
 """Mixing sources to target weights by entropy balancing.
 
-Document rates stay as close as possible to 1 in (bounded) relative entropy while each source's rated words
-meet its target. The dual is convex with one multiplier per source, and the optimal rates are
-exponentially tilted by document size: rate(t) = cap * e^z / (cap - 1 + e^z) with z = lambda * t / scale, which is e^z for a
-large cap and never exceeds it. Safeguarded Newton iterations solve the dual on the table of (source, size)
-counts, which is exact because a rate depends on nothing else, and far smaller than the documents. Rates are
-then rounded into whole copies, largest documents first, each passing its rounding error on.
+Document rates stay as close as possible to 1 in relative entropy while each source's rated words meet
+its target and no rate exceeds a cap. The dual is convex with one multiplier per source, and the optimal rates are
+exponentially tilted by document size: rate(t) = min(cap, e^(lambda * t / scale)). Safeguarded Newton iterations solve the
+dual on the table of (source, size) counts, which is exact because a rate depends on nothing else, and far smaller than the
+documents. Rates are then rounded into whole copies, largest documents first, each passing its
+rounding error on.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from postlake.llm._shared import checkpointed, ranked, stored, table
+from postlake.llm._shared import checkpointed, numbered, ranked, stored, table
 
 #: Weights of sources in code point order, repeating; how often a document is taken at most.
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -31,19 +31,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     """(skey, source_size, target) from (skey, source, source_size), one row per source.
 
     Targets share all words by weight and stop at ``cap`` times the source's size; the excess is shared
-    again by weight. That is target = min(cap * size, level * weight) with one level for all, found by
-    sorting sources by the level at which they stop. The table has one row per source; it's sorted as a whole.
+    again by weight. That is target = min(cap * size, level * weight) with one level for all, which rises from
+    the plain share as sources stop, until none is above.
     """
-    in_order = Window.orderBy(F.col("source").asc_nulls_last())
-    given = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(in_order) - 1) % len(weights) + 1).cast("int")))
-    given = given.withColumn("most", F.lit(float(cap)) * F.col("source_size"))
-    rise = Window.orderBy(F.col("most") / F.col("weight"), "skey")
-    before, rest = rise.rowsBetween(Window.unboundedPreceding, -1), rise.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy())
-    level = (total - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    tried = given.withColumn("level", level).withColumn("open", F.col("most") / F.col("weight") >= F.col("level")).withColumn("at", F.row_number().over(rise))
-    first = F.min(F.when(F.col("open"), F.struct("at", "level"))).over(Window.partitionBy())
-    return tried.withColumn("found", first.level).select("skey", "source_size", F.least("most", F.col("found") * F.col("weight")).alias("target"))
+    given = numbered(sizes, F.col("source").asc_nulls_last(), "at")
+    given = given.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int")))
+    given = stored(given.withColumn("most", F.lit(float(cap)) * F.col("source_size")), "mix-weights")
+    words, level, now = given.agg(F.sum("source_size")).first()[0], -1.0, 0.0
+    while now > level:
+        level = now
+        stops = F.col("most") < level * F.col("weight")
+        held, free = given.agg(F.sum(F.when(stops, F.col("most"))), F.sum(F.when(~stops, F.col("weight")))).first()
+        now = (words - (held or 0.0)) / free if free else level
+    return given.select("skey", "source_size", F.least("most", level * F.col("weight")).alias("target"))
 
 
 def rates(cells: DataFrame, wanted: DataFrame, cap: int = CAP) -> DataFrame:
@@ -54,18 +54,18 @@ def rates(cells: DataFrame, wanted: DataFrame, cap: int = CAP) -> DataFrame:
     mean = cells.groupBy("skey").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale"))
     room = F.col("target") / F.col("source_size")
     at_edge = F.coalesce(room >= cap * (1 - 1e-12), F.lit(True)) | (room <= 0)
-    start = F.when(at_edge, F.lit(0.0)).otherwise(F.log(room * (cap - 1) / (cap - room)))
+    start = F.when(at_edge, F.lit(0.0)).otherwise(F.log(room))
     state = wanted.join(mean, "skey").select("skey", "target", "scale", room.alias("room"), at_edge.alias("done"), start.alias("lam"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
     state = checkpointed(state)
     cells = checkpointed(cells)
     z = F.least(F.lit(700.0), F.greatest(F.lit(-700.0), F.col("lam") * F.col("size") / F.col("scale")))
-    rate = F.lit(float(cap)) / (1 + (cap - 1) * F.exp(-z))
+    rate = F.least(F.lit(float(cap)), F.exp(z))
     for _ in range(ROUNDS):
         if state.where(~F.col("done")).isEmpty():
             break
         words = F.col("n") * F.col("size")
         sums = cells.join(state.where(~F.col("done")).select("skey", "lam", "scale"), "skey").withColumn("rate", rate)
-        sums = sums.groupBy("skey").agg(F.sum(words * F.col("rate")).alias("got"), F.sum(words * F.col("size") / F.col("scale") * F.col("rate") * (1 - F.col("rate") / cap)).alias("slope"))
+        sums = sums.groupBy("skey").agg(F.sum(words * F.col("rate")).alias("got"), F.sum(F.when(F.col("rate") < cap, words * F.col("size") / F.col("scale") * F.col("rate")).otherwise(0.0)).alias("slope"))
         off = F.col("got") - F.col("target")
         low = F.when(off < 0, F.col("lam")).otherwise(F.col("low"))
         high = F.when(off > 0, F.col("lam")).otherwise(F.col("high"))
@@ -99,8 +99,23 @@ def _round(cap: int):
     return run
 
 
-def _row_key(*names: str) -> Column:
-    return F.xxhash64(*[F.col(x) for x in names], *[F.col(x).isNull() for x in names])
+def _row_key(doc_id: str, source: str, text: str) -> Column:
+    """128 bits of a row's id, source and text, nulls apart from all values."""
+    return F.unhex(F.md5(F.to_json(F.struct(F.col(doc_id).alias("d"), F.col(source).alias("s"), F.md5(F.col(text).cast("binary")).alias("t"))).cast("binary")))
+
+
+def _mixed(docs: DataFrame, doc_id: str, source: str, text: str, weights: tuple[int, ...], cap: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with equal row_key as one, with their number ``m``, and what a cell (skey, size) takes: its ``n`` rows share ``copies``, those with ``_at`` below the remainder one more; and the targets."""
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(_WORDS)), F.lit(0)).cast("long").alias("size"), _row_key(doc_id, source, text).alias("row_key")
+    )
+    rows = rows.withColumn("skey", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null")))
+    rows = stored(rows.groupBy("row_key", "skey", "size", "doc_id", "source").agg(F.count("*").alias("m")), "mix-rows")
+    cells = stored(rows.groupBy("skey", "size").agg(F.sum("m").alias("n"), F.first("source").alias("source")), "mix-cells")
+    wanted = stored(targets(cells.groupBy("skey").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).cast("double").alias("source_size")), weights, cap), "mix-targets")
+    rounded = stored(rates(cells.select("skey", "size", "n"), wanted, cap).groupBy("skey").applyInPandas(_round(cap), "skey string, size long, n long, copies long"), "mix-copies")
+    keyed = rows.join(rounded, ["skey", "size"]).withColumn("_key", F.xxhash64(F.lit(seed), "row_key"))
+    return ranked(keyed, ["skey", "size"], F.xxhash64(F.lit(seed + 1), "_key"), F.ceil(F.col("n") / PART_ROWS), "_at", "m"), wanted
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 42) -> DataFrame:
@@ -108,23 +123,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
     Size is the number of words, 0 for null and empty texts; documents without words keep one copy
     and take nothing. Documents with a null source are one source, the last in order. Within a source,
-    documents of one size get copies that differ by one at most, the more by a seeded hash of doc_id and
-    text, so reruns agree; repeated rows count each. ``row_key`` hashes doc_id, source and text. Other
+    documents of one size get copies that differ by one at most, the more by a seeded hash of doc_id, source and
+    text, so reruns agree; repeated rows count each. ``row_key`` stands for doc_id, source and text. Other
     columns are not read. The table of (source, size) counts grows with the number of sources and the
     longest text, not with the documents; rounding takes the counts of one source into a task.
     """
-    key = _row_key(doc_id, source, text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(_WORDS)), F.lit(0)).cast("long").alias("size"), key.alias("row_key"))
-    rows = stored(rows.withColumn("skey", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))), "mix-rows")
-    cells = stored(rows.groupBy("skey", "size").agg(F.count("*").alias("n"), F.first("source").alias("source")), "mix-cells")
-    wanted = stored(targets(cells.groupBy("skey").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).cast("double").alias("source_size")), weights, cap), "mix-targets")
-    rounded = stored(rates(cells.select("skey", "size", "n"), wanted, cap).groupBy("skey").applyInPandas(_round(cap), "skey string, size long, n long, copies long"), "mix-copies")
-    hottest = rounded.groupBy().agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    dealt = ranked(rows.withColumn("_key", F.xxhash64(F.lit(seed), "row_key")), ["skey", "size"], F.xxhash64(F.lit(seed + 1), "_key"), max(1, math.ceil(hottest / PART_ROWS)), "_at")
-    copies = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("_at") < F.col("copies") % F.col("n"), 1).otherwise(0)
+    dealt, wanted = _mixed(docs, doc_id, source, text, weights, cap, seed)
+    rows = dealt.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    copies = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("_at") + F.col("_i") < F.col("copies") % F.col("n"), 1).otherwise(0)
     return (
-        dealt.join(rounded, ["skey", "size"])
-        .join(wanted, "skey")
+        rows.join(wanted, "skey")
         .select("doc_id", "row_key", "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.cast("int").alias("copies"))
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
@@ -133,15 +141,23 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 def take_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 42) -> DataFrame:
     """The rows of ``docs``, each as often as :func:`mix` takes it.
 
-    Rows that repeat doc_id, source and text share the copies that they get together.
+    Rows that repeat doc_id, source and text share the copies that they get together, in an order by a
+    seeded hash of all their columns, so rows that differ in others stay apart.
     """
-    taken = mix(docs, doc_id, source, text, weights, cap, seed).groupBy(F.col("row_key").alias("_row_key")).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_n"))
+    dealt, _ = _mixed(docs, doc_id, source, text, weights, cap, seed)
+    more = F.greatest(F.lit(0), F.least(F.col("m"), F.col("copies") % F.col("n") - F.col("_at")))
+    taken = dealt.select(F.col("row_key").alias("_row_key"), (F.col("m") * F.floor(F.col("copies") / F.col("n")) + more).alias("_copies"), F.col("m").alias("_m"))
     taken = stored(taken.where("_copies > 0"), "mix-taken")
-    keyed = docs.withColumn("_row_key", _row_key(doc_id, source, text))
-    repeated = stored(taken.where("_n > 1").select("_row_key"), "mix-repeated")
-    once = keyed.join(repeated, "_row_key", "left_anti").unionByName(keyed.join(repeated, "_row_key", "left_semi").dropDuplicates(["_row_key"]))
     # always a shuffle join: what a size check would broadcast for small tables says nothing about large ones
-    return once.join(taken.hint("shuffle_hash"), "_row_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    rows = docs.withColumn("_row_key", _row_key(doc_id, source, text)).join(taken.where("_m = 1").hint("shuffle_hash"), "_row_key")
+    repeated = stored(taken.where("_m > 1"), "mix-repeated")
+    alike = docs.withColumn("_row_key", _row_key(doc_id, source, text)).join(repeated, "_row_key").groupBy("_row_key", "_copies", "_m", *docs.columns).agg(F.count("*").alias("_n"))
+    alike = alike.withColumn("_key", F.xxhash64(F.lit(seed), *docs.columns))
+    alike = ranked(alike, ["_row_key"], F.xxhash64(F.lit(seed + 1), "_key"), F.ceil(F.col("_m") / PART_ROWS), "_at", "_n")
+    more = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_copies") % F.col("_m") - F.col("_at")))
+    alike = alike.withColumn("_copies", F.col("_n") * F.floor(F.col("_copies") / F.col("_m")) + more).where("_copies > 0")
+    both = rows.select(*docs.columns, "_copies").unionByName(alike.select(*docs.columns, "_copies"))
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long")))).select(docs.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

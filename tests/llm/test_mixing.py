@@ -66,9 +66,19 @@ def test_rates_solve_the_dual(spark):
     for r in got:
         words[r.skey] = words.get(r.skey, 0) + r.n * r["size"] * r.rate
     assert words == {k: pytest.approx(t, abs=1e-4) for k, _, t in wanted}
-    # the log odds of a rate, against those of rate 1, are in proportion to the size
-    tilt = {r["size"]: math.log(r.rate / (3 - r.rate)) - math.log(1 / 2) for r in got if r.skey == "=a"}
+    # below the cap, the logarithm of a rate is in proportion to the size
+    tilt = {r["size"]: math.log(r.rate) for r in got if r.skey == "=a"}
     assert tilt[10] / tilt[1] == pytest.approx(10, rel=1e-6) and tilt[500] / tilt[1] == pytest.approx(500, rel=1e-6)
+    assert max(r.rate for r in got) <= 3
+
+
+def test_rates_stop_at_the_cap(spark):
+    cells = [("=a", 1, 100), ("=a", 10, 50), ("=a", 100, 10)]
+    got = M.rates(spark.createDataFrame(cells, "skey string, size long, n long"), spark.createDataFrame([("=a", 1600.0, 4000.0)], "skey string, source_size double, target double")).collect()
+    rate = {r["size"]: r.rate for r in got}
+    assert sum(r.n * r["size"] * r.rate for r in got) == pytest.approx(4000, abs=1e-4)
+    assert rate[100] == 3 and 1 < rate[1] < rate[10] <= 3
+    assert rate[10] == pytest.approx(min(3, rate[1] ** 10))
 
 
 def test_documents_of_one_size_differ_by_one_copy(spark, monkeypatch):
@@ -87,3 +97,27 @@ def test_odd_tables(spark):
     assert copies.columns == df.columns
     assert copies.count() == sum(r.copies for r in got)
     assert M.take_copies(df.limit(0)).count() == 0
+
+
+def test_rows_that_differ_elsewhere_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(M, "PART_ROWS", 7)
+    rows = [(1, "a b c", "en", "s", i // 2) for i in range(80)] + [(2, f"d e f {i}", "en", "t", i) for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA + ", crawl int")
+    got = [(r.doc_id, r.text, r.crawl) for r in M.take_copies(df).collect()]
+    want: dict = {}
+    for r in M.mix(df).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+    assert {d: sum(x[0] == d for x in got) for d in (1, 2)} == want
+    each = [sum(x[2] == c for x in got if x[0] == 1) for c in range(40)]
+    assert max(each) - min(each) <= 2  # two rows each, whose copies differ by one at most
+    assert sorted(got) == sorted((r.doc_id, r.text, r.crawl) for r in M.take_copies(df.repartition(5)).collect())
+
+
+def test_hot_sizes_and_single_rows_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(M, "PART_ROWS", 10)
+    df = spark.createDataFrame([(i % 50, "a b c" if i < 300 else f"a b c {i}", "en", "s" if i % 3 else "t") for i in range(600)], SCHEMA)
+    got = M.mix(df).collect()
+    for cell in {(r.source_size, r["size"]) for r in got}:
+        copies = {r.copies for r in got if (r.source_size, r["size"]) == cell}
+        assert max(copies) - min(copies) <= 1
+    assert len(got) == 600
