@@ -3,13 +3,15 @@
 Pages of a host share templates. Each page's containers are scored by the running text they hold, and the
 page votes for the path of its best container: tags with their classes, digits generalised. Votes are
 counted per host in Spark, and every page is extracted again from the containers on its host's winning
-path; a page without such a container falls back on its own best one.
+path; a page without such a container, or with next to nothing in it, falls back on its own best one.
+A page is read once, in time and memory in proportion to its length, however deep its elements nest.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,6 +50,8 @@ PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 LIST_ITEMS = frozenset("li dt dd".split())
 #: Share of running text that an ancestor has to add to the best container to take its place; the whole page has to add more.
 ADDED, ADDED_BY_BODY = 0.1, 0.5
+#: A host's path that holds less than this share of the characters of a page's own best container isn't followed on that page.
+FAIR = 0.2
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -60,7 +64,7 @@ def _names(attrs: str) -> tuple[str, set[str], bool]:
             if name in ("class", "id"):
                 words |= {x.lower() for x in _PARTS.findall(value)}
                 if name == "class":
-                    css = ".".join(sorted(re.sub(r"\d+", "#", x) for x in value.split()))
+                    css = ".".join(sorted(re.sub(r"\d+", "#", x).replace("/", "|") for x in value.split()))
             elif name == "role":
                 gone |= value.lower() in DROPPED_ROLES
             elif name == "style":
@@ -74,14 +78,20 @@ class Page:
     """The blocks of text of a page, each with the elements it stands in. Furniture leaves no blocks."""
 
     def __init__(self, source: str):
-        self.nodes: list[tuple[int, str, str]] = [(-1, "", "")]  # parent, tag, path
+        # of each node its parent, tag, path's last part, hash of its path, and nearest container at or above it
+        self.parents, self.tags, self.parts, self.paths, self.homes = [-1], [""], [""], [0], [0]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self._heads: set[int] = set()  # blocks that are headings
         self._head = False
         self._text: list[str] = []
         self._linked = self._in_link = 0
-        stack: list[tuple[int, str, bool]] = [(0, "", False)]  # node, tag, dropped
+        stack: list[tuple[int, str, bool, bool]] = [(0, "", False, False)]  # node, tag, dropped, inside an article
+        open_: Counter[str] = Counter()
         at = 0
+
+        def close() -> None:
+            open_[stack.pop()[1]] -= 1
+
         for m in _TOKEN.finditer(source):
             if m.start() > at and not stack[-1][2]:
                 self._add(source[at : m.start()])
@@ -101,27 +111,31 @@ class Page:
             if tag in VOID:
                 continue
             if m["close"]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][1] == tag:
-                        del stack[i:]
-                        break
+                if open_[tag]:
+                    while stack[-1][1] != tag:
+                        close()
+                    close()
                 continue
             if tag in PARAGRAPHS or tag in LIST_ITEMS:
                 while stack[-1][1] in PARAGRAPHS or stack[-1][1] == tag:
-                    stack.pop()
+                    close()
                 if not m["attrs"].strip():
                     continue
             if tag == "html":
                 continue
             css, words, gone = _names(m["attrs"])
-            parent, _, dropped = stack[-1]
-            inside = any(x[1] in ("article", "main") for x in stack)
+            parent, _, dropped, inside = stack[-1]
             marks = set() if words & TELLING or tag in ("body", "article", "main") else words & FURNITURE
             marks -= {"header"} if inside else set()
             gone |= tag in DROPPED or (tag == "header" and not inside) or bool(marks)
-            path = f"{self.nodes[parent][2]}/{tag}.{css}" if css else f"{self.nodes[parent][2]}/{tag}"
-            self.nodes.append((parent, tag, path))
-            stack.append((len(self.nodes) - 1, tag, dropped or gone))
+            part = f"{tag}.{css}" if css else tag
+            self.parents.append(parent)
+            self.tags.append(tag)
+            self.parts.append(part)
+            self.paths.append(hash((self.paths[parent], part)))
+            self.homes.append(len(self.tags) - 1 if tag in CONTAINERS else self.homes[parent])
+            stack.append((len(self.tags) - 1, tag, dropped or gone, inside or tag in ("article", "main")))
+            open_[tag] += 1
         if at < len(source) and not stack[-1][2]:
             self._add(source[at:])
         self._flush(stack[-1][0])
@@ -139,82 +153,93 @@ class Page:
                 self.blocks.append((node, text, self._linked))
         self._text, self._linked = [], 0
 
-    def _home(self, node: int) -> int:
-        """The nearest container round a node."""
-        while node and self.nodes[node][1] not in CONTAINERS:
-            node = self.nodes[node][0]
-        return node
+    def _path(self, node: int) -> str:
+        parts = []
+        while node:
+            parts.append(self.parts[node])
+            node = self.parents[node]
+        return "".join("/" + x for x in reversed(parts))
 
-    def best(self) -> tuple[str, int]:
-        """Path and score of the container with most running text: a block counts for its container, and half for the next one out.
+    def best(self) -> int:
+        """The container with most running text: a block counts for its container, and half for the next one out.
 
-        An ancestor that adds running text takes its place, and so does an article whose heading stands before it.
+        An article round it takes its place, and else an ancestor that adds running text, or a main part whose heading stands before it.
         """
         scores: dict[int, float] = {}
         for node, text, linked in self.blocks:
             plain = max(0, len(text) - 2 * linked)
             worth = plain * (1.0 if len(text) >= 80 else 0.3)
-            home = self._home(node)
+            home = self.homes[node]
             scores[home] = scores.get(home, 0) + worth
             if home:
-                out = self._home(self.nodes[home][0])
+                out = self.homes[self.parents[home]]
                 scores[out] = scores.get(out, 0) + worth / 2
-        if not scores:
-            return "", 0
         for node in scores:
-            scores[node] *= 1.5 if self.nodes[node][1] in ("article", "main") else 1.0
-        node = max(scores, key=lambda n: (scores[n], n))
-        return self.nodes[self._widened(node)][2], round(scores[node])
+            scores[node] *= 1.5 if self.tags[node] in ("article", "main") else 1.0
+        return self._widened(max(scores, key=lambda n: (scores[n], n))) if scores else 0
+
+    def vote(self) -> tuple[str, int]:
+        """Path of the best container and the characters it holds; 0 for a page without text."""
+        best = self.best()
+        return self._path(best), sum(len(text) for _, text in self._within(lambda n: n == best))
 
     def _widened(self, node: int) -> int:
-        running = [0] * len(self.nodes)  # characters of long blocks at and below a node
-        first = [len(self.blocks)] * len(self.nodes)
+        out = node
+        while out and self.tags[out] != "article":
+            out = self.parents[out]
+        if out:
+            return out
+        running = [0] * len(self.tags)  # characters of long blocks at and below a node
+        first = [len(self.blocks)] * len(self.tags)
         head = first.copy()  # first block and first heading there
         for at, (home, text, linked) in enumerate(self.blocks):
             running[home] += max(0, len(text) - 2 * linked) if len(text) >= 80 else 0
             first[home] = min(first[home], at)
             if at in self._heads:
                 head[home] = min(head[home], at)
-        for i in range(len(self.nodes) - 1, 0, -1):
-            parent = self.nodes[i][0]
+        for i in range(len(self.tags) - 1, 0, -1):
+            parent = self.parents[i]
             running[parent] += running[i]
             first[parent], head[parent] = min(first[parent], first[i]), min(head[parent], head[i])
         out = node
-        while out and self.nodes[node][1] not in ("article", "main", "body"):
-            out = self._home(self.nodes[out][0])
-            tag = self.nodes[out][1]
+        while out and self.tags[node] not in ("main", "body"):
+            out = self.homes[self.parents[out]]
+            tag = self.tags[out]
             share = ADDED if out and tag != "body" else ADDED_BY_BODY
-            if running[node] and running[out] - running[node] >= share * running[node] or tag in ("article", "main") and head[out] < first[node]:
+            if running[node] and running[out] - running[node] >= share * running[node] or tag == "main" and head[out] < first[node]:
                 node = out
-            if tag in ("article", "main", "body"):
+            if tag in ("main", "body"):
                 break
         return node
 
-    def text(self, path: str) -> str | None:
-        """The blocks in containers on ``path``, or None if the page has none there."""
-        on_path = {i for i, (_, _, p) in enumerate(self.nodes) if p == path}
-        if not on_path:
-            return None
-        held: dict[int, bool] = {0: 0 in on_path}
-
-        def within(node: int) -> bool:
-            if node not in held:
-                held[node] = node in on_path or within(self.nodes[node][0])
-            return held[node]
-
-        return "\n".join(text for node, text, _ in self.blocks if within(node))
+    def _within(self, chosen) -> list[tuple[int, str]]:
+        """The blocks at or below nodes that are ``chosen``."""
+        held = [False] * len(self.tags)
+        for i, parent in enumerate(self.parents):  # parents come first
+            held[i] = chosen(i) or (i > 0 and held[parent])
+        return [(node, text) for node, text, _ in self.blocks if held[node]]
+
+    def text(self, path: str | None) -> str:
+        """The blocks in containers on ``path``, or in the best container if the path holds little beside it."""
+        best = self.best()
+        own = self._within(lambda n: n == best)
+        if path is not None:
+            wanted = 0
+            for part in path.split("/")[1:]:
+                wanted = hash((wanted, part))
+            found = self._within(lambda n: self.paths[n] == wanted)
+            if found and sum(len(x) for _, x in found) >= FAIR * sum(len(x) for _, x in own):
+                own = found
+        return "\n".join(x for _, x in own)
 
 
 def extract(source: str, path: str | None) -> str:
-    page = Page(source)
-    if path is not None and (found := page.text(path)):
-        return found
-    return page.text(page.best()[0]) or ""
+    return Page(source).text(path)
 
 
 def _vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        found = [Page(x).best() for x in pdf["html"]]
+        found = [Page(x).vote() for x in pdf["html"]]
         out = pd.DataFrame({"host": pdf["host"], "path": [x[0] for x in found], "score": [x[1] for x in found]})
         yield out[out["score"] > 0].groupby(["host", "path"], as_index=False).agg(votes=("score", "size"), score=("score", "sum"))
 
@@ -236,7 +261,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     """(page_id, url, text) per row of ``pages``: the main text, one line per block.
 
     Null or empty html gives an empty text. A page whose url is null or has no host, or whose host's
-    path it lacks or leaves empty, is extracted from its own best container. Repeated rows stay repeated,
+    path it lacks or nearly leaves empty, is extracted from its own best container. Repeated rows stay repeated,
     other columns are not read. The table of winning paths is broadcast only if it is below Spark's
     threshold; beyond it, pages are joined by sort-merge and hot hosts are split.
     """

@@ -20,8 +20,10 @@ from postlake.llm._shared import stored, table, text_batches
 
 UNKNOWN = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
-#: Bytes of a language's dictionary, sample documents per language, and characters taken of each.
-DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 256 << 10, 200, 4000
+#: Bytes of a language's dictionary, sample documents per language, and languages learned at most, those with most documents.
+DICTIONARY_BYTES, SAMPLE_DOCS, LANGUAGES = 256 << 10, 200, 400
+#: Bytes of the pieces that a long sample text is represented by, which lie evenly over it.
+EVEN = 256
 #: Bytes encoded at a time, the level, and the level that decides between equal sizes.
 PIECE, LEVEL, FINE_LEVEL = 2048, 6, 19
 #: Texts whose margin is smaller are rejected.
@@ -31,7 +33,16 @@ NARROW = 0.01
 def letters(text: str) -> bytes:
     """The words of a text in lower case, one space round each; empty without letters."""
     found = _NO_LETTERS.sub(" ", text.lower()).strip()
-    return f" {found} ".encode("utf-8", "surrogatepass") if found else b""
+    return f" {found} ".encode("utf-8", "surrogatepass") if any(map(str.isalpha, found)) else b""
+
+
+def evenly(data: bytes, most: int) -> bytes:
+    """``data``, or pieces of ``EVEN`` bytes from all over it, each from a word's beginning, that make about ``most`` bytes."""
+    if len(data) <= most:
+        return data
+    pieces = max(1, most // EVEN)
+    starts = (data.find(b" ", int(x)) for x in np.linspace(0, len(data) - EVEN, pieces))
+    return b"".join(data[s : s + EVEN] for s in starts if s >= 0)
 
 
 class Languages:
@@ -68,22 +79,26 @@ class Languages:
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> tuple[dict[str, bytes], list[str]]:
     """Dictionaries by language, and the languages by falling number of documents, from rows with a language and a text.
 
-    The sample is bounded: the ``SAMPLE_DOCS`` documents of a language with the smallest hashes, the
-    first ``SAMPLE_CHARS`` characters of each, at most ``DICTIONARY_BYTES`` together. This much per
-    language comes to the driver. The ranking is cut down before the shuffle, so a hot language is no
-    hot partition.
+    The sample is bounded: the ``LANGUAGES`` most frequent languages, and of each the ``SAMPLE_DOCS`` documents with
+    the smallest hashes. A dictionary holds all of these documents, each as whole as an equal share of
+    ``DICTIONARY_BYTES`` allows, longer ones by pieces from all over them. This much per language comes to
+    the driver. The ranking is cut down before the shuffle, so a hot language is no hot partition.
     """
+    text_batches(docs.sparkSession)
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    prior = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("at", F.row_number().over(order)).where(F.col("at") <= SAMPLE_DOCS)
+    chosen = known.where(F.col("lang").isin(prior)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("at", F.row_number().over(order)).where(F.col("at") <= SAMPLE_DOCS)
     chosen = stored(chosen.select("doc_id", "lang", "at").dropDuplicates(["doc_id", "lang"]), "language-sample")
-    sample = known.join(chosen, ["doc_id", "lang"]).select("lang", "at", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("lang", "at", "text").toPandas()
-    dictionaries = {}
-    for name, rows in sample.groupby("lang", sort=True):
-        found = b"".join(letters(x) for x in rows["text"])[:DICTIONARY_BYTES]
-        if found:
-            dictionaries[name] = found
-    prior = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+
+    @F.pandas_udf("binary")
+    def taken(texts: pd.Series) -> pd.Series:
+        return pd.Series([evenly(letters(x), DICTIONARY_BYTES // SAMPLE_DOCS) for x in texts], dtype=object)
+
+    sample = known.join(chosen, ["doc_id", "lang"]).select("lang", "at", taken("text").alias("data"))
+    # of rows that repeat a sampled doc_id the one with the smallest data counts
+    sample = sample.groupBy("lang", "at").agg(F.min("data").alias("data")).orderBy("lang", "at").toPandas()
+    dictionaries = {name: found for name, rows in sample.groupby("lang", sort=True) if (found := b"".join(rows["data"]))}
     return dictionaries, prior
 
 

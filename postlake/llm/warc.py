@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 
-from postlake.llm._shared import fresh_path, stored, table
+from postlake.llm._shared import fresh_path, stored, table, text_batches
 
 #: An archive is closed once it holds this many bytes.
 ARCHIVE_BYTES = 256 << 20
@@ -44,8 +44,8 @@ def _header_value(text: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", text)
 
 
-def record(kind: str, record_id: str, uri: str | None, payload: bytes, refers_to: str | None = None, date: str = DATE) -> bytes:
-    """One gzip member holding a response or a revisit; a revisit keeps the HTTP header and drops the payload."""
+def record(kind: str, record_id: str, uri: str | None, payload: bytes, refers_to: str | None = None, date: str = DATE, payload_digest: str | None = None) -> bytes:
+    """One gzip member holding a response or a revisit; a revisit keeps the HTTP header and drops the payload. ``payload_digest`` is made if it isn't known."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
     fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", date)]
@@ -53,7 +53,7 @@ def record(kind: str, record_id: str, uri: str | None, payload: bytes, refers_to
     fields += [("WARC-Refers-To", f"<{refers_to}>")] if refers_to is not None else []
     fields += [("WARC-Profile", PROFILE)] if kind == "revisit" else []
     fields += [
-        ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
+        ("WARC-Payload-Digest", f"sha1:{payload_digest or digest(payload)}"),
         ("WARC-Block-Digest", f"sha1:{digest(block)}"),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
@@ -137,11 +137,12 @@ def _write(folder: str):
         fs.create_dir(path, recursive=True)
         out, name, n, size = None, "", 0, 0
         for pdf in batches:
-            for kind, record_id, url, html, refers_to in zip(pdf["kind"], pdf["record_id"], pdf["url"], pdf["html"], pdf["refers_to"]):
+            known = pdf["sha1"] if "sha1" in pdf else [None] * len(pdf)
+            for kind, record_id, url, html, refers_to, sha1 in zip(pdf["kind"], pdf["record_id"], pdf["url"], pdf["html"], pdf["refers_to"], known):
                 if out is None:
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(f"{path}/{name}", compression=None)
-                packed = record(kind, record_id, url, html.encode("utf-8"), refers_to)
+                packed = record(kind, record_id, url, html.encode("utf-8"), refers_to, payload_digest=base64.b32encode(bytes.fromhex(sha1)).decode() if sha1 else None)
                 out.write(packed)
                 n, size = n + 1, size + len(packed)
                 if size >= ARCHIVE_BYTES:
@@ -165,15 +166,17 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     page_id and the payload of a response are responses too. Only archives in the manifest count:
     a task that is run again leaves the files of its lost attempt behind under other names.
     """
+    text_batches(pages.sparkSession)
     body = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    long_enough = F.octet_length("html") >= least
-    equal = stored(rows.where(long_enough).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-equal")
-    revisits = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")) & long_enough
     urn = lambda x: F.concat(F.lit("urn:page:"), F.coalesce(x.cast("string"), F.lit("")))
-    marked = rows.join(equal, "sha1", "left").select(
-        F.when(revisits, "revisit").otherwise("response").alias("kind"), urn(F.col("page_id")).alias("record_id"), "url", "html", F.when(revisits, urn(F.col("first"))).alias("refers_to")
-    )
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
+    rows = rows.withColumn("record_id", urn(F.col("page_id")))
+    # only digests are compared; a page then meets its own verdict by id and digest, so equal payloads don't meet in one task
+    hashes = rows.where(F.octet_length("html") >= least).select("page_id", "record_id", "sha1")
+    equal = stored(hashes.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-equal")
+    other = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    revisits = stored(hashes.join(equal, "sha1").where(other).select("record_id", "sha1", urn(F.col("first")).alias("refers_to")).distinct(), "warc-revisits")
+    marked = rows.join(revisits, ["record_id", "sha1"], "left").select(F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response").alias("kind"), "record_id", "url", "html", "refers_to", "sha1")
     return stored(marked.mapInPandas(_write(folder), "archive string, records long, bytes long"), "warc-manifest")
 
 

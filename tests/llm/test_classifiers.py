@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from postlake.llm import language as L, toxicity as T
@@ -112,3 +115,95 @@ def test_odd_rows(spark):
     for grades in ([], [(1, None)], [(1, 0), (2, 0)]):
         empty = T.train(df.drop("grade"), spark.createDataFrame(grades, "doc_id long, grade int"))
         assert empty == T.Ordinal() and empty.severity("bad") == 0.0
+
+
+def test_letters_decide_what_is_undetermined():
+    assert L.letters("½ ² ③ 12 _") == b"" and L.letters("é½") and L.letters("我") and L.letters("x²")
+
+
+def test_dictionaries_hold_all_of_long_texts(spark):
+    rng = random.Random(7)
+    front = "boilerplate " * 3000
+    docs = [(i, front + " ".join(f"{lang}{''.join(rng.choices('abcdefghij', k=6))}" for _ in range(3000)), lang) for i, lang in enumerate(["aa", "bb"] * 4)]
+    dictionaries, _ = L.train(spark.createDataFrame(docs, SCHEMA))
+    for lang, data in dictionaries.items():
+        assert data.count(b" " + lang.encode()) > 100 and len(data) <= L.DICTIONARY_BYTES
+
+
+def test_languages_are_bounded_by_frequency(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    df = spark.createDataFrame([(i, f"word{i} and more", "abc"[min(2, i // 5)]) for i in range(11)], SCHEMA)
+    dictionaries, prior = L.train(df)
+    assert prior == ["a", "b"] and set(dictionaries) == {"a", "b"}
+
+
+def test_language_query_against_a_plain_version(spark, sf_dir):
+    """Each text in pieces, each piece compressed with each dictionary, the smallest sum wins."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    dictionaries, prior = L.train(docs.where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 <> 2"))
+    coders = {n: [zstandard.ZstdCompressor(level=v, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for v in (L.LEVEL, L.FINE_LEVEL)] for n, d in dictionaries.items()}
+    got = {r.doc_id: r for r in L.op9_language(spark, sf_dir).collect()}
+    for d in docs.collect():
+        r = got[d.doc_id]
+        assert r.held_out == held(d.doc_id)
+        words = "".join(c if c.isalnum() and not c.isdecimal() else " " for c in (d.text or "").lower()).split()
+        if not any(c.isalpha() for w in words for c in w):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        data = f" {' '.join(words)} ".encode()
+        for level in (0, 1):
+            size = {n: sum(len(c[level].compress(data[i : i + L.PIECE])) for i in range(0, len(data), L.PIECE)) for n, c in coders.items()}
+            first, second = sorted(size, key=lambda n: (size[n], prior.index(n)))[:2]
+            if size[first] < size[second]:
+                break
+        assert (r.lang_pred, r.score) == (first, pytest.approx(1 - size[first] / size[second]))
+    right = [r.lang_pred == d.lang for d in docs.collect() if (r := got[d.doc_id]).held_out and d.lang]
+    assert np.mean(right) >= 0.97
+
+
+def test_toxicity_query_against_a_plain_version(spark, sf_dir):
+    """Words are counted, kept and fitted anew in plain Python; severities agree."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    words = lambda t: {w for w in "".join(c if c.isalnum() and not c.isdecimal() else " " for c in (t or "").lower()).split()}
+    known = sorted(i for i in labels if docs.get(i) is not None)
+    keys = {i: T.copy_keys(docs[i]) for i in known}
+    kept: list[int] = []
+    owner: dict = {}
+    for i in known:
+        met = [owner[x] for x in enumerate(keys[i]) if x in owner]
+        if max((met.count(m) for m in met), default=0) < T.COPY:
+            kept.append(i)
+            for x in enumerate(keys[i]):
+                owner.setdefault(x, i)
+    assert len(kept) > 0.8 * len(known)  # few labelled documents are near copies of each other
+    y = np.array([labels[i] for i in kept])
+    held = [words(docs[i]) for i in kept]
+    strength = {}
+    for w in set().union(*held):
+        has = np.array([w in h for h in held])
+        n = has.sum()
+        error = abs((y[has] - y.mean()).sum()) / math.sqrt(max(1e-12, y.var() * n * (1 - n / (len(y) + 1))))
+        if n >= T.LEAST_DOCS and round(error, 9) >= T.LEAST_ERRORS:
+            strength[w] = round(error, 9)
+    chosen = sorted(strength, key=lambda w: (-strength[w], w))[: T.MOST]
+    x = np.array([[float(w in h) for w in chosen] for h in held]).reshape(len(held), len(chosen))
+    weights, threshold = np.zeros(len(chosen)), -math.log(y.mean() / (1 - y.mean()))
+    for _ in range(60_000):  # plain gradient steps on the same penalised likelihood
+        p = 1 / (1 + np.exp(-(x @ weights - threshold)))
+        weights -= 0.05 * (x.T @ (p - y) + T.RIDGE * weights)
+        threshold -= 0.05 * -(p - y).sum()
+    for r in T.op8_toxicity(spark, sf_dir).collect():
+        at = sum(weights[j] for j, w in enumerate(chosen) if w in words(docs[r.doc_id])) - threshold
+        want = 1 / (1 + math.exp(-at)) if docs[r.doc_id] else 0.0
+        assert r.severity == pytest.approx(want, abs=0.02) and r.rejected == (r.severity >= T.SEVERE)
+
+
+def test_unlike_documents_that_share_a_passage_are_no_copies():
+    rng = random.Random(3)
+    passage = " ".join(rng.choices("abcdefgh", k=20))
+    own = lambda n: " ".join("".join(rng.choices("abcdefghijklm", k=5)) for _ in range(n))
+    base = own(80)
+    texts = [f"{own(80)} {passage}" for _ in range(20)] + [base, base + " more", base.replace(" ", "  ")]
+    assert T.first_of_copies(np.array([T.copy_keys(t) for t in texts])).tolist() == list(range(21))

@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import re
+import time
+import tracemalloc
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,12 +56,14 @@ def test_split_articles_are_whole(source, want):
 def test_the_host_decides(spark):
     shared = "<div class='box3'><p>{}</p></div><div class='story'><p>{}</p></div>"
     rows = [(i, "http://a.io/x", page(shared.format("short", LONG))) for i in range(5)]
-    rows.append((5, "http://a.io/y", page(shared.format(LONG + LONG, "tiny"))))  # by itself it would take the other box
+    short = LONG[:60]
+    rows.append((5, "http://a.io/y", page(shared.format(LONG + LONG, short))))  # by itself it would take the other box
+    rows.append((8, "http://a.io/w", page(shared.format(LONG + LONG, "tiny"))))  # next to nothing on the host's path
     rows.append((6, "http://b.io/y", page(shared.format(LONG + LONG, "tiny"))))
     rows.append((7, "http://a.io/z", page(f"<div class='other'><p>{LONG}</p></div>")))
     got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [got[i] for i in range(5)] == [LONG] * 5
-    assert got[5] == "tiny" and got[6] == LONG + LONG and got[7] == LONG
+    assert got[5] == short and got[6] == got[8] == LONG + LONG and got[7] == LONG
 
 
 def test_digits_of_classes_are_one(spark):
@@ -69,5 +76,63 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("host", F.lit("mine")).withColumn("path", F.lit("/p")).withColumn("text", F.lit("t"))
     got = sorted(((r.page_id or 0), r.text) for r in H.main_text(df).collect())
     assert got[0] == (0, "") and got[1] == (1, LONG) and got[2:4] == [(2, ""), (2, "")]
-    assert got[4] == (3, "x" * 100_000)  # the innermost of 3000 containers holds most text
+    assert got[4] == (3, LONG + "\n" + "x" * 100_000)  # the article round the innermost of 3000 containers
     assert H.main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tail", ["", "</p>" * 1000, "</div>" * 100_000])
+def test_deep_nesting_takes_time_in_proportion(spark, tail):
+    deep = "<div class='a'>" * 100_000 + f"<p>{LONG}" + tail
+    tracemalloc.start()
+    start = time.process_time()
+    page = H.Page(deep)
+    path, held = page.vote()
+    assert page.text(path) == LONG and held == len(LONG) and path.count("/") == 100_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.process_time() - start < 15 and peak < 200 << 20  # tracing makes it several times slower
+
+
+def test_a_deep_page_on_its_hosts_path(spark):
+    rows = [(i, "http://a.io", "<body>" + "<div>" * 5000 + f"<p>{LONG} {i}") for i in range(3)]
+    assert [r.text for r in H.main_text(spark.createDataFrame(rows, SCHEMA)).orderBy("page_id").collect()] == [f"{LONG} {i}" for i in range(3)]
+
+
+def plain_text(spark, sf_dir):
+    """A plain reader of the test pages, by the standard library: all text in articles, block by block."""
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside = self.skip = 0
+            self.blocks = [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.skip += tag in ("script", "style", "nav", "aside", "form", "footer", "header")
+            if tag in ("p", "h1", "h2", "h3", "li", "ul", "div", "blockquote", "pre", "table", "tr", "td", "section", "article", "figure", "figcaption"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.handle_starttag("article-end" if tag == "article" else "div", [])
+            self.inside -= tag == "article"
+            self.skip -= tag in ("script", "style", "nav", "aside", "form", "footer", "header")
+
+        def handle_data(self, data):
+            if self.inside > 0 and not self.skip:
+                self.blocks[-1] += data
+
+    out = {}
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        reader = Reader()
+        reader.feed(r.html or "")
+        out[r.page_id] = [x for x in (re.sub(r"\s+", " ", b).strip() for b in reader.blocks) if x]
+    return out
+
+
+def test_query_against_a_plain_reader(spark, sf_dir):
+    got = {r.page_id: r for r in H.op6_main_text(spark, sf_dir).collect()}
+    want = plain_text(spark, sf_dir)
+    assert set(got) == set(want) and all(r.n_chars == len(r.text) for r in got.values())
+    assert all(not (set(got[i].text.split("\n")) - {""}) - set(want[i]) for i in want)  # no text from outside the article
+    assert sum(got[i].text.split("\n") == want[i] for i in want) >= 0.95 * len(want)

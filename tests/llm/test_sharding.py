@@ -71,3 +71,17 @@ def test_query(spark, tmp_path):
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         assert (got[i]["size"], got[i].text_crc32, got[i].law, got[i].grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
+
+
+def test_query_deals_all_documents_evenly(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = S.op10_shards(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        raw = (docs[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+    sizes = Counter(r.shard for r in rows)
+    assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for s, n in sizes.items():
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(n))
+    assert {tuple(r) for r in rows} == {tuple(r) for r in S.op10_shards(spark, sf_dir).collect()}
