@@ -173,118 +173,6 @@ def train(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str
     return Ordinal([float(v) for v in thresholds], {w: float(v) for w, v in zip(kept, weights)})
 
 
-def severity(self, text: str | None) -> float:
-        """Expected grade, 0 for a null or empty text or without a model."""
-        if not text or not self.thresholds:
-            return 0.0
-        at = sum(self.weights[x] for x in sorted(self.weights.keys() & words(text)))
-        return float(_sigmoid(at - np.array(self.thresholds)).sum())
-
-
-def fit_ordinal(x: np.ndarray, grades: np.ndarray, n_grades: int, ridge: float = RIDGE, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """(thresholds, weights) of the ridge-penalised cumulative-link model, by damped Newton steps.
-
-    Thresholds start at the logits of the grades' shares; a step that would break their order or raise
-    the loss is halved.
-    """
-    n, d = x.shape
-    k = n_grades - 1
-    at_least = np.clip([(grades >= i + 1).mean() for i in range(k)], 1e-6, 1 - 1e-6)
-    p = np.r_[-np.log(at_least / (1 - at_least)), np.zeros(d)]
-    p[:k] += np.arange(k) * 1e-6
-
-    def loss(p: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        s = x @ p[k:]
-        up = np.c_[np.ones(n), _sigmoid(s[:, None] - p[:k]), np.zeros(n)]
-        prob = np.maximum(np.take_along_axis(up, grades[:, None], 1) - np.take_along_axis(up, grades[:, None] + 1, 1), 1e-12)[:, 0]
-        return float(-np.log(prob).sum() + ridge / 2 * (p[k:] ** 2).sum()), up, prob
-
-    now, up, prob = loss(p)
-    for _ in range(rounds):
-        slope = up * (1 - up)
-        low, high = np.take_along_axis(slope, grades[:, None], 1)[:, 0], np.take_along_axis(slope, grades[:, None] + 1, 1)[:, 0]
-        ds = (low - high) / prob
-        curve = slope * (1 - 2 * up)
-        low2, high2 = np.take_along_axis(curve, grades[:, None], 1)[:, 0], np.take_along_axis(curve, grades[:, None] + 1, 1)[:, 0]
-        h = np.maximum(ds**2 - (low2 - high2) / prob, 1e-9)
-        grad, hess = np.empty(k + d), np.zeros((k + d, k + d))
-        grad[k:] = -x.T @ ds + ridge * p[k:]
-        hess[k:, k:] = (x.T * h) @ x + ridge * np.eye(d)
-        for i in range(k):
-            is_low, is_high = grades == i + 1, grades == i
-            grad[i] = (low[is_low] / prob[is_low]).sum() - (high[is_high] / prob[is_high]).sum()
-            di = np.where(is_low, low / prob, 0) - np.where(is_high, high / prob, 0)
-            d2 = np.where(is_low, -low2 / prob, 0) + np.where(is_high, high2 / prob, 0)
-            cross = di * -ds - np.where(is_low, -low2 / prob, 0) - np.where(is_high, high2 / prob, 0)
-            hess[i, k:] = hess[k:, i] = x.T @ cross
-            hess[i, i] = (di**2 + d2).sum()
-            for j in range(i):
-                dj = np.where(grades == j + 1, low / prob, 0) - np.where(grades == j, high / prob, 0)
-                hess[i, j] = hess[j, i] = (di * dj).sum()
-        values, vectors = np.linalg.eigh(hess)
-        step = vectors @ ((vectors.T @ grad) / np.maximum(np.abs(values), 1e-6))
-        size = 1.0
-        while size > 1e-8:
-            new = p - size * step
-            if (np.diff(new[:k]) > 0).all() and (tried := loss(new))[0] < now:
-                break
-            size /= 2
-        else:
-            break
-        done = now - tried[0] < 1e-9 * max(1.0, now)
-        p, (now, up, prob) = new, tried
-        if done:
-            break
-    return p[:k], p[k:]
-
-
-def train(docs: DataFrame, grades: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade") -> Ordinal:
-    """The model of graded documents; ``grades`` has doc_id and an integer grade from 0.
-
-    At most ``SAMPLE`` graded documents are used, and their words come to the driver. Of near copies
-    among them one counts. Null grades, ids and texts take no part, the largest grade of a repeated id
-    counts. Without two grades the model is empty and every severity is 0.
-    """
-    text_batches(docs.sparkSession)
-    graded = grades.where(F.col(grade).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(grade).cast("int").alias("grade"))
-    chosen = stored(graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "toxicity-sample")
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "words": [sorted(words(x)) for x in pdf["text"]], "keys": [copy_keys(x) for x in pdf["text"]]})
-
-    sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    got = sample.select("doc_id", "grade", "text").mapInPandas(features, "doc_id long, grade int, words array<string>, keys array<long>").toArrow()
-    seen: set[int] = set()
-    own = []
-    order = np.lexsort((got["grade"].to_numpy(), got["doc_id"].to_numpy()))
-    keys = got["keys"].to_pylist()
-    for i in order:
-        if not seen & set(keys[i]):
-            own.append(i)
-        seen.update(keys[i])
-    got = got.take(np.array(own, np.int64))
-    y = got["grade"].to_numpy().astype(int)
-    if not len(y) or y.min() == y.max():
-        return Ordinal()
-    lists = got["words"].combine_chunks()
-    coded = lists.flatten().dictionary_encode()
-    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    col, names = coded.indices.to_numpy(), coded.dictionary
-    docs_with = np.bincount(col, minlength=len(names))
-    off = np.bincount(col, weights=(y - y.mean())[row], minlength=len(names))
-    errors = off / np.sqrt(np.maximum(y.var() * docs_with * (1 - docs_with / (len(y) + 1)), 1e-12))
-    kept = np.flatnonzero((docs_with >= LEAST_DOCS) & (np.abs(errors) >= LEAST_ERRORS))
-    kept = kept[np.lexsort((kept, -np.abs(errors[kept])))][:MOST]
-    at = np.full(len(names), -1)
-    at[kept] = np.arange(len(kept))
-    x = np.zeros((len(y), len(kept)))
-    real = at[col] >= 0
-    x[row[real], at[col][real]] = 1
-    thresholds, weights = fit_ordinal(x, y, int(y.max()) + 1)
-    return Ordinal([float(v) for v in thresholds], {names[int(i)].as_py(): float(w) for i, w in zip(kept, weights)})
-
-
 def severity(model: Ordinal):
     """A column function from a text to its expected severity."""
 
