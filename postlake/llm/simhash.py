@@ -43,7 +43,7 @@ CHUNK = 8192
 #: Fingerprints that are compared as one block of planes.
 BLOCK = 1024
 #: Members of a candidate group whose sets one task takes on each side, and bytes of these sets; larger groups are dealt as pairs of chunks.
-SET_CHUNK = 2048
+SET_CHUNK = 1024
 SET_BYTES = 32 << 20
 #: Smallest hashes that make a band.
 BAND = 6
@@ -223,10 +223,39 @@ def linked_exactly(ids: np.ndarray, fps: np.ndarray, radius: int, side: np.ndarr
     return _stars(ids, label)
 
 
+def _split(pdf: pd.DataFrame, edges: np.ndarray) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """Rows to compare together, from buckets that begin at ``edges``, and whether they are two chunks of one large bucket.
+
+    A link found across buckets is a link too, so small buckets are compared in one go. A row alone in its bucket
+    has nothing to be compared with.
+    """
+    size = np.diff(np.r_[edges, len(pdf)])
+    crossed = pdf["crossed"].to_numpy()[edges]
+    part = np.where(size > 1, np.cumsum(np.where((size > 1) & ~crossed, size, 0)) // BLOCK, -1)
+    of_row = np.repeat(np.where(crossed, -1, part), size)
+    for i in np.unique(of_row[of_row >= 0]):
+        yield pdf[of_row == i], False
+    for i in np.flatnonzero(crossed):
+        yield pdf.iloc[edges[i] : edges[i] + size[i]], True
+
+
+def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """:func:`_split` over whole buckets, whose rows follow each other in ``batches``."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if len(pdf):
+            bucket, crossed = pdf["bucket"].to_numpy(), pdf["crossed"].to_numpy()
+            edges = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (crossed[1:] != crossed[:-1])])
+            rest = pdf.iloc[edges[-1] :]
+            yield from _split(pdf.iloc[: edges[-1]], edges[:-1])
+    if rest is not None:
+        yield from _split(rest, np.zeros(1, np.int64))
+
+
 def _compare(radius: int, bits: int, jaccard: float = 0.0):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(pieces: list[pd.DataFrame], crossed: bool) -> pd.DataFrame:
-            rows = pd.concat(pieces, ignore_index=True) if len(pieces) > 1 else pieces[0]
+        def flush(rows: pd.DataFrame, crossed: bool) -> pd.DataFrame:
             made = np.frombuffer(b"".join(rows["fp"]), np.uint8).reshape(len(rows), -1)
             own = np.ascontiguousarray(made[:, : bits // 8]).view(np.uint64)
             side = rows["side"].to_numpy() if crossed else None
@@ -236,23 +265,8 @@ def _compare(radius: int, bits: int, jaccard: float = 0.0):
                 a, b = linked(rows["node"].to_numpy(), own, radius, side)
             return pd.DataFrame({"a": a, "b": b})
 
-        # whole buckets that are compared together, as a link found across buckets is a link too; two chunks of a large bucket stand alone
-        pieces, held, last = [], 0, (None, False)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            bucket, crossed = pdf["bucket"].to_numpy(), pdf["crossed"].to_numpy()
-            edges = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (crossed[1:] != crossed[:-1])])
-            for s, e in zip(edges, np.r_[edges[1:], len(pdf)]):
-                now = bucket[s], bool(crossed[s])
-                if now != last and held and (held + (e - s) > BLOCK or now[1] or last[1]):
-                    yield flush(pieces, last[1])
-                    pieces, held = [], 0
-                last = now
-                pieces.append(pdf.iloc[s:e])
-                held += e - s
-        if held:
-            yield flush(pieces, last[1])
+        for rows, crossed in _buckets(batches):
+            yield flush(rows, crossed)
 
     return run
 
