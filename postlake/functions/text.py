@@ -134,8 +134,18 @@ def _skill_patterns(compat: bool) -> list[tuple[str, str]]:
 
 def extract_skills(text: Column, compat: bool = False) -> Column:
     """Skills named in a text, in vocabulary order. ``compat`` may name one twice and matches within words."""
-    found = F.array_compact(F.array(*[F.when(text.rlike(p), name) for name, p in _skill_patterns(compat)]))
-    return found if compat else F.array_distinct(found)
+    if compat:
+        return F.array_compact(F.array(*[F.when(text.rlike(p), name) for name, p in _skill_patterns(compat)]))
+    text = F.coalesce(text, F.lit(""))
+    long = {a: name for name, aliases in V.SKILLS.items() for a in aliases if len(a) > 2}
+    short = {a.upper() if a != "go" else "Go": name for name, aliases in V.SKILLS.items() for a in aliases if len(a) <= 2}
+
+    def named(table: dict[str, str], where: Column) -> Column:  # one pass finds all names, the longest at each place
+        words = "|".join(re.escape(a) for a in sorted(table, key=lambda a: (-len(a), a)))
+        return F.transform(F.regexp_extract_all(where, F.lit(rf"(?<![\w.])({words})(?![\w])"), F.lit(1)), lambda a: lookup(table, a))
+
+    found = F.array_union(named(long, F.lower(text)), named(short, text))
+    return F.array_intersect(F.array(*[F.lit(name) for name in V.SKILLS]), found)
 
 
 def csv_items(text: Column) -> Column:

@@ -48,7 +48,8 @@ def canonicalize_url(url: Column) -> Column:
     scheme, host, port, path, query = _parts(url)
     host = F.regexp_replace(host, r"^www\.", "")
     path = F.regexp_replace(path, "/+", "/")
-    path = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, "/$", ""))
+    path = F.regexp_replace(path, r"[/\s]+$", "")  # white space, too, so that a path is the same with and without what followed it
+    path = F.when(path == "", "/").otherwise(path)
     pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=.")), lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.regexp_replace(p, "^[^=]*=", "")).alias("v")))
     pairs = F.array_sort(F.filter(pairs, lambda p: ~is_tracking(p.k)))
     kept = F.array_join(F.transform(pairs, lambda p: F.concat(_encoded(p.k), F.lit("="), _encoded(p.v))), "&")

@@ -94,7 +94,7 @@ EXPERIENCE = r"(\d{1,2}(?:\.\d)?)\s*(?:\+|plus)?\s*(?:(?:-|–|—|to)\s*(\d{1,2
 LEAST_EXPERIENCE = r"(?:at\s+least|minimum(?:\s+of)?|min\.?)\s+(\d{1,2})\s*(?:years?|yrs?)"
 PREFERRED = r"preferred|nice[\s-]to[\s-]have|bonus points|desirable|ideally"
 REQUIRED = r"required|requirements|must have|you must|minimum qualifications|basic qualifications|you(?:'ll| will) need"
-PREFERRED_AFTER = r"^[^.\n]{0,40}\b(?:is a plus|a plus|preferred|nice to have|is a bonus)\b"
+PREFERRED_AFTER = r"[^.\n]{0,40}\b(?:is a plus|a plus|preferred|nice to have|is a bonus)\b"
 LOOK_BEHIND, LOOK_AHEAD, MOST_YEARS = 400, 60, 20
 
 # Scoring.

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from postlake.functions import vocabulary as V
 from postlake.functions.text import lookup, normalize_title
@@ -100,3 +101,35 @@ def total_score(components: dict[str, Column], weights: dict[str, float] | None
     weighed = F.transform(parts, lambda p: F.struct(p["name"].alias("name"), p.value.alias("value"), F.when(p.value.isNull() | (there == 0), 0.0).otherwise(F.round(p.weight / there, 6)).alias("weight")))
     final = F.reduce(weighed, F.lit(0.0), lambda s, p: s + F.coalesce(p.value, F.lit(0.0)) * p.weight)
     return F.struct(F.round(clamp(final), 4).alias("final_score"), weighed.alias("components"))
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", embedding: str = "embedding", block: int = 16_384) -> DataFrame:
+    """(query_id, vec_id, similarity): the ``k`` rows of highest cosine similarity of each query, ties to the smaller id.
+
+    Vectors of one length are dealt into blocks that meet blocks of queries, so no side is broadcast and a task holds two blocks.
+    Zero vectors have similarity 0.
+    """
+    rows = vectors.select(F.col(vec_id).alias("id"), F.col(embedding).cast("array<double>").alias("v"), is_query.alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
+    n, asked = rows.agg(F.count("*"), F.count_if("q")).first()
+    vs, qs = max(1, -(-n // block)), max(1, -(-asked // block))
+    data = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(vs)).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("qb"))
+    queries = rows.where("q").select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(vs - 1))).alias("vb"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(qs)).alias("qb"))
+
+    def best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(d):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+        d = d.sort_values("id")
+        unit = lambda v: v / np.maximum(np.sqrt((v**2).sum(axis=1)), 1e-300)[:, None]
+        own, ids, out = unit(np.stack(d["v"].to_numpy())), d["id"].to_numpy(), []
+        for at in range(0, len(q), 512):
+            some = q.iloc[at : at + 512]
+            s = unit(np.stack(some["v"].to_numpy())) @ own.T
+            s[some["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            found = pd.DataFrame({"query_id": np.repeat(some["id"].to_numpy(), top.shape[1]), "vec_id": ids[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()})
+            out.append(found[found["similarity"] > -np.inf])
+        return pd.concat(out)
+
+    found = queries.groupBy("vb", "qb").cogroup(data.groupBy("vb", "qb")).applyInPandas(best, "query_id long, vec_id long, similarity double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    return found.withColumn("place", place).where(F.col("place") <= k).drop("place")

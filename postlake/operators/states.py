@@ -1,4 +1,4 @@
-"""State machines as set operations: polling, outbox, quotas, plans, billing, idempotency, feeds, followers."""
+"""State machines as set operations: polling, outbox, quotas, plans, billing, feeds, followers."""
 
 from __future__ import annotations
 
@@ -82,21 +82,6 @@ def billing_state(events: DataFrame, keys: list[str]) -> DataFrame:
     return last.select(*keys, status.alias("status"), grace.alias("grace_until"))
 
 
-def idempotency(requests: DataFrame, key: str, ts: str, tie: str, hours: int = 24) -> DataFrame:
-    """``requests`` (fingerprint, status) with verdict: executed, replayed, mismatch, or in_progress.
-
-    A key's first answer that counts (not a server error, not 429) is kept for ``hours``; until there is
-    one, requests are executed anew. Another fingerprint is a mismatch. Windows of a key start at its
-    first kept answer; a later one past its life starts the next.
-    """
-    order = Window.partitionBy(key).orderBy(ts, tie)
-    definitive = F.when((F.col("status") < 500) & (F.col("status") != 429), F.struct(F.col(ts).alias("at"), "fingerprint"))
-    first = F.first(definitive, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    alive = F.col("_kept").isNotNull() & (F.col(ts) < F.col("_kept.at") + F.expr(f"INTERVAL '{hours}' HOUR"))
-    verdict = F.when(~alive, "executed").when(F.col("_kept.fingerprint") != F.col("fingerprint"), "mismatch").otherwise("replayed")
-    return requests.withColumn("_kept", first).withColumn("verdict", F.coalesce(verdict, F.lit("executed"))).drop("_kept")
-
-
 def routed(events: DataFrame, followed: DataFrame, workspace: object) -> DataFrame:
     """Events that a workspace gets: its own, or of no workspace and a source that it follows; the rest is dropped.
 

@@ -41,7 +41,7 @@ FROM {'{documents}' if spark else 'documents'}"""
 
 
 #: The view of postings as a common table expression of oracle SQL.
-WITH_POSTINGS = f"WITH postings AS ({_postings_sql(False)})\n"
+WITH_POSTINGS = f"WITH made AS ({_postings_sql(False)}), postings AS (SELECT *, concat_ws(chr(10), requirement, schedule, text) AS description FROM made)\n"
 
 NOW = "TIMESTAMP '2024-09-01 00:00:00'"
 

@@ -177,9 +177,9 @@ def c13(t: Tables) -> DataFrame:
     return t.documents.groupBy("source").agg(F.count_if(~bad).alias("kept"), F.count_if(bad).alias("skipped"))
 
 
-@query("C14_listing_cap", "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 20")
+@query("C14_listing_cap", "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5000")
 def c14(t: Tables) -> DataFrame:
-    return C.capped(t.documents.withColumnRenamed("source", "source_id"), "doc_id", 20).select("doc_id")
+    return C.capped(t.documents.withColumnRenamed("source", "source_id"), "doc_id").select("doc_id")
 
 
 @query("C15_not_modified", "SELECT doc_id FROM documents WHERE doc_id % 4 <> 0")

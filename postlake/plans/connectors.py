@@ -80,7 +80,7 @@ def c09(t: Tables) -> DataFrame:
     return demo.visible(t.spark, 11)
 
 
-@query("C10_kinds", "SELECT unnest(['ashby', 'greenhouse', 'lever', 'rss']) AS kind")
+@query("C10_kinds", "SELECT unnest(['ashby', 'demo', 'generic_json', 'greenhouse', 'lever', 'rss', 'static_html']) AS kind")
 def c10(t: Tables) -> DataFrame:
     return t.spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in sorted(B.KINDS)])).alias("kind"))
 

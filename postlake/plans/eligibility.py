@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from difflib import SequenceMatcher
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from postlake.functions import geo as G, text as X, vocabulary as V
 from postlake.operators import rules as R, score as K
 from postlake.plans.base import NOW, WITH_POSTINGS, Tables, query
-from postlake.plans.normalisation import _POLICY, _SENIORITY, _TITLE, with_policy
+from postlake.plans.normalisation import _POLICY, _SENIORITY, _SKILLS, _TITLE, with_policy
 
 POLICY = R.Policy()
 HAVE = ["python", "docker", "kubernetes", "postgresql", "fastapi", "llm", "redis"]
@@ -64,14 +66,14 @@ def g04(t: Tables) -> DataFrame:
     return t.region.select("r_regionkey", G.canonical_region(F.col("r_name")).alias("region"))
 
 
-@query("G05_countries_in", f"{WITH_POSTINGS}SELECT job_id, array_to_string({_named('coalesce(location, chr(32)) || chr(10) || requirement')}, ',') AS countries FROM postings")
+@query("G05_countries_in", f"{WITH_POSTINGS}SELECT job_id, array_to_string({_named('coalesce(location, chr(32)) || chr(10) || description')}, ',') AS countries FROM postings")
 def g05(t: Tables) -> DataFrame:
-    return t.postings.select("job_id", F.array_join(G.countries_in(F.concat(F.coalesce("location", F.lit(" ")), F.lit("\n"), "requirement")), ",").alias("countries"))
+    return t.postings.select("job_id", F.array_join(G.countries_in(F.concat(F.coalesce("location", F.lit(" ")), F.lit("\n"), "description")), ",").alias("countries"))
 
 
 @query("G05_countries_by_join")
 def g05_join(t: Tables) -> DataFrame:
-    return G.countries_by_join(t.postings.withColumn("where", F.concat_ws("\n", "location", "requirement")), "job_id", "where", G.gazetteer_table(t.spark))
+    return G.countries_by_join(t.postings.withColumn("where", F.concat_ws("\n", "location", "description")), "job_id", "where", G.gazetteer_table(t.spark))
 
 
 @query("G06_regions_in", f"{WITH_POSTINGS}SELECT job_id, array_to_string({_regions('coalesce(location, chr(32))')}, ',') AS regions FROM postings")
@@ -79,7 +81,7 @@ def g06(t: Tables) -> DataFrame:
     return t.postings.select("job_id", F.array_join(G.regions_in(F.col("location")), ",").alias("regions"))
 
 
-@query("G07_expand_allowed", "SELECT unnest(['france', 'germany', 'india', 'spain', 'united arab emirates', 'united kingdom']) AS country, true AS world")
+@query("G07_expand_allowed", f"SELECT DISTINCT country, true AS world FROM (VALUES {_MEMBERS}, ('asked', 'india')) AS m(region, country) WHERE region IN ('emea', 'asked')")
 def g07(t: Tables) -> DataFrame:
     countries, world = G.expand_allowed(["EMEA", "India", "Worldwide"])
     return t.spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in countries])).alias("country"), F.lit(world).alias("world"))
@@ -103,12 +105,24 @@ def g10(t: Tables) -> DataFrame:
     return t.events.select("event_id", G.zone_allowed(zone, ["GMT", "IST"]).alias("allowed"))
 
 
-@query(
-    "G11_detect_zones",
-    f"{WITH_POSTINGS}SELECT job_id, CASE CAST(job_id % 5 AS INT) WHEN 0 THEN 'EST' WHEN 1 THEN 'CET' WHEN 2 THEN 'CET' WHEN 4 THEN 'PST' ELSE '' END AS zones, job_id % 5 IN (0, 4) AS strict FROM postings",
-)
+def _zones(x: str) -> str:
+    """Oracle SQL of the time zones that a text asks for, each with what stands near it."""
+    named = []
+    for phrase, zone in V.ZONE_PHRASES.items():
+        at = f"position('{phrase}' IN lower({x}))"
+        named.append(f"CASE WHEN {at} > 0 THEN struct_pack(zone := '{zone}', near := substring(lower({x}), greatest(1, {at} - 60), least({at} - 1, 60) + {len(phrase)})) END")
+    groups = [f"regexp_extract_all({x}, '(?i){V.ZONE_IN_CONTEXT}', {i})" for i in (1, 2, 3)]
+    zone = "CASE lower(c[2]) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.ZONES.items()) + " END"
+    beside = f"list_transform(list_filter(list_zip({', '.join(groups)}), lambda c: regexp_matches(c[1] || ' ' || c[3], '(?i){V.TIME_WORDS}')), lambda c: struct_pack(zone := {zone}, near := c[1] || ' ' || c[3]))"
+    return f"list_concat(list_filter([{', '.join(named)}], lambda z: z IS NOT NULL), {beside})"
+
+
+_WITH_ZONES = f"{WITH_POSTINGS}, zoned AS (SELECT *, {_zones('description')} AS found FROM postings), asked AS (SELECT *, list_sort(list_distinct(list_transform(found, lambda z: z.zone))) AS zones, coalesce(list_bool_or(list_transform(found, lambda z: regexp_matches(z.near, '(?i){V.STRICT_WORDS}'))), false) AS strict FROM zoned)\n"
+
+
+@query("G11_detect_zones", f"{_WITH_ZONES}SELECT job_id, array_to_string(zones, ',') AS zones, strict FROM asked")
 def g11(t: Tables) -> DataFrame:
-    found = t.postings.select("job_id", G.detect_zones(F.col("schedule")).alias("z"))
+    found = t.postings.select("job_id", G.detect_zones(F.col("description")).alias("z"))
     return found.select("job_id", F.array_join("z.zones", ",").alias("zones"), F.col("z.strict").alias("strict"))
 
 
@@ -117,9 +131,19 @@ def r01(t: Tables) -> DataFrame:
     return with_policy(t.postings).select("job_id", R.work_model(F.col("remote_policy"), POLICY).alias("outcome"))
 
 
-@query("R02_excluded_region", f"{WITH_POSTINGS}SELECT job_id, CASE WHEN job_id % 11 IN (3, 8) THEN 'fail' ELSE 'unknown' END AS outcome FROM postings")
+def _country_of(place: str) -> str:
+    cases = " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in _ALIASES.items())
+    plain = f"replace(lower(trim({place})), ' of america', '')"
+    return f"coalesce(CASE {plain} {cases} END, CASE replace({plain}, '.', '') {cases} END)"
+
+
+_RESIDENCE = "list_concat(" + ", ".join(f"regexp_extract_all(description, '(?i){p}', 1)" for p in V.RESIDENCY) + ")"
+_R02 = f"CASE WHEN len(list_filter(list_transform({_RESIDENCE}, lambda p: {_country_of('p')}), lambda c: c IS NOT NULL AND c <> 'india')) > 0 THEN 'fail' ELSE 'unknown' END"
+
+
+@query("R02_excluded_region", f"{WITH_POSTINGS}SELECT job_id, {_R02} AS outcome FROM postings")
 def r02(t: Tables) -> DataFrame:
-    return t.postings.select("job_id", R.excluded_region(F.col("requirement"), POLICY).alias("outcome"))
+    return t.postings.select("job_id", R.excluded_region(F.col("description"), POLICY).alias("outcome"))
 
 
 _R03 = f"""CASE WHEN trim(coalesce(location, '')) = '' THEN 'unknown' WHEN list_contains({_named('location')}, 'india') THEN 'pass' WHEN list_contains({_regions('location')}, 'worldwide') THEN 'pass'
@@ -131,17 +155,36 @@ def r03(t: Tables) -> DataFrame:
     return t.postings.select("job_id", R.location(F.col("location"), POLICY).alias("outcome"))
 
 
-@query("R04_preferred", f"{WITH_POSTINGS}SELECT job_id, CASE CAST(job_id % 11 AS INT) WHEN 0 THEN 5.0 WHEN 1 THEN 3.0 WHEN 2 THEN 10.0 WHEN 8 THEN 2.0 END::DOUBLE AS low, CASE CAST(job_id % 11 AS INT) WHEN 1 THEN 5.0 END::DOUBLE AS high FROM postings")
+def _spans(pattern: str, high: bool) -> str:
+    """Oracle SQL of the required spans of experience in a text: pieces between matches tell what stands before and after each."""
+    p = f"(?i){pattern}"
+    lists = f"string_split_regex(description, '{p}') AS pieces, regexp_extract_all(description, '{p}') AS found, regexp_extract_all(description, '{p}', 1) AS lows, {f"regexp_extract_all(description, '{p}', 2)" if high else "CAST([] AS VARCHAR[])"} AS highs"
+    before = f"right(array_to_string(list_transform(range(1, i + 1), lambda j: CASE WHEN j > 1 THEN found[j - 1] ELSE '' END || pieces[j]), ''), {V.LOOK_BEHIND})"
+    after = f"left(array_to_string(list_transform(range(i + 1, len(pieces) + 1), lambda j: pieces[j] || coalesce(found[j], '')), ''), {V.LOOK_AHEAD})"
+    last = lambda words: f"length(regexp_extract(before, '(?is)^(.*(?:{words.replace(chr(39), chr(39) * 2)}))', 1))"
+    preferred = f"({last(V.PREFERRED)} > {last(V.REQUIRED)} OR regexp_matches(after, '(?i)^{V.PREFERRED_AFTER}'))"
+    return f"""SELECT job_id, CAST(lows[i] AS DOUBLE) AS low, try_cast(nullif(highs[i], '') AS DOUBLE) AS high, {int(not high)} AS kind, i, {preferred} AS preferred
+  FROM (SELECT job_id, lows, highs, i, {before} AS before, {after} AS after FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT job_id, {lists} FROM postings)))"""
+
+
+_YEARS = f"""years AS (SELECT job_id, low, high FROM ({_spans(V.EXPERIENCE, True)} UNION ALL {_spans(V.LEAST_EXPERIENCE, False)})
+  WHERE NOT preferred AND low <= {V.MOST_YEARS} AND (high IS NULL OR (high <= {V.MOST_YEARS} AND high >= low)) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY low DESC, kind, i) = 1)"""
+
+
+@query("R04_preferred", f"{WITH_POSTINGS}, {_YEARS} SELECT job_id, low, high FROM postings LEFT JOIN years USING (job_id)")
 def r04(t: Tables) -> DataFrame:
-    return t.postings.select("job_id", R.required_experience("requirement").alias("y")).select("job_id", "y.low", "y.high")
+    return t.postings.select("job_id", R.required_experience("description").alias("y")).select("job_id", "y.low", "y.high")
+
+
+_STATED = f"list_zip(regexp_extract_all(description, '(?i){V.EXPERIENCE}', 1), regexp_extract_all(description, '(?i){V.EXPERIENCE}', 2))"
 
 
 @query(
     "R05_stated_experience",
-    f"{WITH_POSTINGS}SELECT job_id, list_max(list_transform(regexp_extract_all(requirement, '(?i){V.EXPERIENCE}', 1), lambda x: CAST(x AS DOUBLE))) AS low FROM postings",
+    f"{WITH_POSTINGS}SELECT job_id, list_max(list_transform(list_filter({_STATED}, lambda s: CAST(s[1] AS DOUBLE) <= {V.MOST_YEARS} AND (try_cast(s[2] AS DOUBLE) IS NULL OR (try_cast(s[2] AS DOUBLE) <= {V.MOST_YEARS} AND try_cast(s[2] AS DOUBLE) >= CAST(s[1] AS DOUBLE)))), lambda s: CAST(s[1] AS DOUBLE))) AS low FROM postings",
 )
 def r05(t: Tables) -> DataFrame:
-    return t.postings.select("job_id", R.stated_experience(F.col("requirement")).low.alias("low"))
+    return t.postings.select("job_id", R.stated_experience(F.col("description")).low.alias("low"))
 
 
 @query("R06_experience_outcome", "SELECT p_partkey, CASE WHEN p_size % 12 > 7 THEN 'fail' WHEN p_size % 5 = 0 AND p_size % 3 < 2 THEN 'fail' ELSE 'pass' END AS outcome FROM part")
@@ -150,9 +193,13 @@ def r06(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", R.experience_outcome(low, high, POLICY).alias("outcome"))
 
 
-@query("R07_timezone", f"{WITH_POSTINGS}SELECT job_id, CASE CAST(job_id % 5 AS INT) WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' WHEN 2 THEN 'pass' WHEN 3 THEN 'unknown' ELSE 'fail' END AS outcome FROM postings")
+_NEAR = [z for z, h in V.ZONE_HOURS.items() if z in POLICY.allowed_timezones or any(abs(h - V.ZONE_HOURS[a]) <= V.NEAR_HOURS for a in POLICY.allowed_timezones)]
+_R07 = f"CASE WHEN len(zones) = 0 THEN 'unknown' WHEN list_has_any(zones, {_NEAR}) THEN 'pass' WHEN strict THEN 'fail' ELSE 'unknown' END"
+
+
+@query("R07_timezone", f"{_WITH_ZONES}SELECT job_id, {_R07} AS outcome FROM asked")
 def r07(t: Tables) -> DataFrame:
-    z = t.postings.select("job_id", G.detect_zones(F.col("schedule")).alias("z"))
+    z = t.postings.select("job_id", G.detect_zones(F.col("description")).alias("z"))
     return z.select("job_id", R.timezone(F.col("z.zones"), F.col("z.strict"), POLICY).alias("outcome"))
 
 
@@ -161,14 +208,12 @@ def _outcome(name: str) -> Column:
 
 
 def _evaluated(t: Tables) -> DataFrame:
-    posting = with_policy(t.postings).withColumn("description", F.concat_ws("\n", "requirement", "schedule"))
-    return R.evaluate(posting, POLICY)
+    return R.evaluate(with_policy(t.postings), POLICY)
 
 
-_OUTCOMES = f"""CASE ({_POLICY}) WHEN 'unknown' THEN 'unknown' WHEN 'remote' THEN 'pass' ELSE 'fail' END AS work_model, CASE WHEN job_id % 11 IN (3, 8) THEN 'fail' ELSE 'unknown' END AS excluded_region,
-  {_R03} AS location_outcome, CASE CAST(job_id % 11 AS INT) WHEN 0 THEN 'pass' WHEN 1 THEN 'pass' WHEN 2 THEN 'fail' WHEN 8 THEN 'pass' ELSE 'unknown' END AS experience,
-  CASE CAST(job_id % 5 AS INT) WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' WHEN 2 THEN 'pass' WHEN 3 THEN 'unknown' ELSE 'fail' END AS timezone"""
-_EVALUATED = f"{WITH_POSTINGS}, outcomes AS (SELECT *, {_OUTCOMES} FROM postings), evaluated AS (SELECT *, CASE WHEN 'fail' IN (work_model, excluded_region, location_outcome, experience, timezone) THEN 'ineligible' ELSE 'eligible' END AS status FROM outcomes)\n"
+_OUTCOMES = f"""CASE ({_POLICY}) WHEN 'unknown' THEN 'unknown' WHEN 'remote' THEN 'pass' ELSE 'fail' END AS work_model, {_R02} AS excluded_region, {_R03} AS location_outcome,
+  CASE WHEN low > 7 OR high < 2 THEN 'fail' WHEN low IS NULL AND high IS NULL THEN 'unknown' ELSE 'pass' END AS experience, {_R07} AS timezone"""
+_EVALUATED = f"{_WITH_ZONES}, {_YEARS}, outcomes AS (SELECT *, {_OUTCOMES} FROM asked LEFT JOIN years USING (job_id)), evaluated AS (SELECT *, CASE WHEN 'fail' IN (work_model, excluded_region, location_outcome, experience, timezone) THEN 'ineligible' ELSE 'eligible' END AS status FROM outcomes)\n"
 
 
 @query("R08_evaluate", f"{_EVALUATED}SELECT job_id, status, work_model, excluded_region, location_outcome AS location, experience, timezone FROM evaluated")
@@ -177,7 +222,10 @@ def r08(t: Tables) -> DataFrame:
     return e.select("job_id", F.col("eligibility.status").alias("status"), *[_outcome(n) for n in R.RULES])
 
 
-@query("R09_policy_hash")
+@query(
+    "R09_policy_hash",
+    """SELECT sha256('{"allowed_locations":["India","Worldwide"],"allowed_work_models":["remote"],"allowed_timezones":["IST","GMT","BST","CET","EET"],"experience_min":3.0,"experience_max":6.0,"excluded_regions":["US-only","Canada-only"],"experience_tolerance_years":1.0}') AS policy_hash""",
+)
 def r09(t: Tables) -> DataFrame:
     return t.spark.range(1).select(POLICY.hash().alias("policy_hash"))
 
@@ -227,7 +275,7 @@ def r12(t: Tables) -> DataFrame:
     return e.select("job_id", *[_outcome(n) for n in R.RULES])
 
 
-@query("R13_needs_enrichment", f"{_EVALUATED}SELECT job_id FROM evaluated WHERE status = 'eligible'")
+@query("R13_needs_enrichment", f"{_EVALUATED}SELECT job_id FROM evaluated WHERE status = 'eligible' AND 'unknown' IN (work_model, excluded_region, location_outcome, experience, timezone)")
 def r13(t: Tables) -> DataFrame:
     return _evaluated(t).where(R.needs_enrichment(F.col("eligibility"))).select("job_id")
 
@@ -280,7 +328,26 @@ def k04(t: Tables) -> DataFrame:
     return best.select("job_id", "r.role", "r.value")
 
 
-@query("K04_role_similarity")
+def _best_role(title: str) -> tuple[str, float]:
+    """The most similar role of a normalised title, in plain Python."""
+
+    def value(role: str) -> float:
+        words = list(dict.fromkeys(role.split()))
+        return round(max(SequenceMatcher(None, role, title).ratio(), len(set(words) & set(title.split())) / len(words)), 4)
+
+    scores = [value("artificial intelligence engineer"), value("backend developer")]
+    return ROLES[scores.index(max(scores))], max(scores)
+
+
+#: The titles of postings, normalised by hand.
+_PLAIN_TITLES = [
+    "senior artificial intelligence engineer", "staff python developer", "junior data analyst", "engineering manager platform", "backend developer 2", "principal machine learning engineer", "intern research",
+    "full stack software engineer", "head of data analytics", "lead frontend engineer", "mid-level go developer", "support specialist",
+]
+_ROLE_OF = "CASE CAST(job_id % 12 AS INT) " + " ".join(f"WHEN {i} THEN {{}}" for i in range(12)) + " END"
+
+
+@query("K04_role_similarity", f"{WITH_POSTINGS}SELECT job_id, {_ROLE_OF.format(*[repr(_best_role(x)[0]) for x in _PLAIN_TITLES])} AS role, {_ROLE_OF.format(*[_best_role(x)[1] for x in _PLAIN_TITLES])}::DOUBLE AS value FROM postings")
 def k04_ratio(t: Tables) -> DataFrame:
     titles = t.postings.select(X.normalize_title(F.col("title")).alias("title")).distinct()  # the ratio is computed once per title
     scored = titles.withColumn("best", K.role_similarity(F.col("title"), ROLES))
@@ -310,44 +377,93 @@ def k07(t: Tables) -> DataFrame:
     return t.postings.select("job_id", K.freshness(F.col("published_at"), F.expr(NOW)).alias("value"))
 
 
+def with_components(t: Tables, evaluated: DataFrame) -> DataFrame:
+    """``evaluated`` with score ``s`` of all six components; a posting without a vector lacks the semantic one, one without skills theirs."""
+    vectors = t.embeddings.groupBy(F.col("vec_id").alias("job_id")).agg(F.first("embedding").alias("vector"))
+    profile = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("profile")).limit(1)
+    similar = vectors.join(F.broadcast(profile)).select("job_id", K.semantic(K.cosine(F.col("vector"), F.col("profile"))).alias("semantic"))
+    titles = evaluated.select("title").distinct()  # the ratio is computed once per title
+    roles = titles.select(F.col("title"), K.role_similarity(X.normalize_title(F.col("title")), ROLES).value.alias("role"))
+    # each component is a column of its own, so that none is computed once per use
+    skilled = evaluated.withColumn("skills", X.extract_skills(F.concat_ws("\n", "title", "description")))
+    parts = {
+        "skill_match": K.skill_match(F.col("skills"), F.array().cast("array<string>"), HAVE).value,
+        "semantic_similarity": F.col("semantic"),
+        "role_similarity": F.col("role"),
+        "seniority_fit": K.seniority_fit(X.seniority(F.col("title")), "senior"),
+        "location_timezone_fit": K.rule_credit(F.col("rules")),
+        "freshness": K.freshness(F.col("published_at"), F.expr(NOW)),
+    }
+    joined = skilled.join(similar, "job_id", "left").join(roles, "title", "left").withColumns({f"part_{k}": v for k, v in parts.items()})
+    return joined.withColumn("s", K.total_score({k: F.col(f"part_{k}") for k in parts}))
+
+
 def _scored(t: Tables) -> DataFrame:
-    e = _evaluated(t)
-    return e.select(
-        "job_id",
-        F.col("eligibility.status").alias("status"),
-        K.total_score(
-            {
-                "skill_match": F.when(F.col("job_id") % 2 == 0, F.col("job_id") % 5 / 4.0),
-                "semantic_similarity": F.lit(None).cast("double"),
-                "seniority_fit": K.seniority_fit(X.seniority(F.col("title")), "senior"),
-                "location_timezone_fit": K.rule_credit(F.col("rules")),
-                "freshness": K.freshness(F.col("published_at"), F.expr(NOW)),
-            }
-        ).alias("s"),
-    )
+    return with_components(t, _evaluated(t)).select("job_id", F.col("eligibility.status").alias("status"), "s")
 
 
 _FIT_SENIOR = f"CASE ({_SENIORITY}) WHEN 'unknown' THEN 0.6 WHEN 'senior' THEN 1.0 WHEN 'mid' THEN 0.6 WHEN 'lead' THEN 0.6 WHEN 'staff' THEN 0.6 WHEN 'manager' THEN 0.6 WHEN 'junior' THEN 0.2 WHEN 'principal' THEN 0.2 ELSE 0.0 END::DOUBLE"
-_SCORE = f"""CASE WHEN job_id % 2 = 0 THEN (job_id % 5) / 4.0 * round(0.30 / 0.65, 6) + {_FIT_SENIOR} * round(0.15 / 0.65, 6) + {_FIT} * round(0.10 / 0.65, 6) + {_FRESH} * round(0.10 / 0.65, 6)
-  ELSE {_FIT_SENIOR} * round(0.15 / 0.35, 6) + {_FIT} * round(0.10 / 0.35, 6) + {_FRESH} * round(0.10 / 0.35, 6) END"""
+_SKILL = f"CASE WHEN len({_SKILLS}) > 0 THEN round(len(list_intersect({_SKILLS}, {HAVE})) / len({_SKILLS}), 4) END"
+_SEMANTIC = "CASE WHEN v.vec_id IS NOT NULL THEN round(greatest(0, least(1, (list_cosine_similarity(v.embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) - 0.1) / 0.6)), 4) END"
+_SCORE = f"""round(CAST(CAST(greatest(0, least(1, coalesce(skill, 0) * round(0.30 / there, 6) + coalesce(semantic, 0) * round(0.20 / there, 6) + role * round(0.15 / there, 6) + senior * round(0.15 / there, 6) + fit * round(0.10 / there, 6) + fresh * round(0.10 / there, 6))) AS VARCHAR) AS DECIMAL(38, 25)), 4)"""  # as decimals, like Spark
+
 
+def _scores(source: str) -> str:
+    """Oracle SQL of the table ``scored`` from a table with outcomes of rules."""
+    return f""", parts AS (SELECT e.*, {_SKILL} AS skill, {_SEMANTIC} AS semantic, {_ROLE_OF.format(*[_best_role(x)[1] for x in _PLAIN_TITLES])}::DOUBLE AS role, {_FIT_SENIOR} AS senior, {_FIT} AS fit, {_FRESH} AS fresh, v.vec_id IS NOT NULL AS embedded
+    FROM {source} e LEFT JOIN embeddings v ON v.vec_id = e.job_id),
+  weighed AS (SELECT *, CASE WHEN skill IS NULL THEN 0.0 ELSE 0.30 END::DOUBLE + CASE WHEN semantic IS NULL THEN 0.0 ELSE 0.20 END::DOUBLE + 0.15::DOUBLE + 0.15::DOUBLE + 0.10::DOUBLE + 0.10::DOUBLE AS there FROM parts),
+  scored AS (SELECT *, {_SCORE}::DOUBLE AS score FROM weighed)
+"""
 
-@query("K08_score", f"{_EVALUATED}SELECT job_id, status, round({_SCORE}, 4)::DOUBLE AS score FROM evaluated")
+
+@query("K08_score", f"{_EVALUATED}{_scores('evaluated')}SELECT job_id, status, score FROM scored")
 def k08(t: Tables) -> DataFrame:
     return _scored(t).select("job_id", "status", F.col("s.final_score").alias("score"))
 
 
-@query("K09_notify", f"{_EVALUATED}SELECT job_id FROM evaluated WHERE status = 'eligible' AND {_SCORE} >= 0.6")
+@query("K09_notify", f"{_EVALUATED}{_scores('evaluated')}SELECT job_id FROM scored WHERE status = 'eligible' AND score >= 0.6")
 def k09(t: Tables) -> DataFrame:
     return _scored(t).where((F.col("status") == "eligible") & (F.col("s.final_score") >= 0.6)).select("job_id")
 
 
 @query(
     "W10_nearest",
-    "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 3) AS similarity FROM (SELECT * FROM embeddings WHERE vec_id < 3) q, embeddings v WHERE q.vec_id <> v.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) <= 5",
+    "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 3) AS similarity FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q, embeddings v WHERE q.vec_id <> v.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) <= 5",
 )
 def w10(t: Tables) -> DataFrame:
-    q = t.embeddings.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # three stated queries
-    scored = t.embeddings.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("s", K.cosine(F.col("query"), F.col("embedding")))
-    best = Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id")
-    return scored.withColumn("n", F.row_number().over(best)).where("n <= 5").select("query_id", "vec_id", F.round("s", 3).alias("similarity"))
+    found = K.nearest(t.embeddings.select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
+    return found.select("query_id", "vec_id", F.round("similarity", 3).alias("similarity"))
+
+
+_MERGED_STATUS = "CASE WHEN 'fail' IN (work_model, excluded_region, location_outcome, experience, timezone) THEN 'ineligible' ELSE 'eligible' END"
+_ENRICHED = f""", enriched AS (SELECT *, {_MERGED_STATUS} AS final_status FROM (SELECT evaluated.* EXCLUDE (work_model, excluded_region, location_outcome, experience, timezone), doc_id IS NOT NULL AS extracted,
+  {', '.join(f"{_MERGED[n]} AS {c}" for n, c in zip(R.RULES, ('work_model', 'excluded_region', 'location_outcome', 'experience', 'timezone')))} FROM evaluated LEFT JOIN labels ON doc_id = job_id))"""
+
+
+def _pipeline(t: Tables) -> DataFrame:
+    """Evaluation in stages: rules, facts where they were extracted, vectors where there are some, scores."""
+    facts = _facts(t)
+    e = _evaluated(t).join(facts, "job_id", "left").withColumn("rules", F.when(F.col("facts").isNull(), F.col("rules")).otherwise(R.apply_intelligence(F.col("rules"), F.col("facts"), POLICY)))
+    return with_components(t, e.withColumn("status", R.summarise(F.col("rules")).status))
+
+
+@query(
+    "X12_evaluation_pipeline",
+    f"{_EVALUATED}{_ENRICHED}{_scores('enriched')}SELECT job_id, final_status AS status, CASE WHEN final_status = 'eligible' THEN score END AS score, CASE WHEN final_status = 'ineligible' THEN 'rejected' WHEN score >= 0.6 THEN 'notified' ELSE 'ranked' END AS state FROM scored",
+)
+def x12(t: Tables) -> DataFrame:
+    eligible = F.col("status") == "eligible"
+    state = F.when(~eligible, "rejected").when(F.col("s.final_score") >= 0.6, "notified").otherwise("ranked")
+    return _pipeline(t).select("job_id", "status", F.when(eligible, F.col("s.final_score")).alias("score"), state.alias("state"))
+
+
+@query(
+    "X13_degradation",
+    f"{_EVALUATED}{_ENRICHED}{_scores('enriched')}SELECT job_id, concat_ws(',', CASE WHEN NOT extracted THEN 'enrich' END, CASE WHEN NOT embedded THEN 'embed' END) AS failed, CASE WHEN extracted AND embedded THEN 'full' ELSE 'degraded' END AS mode, score FROM scored",
+)
+def x13(t: Tables) -> DataFrame:
+    """Stages whose table has nothing for a posting leave nulls, and the posting is scored by what the others gave."""
+    p = _pipeline(t)
+    missing = F.concat_ws(",", F.when(F.col("facts").isNull(), "enrich"), F.when(F.col("semantic").isNull(), "embed"))
+    return p.select("job_id", missing.alias("failed"), F.when(missing == "", "full").otherwise("degraded").alias("mode"), F.col("s.final_score").alias("score"))

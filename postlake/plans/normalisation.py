@@ -67,7 +67,7 @@ def s06(t: Tables) -> DataFrame:
     return t.postings.select("job_id", X.normalize_location(F.col("location")).alias("normalized_location"))
 
 
-_JOINED = "concat_ws(' ', nullif(location, ''), title, requirement)"
+_JOINED = "concat_ws(' ', nullif(location, ''), title, description)"
 
 
 def _rx(x: str, pattern: str) -> str:
@@ -82,7 +82,7 @@ _SENIORITY = "CASE " + " ".join(f"WHEN {_rx('title', p)} THEN '{level}'" for lev
 
 
 def with_policy(df: DataFrame) -> DataFrame:
-    return df.withColumn("remote_policy", X.remote_policy([F.col("location"), F.col("title"), F.col("requirement")], F.col("remote_hint")))
+    return df.withColumn("remote_policy", X.remote_policy([F.col("location"), F.col("title"), F.col("description")], F.col("remote_hint")))
 
 
 @query("S07_remote_policy", f"{WITH_POSTINGS}SELECT job_id, {_POLICY} AS remote_policy FROM postings")
@@ -160,13 +160,16 @@ def _skill(name: str) -> str:
     for n, p in X._skill_patterns(False):
         if n == name:
             flags, body = ("(?i)", p[4:]) if p.startswith("(?i)") else ("", p)
-            out.append(f"regexp_matches(title || chr(10) || requirement, '{flags}(^|[^\\w.]){body.removeprefix('(?<![' + chr(92) + 'w.])').removesuffix('(?![' + chr(92) + 'w])')}([^\\w]|$)')")
+            out.append(f"regexp_matches(title || chr(10) || description, '{flags}(^|[^\\w.]){body.removeprefix('(?<![' + chr(92) + 'w.])').removesuffix('(?![' + chr(92) + 'w])')}([^\\w]|$)')")
     return f"CASE WHEN {' OR '.join(out)} THEN '{name}' END"
 
 
-@query("S14_extract_skills", f"{WITH_POSTINGS}SELECT job_id, array_to_string(list_filter([{', '.join(_skill(n) for n in V.SKILLS)}], lambda s: s IS NOT NULL), ',') AS skills FROM postings")
+_SKILLS = f"list_filter([{', '.join(_skill(n) for n in V.SKILLS)}], lambda s: s IS NOT NULL)"
+
+
+@query("S14_extract_skills", f"{WITH_POSTINGS}SELECT job_id, array_to_string({_SKILLS}, ',') AS skills FROM postings")
 def s14(t: Tables) -> DataFrame:
-    return t.postings.select("job_id", F.array_join(X.extract_skills(F.concat_ws("\n", "title", "requirement")), ",").alias("skills"))
+    return t.postings.select("job_id", F.array_join(X.extract_skills(F.concat_ws("\n", "title", "description")), ",").alias("skills"))
 
 
 @query("S15_clip", "SELECT doc_id, substring(text, 1, 200) AS clipped, length(text) > 200 AS was_longer FROM documents")

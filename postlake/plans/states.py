@@ -53,7 +53,16 @@ def x19(t: Tables) -> DataFrame:
     return t.events.select(F.concat(F.lit("eval-"), F.col("user_id").cast("string"), F.lit("-"), "event_type").alias("id")).distinct()
 
 
-@query("X20_sliding_limit")
+_HITS = "h AS (SELECT user_id, event_id, event_type, epoch(ts)::DOUBLE AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query(
+    "X20_sliding_limit",
+    f"""WITH RECURSIVE {_HITS}, f AS (SELECT user_id, n, event_id, true AS allowed, [tm] AS log FROM h WHERE n = 1
+    UNION ALL SELECT user_id, n, event_id, len(old) < 5, CASE WHEN len(old) < 5 THEN list_append(old, tm) ELSE old END
+    FROM (SELECT h.*, list_filter(log, lambda x: x > tm - 86400) AS old FROM f JOIN h ON h.user_id = f.user_id AND h.n = f.n + 1))
+  SELECT user_id, event_id, allowed, CAST(5 - len(log) AS INT) AS remaining FROM f""",
+)
 def x20(t: Tables) -> DataFrame:
     hits = t.events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     return folds.sliding_limit(5, 86_400.0).batch(hits, ["user_id"], ["at", "event_id"]).select("user_id", "event_id", "allowed", "remaining")
@@ -94,21 +103,36 @@ def x23(t: Tables) -> DataFrame:
     return T.billing_state(events.unionAll(events), ["user_id"])
 
 
-@query("X24_circuit")
+@query(
+    "X24_circuit",
+    f"""WITH RECURSIVE {_HITS}, f AS (SELECT user_id, n, event_id, true AS tried, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failed, tm AS last FROM h WHERE n = 1
+    UNION ALL SELECT user_id, n, event_id, NOT waits, CASE WHEN waits THEN failed WHEN event_type = 'error' THEN failed + 1 ELSE 0 END, CASE WHEN waits THEN last ELSE tm END
+    FROM (SELECT h.*, failed, last, failed >= 2 AND h.tm - last < 86400 AS waits FROM f JOIN h ON h.user_id = f.user_id AND h.n = f.n + 1))
+  SELECT user_id, event_id, tried, failed >= 2 AS open FROM f""",
+)
 def x24(t: Tables) -> DataFrame:
     calls = t.events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_type") != "error").alias("ok"))
     return folds.circuit_breaker(2, 86_400.0).batch(calls, ["user_id"], ["at", "event_id"]).select("user_id", "event_id", "tried", "open")
 
 
+_REQUESTS = """r AS (SELECT event_id, user_id, epoch(ts)::DOUBLE AS tm, CAST(event_id % 3 AS VARCHAR) AS fp, CASE WHEN event_type = 'error' THEN 503 ELSE 200 END AS status, (event_id % 7) * 5000.0::DOUBLE AS seconds, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"""
+
+
 @query(
     "X25_idempotency",
-    """WITH r AS (SELECT event_id, user_id, ts, event_id % 3 AS fingerprint, CASE WHEN event_type = 'error' THEN 503 ELSE 200 END AS status FROM events),
-  k AS (SELECT *, first(CASE WHEN status < 500 THEN struct_pack(at := ts, f := fingerprint) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS kept FROM r)
-  SELECT event_id, CASE WHEN kept IS NULL OR ts >= kept.at + INTERVAL '24' HOUR THEN 'executed' WHEN kept.f <> fingerprint THEN 'mismatch' ELSE 'replayed' END AS verdict FROM k""",
+    f"""WITH RECURSIVE {_REQUESTS},
+  f AS (SELECT user_id, n, event_id, 'executed' AS verdict, CAST(NULL AS VARCHAR) AS kept, 0.0::DOUBLE AS until, fp AS busy, tm + seconds AS ends, status AS answer FROM r WHERE n = 1
+    UNION ALL SELECT user_id, n, event_id, verdict, kept, until, CASE WHEN verdict = 'executed' THEN fp ELSE busy END, CASE WHEN verdict = 'executed' THEN tm + seconds ELSE ends END, CASE WHEN verdict = 'executed' THEN status ELSE answer END
+    FROM (SELECT *, CASE WHEN tm < until AND kept = fp THEN 'replayed' WHEN tm < until THEN 'mismatch' WHEN busy IS NOT NULL THEN 'in_progress' ELSE 'executed' END AS verdict
+      FROM (SELECT r.*, CASE WHEN tm >= ends AND busy IS NOT NULL AND answer < 500 AND answer <> 429 THEN busy ELSE kept END AS kept, CASE WHEN tm >= ends AND busy IS NOT NULL AND answer < 500 AND answer <> 429 THEN ends + 86400 ELSE until END AS until,
+          CASE WHEN tm < ends THEN busy END AS busy, ends, answer FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)))
+  SELECT event_id, verdict FROM f""",
 )
 def x25(t: Tables) -> DataFrame:
-    requests = t.events.select("event_id", "user_id", "ts", (F.col("event_id") % 3).alias("fingerprint"), F.when(F.col("event_type") == "error", 503).otherwise(200).alias("status"))
-    return T.idempotency(requests, "user_id", "ts", "event_id").select("event_id", "verdict")
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
+    status, seconds = F.when(F.col("event_type") == "error", 503).otherwise(200).alias("status"), (F.col("event_id") % 7 * 5000.0).alias("seconds")
+    requests = t.events.select("event_id", "user_id", at, (F.col("event_id") % 3).cast("string").alias("fingerprint"), status, seconds)
+    return folds.idempotency().batch(requests, ["user_id"], ["at", "event_id"]).select("event_id", "verdict")
 
 
 @query("F12_routing", "SELECT event_id FROM events WHERE (user_id % 3 <> 0 AND user_id % 5 = 2) OR (user_id % 3 = 0 AND event_type IN ('click', 'view'))")
@@ -178,23 +202,6 @@ def x11(t: Tables) -> DataFrame:
     return alive.groupBy("user_id").agg(F.min("ts").alias("consumed_at"))
 
 
-@query("X12_evaluation_pipeline")
-def x12(t: Tables) -> DataFrame:
-    from postlake.plans.eligibility import _scored
-
-    s = _scored(t)
-    current = t.labels.select(F.col("doc_id").alias("job_id"))  # postings whose content is still current
-    eligible = F.col("status") == "eligible"
-    state = F.when(~eligible, "rejected").when(F.col("s.final_score") >= 0.6, "notified").otherwise("ranked")
-    return s.join(current, "job_id", "left_semi").select("job_id", "status", F.when(eligible, F.col("s.final_score")).alias("score"), state.alias("state"))
-
-
-@query("X13_degradation", "SELECT doc_id, quality IS NOT NULL AS enriched, CASE WHEN quality IS NULL THEN 'degraded' ELSE 'full' END AS mode FROM documents LEFT JOIN labels USING (doc_id)")
-def x13(t: Tables) -> DataFrame:
-    joined = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    return joined.select("doc_id", F.col("quality").isNotNull().alias("enriched"), F.when(F.col("quality").isNull(), "degraded").otherwise("full").alias("mode"))
-
-
 @query("C24_clip_events", "SELECT doc_id, length(text) <= 200 AS whole FROM documents")
 def c24(t: Tables) -> DataFrame:
     event = F.struct("text", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: i.cast("string")).alias("items"))

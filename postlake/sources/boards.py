@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from postlake.sources.demo import visible
+from postlake.sources.markup import html_listing
 from postlake.functions.text import dig, parse_datetime
 
 #: Columns of a posting as a source gives it.
@@ -156,7 +158,7 @@ def feed(listing: DataFrame) -> DataFrame:
 
 
 #: Kinds of boards and what reads their listings; kinds that need a token, and those that need a URL.
-KINDS = {"greenhouse": greenhouse, "lever": lever, "ashby": ashby, "rss": feed}
+KINDS = {"greenhouse": greenhouse, "lever": lever, "ashby": ashby, "rss": feed, "generic_json": generic, "static_html": html_listing, "demo": visible}
 NEEDS_TOKEN, NEEDS_URL = ("greenhouse", "lever", "ashby"), ("rss", "generic_json", "static_html", "dynamic_html")
 
 
@@ -167,7 +169,8 @@ def split_definitions(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sources.where(ok), sources.where(~ok)
 
 
-def postings_of(kind: str, listing: DataFrame) -> DataFrame:
+def postings_of(kind: str, *listing, **options) -> DataFrame:
+    """What a kind of board lists: from its listings, and what its reader needs besides (field maps, selectors, or a session and a number of polls)."""
     if kind not in KINDS:
         raise ValueError(f"unknown kind of board: {kind}")
-    return KINDS[kind](listing)
+    return KINDS[kind](*listing, **options)

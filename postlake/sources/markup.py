@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -12,10 +11,12 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from postlake.functions.url import canonicalize_url
+
 #: What sanitised HTML may hold.
-TAGS = frozenset("p br ul ol li strong em b i u a h1 h2 h3 h4 h5 h6 blockquote code pre hr div span table thead tbody tr td th".split())
+TAGS = frozenset(("a", "b", "blockquote", "br", "code", "div", "em", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "i", "li", "ol", "p", "pre", "span", "strong", "table", "tbody", "td", "th", "thead", "tr", "u", "ul"))
 SILENT = frozenset(("script", "style", "noscript", "template"))
-BLOCKS = frozenset("p br li div h1 h2 h3 h4 h5 h6 tr ul ol".split())
+BLOCKS = frozenset(("p", "div", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "ul", "ol"))
 VOID = frozenset(("br", "hr", "img", "input", "meta", "link"))
 MOST_CHARS = 500_000
 
@@ -152,7 +153,7 @@ def html_listing(pages: DataFrame, item: str, fields: dict[str, str]) -> DataFra
     """(page_url, position, external_id, title, url, location): items of listing pages (url, html) by selectors.
 
     The link is an item's first ``a`` with an address, resolved against the page; the id is the first 32
-    digits of its SHA-256. Items without title or link have null ids and are for :func:`boards.split_valid` to skip.
+    digits of its canonical form's SHA-256, so tracking parameters make no new posting. Items without title or link have null ids and are for :func:`boards.split_valid` to skip.
     """
     names = ["page_url", "position", "external_id", "title", "url", "location"]
 
@@ -167,7 +168,9 @@ def html_listing(pages: DataFrame, item: str, fields: dict[str, str]) -> DataFra
                     clean = {k: " ".join(v.split()) for k, v in r.items()}
                     link = urljoin(page or "", clean["link"]) if clean.get("link") else None
                     ok = link and clean.get("title")
-                    rows.append((page, i, hashlib.sha256(link.encode()).hexdigest()[:32] if ok else None, clean.get("title"), link, clean.get("location")))
+                    rows.append((page, i, link if ok else None, clean.get("title"), link, clean.get("location")))
             yield pd.DataFrame(rows, columns=names)
 
-    return pages.select("url", "html").mapInPandas(run, "page_url string, position int, external_id string, title string, url string, location string")
+    found = pages.select("url", "html").mapInPandas(run, "page_url string, position int, external_id string, title string, url string, location string")
+    identity = F.coalesce(canonicalize_url(F.col("external_id")), F.col("external_id"))
+    return found.withColumn("external_id", F.substring(F.sha2(identity, 256), 1, 32))

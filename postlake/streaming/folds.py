@@ -1,7 +1,8 @@
 """Sequential state per key, for batches and streams alike.
 
 A fold takes a key's rows in order of time through a step function. On a batch, partitions are sorted and rows
-stream through, so memory doesn't grow with a key; on a stream, the state is kept between micro-batches.
+stream through, so memory doesn't grow with a key; on a stream, the state is kept between micro-batches. What a
+fold computes is sequential, so one key is one task's work, however many rows it has.
 """
 
 from __future__ import annotations
@@ -102,29 +103,61 @@ def poll_loop(low: int = 60, high: int = 3600, outcome: str = "outcome", retry_a
     """Intervals, failures and circuit of a source over its polls; the circuit starts the count anew."""
     from postlake.functions import vocabulary as V
 
+    rungs = [s for s in V.POLL_LADDER if low <= s <= high]
+    slower = dict(zip(rungs, [*rungs[1:], *rungs[-1:]]))  # each rung's next; the last stays
+    doubled = lambda seconds, times: int(min(V.POLL_MOST_SECONDS, seconds * 2**times))
+
+    def held(seconds: int) -> int:
+        return sorted((low, int(seconds), high))[1]
+
+    # each outcome gives (interval, sleep, failures) from the interval, the failures with this one, and the wait that was asked for
+    def fresh(now: int, failures: int, asked: int) -> tuple[int, int, int]:
+        return low, low, 0
+
+    def quiet(now: int, failures: int, asked: int) -> tuple[int, int, int]:
+        rung = min(rungs, key=lambda s: (abs(s - now), s), default=now)
+        return slower.get(rung, now), slower.get(rung, now), 0
+
+    def limited(now: int, failures: int, asked: int) -> tuple[int, int, int]:
+        return held(2 * now), max(doubled(now, failures), asked), failures
+
+    def failed(now: int, failures: int, asked: int) -> tuple[int, int, int]:
+        return (high, V.POLL_CIRCUIT_SECONDS, 0) if failures >= V.POLL_FAILURES else (now, max(low, doubled(now, failures - 1)), failures)
+
+    known = {"new_jobs": fresh, "no_change": quiet, "rate_limited": limited, "failed": failed}
+
     def step(state: tuple, row: dict) -> tuple[tuple, dict]:
-        interval, failures = state
-        now = min(high, max(low, interval))
-        kind = row[outcome]
-        is_open = False
-        if kind == "new_jobs":
-            interval = sleep = low
-            failures = 0
-        elif kind == "no_change":
-            ladder = [s for s in V.POLL_LADDER if low <= s <= high] or [now]
-            at = min(range(len(ladder)), key=lambda i: abs(ladder[i] - now))
-            interval = sleep = ladder[min(at + 1, len(ladder) - 1)]
-            failures = 0
-        else:
-            failures += 1
-            if kind == "rate_limited":
-                asked = row.get(retry_after)
-                sleep = max(int(min(V.POLL_MOST_SECONDS, now * 2 ** max(1, failures))), int(asked) if asked is not None and asked == asked else 0)
-                interval = min(high, max(low, now * 2))
-            elif failures >= V.POLL_FAILURES:
-                interval, sleep, is_open, failures = high, V.POLL_CIRCUIT_SECONDS, True, 0
-            else:
-                interval, sleep = now, max(low, int(min(V.POLL_MOST_SECONDS, now * 2 ** (failures - 1))))
-        return (int(interval), failures), {"interval": int(interval), "sleep": int(sleep), "failures": failures, "circuit_open": is_open}
+        asked = row.get(retry_after)
+        interval, sleep, failures = known[row[outcome]](held(state[0]), state[1] + 1, int(asked) if asked is not None and asked == asked else 0)
+        opened = row[outcome] == "failed" and sleep == V.POLL_CIRCUIT_SECONDS
+        return (interval, failures), {"interval": interval, "sleep": sleep, "failures": failures, "circuit_open": opened}
 
     return Fold("interval int, sleep int, failures int, circuit_open boolean", "interval int, failures int", (low, 0), step)
+
+
+def idempotency(hours: float = 24, at: str = "at", fingerprint: str = "fingerprint", status: str = "status", seconds: str = "seconds") -> Fold:
+    """The verdict on each request of a key: executed, replayed, mismatch, or in_progress.
+
+    A request that is executed is under way for its ``seconds``, and others of its key are in_progress meanwhile. An answer
+    that counts (not a server error, not 429) is then kept for ``hours``: the same fingerprint is replayed, another one is a
+    mismatch. After that, or while there's no such answer, requests are executed anew. Times are in seconds.
+    """
+
+    def step(state: tuple, row: dict) -> tuple[tuple, dict]:
+        kept, until, under_way, ends, answer = state
+        if under_way is not None and row[at] >= ends:
+            if answer < 500 and answer != 429:
+                kept, until = under_way, ends + 3600.0 * hours
+            under_way = None
+        if kept is not None and row[at] >= until:
+            kept = None
+        own = str(row[fingerprint])
+        if kept is not None:
+            verdict = "replayed" if kept == own else "mismatch"
+        elif under_way is not None:
+            verdict = "in_progress"
+        else:
+            verdict, under_way, ends, answer = "executed", own, float(row[at] + row[seconds]), int(row[status])
+        return (kept, until, under_way, ends, answer), {"verdict": verdict}
+
+    return Fold("verdict string", "kept string, until double, under_way string, ends double, answer int", (None, 0.0, None, 0.0, 0), step)

@@ -91,6 +91,13 @@ def test_countries(spark):
     assert values(spark, ["Cyprus"], lambda c: G.countries_in(c, compat=True)) == [["united states"]]
 
 
+def test_all_countries_of_the_gazetteer(spark):
+    names = [c for c, _, _ in G.GAZETTEER]
+    assert len(names) == 59 and values(spark, [f"Office in {c.title()}." for c in names], G.countries_in) == [[c] for c in names]
+    aliases = [(c, a) for c, al, _ in G.GAZETTEER for a in al]
+    assert values(spark, [f"near {a}, soon" for _, a in aliases], G.countries_in) == [[c] for c, _ in aliases]
+
+
 def test_countries_by_join_agree(spark):
     df = spark.createDataFrame([(1, "Berlin, Germany"), (2, "New Delhi"), (3, "")], "id int, text string")
     got = {r["id"]: r["countries"] for r in G.countries_by_join(df, "id", "text", G.gazetteer_table(spark)).collect()}

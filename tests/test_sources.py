@@ -65,6 +65,12 @@ def test_html_listing(spark):
     assert rows[0].external_id == hashlib.sha256(b"https://x.io/1").hexdigest()[:32] and rows[1].external_id is None
 
 
+def test_listing_ids_outlive_tracking_parameters(spark):
+    page = '<ul><li class="job"><a href="{}">Dev</a></li></ul>'
+    df = spark.createDataFrame([("https://x.io/l", page.format(u)) for u in ("/1?utm_source=a", "https://www.x.io/1/", "/1")], "url string, html string")
+    assert len({r.external_id for r in M.html_listing(df, "li.job", {"title": "a"}).collect()}) == 1
+
+
 def test_demo_board_releases_little_by_little(spark, tmp_path):
     spark.dataSource.register(demo.DemoSource)
     stream = spark.readStream.format("demo_board").option("size", "8").load()

@@ -35,6 +35,15 @@ def test_poll_loop_agrees_with_single_steps(spark):
         interval, failures = want.interval, 0 if want.circuit_open else failures
 
 
+def test_idempotency_remembers_anew_after_a_day(spark):
+    hours = [(0, "x", 200), (1, "x", 200), (2, "y", 200), (25, "x", 200), (26, "x", 200), (27, "y", 200)]
+    rows = [("k", h * 3600.0, f, s, 60.0) for h, f, s in hours] + [("busy", float(a), "x", s, 10.0) for a, s in ((0, 503), (5, 200), (20, 429), (40, 200), (45, 200), (60, 200))]
+    df = batch(spark, rows, "k string, at double, fingerprint string, status int, seconds double")
+    got = folds.idempotency(24).batch(df, ["k"], ["at"]).orderBy("k", "at").collect()
+    assert [r.verdict for r in got if r.k == "k"] == ["executed", "replayed", "mismatch", "executed", "replayed", "mismatch"]
+    assert [r.verdict for r in got if r.k == "busy"] == ["executed", "in_progress", "executed", "executed", "in_progress", "replayed"]
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_streams_keep_state_between_batches(spark, tmp_path, files):
     rows = [("a" if i % 2 else "b", float(i)) for i in range(24)]
