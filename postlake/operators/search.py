@@ -8,23 +8,29 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from postlake.functions.stems import stem, stems
 from postlake.functions.text import trigram_similarity, trigrams
 
-#: Common English words that don't count in full-text search.
-STOP_WORDS = frozenset("a an and are as at be by for from has he in is it its of on or that the this to was were will with not but if then there their they we you your i".split())
+#: The English words that don't count in full-text search.
+STOP_WORDS = frozenset(
+    """
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves
+    what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while
+    of at by for with about against between into through during before after above below to from up down in out on off over under again further then once
+    here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now
+    """.split()
+)
 SIMILAR = 0.3
 
 
-def tokens(text: Column) -> Column:
-    """Stemmed words of a text without stop words, in order."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*sorted(STOP_WORDS)))
-    return F.transform(words, stem)
+def words(text: Column) -> Column:
+    """Words of a text without stop words, in order."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*sorted(STOP_WORDS)))
 
 
-def stem(word: Column) -> Column:
-    """A light stemmer: plural and -ing, -ed endings of words of five letters and more."""
-    w = F.regexp_replace(word, "(?<=[a-z]{3})(ies)$", "y")
-    return F.when(F.length(word) >= 5, F.regexp_replace(F.regexp_replace(w, "(?<=[a-z]{3})(ing|ed)$", ""), "(?<=[a-rt-z]{3})s$", "")).otherwise(word)
+def tokens(text: Column) -> Column:
+    """Stemmed words of a text without stop words, in order."""
+    return stems(words(text))
 
 
 def matches(words: Column, query: str) -> Column:
@@ -38,8 +44,8 @@ def matches(words: Column, query: str) -> Column:
         parts = [p for p in re.split("[^a-z0-9]+", (phrase or word).lower()) if p and p not in STOP_WORDS]
         if not parts:
             continue
-        run = F.array(*[stem(F.lit(p)) for p in parts])
-        one = F.array_contains(words, run[0]) if len(parts) == 1 else F.exists(F.sequence(F.lit(1), F.greatest(F.size(words) - len(parts) + 1, F.lit(1))), lambda i: F.slice(words, i, len(parts)) == run)
+        run = " ".join(stem(p) for p in parts)
+        one = F.array_contains(words, run) if len(parts) == 1 else F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).contains(f" {run} ")
         one = ~one if minus else one
         if either:
             found[-1] = found[-1] | one

@@ -18,6 +18,12 @@ def _listing(t: Tables, *items) -> DataFrame:
     return _per_listing(t).agg(F.to_json(F.struct(F.collect_list(F.struct(*items)).alias("jobs"))).alias("body")).drop("part")
 
 
+@query("C01_source", "SELECT 'demo-' || (n % 30) || CASE WHEN n >= 30 THEN '-r' || (n // 30) ELSE '' END AS external_id, 'Posting ' || (n % 30) AS title, n::INT AS released FROM range(6, 36) AS r(n)")
+def c01(t: Tables) -> DataFrame:
+    t.spark.dataSource.register(demo.DemoSource)
+    return t.spark.read.format("demo_board").option("polls", "11").load()
+
+
 @query("C02_greenhouse", "SELECT CAST(doc_id AS VARCHAR) AS external_id, source AS source_id, 'Job ' || doc_id AS title, 'https://x.example/' || doc_id AS url, lang AS location, CASE WHEN doc_id % 2 = 0 THEN 'R&D' END AS department, epoch(TIMESTAMP '2024-06-01')::BIGINT AS published FROM documents WHERE doc_id % 9 <> 0")
 def c02(t: Tables) -> DataFrame:
     id_ = F.col("doc_id")
@@ -70,7 +76,14 @@ def c06(t: Tables) -> DataFrame:
     return found.select("source_id", "external_id", "title", "url")
 
 
-@query("C07_html_listing")
+@query(
+    "C07_html_listing",
+    """WITH items AS (SELECT url AS page_url, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS found FROM pages),
+    item AS (SELECT page_url, unnest(range(len(found)))::INT AS position, unnest(found) AS body FROM items),
+    parts AS (SELECT page_url, position, regexp_extract(body, '<a href="([^"]*)">', 1) AS href, regexp_extract(body, '<a [^>]*>(.*?)</a>', 1) AS title FROM item),
+    made AS (SELECT *, regexp_extract(page_url, '^https?://[^/]+') || href AS link FROM parts)
+  SELECT page_url, position, sha256('https://' || regexp_replace(regexp_extract(link, '^https?://(.*)$', 1), '^www[.]', ''))[:32] AS external_id, title, link AS url, NULL::VARCHAR AS location FROM made""",
+)
 def c07(t: Tables) -> DataFrame:
     return M.html_listing(t.pages, "li", {"title": "a"})
 
@@ -98,7 +111,16 @@ def c12(t: Tables) -> DataFrame:
     return B.split_definitions(sources)[0].select("c_custkey")
 
 
-@query("C23_webhooks")
+def _hmac(key: str, message: str) -> str:
+    """Oracle SQL of the hex HMAC-SHA256 of a text."""
+    inner, outer = ("unhex('" + bytes(b ^ pad for b in key.encode().ljust(64, b"\0")).hex() + "')" for pad in (0x36, 0x5C))
+    return f"sha256({outer} || unhex(sha256({inner} || encode({message}))))"
+
+
+_BODY = """'{"job_id":' || doc_id || ',"score":0.5,"title":' || coalesce('"' || lang || '"', 'null') || '}'"""
+
+
+@query("C23_webhooks", f"""SELECT doc_id AS job_id, {_BODY} AS body, {_hmac("secret", f"'1717200000.' || {_BODY}")} AS signature FROM documents""")
 def c23(t: Tables) -> DataFrame:
     jobs = t.documents.select(F.col("doc_id").alias("job_id"), F.col("lang").alias("title"), F.lit(0.5).alias("score"))
     return notify.webhook(jobs, "secret", F.lit(1717200000))
@@ -114,7 +136,7 @@ def e02(t: Tables) -> DataFrame:
     return t.pages.select("page_id", M.html_to_text("html").alias("text"))
 
 
-@query("E09_signature")
+@query("E09_signature", f"""SELECT doc_id, {_hmac("secret", "concat_ws('.', '1717200000', text)")} AS signature FROM documents""")
 def e09(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", notify.signature("secret", F.lit(1717200000), F.col("text")).alias("signature"))
 

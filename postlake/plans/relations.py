@@ -262,8 +262,12 @@ def q01(t: Tables) -> DataFrame:
 
 @query("Q02_tokens", "SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '' AND w NOT IN (" + ", ".join(f"'{w}'" for w in sorted(Q.STOP_WORDS)) + ")), ' ')) AS words FROM documents")
 def q02(t: Tables) -> DataFrame:
-    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*sorted(Q.STOP_WORDS)))
-    return t.documents.select("doc_id", F.md5(F.array_join(words, " ")).alias("words"))
+    return t.documents.select("doc_id", F.md5(F.array_join(Q.words(F.col("text")), " ")).alias("words"))
+
+
+@query("Q02_stems")
+def q02_stems(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", Q.tokens(F.col("text")).alias("stems"))
 
 
 _GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"

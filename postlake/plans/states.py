@@ -31,7 +31,18 @@ def x15(t: Tables) -> DataFrame:
     return t.events.select("event_id", T.next_poll(_outcome(), current, F.lit(60), F.lit(3600), failures, F.lit(None).cast("double")).alias("p")).select("event_id", "p.*")
 
 
-@query("X16_poll_loop")
+@query(
+    "X16_poll_loop",
+    f"""WITH RECURSIVE p AS (SELECT user_id, event_id, {_OUTCOME} AS o, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  f AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 60::INT AS interval, 0::INT AS sleep, 0::INT AS failures, false AS circuit_open FROM events
+    UNION ALL SELECT user_id, n, event_id, CASE o WHEN 'new_jobs' THEN 60 WHEN 'no_change' THEN quieter WHEN 'rate_limited' THEN least(3600, c * 2) ELSE CASE WHEN k >= 5 THEN 3600 ELSE c END END::INT,
+      CASE o WHEN 'new_jobs' THEN 60 WHEN 'no_change' THEN quieter WHEN 'rate_limited' THEN least(14400, c * 2 ** k) ELSE CASE WHEN k >= 5 THEN 21600 ELSE least(14400, c * 2 ** (k - 1)) END END::INT,
+      CASE WHEN o IN ('new_jobs', 'no_change') OR (o = 'failed' AND k >= 5) THEN 0 ELSE k END::INT, o = 'failed' AND k >= 5
+    FROM (SELECT p.*, f.interval AS c, f.failures + 1 AS k,
+        CASE WHEN f.interval <= 90 THEN 120 WHEN f.interval <= 210 THEN 300 WHEN f.interval <= 450 THEN 600 WHEN f.interval <= 750 THEN 900 WHEN f.interval <= 1350 THEN 1800 ELSE 3600 END AS quieter
+      FROM f JOIN p ON p.user_id = f.user_id AND p.n = f.n + 1))
+  SELECT user_id, event_id, interval, sleep, failures, circuit_open FROM f WHERE n > 0""",
+)
 def x16(t: Tables) -> DataFrame:
     polls = t.events.select("user_id", "ts", "event_id", _outcome().alias("outcome"), F.lit(None).cast("double").alias("retry_after"))
     return folds.poll_loop().batch(polls, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "interval", "sleep", "failures", "circuit_open")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 FIRST, PER_POLL, WINDOW, MINUTES = 6, 3, 30, 7
 
@@ -14,7 +14,7 @@ def posting_id(n: int, size: int) -> str:
 
 
 class DemoSource(DataSource):
-    """``spark.readStream.format("demo_board")``: option ``size`` is the length of the list."""
+    """``format("demo_board")``: a stream of releases, or what is open after ``polls`` polls; ``size`` is the length of the list."""
 
     @classmethod
     def name(cls) -> str:
@@ -23,10 +23,26 @@ class DemoSource(DataSource):
     def schema(self) -> str:
         return "external_id string, title string, released int"
 
+    def reader(self, schema) -> DataSourceReader:
+        return OpenPostings(int(self.options.get("polls", "1")), int(self.options.get("size", "30")))
+
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return DemoReader(int(self.options.get("size", "30")))
 
 
+class OpenPostings(DataSourceReader):
+    """The full set of open postings after ``polls`` polls, a poll's releases in each partition."""
+
+    def __init__(self, polls: int, size: int):
+        self.end, self.size = FIRST + PER_POLL * (polls - 1), size
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(n) for n in range(max(0, self.end - WINDOW), self.end, PER_POLL)]
+
+    def read(self, partition: InputPartition):
+        return ((posting_id(n, self.size), f"Posting {n % self.size}", n) for n in range(partition.value, min(partition.value + PER_POLL, self.end)))
+
+
 class DemoReader(SimpleDataSourceStreamReader):
     def __init__(self, size: int):
         self.size = size

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from postlake.functions.stems import stem
 from postlake.operators import catalog as C, dedupe as D, rules as R, scope as S, score as K, search as Q, states as T
 
 POLICY = R.Policy()
@@ -98,6 +99,25 @@ def test_web_search(spark, query, want):
     assert [r.id for r in df.where(Q.matches(Q.tokens(F.col("t")), query)).orderBy("id").collect()] == want
 
 
+def test_phrases_are_whole_words_in_a_row(spark):
+    df = spark.createDataFrame([(1, "senior data engineers"), (2, "metadata engineering"), (3, "engineer of data"), (4, None), (5, "")], "int_id int, t string")
+    assert [r.int_id for r in df.where(Q.matches(Q.tokens(F.col("t")), '"data engineer"')).collect()] == [1]
+
+
+@pytest.mark.parametrize(
+    ("words", "want"),
+    [
+        ("consign consigned consigning consignment", "consign"), ("consist consisted consistency consistent consisting", "consist"), ("knot knots knotted", "knot"), ("run runs running", "run"),
+        ("generate generates generated generating", "generat"), ("general generally", "general"), ("hope hoped hoping hopes", "hope"), ("happy happiness", "happi"), ("ties", "tie"), ("cries cried", "cri"),
+        ("relational", "relat"), ("rationalization", "ration"), ("conditional", "condit"), ("agreed", "agre"), ("feed", "feed"), ("luxuriating", "luxuri"), ("gas", "gas"), ("gaps", "gap"), ("kiwis", "kiwi"),
+        ("say", "say"), ("by", "by"), ("cry", "cri"), ("youth", "youth"), ("boy", "boy"), ("boyish", "boyish"), ("fluently", "fluentli"), ("adoption", "adopt"), ("controlled", "control"), ("skies sky", "sky"),
+        ("herring herrings", "herring"), ("succeed succeeds", "succeed"), ("communism", "communism"), ("electricity electrical", "electr"), ("beds", "bed"), ("bee", "bee"), ("knightly", "knight"), ("7", "7"),
+    ],
+)
+def test_english_stems(words, want):
+    assert {stem(w) for w in words.split()} == {want}
+
+
 def listing(spark, rows, source="s"):
     df = spark.createDataFrame([(i, source, e, h, f"fp{h}", f"https://{source}/{e}", None, n) for n, (i, e, h) in enumerate(rows)], "job_id long, source_id string, external_id string, content_hash string, fingerprint string, canonical_url string, published_at timestamp, position int")
     return df

@@ -82,6 +82,14 @@ def test_demo_board_releases_little_by_little(spark, tmp_path):
     assert demo.visible(spark, 11).count() == 30
 
 
+@pytest.mark.parametrize(("polls", "first", "end"), [(1, 0, 6), (2, 0, 9), (11, 6, 36)])
+def test_demo_board_lists_what_is_open(spark, polls, first, end):
+    spark.dataSource.register(demo.DemoSource)
+    rows = spark.read.format("demo_board").option("polls", str(polls)).load().orderBy("released").collect()
+    assert [r.released for r in rows] == list(range(first, end))
+    assert {r.external_id for r in rows} == {r.external_id for r in demo.visible(spark, polls).collect()}
+
+
 def test_signature(spark):
     got = spark.range(1).select(notify.signature("k", F.lit(5), F.lit("body"))).first()[0]
     assert got == hmac.new(b"k", b"5.body", hashlib.sha256).hexdigest()
