@@ -126,12 +126,30 @@ def c23(t: Tables) -> DataFrame:
     return notify.webhook(jobs, "secret", F.lit(1717200000))
 
 
-@query("E01_sanitize_html")
+def _chained(x: str, *rules: tuple[str, str]) -> str:
+    """Oracle SQL of replacements one after another."""
+    for pattern, new in rules:
+        x = f"regexp_replace({x}, '{pattern}', {new}, 'g')"
+    return x
+
+
+_HIDDEN = [("(?s)<!--.*?-->", "''"), ("(?i)<![^>]*>", "''"), *[(f"(?is)<{t}[^>]*>.*?</{t}>", "''") for t in ("script", "style", "noscript", "template")]]
+_MARKS = [("&quot;", "chr(34)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&amp;?", "'&'")]
+_ALLOWED = "(a|b|blockquote|br|code|div|em|h[1-6]|hr|i|li|ol|p|pre|span|strong|table|tbody|td|th|thead|tr|u|ul)"
+_LINK = """chr(1) || 'a href="\\1" rel="noopener noreferrer nofollow"' || chr(2)"""
+_CLEAN = _chained(
+    "html", *_HIDDEN, ('<a href="((?:https?://|mailto:)[^"]*)">', _LINK), (f"<{_ALLOWED}(?:\\s[^>]*)?>", "chr(1) || '\\1' || chr(2)"), (f"</{_ALLOWED}>", "chr(1) || '/\\1' || chr(2)"),
+    ("</?[A-Za-z][^>]*>", "''"), *_MARKS, ("&", "'&amp;'"), ("<", "'&lt;'"), (">", "'&gt;'"), (chr(1), "'<'"), (chr(2), "'>'"),
+)
+_PLAIN = _chained("html", *_HIDDEN, (r"</?(p|div|li|br|h[1-6]|tr|ul|ol)(\s[^>]*)?>", "chr(10)"), ("</?[A-Za-z][^>]*>", "''"), *_MARKS, (r"[ \t\r\f\v]+", "' '"), (r" ?\n ?", "chr(10)"), (r"\n{3,}", "chr(10) || chr(10)"))
+
+
+@query("E01_sanitize_html", f"SELECT page_id, {_CLEAN} AS html FROM pages")
 def e01(t: Tables) -> DataFrame:
     return t.pages.select("page_id", M.sanitize_html("html").alias("html"))
 
 
-@query("E02_html_to_text")
+@query("E02_html_to_text", f"SELECT page_id, trim({_PLAIN}, chr(10) || chr(32)) AS text FROM pages")
 def e02(t: Tables) -> DataFrame:
     return t.pages.select("page_id", M.html_to_text("html").alias("text"))
 

@@ -71,9 +71,17 @@ def g05(t: Tables) -> DataFrame:
     return t.postings.select("job_id", F.array_join(G.countries_in(F.concat(F.coalesce("location", F.lit(" ")), F.lit("\n"), "description")), ",").alias("countries"))
 
 
-@query("G05_countries_by_join")
+def _by_runs(x: str) -> str:
+    """Oracle SQL of the sorted countries whose names are runs of a text's words."""
+    words = f"' ' || trim(regexp_replace(lower({x}), '[^a-z0-9.]+', ' ', 'g')) || ' '"
+    tests = (f"CASE WHEN {' OR '.join(f"contains(w, ' {a} ')" for a in sorted({c, *aliases}))} THEN '{c}' END" for c, aliases, _ in G.GAZETTEER)
+    return f"SELECT job_id, array_to_string(list_sort(list_filter([{', '.join(tests)}], lambda c: c IS NOT NULL)), ',') AS countries FROM (SELECT job_id, {words} AS w FROM postings)"
+
+
+@query("G05_countries_by_join", f"{WITH_POSTINGS}SELECT * FROM ({_by_runs('concat_ws(chr(10), location, description)')}) WHERE countries <> ''")
 def g05_join(t: Tables) -> DataFrame:
-    return G.countries_by_join(t.postings.withColumn("where", F.concat_ws("\n", "location", "description")), "job_id", "where", G.gazetteer_table(t.spark))
+    found = G.countries_by_join(t.postings.withColumn("where", F.concat_ws("\n", "location", "description")), "job_id", "where", G.gazetteer_table(t.spark))
+    return found.select("job_id", F.array_join("countries", ",").alias("countries"))
 
 
 @query("G06_regions_in", f"{WITH_POSTINGS}SELECT job_id, array_to_string({_regions('coalesce(location, chr(32))')}, ',') AS regions FROM postings")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from postlake.operators import catalog as C, scope, states as T
 from postlake.plans.base import Tables, query
-from postlake.streaming import folds
+from postlake.streaming import events as arrivals, folds
 
 _OUTCOME = "CASE event_type WHEN 'purchase' THEN 'new_jobs' WHEN 'view' THEN 'no_change' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'rate_limited' ELSE 'no_change' END"
 
@@ -153,6 +153,14 @@ def f12(t: Tables) -> DataFrame:
     return T.routed(events, followed, 2).select("event_id")
 
 
+@query("X27_delivery", "SELECT event_id FROM events WHERE (user_id % 3 <> 0 AND user_id % 5 = 1) OR (user_id % 3 = 0 AND event_type IN ('error', 'purchase'))")
+def x27(t: Tables) -> DataFrame:
+    stream = arrivals.read_events(t.spark, f"{t.folder}/events.parquet", t.events.schema)
+    sent = stream.select("event_id", F.col("event_type").alias("source_id"), F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 5).alias("workspace_id"))
+    followed = t.spark.sql("SELECT explode(array('error', 'purchase')) AS source_id")
+    return arrivals.drained(arrivals.audience(sent, followed, 1).select("event_id"), arrivals.shared_folder(t.spark))
+
+
 @query("X28_event_numbers", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number FROM events WHERE event_type <> 'view'")
 def x28(t: Tables) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
