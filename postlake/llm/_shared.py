@@ -85,3 +85,13 @@ def numbered(df: DataFrame, order: Column, out: str) -> DataFrame:
     placed = stored(df.orderBy(order).withColumns({"_range": F.shiftright(place, 33).cast("int"), out: place.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
     before = placed.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_start", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n"))
     return placed.join(F.broadcast(before.select("_range", "_start")), "_range").withColumn(out, F.col(out) + F.col("_start")).drop("_range", "_start")
+
+
+def crc32_sql(data: str) -> str:
+    """DuckDB SQL for the crc32 of a blob, by the table ``crc_table(t)`` of ``CRC_TABLE_SQL``."""
+    by = f"list_transform(regexp_extract_all(hex({data}), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(4294967295, list_reduce({by}, lambda c, y: xor(c >> 8, t[1 + xor(c & 255, y)]), 4294967295))"
+
+
+#: The table of crc32 by its rule: eight shifts of each byte, the polynomial added where a bit falls out.
+CRC_TABLE_SQL = "crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t)"

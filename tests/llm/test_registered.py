@@ -13,7 +13,7 @@ from postlake.llm.registry import ORACLES, QUERIES
 def test_query(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
@@ -24,4 +24,4 @@ def test_query(spark, sf_dir, name):
 def test_each_operator_has_its_query():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
