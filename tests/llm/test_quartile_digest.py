@@ -51,7 +51,6 @@ def test_next_documents(spark, monkeypatch, part_bytes):
     monkeypatch.setattr(Q, "PART_BYTES", part_bytes)
     rows = [(i * 3, TEXTS[i % 7] + str(i) * (i % 5)) for i in range(40)] + [(None, "no id"), (500, None)]
     got = Q.compare_with_next(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
-    assert sorted((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got if r.doc_id is not None) == [x for x in expected(rows) if x[0] is not None]
     assert sorted([tuple(r)[:5] for r in got], key=str) == expected(rows)
     assert all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
 
