@@ -213,7 +213,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     bounds = [tuple(r) for r in placed.where(F.col("place") % step == 0).orderBy("place").select(*keys).collect()]
     dealt = rows.select(*keys, "doc_id", "text", F.explode(_places(bounds)(*keys)).alias("at")).select("at.part", "at.edge", *keys, "doc_id", "text")
     tasks = max(1, min(len(bounds), 1 << 15))
-    lined = dealt.repartition(tasks, "part").sortWithinPartitions("part", "edge", *keys).select("part", "edge", "doc_id", "text")
+    lined = dealt.repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part", "edge", *keys).select("part", "edge", "doc_id", "text")
     return lined.mapInArrow(_compare, _ROW)
 
 
