@@ -70,11 +70,17 @@ def normalize_location(location: Column) -> Column:
 
 def remote_policy(texts: list[Column], hint: Column) -> Column:
     """hybrid, remote, onsite or unknown, from free texts and a hint that may be null."""
-    t = F.concat_ws(" ", *[F.when(x != "", x) for x in texts])
-    remote = F.coalesce(hint, F.lit(False)) | t.rlike("(?i)" + V.REMOTE)
-    onsite = t.rlike("(?i)" + V.ONSITE)
+    from postlake.functions.facts import text_facts
+
+    # a struct of one row, so that the text is read once however often its flags are used
+    said = F.array(F.struct(text_facts(F.concat_ws(" ", *[F.when(x != "", x) for x in texts]), "model").alias("m"), hint.alias("hint")))
+    return F.transform(said, lambda x: _model_of(x.m, x.hint))[0]
+
+
+def _model_of(said: Column, hint: Column) -> Column:
+    remote = F.coalesce(hint, F.lit(False)) | said.remote
     return (
-        F.when(t.rlike("(?i)" + V.HYBRID), "hybrid").when(remote & ~onsite, "remote").when(onsite & ~remote, "onsite").when(remote & onsite, "hybrid").when(~hint, "onsite").otherwise("unknown")
+        F.when(said.hybrid, "hybrid").when(remote & ~said.onsite, "remote").when(said.onsite & ~remote, "onsite").when(remote & said.onsite, "hybrid").when(~hint, "onsite").otherwise("unknown")
     )
 
 
@@ -136,16 +142,9 @@ def extract_skills(text: Column, compat: bool = False) -> Column:
     """Skills named in a text, in vocabulary order. ``compat`` may name one twice and matches within words."""
     if compat:
         return F.array_compact(F.array(*[F.when(text.rlike(p), name) for name, p in _skill_patterns(compat)]))
-    text = F.coalesce(text, F.lit(""))
-    long = {a: name for name, aliases in V.SKILLS.items() for a in aliases if len(a) > 2}
-    short = {a.upper() if a != "go" else "Go": name for name, aliases in V.SKILLS.items() for a in aliases if len(a) <= 2}
-
-    def named(table: dict[str, str], where: Column) -> Column:  # one pass finds all names, the longest at each place
-        words = "|".join(re.escape(a) for a in sorted(table, key=lambda a: (-len(a), a)))
-        return F.transform(F.regexp_extract_all(where, F.lit(rf"(?<![\w.])({words})(?![\w])"), F.lit(1)), lambda a: lookup(table, a))
+    from postlake.functions.facts import text_facts
 
-    found = F.array_union(named(long, F.lower(text)), named(short, text))
-    return F.array_intersect(F.array(*[F.lit(name) for name in V.SKILLS]), found)
+    return text_facts(text, "skills").skills
 
 
 def csv_items(text: Column) -> Column:

@@ -33,26 +33,44 @@ def tokens(text: Column) -> Column:
     return stems(words(text))
 
 
-def matches(words: Column, query: str) -> Column:
-    """Whether tokens match a web search: all terms, "phrases" in a row, ``or`` between terms, ``-`` before unwanted ones."""
-    found: list[Column] = []
+@dataclass(frozen=True)
+class Term:
+    """A word or a phrase of a web search, as stems."""
+
+    stems: tuple[str, ...]
+    unwanted: bool = False
+
+
+def web_search(query: str) -> list[list[Term]]:
+    """Groups of terms, of each of which one must match: "phrases" in a row, ``or`` between terms, ``-`` before unwanted ones."""
+    groups: list[list[Term]] = []
     either = False
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
         if not phrase and word.lower() == "or" and not minus:
-            either = bool(found)
+            either = bool(groups)
             continue
         parts = [p for p in re.split("[^a-z0-9]+", (phrase or word).lower()) if p and p not in STOP_WORDS]
         if not parts:
             continue
-        run = " ".join(stem(p) for p in parts)
-        one = F.array_contains(words, run) if len(parts) == 1 else F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).contains(f" {run} ")
-        one = ~one if minus else one
+        term = Term(tuple(stem(p) for p in parts), bool(minus))
         if either:
-            found[-1] = found[-1] | one
+            groups[-1].append(term)
         else:
-            found.append(one)
+            groups.append([term])
         either = False
-    return reduce(lambda a, b: a & b, found, F.lit(bool(found)))
+    return groups
+
+
+def matches(words: Column, query: str) -> Column:
+    """Whether tokens match a web search, see :func:`web_search`; a search without a word matches nothing."""
+
+    def holds(term: Term) -> Column:
+        run = " ".join(term.stems)
+        one = F.array_contains(words, run) if len(term.stems) == 1 else F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).contains(f" {run} ")
+        return ~one if term.unwanted else one
+
+    groups = [reduce(lambda a, b: a | b, map(holds, group)) for group in web_search(query)]
+    return reduce(lambda a, b: a & b, groups, F.lit(bool(groups)))
 
 
 @dataclass(frozen=True)
@@ -70,10 +88,10 @@ class JobFilters:
     published_after: object = None
 
 
-def conditions(f: JobFilters) -> Column:
-    """The conjunction of what's set. Status defaults to pending; an unknown score fails a least score."""
+def conditions(f: JobFilters, searched: bool = False) -> Column:
+    """The conjunction of what's set. Status defaults to pending; an unknown score fails a least score. ``searched`` leaves the text to an index."""
     found = [F.lit(True)]
-    if f.q is not None:
+    if f.q is not None and not searched:
         found.append(matches(tokens(F.concat_ws(" ", "title", "description")), f.q) | (trigram_similarity(trigrams(F.col("title")), trigrams(F.lit(f.q))) >= SIMILAR))
     for name in ("remote_policy", "seniority", "source_id"):
         if (value := getattr(f, name)) is not None:
@@ -98,10 +116,15 @@ ORDERS = {
 }
 
 
-def search(postings: DataFrame, subscriptions: DataFrame, profile_jobs: DataFrame, filters: JobFilters) -> DataFrame:
-    """Postings of followed sources with the profile's status and score, filtered."""
+def search(postings: DataFrame, subscriptions: DataFrame, profile_jobs: DataFrame, filters: JobFilters, found: DataFrame | None = None) -> DataFrame:
+    """Postings of followed sources with the profile's status and score, filtered.
+
+    ``found`` (job_id) are the postings that an index found for ``filters.q``; without it their texts are read.
+    """
     visible = postings.join(subscriptions.select("source_id").distinct(), "source_id", "left_semi")
-    return visible.join(profile_jobs.select("job_id", "status", "score"), "job_id", "left").where(conditions(filters))
+    if found is not None:
+        visible = visible.join(found.select("job_id"), "job_id", "left_semi")
+    return visible.join(profile_jobs.select("job_id", "status", "score"), "job_id", "left").where(conditions(filters, found is not None))
 
 
 def ordered(df: DataFrame, by: str = "score") -> DataFrame:

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlake.functions import geo as G, text as X, vocabulary as V
+from postlake.functions.facts import text_facts
 from postlake.operators import rules as R, score as K
 from postlake.plans.base import NOW, WITH_POSTINGS, Tables, query
 from postlake.plans.normalisation import _POLICY, _SENIORITY, _SKILLS, _TITLE, with_policy
@@ -18,6 +19,10 @@ _ALIASES = {a: c for c, aliases, _ in reversed(G.GAZETTEER) for a in (c, *aliase
 _COUNTRY = "CASE lower(trim(n_name)) " + " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in _ALIASES.items()) + " END"
 
 
+#: Cities of the oracles, on their own.
+_CITIES = "san francisco|new york|nyc|seattle|austin|boston|chicago|los angeles|denver|atlanta|miami|washington dc|palo alto|mountain view|menlo park|sunnyvale|san jose|san diego|portland|philadelphia"
+
+
 def _named(x: str) -> str:
     """Oracle SQL of the sorted countries that a text names."""
     tests = []
@@ -27,7 +32,7 @@ def _named(x: str) -> str:
         own += [f"regexp_matches({x}, '(^|[^A-Za-z]){code}([^A-Za-z]|$)')" for code, of in G.CODES.items() if of == c]
         if c == G.STATES[0]:
             own.append(f"regexp_matches({x}, ',\\s*({'|'.join(G.STATES[1])})\\b')")
-            own += [f"contains(lower({x}), '{city}')" for city in G.CITIES[1]]
+            own.append(f"regexp_matches(lower({x}), '{_CITIES}')")
         tests.append(f"CASE WHEN {' OR '.join(own)} THEN '{c}' END")
     return f"list_sort(list_filter([{', '.join(tests)}], lambda c: c IS NOT NULL))"
 
@@ -151,7 +156,7 @@ _R02 = f"CASE WHEN len(list_filter(list_transform({_RESIDENCE}, lambda p: {_coun
 
 @query("R02_excluded_region", f"{WITH_POSTINGS}SELECT job_id, {_R02} AS outcome FROM postings")
 def r02(t: Tables) -> DataFrame:
-    return t.postings.select("job_id", R.excluded_region(F.col("description"), POLICY).alias("outcome"))
+    return t.postings.select("job_id", R.excluded_region(text_facts(F.col("description"), "residency").residency, POLICY).alias("outcome"))
 
 
 _R03 = f"""CASE WHEN trim(coalesce(location, '')) = '' THEN 'unknown' WHEN list_contains({_named('location')}, 'india') THEN 'pass' WHEN list_contains({_regions('location')}, 'worldwide') THEN 'pass'
@@ -160,7 +165,8 @@ _R03 = f"""CASE WHEN trim(coalesce(location, '')) = '' THEN 'unknown' WHEN list_
 
 @query("R03_location", f"{WITH_POSTINGS}SELECT job_id, {_R03} AS outcome FROM postings")
 def r03(t: Tables) -> DataFrame:
-    return t.postings.select("job_id", R.location(F.col("location"), POLICY).alias("outcome"))
+    named = t.postings.select("job_id", "location", text_facts(F.col("location"), "countries", "regions").alias("named"))
+    return named.select("job_id", R.location(F.col("location"), F.col("named"), POLICY).alias("outcome"))
 
 
 def _spans(pattern: str, high: bool) -> str:
@@ -181,7 +187,7 @@ _YEARS = f"""years AS (SELECT job_id, low, high FROM ({_spans(V.EXPERIENCE, True
 
 @query("R04_preferred", f"{WITH_POSTINGS}, {_YEARS} SELECT job_id, low, high FROM postings LEFT JOIN years USING (job_id)")
 def r04(t: Tables) -> DataFrame:
-    return t.postings.select("job_id", R.required_experience("description").alias("y")).select("job_id", "y.low", "y.high")
+    return t.postings.select("job_id", R.required_experience(F.col("description")).alias("y")).select("job_id", "y.low", "y.high")
 
 
 _STATED = f"list_zip(regexp_extract_all(description, '(?i){V.EXPERIENCE}', 1), regexp_extract_all(description, '(?i){V.EXPERIENCE}', 2))"

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from postlake.functions.text import seniority, trigram_similarity, trigrams
 from postlake.operators import scope as S, search as Q
 from postlake.operators.dedupe import first_per
+from postlake.operators.inverted import Index
+from postlake.operators.stored import fresh_path, numbered
 from postlake.plans.base import WITH_POSTINGS, Tables, query
+from postlake.plans.stems_sql import stems_sql
 from postlake.plans.normalisation import _POLICY as _MODEL, _SENIORITY, with_policy
 
 _ME = 7  # the workspace of the examples: a nation
@@ -203,15 +207,9 @@ def w02(t: Tables) -> DataFrame:
 
 @query("W03_order", f"{_VIEW}SELECT job_id, row_number() OVER (ORDER BY score DESC NULLS LAST, published_at DESC NULLS LAST, job_id DESC) AS place FROM seen")
 def w03(t: Tables) -> DataFrame:
-    """The place of every posting, counted in ranges of score and day, so that no task sorts all of them."""
+    """The place of every posting, numbered in ranges of the whole order; many rows without a score are many ranges."""
     seen = t.postings.join(overlay(t), "job_id", "left").select("job_id", "score", "published_at")
-    seen = seen.withColumns({"range": F.floor(F.col("score") * 100), "day": F.to_date("published_at")})
-    falling = [F.desc_nulls_last("range"), F.desc_nulls_last("day")]
-    before = seen.groupBy("range", "day").agg(F.count("*").alias("n"))  # at most a hundred ranges a day
-    before = before.withColumn("before", F.sum("n").over(Window.orderBy(*falling)) - F.col("n")).select(F.col("range").alias("r"), F.col("day").alias("d"), "before")
-    inside = F.row_number().over(Window.partitionBy("range", "day").orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("published_at"), F.desc("job_id")))
-    placed = seen.withColumn("inside", inside).join(before, F.col("range").eqNullSafe(F.col("r")) & F.col("day").eqNullSafe(F.col("d")))
-    return placed.select("job_id", (F.col("before") + F.col("inside")).alias("place"))
+    return numbered(seen, [F.desc_nulls_last("score"), F.desc_nulls_last("published_at"), F.desc("job_id")]).select("job_id", "place")
 
 
 @query("W04_page", f"{_VIEW}SELECT job_id, score FROM seen ORDER BY score DESC NULLS LAST, published_at DESC NULLS LAST, job_id DESC LIMIT 25 OFFSET 50")
@@ -265,11 +263,81 @@ def q02(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(F.array_join(Q.words(F.col("text")), " ")).alias("words"))
 
 
-@query("Q02_stems")
+def _token_tables(docs: str, text: str = "text") -> str:
+    """Common table expressions that end in ``tok(doc, place, stem)`` over the table ``docs``, by rules of their own."""
+    words = f"SELECT doc_id AS doc, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({_STOPS})) AS w FROM {docs})"
+    return f"spread AS ({words}), {stems_sql('spread')},\n  tok AS (SELECT doc, i AS place, stem FROM spread JOIN stems USING (word))"
+
+
+_STOPS = ", ".join(f"'{w}'" for w in sorted(Q.STOP_WORDS))
+
+
+@query("Q02_stems", f"WITH {_token_tables('documents')} SELECT doc_id, coalesce(stems, []) AS stems FROM documents LEFT JOIN (SELECT doc AS doc_id, list(stem ORDER BY place) AS stems FROM tok GROUP BY doc) USING (doc_id)")
 def q02_stems(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", Q.tokens(F.col("text")).alias("stems"))
 
 
+_ASKED = "thing eriner attion thanedble anea thly ertion erings ering la der manager platform".split()
+
+
+def _has(word: str) -> str:
+    """Oracle SQL of whether a document holds the stem of a word."""
+    return f"list_contains(stems, ask_{word})"
+
+
+def _phrase(words: str) -> str:
+    """Oracle SQL of whether a document's stems hold those of some words in a row."""
+    return f"contains(' ' || array_to_string(stems, ' ') || ' ', ' ' || {" || ' ' || ".join(f'ask_{w}' for w in words.split())} || ' ')"
+
+
+#: Searches, and the same as conditions on a document's stems.
+_SEARCHES = {
+    "thing eriner": f"{_has('thing')} AND {_has('eriner')}",
+    '"attion thanedble anea" -thly': f"{_phrase('attion thanedble anea')} AND NOT {_has('thly')}",
+    "ertion or ERINGS": f"{_has('ertion')} OR {_has('erings')}",
+    "-la -der": f"NOT {_has('la')} AND NOT {_has('der')}",
+    "ering thing or -la": f"{_has('ering')} AND ({_has('thing')} OR NOT {_has('la')})",
+    '"the of"': "false",
+}
+
+
+def _searched(docs: str, searches: dict[str, str], text: str = "text", kept: str = "doc_id") -> str:
+    tokens = _token_tables(docs, text).replace("FROM spread)", f"FROM (SELECT word FROM spread UNION ALL SELECT unnest({_ASKED})))")
+    ask = ", ".join(f"max(CASE WHEN word = '{w}' THEN stem END) AS ask_{w}" for w in _ASKED)
+    found = " UNION ALL ".join(f"SELECT '{q}' AS query, doc_id FROM per WHERE {c}" for q, c in searches.items())
+    return f"{tokens}, ask AS (SELECT {ask} FROM stems), listed AS (SELECT doc AS doc_id, list(stem ORDER BY place) AS stems FROM tok GROUP BY doc), per AS MATERIALIZED (SELECT {kept}, coalesce(stems, []) AS stems, ask.* FROM {docs} LEFT JOIN listed USING (doc_id) CROSS JOIN ask) {found}"
+
+
+def _found(index: Index, queries: list[str]) -> DataFrame:
+    found = [index.matching(q).select(F.lit(q).alias("query"), F.col("doc").alias("doc_id")) for q in queries]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("Q01_indexed", f"WITH {_searched('documents', _SEARCHES)}")
+def q01_indexed(t: Tables) -> DataFrame:
+    """Web searches of the texts of all documents, by postings of their stems alone."""
+    index = Index(t.spark, fresh_path(t.spark, "search-index"))
+    index.apply(t.documents.select(F.col("doc_id").alias("doc"), F.lit(None).cast("string").alias("title"), "text"), 0)
+    return _found(index, list(_SEARCHES))
+
+
+@query(
+    "Q01_index_after_changes",
+    f"WITH edited AS (SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' thing eriner' ELSE text END AS text FROM documents WHERE lang <> 'fr'), {_searched('edited', _SEARCHES)}",
+)
+def q01_after_changes(t: Tables) -> DataFrame:
+    """The same after a batch that edits the German documents, one that removes the French, one that comes twice, and a compaction."""
+    index = Index(t.spark, fresh_path(t.spark, "search-index"))
+    docs = t.documents.select(F.col("doc_id").alias("doc"), F.lit(None).cast("string").alias("title"), "text", "lang")
+    index.apply(docs, 0)
+    german = docs.where("lang = 'de'").withColumn("text", F.concat("text", F.lit(" thing eriner")))
+    for _ in range(2):
+        index.apply(german, 1)
+    index.compact(2)
+    index.apply(docs.where("lang = 'fr'").withColumn("text", F.lit(None).cast("string")), 3)
+    return _found(index, list(_SEARCHES))
+
+
 _GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 _A, _B = _GRAMS.format(x="p_name"), _GRAMS.format(x="'small gizmo'")
 _SIMILARITY = f"len(list_intersect({_A}, {_B})) / len(list_distinct(list_concat({_A}, {_B})))::DOUBLE"
@@ -291,6 +359,22 @@ def q05(t: Tables) -> DataFrame:
     return t.part.where(near | Q.matches(Q.tokens(F.col("p_name")), "blue")).select("p_partkey")
 
 
+_TITLE_GRAMS, _ASKED_GRAMS = _GRAMS.format(x="title"), _GRAMS.format(x="'platform manager'")
+_TITLE_SIMILARITY = f"len(list_intersect({_TITLE_GRAMS}, {_ASKED_GRAMS})) / len(list_distinct(list_concat({_TITLE_GRAMS}, {_ASKED_GRAMS})))::DOUBLE"
+_MANAGERS = f"{_has('platform')} AND {_has('manager')} OR {_TITLE_SIMILARITY} >= 0.3"
+
+
+@query(
+    "Q05_indexed",
+    f"{WITH_POSTINGS}, titled AS (SELECT job_id AS doc_id, title, concat_ws(' ', title, text) AS text FROM postings), {_searched('titled', {'platform manager': _MANAGERS}, kept='doc_id, title')}",
+)
+def q05_indexed(t: Tables) -> DataFrame:
+    """Postings whose title and text match, or whose title is similar, by postings of stems and of trigrams."""
+    index = Index(t.spark, fresh_path(t.spark, "search-index"))
+    index.apply(t.postings.select(F.col("job_id").alias("doc"), "title", "text"), 0)
+    return index.matching_or_similar("platform manager").select(F.lit("platform manager").alias("query"), F.col("doc").alias("doc_id"))
+
+
 @query(
     "search_explained",
     f"{_VIEW}SELECT job_id, title, source_id, coalesce(status, 'pending') AS status, score, ({_MODEL}) AS remote_policy, ({_SENIORITY}) AS seniority FROM seen WHERE source_id NOT IN ('src1', 'src2') AND job_id % 10 <> 0 AND job_id % 11 <> 0 ORDER BY score DESC NULLS LAST, published_at DESC NULLS LAST, job_id DESC LIMIT 50",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from postlake.operators import catalog, states
+from postlake.operators.stored import shared_folder  # noqa: F401  callers name a stream's folder by it
 
 
 def read_events(spark: SparkSession, folder: str, schema: str | StructType, files_per_batch: int = 1) -> DataFrame:
@@ -17,16 +17,6 @@ def read_events(spark: SparkSession, folder: str, schema: str | StructType, file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(folder)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set and Spark runs on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="postlake-")
-    return found.rstrip("/")
-
-
 def drained(stream: DataFrame, folder: str) -> DataFrame:
     """What a stream holds now, in micro-batches appended to a new table in ``folder``; a run that's lost goes on from its checkpoint."""
     path = f"{folder}/drained-{uuid.uuid4().hex}"

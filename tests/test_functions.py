@@ -3,7 +3,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from postlake.functions import geo as G, text as X, url as U
+from postlake.functions import geo as G, text as X, url as U, vocabulary as V
+from postlake.functions.facts import Walk, text_facts
+from postlake.operators import rules as R
 
 
 def values(spark, inputs, make, kind="string"):
@@ -107,3 +109,36 @@ def test_countries_by_join_agree(spark):
 def test_zones(spark):
     got = values(spark, ["Must work EST hours", "central office", "european hours preferred", "overlap with PST required time", None], lambda c: G.detect_zones(c))
     assert [(r.zones, r.strict) for r in got] == [(["EST"], True), ([], False), (["CET"], False), (["PST"], True), ([], False)]
+
+
+US_CITIES = [
+    "San Francisco", "New York", "NYC", "Seattle", "Austin", "Boston", "Chicago", "Los Angeles", "Denver", "Atlanta", "Miami", "Washington DC", "Palo Alto", "Mountain View", "Menlo Park",
+    "Sunnyvale", "San Jose", "San Diego", "Portland", "Philadelphia",
+]
+
+
+def test_every_city_is_in_the_united_states(spark):
+    assert values(spark, [f"Office in {c}" for c in US_CITIES], G.countries_in) == [["united states"]] * 20
+    places = spark.createDataFrame([(c, "remote", "") for c in US_CITIES], "location string, remote_policy string, description string")
+    assert {r.o for r in R.evaluate(places, R.Policy()).select(F.filter("rules", lambda r: r.rule == "location")[0].outcome.alias("o")).collect()} == {"fail"}
+
+
+def test_one_walk_finds_all_kinds(spark):
+    text = "Weİ need Go, K8s and Node.js; PySpark. 3+ years of Python experience required. Must reside in Canada.\nOverlap with EST hours only. Hybrid, office in Boston, MA or across EMEA. NewYorker est, central office."
+    row = spark.createDataFrame([(text,), (None,)], "t string").select(text_facts(F.col("t"), "countries", "regions", "skills", "zones", "residency", "model", "years").alias("f")).collect()
+    f = row[0].f.asDict()
+    assert f == {"countries": ["canada", "united states"], "regions": ["emea"], "skills": ["python", "kubernetes", "javascript", "go", "spark"], "zones": ["EST"], "strict": True, "residency": ["canada"], "remote": False, "hybrid": True, "onsite": False, "low": 3.0, "high": None}
+    assert row[1].f.countries == [] and row[1].f.low is None and row[1].f.strict is False
+
+
+def test_zone_clauses_equal_a_search_of_all_clauses(spark):
+    import random
+    import re
+
+    rng, words = random.Random(5), ["est", "EST", "et", "central", "time zone", "hours", "overlap", "the", "must", "only", ".", "\n", "us hours", "CETs", "pt", "x" * 70]
+    for _ in range(300):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 40)))
+        want = {V.ZONE_PHRASES[p] for p in V.ZONE_PHRASES if p in text.lower()}
+        for clause in re.split(r"[.\n]", text):
+            want |= {V.ZONES[n.lower()] for a, n, b in re.findall(V.ZONE_IN_CONTEXT, clause, re.I) if re.search(V.TIME_WORDS, f"{a} {b}", re.I)}
+        assert Walk(("zones",), []).facts(text)["zones"] == sorted(want), text

@@ -38,7 +38,7 @@ def test_scopes(spark):
     ],
 )
 def test_experience(spark, text, want):
-    row = spark.createDataFrame([(text,)], "t string").select(R.required_experience("t").alias("y")).first().y
+    row = spark.createDataFrame([(text,)], "t string").select(R.required_experience(F.col("t")).alias("y")).first().y
     assert tuple(None if x is None or x != x else x for x in row) == want
 
 
