@@ -3,12 +3,13 @@
 Pages of a host share templates. Each page's containers are scored by the running text they hold, and the
 page votes for the path of its best container: tags with their classes, digits generalised. Votes are
 counted per host in Spark, and every page is extracted again from the containers on its host's winning
-path; a page without such a container, or with next to nothing in it, falls back on its own best one.
+path. What a page's own best container holds stays beside that: only furniture is dropped, no text for its share.
 A page is read once, in time and memory in proportion to its length, however deep its elements nest.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import Counter
@@ -21,7 +22,7 @@ from postlake.llm._shared import stored, table, text_batches
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
-      | <(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|xmp|object)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)
+      | <(?P<raw>script|style|noscript|template|textarea|title|iframe|xmp)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)
       | <(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>
       | </?[a-zA-Z][^>]*(?:>|\Z)
       | <[!?][^>]*(?:>|\Z)""",
@@ -31,38 +32,55 @@ _ATTR = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?![\w-
 _SPACE = re.compile(r"\s+")
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var object svg g defs path text tspan desc "
+    "math mi mn mo ms mtext mrow mspace mstyle msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mpadded mphantom menclose semantics annotation".split()
+)
 #: Elements that can hold an article.
 CONTAINERS = frozenset("article main section div td body".split())
 #: Elements that never belong to one.
 DROPPED = frozenset("nav footer aside form button select option head menu dialog audio video canvas map".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
-#: Words of a class or id that mark furniture of a page; they're compared with the name's parts.
+#: Words that mark furniture of a page, if a class or id is made of nothing but these and words that say where or how it lies.
 FURNITURE = frozenset(
     "nav navbar navigation menu menubar header masthead footer foot sidebar side aside rail ad ads adv advert adverts advertisement adsense advertising sponsor sponsored sponsors promo promotion promoted "
     "banner cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist respond replies reply discussion responses feedback disqus share sharing social related "
     "recommended recommendations breadcrumb breadcrumbs newsletter subscribe subscription signup login search widget widgets toolbar pagination pager skip copyright form".split()
 )
-#: Words beside which a furniture word only tells what a page has, as in "has-sidebar".
-TELLING = frozenset("has with no without".split())
+PLACING = frozenset(
+    "area bar block bottom box btn button col column container content down global icon icons inner item items left link links list main outer page panel post primary reader readers right row secondary section site slot "
+    "small large sticky fixed top unit up user wrap wrapper the and of for our my".split()
+)
 #: Blocks that end where the next of their kind begins.
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 LIST_ITEMS = frozenset("li dt dd".split())
-#: Share of running text that an ancestor has to add to the best container to take its place; the whole page has to add more.
-ADDED, ADDED_BY_BODY = 0.1, 0.5
-#: A host's path that holds less than this share of the characters of a page's own best container isn't followed on that page.
-FAIR = 0.2
+#: A block of running text has so many characters at least.
+RUNNING = 80
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def _marks(name: str) -> set[str]:
+    """The furniture words of one class or id; none if it also says something else, as "search-engines" does."""
+    words = {x.lower() for x in _PARTS.findall(name)}
+    return words & FURNITURE if words <= FURNITURE | PLACING else set()
+
+
+def path_key(parts: list[str]) -> str:
+    """The key of a path of generalised tags and classes from the page's root, of 32 digits however long the path is."""
+    key = b""
+    for part in parts:
+        key = hashlib.blake2b(key + part.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return key.hex()
+
+
 def _names(attrs: str) -> tuple[str, set[str], bool]:
-    """The generalised class, the words of class and id, and whether the element is hidden or of a dropped role."""
+    """The generalised class, the furniture words of class and id, and whether the element is hidden or of a dropped role."""
     css, words, gone = "", set(), False
     if attrs.strip():
         for name, *values in _ATTR.findall(attrs):
             value, name = "".join(values), name.lower()
             if name in ("class", "id"):
-                words |= {x.lower() for x in _PARTS.findall(value)}
+                words |= set().union(*map(_marks, value.split()))
                 if name == "class":
                     css = ".".join(sorted(re.sub(r"\d+", "#", x).replace("/", "|") for x in value.split()))
             elif name == "role":
@@ -78,8 +96,8 @@ class Page:
     """The blocks of text of a page, each with the elements it stands in. Furniture leaves no blocks."""
 
     def __init__(self, source: str):
-        # of each node its parent, tag, path's last part, hash of its path, and nearest container at or above it
-        self.parents, self.tags, self.parts, self.paths, self.homes = [-1], [""], [""], [0], [0]
+        # of each node its parent, tag, path's key, and nearest container at or above it
+        self.parents, self.tags, self.keys, self.homes = [-1], [""], [b""], [0]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self._heads: set[int] = set()  # blocks that are headings
         self._head = False
@@ -125,14 +143,12 @@ class Page:
                 continue
             css, words, gone = _names(m["attrs"])
             parent, _, dropped, inside = stack[-1]
-            marks = set() if words & TELLING or tag in ("body", "article", "main") else words & FURNITURE
-            marks -= {"header"} if inside else set()
+            marks = set() if tag in ("body", "article", "main") else words - ({"header"} if inside else set())
             gone |= tag in DROPPED or (tag == "header" and not inside) or bool(marks)
             part = f"{tag}.{css}" if css else tag
             self.parents.append(parent)
             self.tags.append(tag)
-            self.parts.append(part)
-            self.paths.append(hash((self.paths[parent], part)))
+            self.keys.append(hashlib.blake2b(self.keys[parent] + part.encode("utf-8", "surrogatepass"), digest_size=16).digest())
             self.homes.append(len(self.tags) - 1 if tag in CONTAINERS else self.homes[parent])
             stack.append((len(self.tags) - 1, tag, dropped or gone, inside or tag in ("article", "main")))
             open_[tag] += 1
@@ -153,22 +169,15 @@ class Page:
                 self.blocks.append((node, text, self._linked))
         self._text, self._linked = [], 0
 
-    def _path(self, node: int) -> str:
-        parts = []
-        while node:
-            parts.append(self.parts[node])
-            node = self.parents[node]
-        return "".join("/" + x for x in reversed(parts))
-
     def best(self) -> int:
         """The container with most running text: a block counts for its container, and half for the next one out.
 
-        An article round it takes its place, and else an ancestor that adds running text, or a main part whose heading stands before it.
+        An article round it takes its place, and else the outermost ancestor that adds text to it, see :meth:`_widened`.
         """
         scores: dict[int, float] = {}
         for node, text, linked in self.blocks:
             plain = max(0, len(text) - 2 * linked)
-            worth = plain * (1.0 if len(text) >= 80 else 0.3)
+            worth = plain * (1.0 if len(text) >= RUNNING else 0.3)
             home = self.homes[node]
             scores[home] = scores.get(home, 0) + worth
             if home:
@@ -179,37 +188,34 @@ class Page:
         return self._widened(max(scores, key=lambda n: (scores[n], n))) if scores else 0
 
     def vote(self) -> tuple[str, int]:
-        """Path of the best container and the characters it holds; 0 for a page without text."""
+        """Key of the best container's path and the characters it holds; 0 for a page without text."""
         best = self.best()
-        return self._path(best), sum(len(text) for _, text in self._within(lambda n: n == best))
+        return self.keys[best].hex(), sum(len(text) for _, text in self._within(lambda n: n == best))
 
     def _widened(self, node: int) -> int:
+        """The outermost container round ``node`` that adds to it: any text that isn't all links, of the whole body a block of running text.
+
+        So introductions, headings and notes that stand beside an article's body stay with it, however short they are.
+        """
         out = node
         while out and self.tags[out] != "article":
             out = self.parents[out]
         if out:
             return out
-        running = [0] * len(self.tags)  # characters of long blocks at and below a node
-        first = [len(self.blocks)] * len(self.tags)
-        head = first.copy()  # first block and first heading there
-        for at, (home, text, linked) in enumerate(self.blocks):
-            running[home] += max(0, len(text) - 2 * linked) if len(text) >= 80 else 0
-            first[home] = min(first[home], at)
-            if at in self._heads:
-                head[home] = min(head[home], at)
+        some, running = [0] * len(self.tags), [0] * len(self.tags)  # blocks at and below a node
+        for home, text, linked in self.blocks:
+            plain = len(text) - 2 * linked
+            some[home] += plain > 0
+            running[home] += plain > 0 and len(text) >= RUNNING
         for i in range(len(self.tags) - 1, 0, -1):
-            parent = self.parents[i]
-            running[parent] += running[i]
-            first[parent], head[parent] = min(first[parent], first[i]), min(head[parent], head[i])
+            some[self.parents[i]] += some[i]
+            running[self.parents[i]] += running[i]
         out = node
-        while out and self.tags[node] not in ("main", "body"):
+        while out:
             out = self.homes[self.parents[out]]
-            tag = self.tags[out]
-            share = ADDED if out and tag != "body" else ADDED_BY_BODY
-            if running[node] and running[out] - running[node] >= share * running[node] or tag == "main" and head[out] < first[node]:
+            counted = some if out and self.tags[out] != "body" else running
+            if counted[out] > counted[node]:
                 node = out
-            if tag in ("main", "body"):
-                break
         return node
 
     def _within(self, chosen) -> list[tuple[int, str]]:
@@ -220,17 +226,10 @@ class Page:
         return [(node, text) for node, text, _ in self.blocks if held[node]]
 
     def text(self, path: str | None) -> str:
-        """The blocks in containers on ``path``, or in the best container if the path holds little beside it."""
+        """The blocks of the containers whose path has the key ``path`` and of the page's best container, in page order."""
         best = self.best()
-        own = self._within(lambda n: n == best)
-        if path is not None:
-            wanted = 0
-            for part in path.split("/")[1:]:
-                wanted = hash((wanted, part))
-            found = self._within(lambda n: self.paths[n] == wanted)
-            if found and sum(len(x) for _, x in found) >= FAIR * sum(len(x) for _, x in own):
-                own = found
-        return "\n".join(x for _, x in own)
+        wanted = bytes.fromhex(path) if path else None
+        return "\n".join(x for _, x in self._within(lambda n: n == best or self.keys[n] == wanted))
 
 
 def extract(source: str, path: str | None) -> str:
@@ -250,7 +249,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path): the path with most votes per host; ties go to the higher score, then to the greater path."""
+    """(host, path): the key of the path with most votes per host; ties go to the higher score, then to the greater key."""
     rows = pages.select(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html")).where("host IS NOT NULL")
     votes = rows.mapInPandas(_vote, "host string, path string, votes long, score long")
     totals = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
@@ -260,8 +259,8 @@ def host_paths(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text) per row of ``pages``: the main text, one line per block.
 
-    Null or empty html gives an empty text. A page whose url is null or has no host, or whose host's
-    path it lacks or nearly leaves empty, is extracted from its own best container. Repeated rows stay repeated,
+    Null or empty html gives an empty text. A page whose url is null or has no host, or that lacks its host's
+    path, is extracted from its own best container. Repeated rows stay repeated,
     other columns are not read. The table of winning paths is broadcast only if it is below Spark's
     threshold; beyond it, pages are joined by sort-merge and hot hosts are split.
     """

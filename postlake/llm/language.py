@@ -8,6 +8,7 @@ score; narrow margins are rejected.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -20,9 +21,9 @@ from postlake.llm._shared import stored, table, text_batches
 
 UNKNOWN = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
-#: Bytes of a language's dictionary, sample documents per language, and languages learned at most, those with most documents.
-DICTIONARY_BYTES, SAMPLE_DOCS, LANGUAGES = 256 << 10, 200, 400
-#: Bytes of the pieces that a long sample text is represented by, which lie evenly over it.
+#: Bytes of a language's dictionary and of all dictionaries at most, and sample documents per language.
+DICTIONARY_BYTES, ALL_BYTES, SAMPLE_DOCS = 256 << 10, 64 << 20, 200
+#: Bytes of the pieces that a text longer than its share of a full dictionary is represented by, which lie evenly over it.
 EVEN = 256
 #: Bytes encoded at a time, the level, and the level that decides between equal sizes.
 PIECE, LEVEL, FINE_LEVEL = 2048, 6, 19
@@ -40,27 +41,43 @@ def evenly(data: bytes, most: int) -> bytes:
     """``data``, or pieces of ``EVEN`` bytes from all over it, each from a word's beginning, that make about ``most`` bytes."""
     if len(data) <= most:
         return data
-    pieces = max(1, most // EVEN)
-    starts = (data.find(b" ", int(x)) for x in np.linspace(0, len(data) - EVEN, pieces))
-    return b"".join(data[s : s + EVEN] for s in starts if s >= 0)
+    width = max(1, min(EVEN, most))
+    starts = (data.find(b" ", int(x)) for x in np.linspace(0, len(data) - width, most // width))
+    return b"".join(data[s : s + width] for s in starts if s >= 0)
+
+
+def level_share(sizes: list[int], room: int) -> int:
+    """The most bytes that a text may bring so that all fit into ``room``: shorter texts leave their rest to longer ones."""
+    left = len(sizes)
+    for size in sorted(sizes):
+        if size * left > room:
+            return room // left
+        room -= size
+        left -= 1
+    return max(sizes, default=0)
 
 
 class Languages:
     """Encoders with one dictionary per language; languages that equal sizes can't tell apart go by ``prior`` order."""
 
     def __init__(self, dictionaries: dict[str, bytes], prior: list[str]):
+        self.dictionaries = dictionaries
         self.names = [x for x in prior if x in dictionaries]
-        self.levels = {}
-        for level in (LEVEL, FINE_LEVEL):
+        self.levels: dict[int, list[zstandard.ZstdCompressor]] = {}
+
+    def encoders(self, level: int) -> list[zstandard.ZstdCompressor]:
+        """The encoders of a level, made when it's first needed: few texts ask for the finer one."""
+        if level not in self.levels:
             self.levels[level] = []
             for name in self.names:
-                d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d = zstandard.ZstdCompressionDict(self.dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=level)
                 self.levels[level].append(zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+        return self.levels[level]
 
     def sizes(self, data: bytes, level: int) -> np.ndarray:
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-        return np.array([sum(len(c.compress(x)) for x in pieces) for c in self.levels[level]])
+        return np.array([sum(len(c.compress(x)) for x in pieces) for c in self.encoders(level)])
 
     def predict(self, text: str | None) -> tuple[str, float]:
         data = letters(text) if text else b""
@@ -79,35 +96,58 @@ class Languages:
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> tuple[dict[str, bytes], list[str]]:
     """Dictionaries by language, and the languages by falling number of documents, from rows with a language and a text.
 
-    The sample is bounded: the ``LANGUAGES`` most frequent languages, and of each the ``SAMPLE_DOCS`` documents with
-    the smallest hashes. A dictionary holds all of these documents, each as whole as an equal share of
-    ``DICTIONARY_BYTES`` allows, longer ones by pieces from all over them. This much per language comes to
-    the driver. The ranking is cut down before the shuffle, so a hot language is no hot partition.
+    The sample is bounded in documents: of each language the ``SAMPLE_DOCS`` with the smallest hashes. A dictionary
+    holds all of their texts whole where they fit into ``DICTIONARY_BYTES`` (or an equal share of ``ALL_BYTES``, if there are more than
+    256 languages). Where they don't, it's full: each text is whole up to a share that's as large as possible, and longer ones are represented by
+    pieces from all over them. This much per language comes to the driver. The ranking is cut down before
+    the shuffle, so a hot language is no hot partition.
     """
     text_batches(docs.sparkSession)
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    prior = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    prior = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = known.where(F.col("lang").isin(prior)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("at", F.row_number().over(order)).where(F.col("at") <= SAMPLE_DOCS)
+    chosen = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("at", F.row_number().over(order)).where(F.col("at") <= SAMPLE_DOCS)
     chosen = stored(chosen.select("doc_id", "lang", "at").dropDuplicates(["doc_id", "lang"]), "language-sample")
 
     @F.pandas_udf("binary")
-    def taken(texts: pd.Series) -> pd.Series:
-        return pd.Series([evenly(letters(x), DICTIONARY_BYTES // SAMPLE_DOCS) for x in texts], dtype=object)
+    def plain(texts: pd.Series) -> pd.Series:
+        return pd.Series([letters(x) for x in texts], dtype=object)
 
-    sample = known.join(chosen, ["doc_id", "lang"]).select("lang", "at", taken("text").alias("data"))
     # of rows that repeat a sampled doc_id the one with the smallest data counts
-    sample = sample.groupBy("lang", "at").agg(F.min("data").alias("data")).orderBy("lang", "at").toPandas()
-    dictionaries = {name: found for name, rows in sample.groupby("lang", sort=True) if (found := b"".join(rows["data"]))}
+    sample = known.join(chosen, ["doc_id", "lang"]).select("lang", "at", plain("text").alias("data")).groupBy("lang", "at").agg(F.min("data").alias("data"))
+    sample = stored(sample, "language-texts")
+    sizes = sample.select("lang", F.octet_length("data").alias("size")).toPandas().groupby("lang")["size"].apply(list)
+    room = min(DICTIONARY_BYTES, ALL_BYTES // max(1, len(sizes)))
+    shares = {name: level_share(found, room) for name, found in sizes.items()}
+
+    @F.pandas_udf("binary")
+    def taken(langs: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([evenly(bytes(x), shares[name]) for name, x in zip(langs, data, strict=True)], dtype=object)
+
+    rows = sample.select("lang", "at", taken("lang", "data").alias("data")).orderBy("lang", "at").toPandas()
+    dictionaries = {name: found for name, part in rows.groupby("lang", sort=True) if (found := b"".join(part["data"]))}
     return dictionaries, prior
 
 
+#: The languages of the model that this process used last, by the model's digest.
+_LAST: dict[str, Languages] = {}
+
+
+def _languages(digest: str, model: tuple[dict[str, bytes], list[str]]) -> Languages:
+    if digest not in _LAST:
+        _LAST.clear()
+        _LAST[digest] = Languages(*model)
+    return _LAST[digest]
+
+
 def predictor(model: tuple[dict[str, bytes], list[str]]):
     """A column function from a text to (lang_pred, score)."""
 
+    digest = hashlib.sha256(repr(model).encode()).hexdigest()
+
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        languages = Languages(*model)
+        languages = _languages(digest, model)  # tasks of a process share them
         for texts in batches:
             yield pd.DataFrame([languages.predict(x) for x in texts], columns=["lang_pred", "score"])
 

@@ -121,20 +121,35 @@ def test_letters_decide_what_is_undetermined():
     assert L.letters("½ ² ③ 12 _") == b"" and L.letters("é½") and L.letters("我") and L.letters("x²")
 
 
-def test_dictionaries_hold_all_of_long_texts(spark):
+def test_dictionaries_are_full_of_long_texts(spark):
     rng = random.Random(7)
-    front = "boilerplate " * 3000
-    docs = [(i, front + " ".join(f"{lang}{''.join(rng.choices('abcdefghij', k=6))}" for _ in range(3000)), lang) for i, lang in enumerate(["aa", "bb"] * 4)]
+    word = lambda lang: lang + "".join(rng.choices("abcdefghij", k=6))
+    long = [(i, " ".join(word("aa") for _ in range(11_000)), "aa") for i in range(3)]
+    mixed = [(10 + i, " ".join(word("bb") for _ in range(30 if i else 40_000)), "bb") for i in range(5)]
+    dictionaries, _ = L.train(spark.createDataFrame(long + mixed, SCHEMA))
+    for data in dictionaries.values():
+        assert 0.97 * L.DICTIONARY_BYTES < len(data) <= L.DICTIONARY_BYTES
+    assert dictionaries["aa"].count(b" aa") > 25_000  # of 33,000
+    for _, text, _ in mixed[1:]:
+        assert L.letters(text) in dictionaries["bb"]  # short texts are whole, the long one has the rest
+
+
+def test_texts_that_fit_are_whole(spark):
+    docs = [(i, f"Text {chr(97 + i % 26)}{i} " + "words " * i * 3, "x") for i in range(150)]
     dictionaries, _ = L.train(spark.createDataFrame(docs, SCHEMA))
-    for lang, data in dictionaries.items():
-        assert data.count(b" " + lang.encode()) > 100 and len(data) <= L.DICTIONARY_BYTES
+    assert len(dictionaries["x"]) == sum(len(L.letters(t)) for _, t, _ in docs) and all(L.letters(t) in dictionaries["x"] for _, t, _ in docs)
 
 
-def test_languages_are_bounded_by_frequency(spark, monkeypatch):
-    monkeypatch.setattr(L, "LANGUAGES", 2)
-    df = spark.createDataFrame([(i, f"word{i} and more", "abc"[min(2, i // 5)]) for i in range(11)], SCHEMA)
+def test_shares():
+    assert L.level_share([5, 5, 5], 100) == 5 and L.level_share([100, 100, 100], 30) == 10
+    assert L.level_share([1, 2, 100, 100], 43) == 20 and L.level_share([], 5) == 0
+
+
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(L, "ALL_BYTES", 3000)
+    df = spark.createDataFrame([(i, f"word{i} and more " * 9, f"l{i % 30}") for i in range(90)], SCHEMA)
     dictionaries, prior = L.train(df)
-    assert prior == ["a", "b"] and set(dictionaries) == {"a", "b"}
+    assert len(dictionaries) == len(prior) == 30 and sum(map(len, dictionaries.values())) <= 3000
 
 
 def test_language_query_against_a_plain_version(spark, sf_dir):

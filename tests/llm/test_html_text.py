@@ -34,6 +34,8 @@ def page(main: str, before: str = "", after: str = "") -> str:
         ("", ""),
         ("<script>only</script>", ""),
         ("<p>a < b <c", "a < b"),
+        (f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object data='x'>its text</object> <svg><title>gone</title><text>drawn</text></svg>.</p></article>", f"{LONG} x=2 and its text drawn."),
+        (page(f"<article><div class='search-engines'><p>{LONG}</p></div><div id='form-of-address'>{LONG}</div><div class='ad-slot-3'>gone</div><p>{LONG}</p></article>"), f"{LONG}\n{LONG}\n{LONG}"),
         ('<p title="a>b">x</p>', "x"),
     ],
 )
@@ -46,6 +48,8 @@ def test_one_page(source, want):
     [
         (f"<article><h1>T</h1><div class='content'><p>{LONG}<p>{LONG}</div></article>", ["T", LONG, LONG]),
         (f"<article><div class='intro'><p>{LONG}</div><div class='body'>{f'<p>{LONG}' * 4}</div></article>", [LONG] * 5),
+        (f"<div class='post'><div class='intro'><p>{LONG}</p></div><div class='body'>{f'<p>{LONG}</p>' * 12}</div></div>", [LONG] * 13),
+        (f"<div class='post'><div class='by'>By me</div><div class='body'>{f'<p>{LONG}</p>' * 40}</div></div>", ["By me"] + [LONG] * 40),
         (f"<div class='post'><div class='a'><div class='x'><p>{LONG}</div><div class='y'><p>{LONG}</div></div><div class='b'><p>{LONG}</div></div>", [LONG] * 3),
     ],
 )
@@ -57,18 +61,19 @@ def test_the_host_decides(spark):
     shared = "<div class='box3'><p>{}</p></div><div class='story'><p>{}</p></div>"
     rows = [(i, "http://a.io/x", page(shared.format("short", LONG))) for i in range(5)]
     short = LONG[:60]
-    rows.append((5, "http://a.io/y", page(shared.format(LONG + LONG, short))))  # by itself it would take the other box
-    rows.append((8, "http://a.io/w", page(shared.format(LONG + LONG, "tiny"))))  # next to nothing on the host's path
+    rows.append((5, "http://a.io/y", page(shared.format(LONG + LONG, short))))  # by itself it would take the other box only
+    rows.append((8, "http://a.io/w", page(shared.format(LONG + LONG, "tiny"))))
     rows.append((6, "http://b.io/y", page(shared.format(LONG + LONG, "tiny"))))
     rows.append((7, "http://a.io/z", page(f"<div class='other'><p>{LONG}</p></div>")))
     got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [got[i] for i in range(5)] == [LONG] * 5
-    assert got[5] == short and got[6] == got[8] == LONG + LONG and got[7] == LONG
+    assert got[5] == f"{LONG}{LONG}\n{short}" and got[8] == f"{LONG}{LONG}\ntiny"  # nothing gives way for its share
+    assert got[6] == LONG + LONG and got[7] == LONG
 
 
 def test_digits_of_classes_are_one(spark):
     rows = [(i, "http://a.io", page(f"<div class='post-{i}'><p>{LONG}</p></div>")) for i in range(4)]
-    assert [r.path for r in H.host_paths(spark.createDataFrame(rows, SCHEMA)).collect()] == ["/body/div.post-#"]
+    assert [r.path for r in H.host_paths(spark.createDataFrame(rows, SCHEMA)).collect()] == [H.path_key(["body", "div.post-#"])]
 
 
 def test_odd_rows(spark):
@@ -80,17 +85,27 @@ def test_odd_rows(spark):
     assert H.main_text(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("tail", ["", "</p>" * 1000, "</div>" * 100_000])
-def test_deep_nesting_takes_time_in_proportion(spark, tail):
-    deep = "<div class='a'>" * 100_000 + f"<p>{LONG}" + tail
+@pytest.mark.parametrize("tail", ["", "</p>", "</div>"])
+def test_deep_nesting_takes_time_and_memory_in_proportion(tail):
+    def page(n: int) -> str:
+        return "<div class='a'>" * n + f"<p>{LONG}" + tail * n
+
+    def run(n: int) -> None:
+        read = H.Page(page(n))
+        path, held = read.vote()
+        assert read.text(path) == LONG and held == len(LONG) and path == H.path_key(["div.a"] * n)
+
+    times = []
+    for n in (12_500, 100_000):
+        start = time.process_time()
+        run(n)
+        times.append(time.process_time() - start)
+    assert times[1] < 24 * times[0] + 0.5  # eight times as deep; 64 times would be the square
     tracemalloc.start()
-    start = time.process_time()
-    page = H.Page(deep)
-    path, held = page.vote()
-    assert page.text(path) == LONG and held == len(LONG) and path.count("/") == 100_000
+    run(25_000)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert time.process_time() - start < 15 and peak < 200 << 20  # tracing makes it several times slower
+    assert peak < 50 << 20
 
 
 def test_a_deep_page_on_its_hosts_path(spark):
@@ -135,4 +150,4 @@ def test_query_against_a_plain_reader(spark, sf_dir):
     want = plain_text(spark, sf_dir)
     assert set(got) == set(want) and all(r.n_chars == len(r.text) for r in got.values())
     assert all(not (set(got[i].text.split("\n")) - {""}) - set(want[i]) for i in want)  # no text from outside the article
-    assert sum(got[i].text.split("\n") == want[i] for i in want) >= 0.95 * len(want)
+    assert [i for i in want if [x for x in got[i].text.split("\n") if x] != want[i]] == []
