@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postlake.functions import geo as G, text as X, vocabulary as V
 from postlake.functions.facts import text_facts
-from postlake.operators import rules as R, score as K
+from postlake.operators import results as L, rules as R, score as K
+from postlake.operators.stored import stored
 from postlake.plans.base import NOW, WITH_POSTINGS, Tables, query
 from postlake.plans.normalisation import _POLICY, _SENIORITY, _SKILLS, _TITLE, with_policy
 
@@ -481,3 +482,55 @@ def x13(t: Tables) -> DataFrame:
     p = _pipeline(t)
     missing = F.concat_ws(",", F.when(F.col("facts").isNull(), "enrich"), F.when(F.col("semantic").isNull(), "embed"))
     return p.select("job_id", missing.alias("failed"), F.when(missing == "", "full").otherwise("degraded").alias("mode"), F.col("s.final_score").alias("score"))
+
+
+def _edited(postings: DataFrame) -> DataFrame:
+    """The catalogue after German postings moved to India."""
+    return postings.withColumn("location", F.when(F.col("lang") == "de", "India").otherwise(F.col("location")))
+
+
+def _hash() -> Column:
+    return L.content_hash(F.col("title"), F.col("location"), F.col("description")).alias("content_hash")
+
+
+_EDITED_EVALUATED = _EVALUATED.replace("postings AS (SELECT *, concat_ws(", "postings AS (SELECT * REPLACE (CASE WHEN lang = 'de' THEN 'India' ELSE location END AS location), concat_ws(")
+
+
+@query(
+    "X12_superseded",
+    f"{_EDITED_EVALUATED}SELECT job_id, CASE WHEN lang = 'de' AND remote_hint IS NOT NULL THEN 'superseded' ELSE 'landed' END AS first_verdict, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS work_id, CASE WHEN lang = 'de' AND remote_hint IS NULL THEN 2 ELSE 1 END AS version, status FROM evaluated",
+)
+def x12_superseded(t: Tables) -> DataFrame:
+    """Evaluations of the texts before an edit land after it: only those of unchanged postings and forced ones do, and none twice.
+
+    The evaluations of the edited texts land last.
+    """
+    now = _edited(t.postings)
+    catalogue = now.select("job_id", _hash())
+
+    def work(postings: DataFrame, work_id: int, force: Column) -> DataFrame:
+        hashes = postings.select("job_id", _hash(), force.alias("force"), F.lit(work_id).alias("work_id"))
+        status = R.evaluate(with_policy(postings), POLICY).select("job_id", F.col("eligibility.status").alias("status"))
+        return stored(hashes.join(status, "job_id"), "evaluations")
+
+    before = work(t.postings, 1, (F.col("lang") == "de") & F.col("remote_hint").isNull())
+    after = work(now.where("lang = 'de'"), 2, F.lit(False))
+    none = t.spark.createDataFrame([], "job_id long, work_id int, status string, version int")
+    first = stored(L.land(before, catalogue, none), "results")
+    second = stored(L.land(before.unionByName(after), catalogue, first), "results")
+    verdict = L.verdicts(before, catalogue, none).select("job_id", F.col("verdict").alias("first_verdict"))
+    return L.latest(second).join(verdict, "job_id").select("job_id", "first_verdict", "work_id", "version", "status")
+
+
+@query(
+    "X12_resume",
+    """SELECT doc_id AS job_id, CASE WHEN lang = 'de' OR l.quality IS NULL THEN 'eligibility' WHEN e.vec_id IS NULL THEN 'embed' ELSE 'rank' END AS stage
+  FROM documents LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels) l USING (doc_id) LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON vec_id = doc_id""",
+)
+def x12_resume(t: Tables) -> DataFrame:
+    """Where evaluations go on: after the labels and vectors that there are, from the beginning where the text was edited since."""
+    read = t.postings.select("job_id", _hash())
+    labelled = read.join(t.labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("job_id")), "job_id", "left_semi")
+    embedded = read.join(t.embeddings.select(F.col("vec_id").alias("job_id")), "job_id", "left_semi")
+    finished = labelled.select("*", F.explode(F.array(F.lit("eligibility"), F.lit("enrich"))).alias("stage")).unionByName(embedded.withColumn("stage", F.lit("embed")))
+    return L.next_stage(finished, _edited(t.postings).select("job_id", _hash())).select("job_id", "stage")

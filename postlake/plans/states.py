@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from postlake.operators import catalog as C, scope, states as T
+from postlake.operators import catalog as C, scope, states as T, stored
 from postlake.plans.base import Tables, query
-from postlake.streaming import events as arrivals, folds
+from postlake.streaming import delivery, events as arrivals, folds, polling
 
 _OUTCOME = "CASE event_type WHEN 'purchase' THEN 'new_jobs' WHEN 'view' THEN 'no_change' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'rate_limited' ELSE 'no_change' END"
 
@@ -48,6 +48,44 @@ def x16(t: Tables) -> DataFrame:
     return folds.poll_loop().batch(polls, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "interval", "sleep", "failures", "circuit_open")
 
 
+_SAID = "CASE WHEN n = 1 THEN 'start' WHEN event_type = 'purchase' THEN 'new_jobs' WHEN event_type = 'view' THEN 'no_change' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'click' THEN 'poll_now' WHEN event_id % 2 = 0 THEN 'stop' ELSE 'start' END"
+
+
+def _said(t: Tables) -> DataFrame:
+    """Rows about sources: users as sources, their events as outcomes of polls and as signals, a hundred times as fast."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e8).alias("at")
+    return t.events.withColumn("n", n).select("user_id", "event_id", at, F.expr(_SAID).alias("kind"), F.lit(None).cast("double").alias("retry_after"))
+
+
+@query(
+    "X16_timers",
+    f"""WITH RECURSIVE r AS (SELECT user_id, event_id, epoch(ts)::DOUBLE / 100 AS tm, {_SAID} AS kind, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)),
+  f AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 'stopped' AS mode, 0.0::DOUBLE AS until, 0::INT AS interval, 0::INT AS failures, false AS wake, CAST([] AS DOUBLE[]) AS due FROM r
+    UNION ALL SELECT user_id, n, event_id, CASE WHEN starts OR woken OR again THEN 'polling' WHEN kind = 'start' AND m = 'ending' THEN 'polling' WHEN kind = 'stop' THEN CASE WHEN m IN ('polling', 'ending') THEN 'ending' ELSE 'stopped' END
+        WHEN ended AND m = 'ending' THEN 'stopped' WHEN ended AND opened THEN 'circuit' WHEN ended THEN 'sleeping' ELSE m END,
+      CASE WHEN starts OR woken OR again OR kind = 'stop' OR (ended AND m = 'ending') THEN 0 WHEN ended THEN tm + sleep ELSE u END::DOUBLE,
+      CASE WHEN starts THEN 60 WHEN ended THEN step ELSE interval END::INT, CASE WHEN starts THEN 0 WHEN ended THEN fails ELSE failures END::INT,
+      CASE WHEN starts OR woken OR ended OR kind = 'stop' THEN false WHEN kind = 'poll_now' THEN w OR m = 'polling' ELSE w END,
+      list_concat(fired, CASE WHEN starts OR woken OR again THEN [tm] ELSE [] END)
+    FROM (SELECT *, kind = 'start' AND m = 'stopped' AS starts, kind = 'poll_now' AND m = 'sleeping' AS woken, ended AND m = 'polling' AND w AND NOT opened AS again FROM (
+      SELECT *, kind IN ('new_jobs', 'no_change', 'failed') AND m IN ('polling', 'ending') AS ended, kind = 'failed' AND k >= 5 AS opened,
+        CASE kind WHEN 'new_jobs' THEN 60 WHEN 'no_change' THEN quieter ELSE CASE WHEN k >= 5 THEN 3600 ELSE interval END END AS step,
+        CASE kind WHEN 'new_jobs' THEN 60 WHEN 'no_change' THEN quieter ELSE CASE WHEN k >= 5 THEN 21600 ELSE least(14400, interval * 2 ** (k - 1)) END END AS sleep,
+        CASE WHEN kind = 'failed' AND k < 5 THEN k ELSE 0 END AS fails
+      FROM (SELECT r.*, f.interval, f.failures, f.failures + 1 AS k, late AS late_, CASE WHEN late THEN 'polling' ELSE f.mode END AS m, CASE WHEN late THEN 0 ELSE f.until END AS u, f.wake AND NOT late AS w,
+          CASE WHEN late THEN [f.until] ELSE CAST([] AS DOUBLE[]) END AS fired,
+          CASE WHEN f.interval <= 90 THEN 120 WHEN f.interval <= 210 THEN 300 WHEN f.interval <= 450 THEN 600 WHEN f.interval <= 750 THEN 900 WHEN f.interval <= 1350 THEN 1800 ELSE 3600 END AS quieter
+        FROM (SELECT f.*, r.tm AS row_tm, f.mode IN ('sleeping', 'circuit') AND f.until <= r.tm AS late FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1) f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1))))
+  SELECT event_id, mode, round(until, 3) AS until, interval, failures, len(due) AS n_due, round(due[1], 3) AS first_due, round(due[-1], 3) AS last_due FROM f WHERE n > 0""",
+)
+def x16_timers(t: Tables) -> DataFrame:
+    """When each source became due: by its timer, woken early, or not at all as it was stopped or its circuit open."""
+    found = polling.poll_timers().batch(_said(t), ["user_id"], ["at", "event_id"])
+    due = lambda i: F.round(F.try_element_at("due", F.lit(i)), 3)
+    return found.select("event_id", "mode", F.round("until", 3).alias("until"), "interval", "failures", F.size("due").cast("long").alias("n_due"), due(1).alias("first_due"), due(-1).alias("last_due"))
+
+
 @query("X17_record_poll", f"SELECT user_id, max(ts) AS last_polled_at, max(ts) FILTER (WHERE {_OUTCOME} <> 'failed') AS last_success_at, count(*) FILTER (WHERE {_OUTCOME} = 'failed') AS failures FROM events GROUP BY 1")
 def x17(t: Tables) -> DataFrame:
     failed = _outcome() == "failed"
@@ -158,7 +196,34 @@ def x27(t: Tables) -> DataFrame:
     stream = arrivals.read_events(t.spark, f"{t.folder}/events.parquet", t.events.schema)
     sent = stream.select("event_id", F.col("event_type").alias("source_id"), F.when(F.col("user_id") % 3 != 0, F.col("user_id") % 5).alias("workspace_id"))
     followed = t.spark.sql("SELECT explode(array('error', 'purchase')) AS source_id")
-    return arrivals.drained(arrivals.audience(sent, followed, 1).select("event_id"), arrivals.shared_folder(t.spark))
+    return arrivals.drained(arrivals.audience(sent, followed, 1).select("event_id"), stored.shared_folder(t.spark))
+
+
+_HUB_ROWS = """CASE event_type WHEN 'signup' THEN 'connect' WHEN 'error' THEN 'disconnect' WHEN 'click' THEN 'take' ELSE 'event' END AS kind, CAST(event_id % 6 AS INT) AS client,
+  CASE WHEN event_type = 'signup' THEN event_id % 2 WHEN event_id % 3 < 2 THEN event_id % 3 END AS workspace_id, CASE WHEN event_type = 'signup' THEN event_id % 4 = 0 ELSE event_id % 2 = 0 END AS followed"""
+
+
+@query(
+    "X27_bounded_queues",
+    f"""WITH RECURSIVE r AS (SELECT user_id, event_id, {_HUB_ROWS}, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  f AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BOOLEAN AS admitted, 0::INT AS delivered, 0::INT AS dropped, list_transform(range(6), lambda i: {{'q': -1, 'w': -1, 's': false}}) AS held FROM r
+    UNION ALL SELECT user_id, n, event_id, CASE WHEN kind = 'connect' THEN lets END,
+      CASE WHEN kind = 'take' THEN greatest(0, least(2, held[client + 1].q)) WHEN kind = 'event' THEN len(list_filter(range(6), lambda i: sees[i + 1] AND held[i + 1].q < 3)) ELSE 0 END::INT,
+      CASE WHEN kind = 'event' THEN len(list_filter(range(6), lambda i: sees[i + 1] AND held[i + 1].q >= 3)) ELSE 0 END::INT,
+      list_transform(range(6), lambda i: {{
+        'q': (CASE WHEN kind = 'event' AND sees[i + 1] THEN CASE WHEN held[i + 1].q >= 3 THEN -1 ELSE held[i + 1].q + 1 END WHEN i <> client THEN held[i + 1].q WHEN kind = 'connect' THEN CASE WHEN lets THEN 0 ELSE held[i + 1].q END
+          WHEN kind = 'disconnect' THEN -1 WHEN kind = 'take' AND held[i + 1].q > 0 THEN greatest(0, held[i + 1].q - 2) ELSE held[i + 1].q END)::INT,
+        'w': (CASE WHEN i = client AND kind = 'connect' AND lets THEN workspace_id ELSE held[i + 1].w END)::INT, 's': CASE WHEN i = client AND kind = 'connect' AND lets THEN followed ELSE held[i + 1].s END}})
+    FROM (SELECT *, held[client + 1].q >= 0 OR len(list_filter(held, lambda h: h.q >= 0)) < 4 AS lets, list_transform(held, lambda h: h.q >= 0 AND CASE WHEN workspace_id IS NOT NULL THEN h.w = workspace_id ELSE h.s AND followed END) AS sees
+      FROM (SELECT r.*, held FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)))
+  SELECT event_id, admitted, delivered, dropped, CAST(len(list_filter(held, lambda h: h.q >= 0)) AS INT) AS connected FROM f WHERE n > 0""",
+)
+def x27_queues(t: Tables) -> DataFrame:
+    """Clients that are admitted, read, fall behind and are dropped; an instance is a user, its rows are the user's events."""
+    rows = t.events.select("user_id", "ts", "event_id", *[F.expr(x.replace("INT)", "STRING)")) for x in _HUB_ROWS.split(",\n")[0].split(", ")], *[F.expr(x) for x in _HUB_ROWS.split(",\n")[1].split(", ")], F.lit(2).alias("n"))
+    rows = rows.withColumn("sources", F.when(F.col("followed"), F.array(F.lit("s"))))
+    found = delivery.hub(4, 3).batch(rows, ["user_id"], ["ts", "event_id"])
+    return found.select("event_id", "admitted", "delivered", F.size("dropped").alias("dropped"), "connected")
 
 
 @query("X28_event_numbers", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number FROM events WHERE event_type <> 'view'")
@@ -167,6 +232,25 @@ def x28(t: Tables) -> DataFrame:
     return t.events.where("event_type <> 'view'").select("event_id", number.cast("long").alias("number"))
 
 
+@query("X28_numbered_stream", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS number FROM events WHERE user_id % 5 = 1 OR event_type IN ('error', 'view')")
+def x28_stream(t: Tables) -> DataFrame:
+    """Numbers that go on over the micro-batches of a stream that's stopped half-way and started again; events arrive in four files by time."""
+    folder = stored.fresh_path(t.spark, "numbered-stream")
+    events = t.events.select("event_id", "user_id", "ts", F.col("event_type").alias("source_id"), F.when(~F.col("event_type").isin("error", "view"), F.col("user_id") % 5).alias("workspace_id"))
+    bounds = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(F.min("us").alias("low"), F.max("us").alias("high"))
+    quarter = F.least(F.lit(3), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.col("low")) * 4 / F.greatest(F.lit(1), F.col("high") - F.col("low"))))
+    timed = events.join(F.broadcast(bounds)).withColumn("quarter", quarter).drop("low", "high")
+    routed = F.when(F.col("user_id") % 5 == 1, F.lit(1)).otherwise(F.col("workspace_id"))  # a user's own events go to their workspace, whatever their source
+    timed = timed.withColumn("workspace_id", F.when(F.col("workspace_id").isNull() & (F.col("user_id") % 5 != 1), None).otherwise(routed))
+    sink = delivery.NumberedSink(t.spark, folder, "user_id", ["ts", "event_id"], lambda: t.spark.sql("SELECT explode(array('error', 'view')) AS source_id"), 1)
+    for start in (0, 2):
+        for n in (start, start + 1):
+            timed.where(F.col("quarter") == n).drop("quarter").coalesce(1).write.parquet(f"{folder}/in/{n}")
+        stream = arrivals.read_events(t.spark, f"{folder}/in", timed.drop("quarter").schema)
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return sink.read().select("event_id", F.col("number").cast("long").alias("number"))
+
+
 @query("X29_feed_ring", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50")
 def x29(t: Tables) -> DataFrame:
     newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))

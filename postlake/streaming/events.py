@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from postlake.operators import catalog, states
-from postlake.operators.stored import shared_folder  # noqa: F401  callers name a stream's folder by it
 
 
 def read_events(spark: SparkSession, folder: str, schema: str | StructType, files_per_batch: int = 1) -> DataFrame:
