@@ -35,9 +35,11 @@ def notification_outbox(tries: DataFrame) -> DataFrame:
     return per.select("key", F.when(F.col("first").isNotNull(), "sent").otherwise("failed").alias("status"), F.coalesce("first", "all").cast("long").alias("attempts"))
 
 
-def backoff(first: int, most: int, attempts: int) -> Column:
-    """Seconds before each retry, doubling up to ``most``."""
-    return F.transform(F.sequence(F.lit(0), F.lit(attempts - 2)), lambda i: F.least(F.lit(most), (first * F.pow(F.lit(2), i)).cast("int")))
+def backoff(first: int, most: int, attempts: int | Column) -> Column:
+    """Seconds before each retry of so many attempts, doubling up to ``most``; none for a single attempt."""
+    retries = F.lit(attempts) - 1
+    waits = F.transform(F.sequence(F.lit(0), F.greatest(retries, F.lit(1)) - 1), lambda i: F.least(F.lit(float(most)), first * F.pow(F.lit(2.0), i)).cast("int"))
+    return F.when(retries > 0, waits).otherwise(F.array().cast("array<int>"))
 
 
 def within_quota(events: DataFrame, workspace: str, ts: str, tie: str, limit: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from postlake.sources import boards as B, demo, markup as M, notify
-from postlake.sources.policy import load_policy
+from postlake.sources.policy import read_policies
 from postlake.plans.base import Tables, query
 
 
@@ -18,10 +18,34 @@ def _listing(t: Tables, *items) -> DataFrame:
     return _per_listing(t).agg(F.to_json(F.struct(F.collect_list(F.struct(*items)).alias("jobs"))).alias("body")).drop("part")
 
 
-@query("C01_source", "SELECT 'demo-' || (n % 30) || CASE WHEN n >= 30 THEN '-r' || (n // 30) ELSE '' END AS external_id, 'Posting ' || (n % 30) AS title, n::INT AS released FROM range(6, 36) AS r(n)")
+_BOARD = "CASE CAST(length(source) + ascii(right(source, 1)) AS INT) % 7 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' WHEN 3 THEN 'rss' WHEN 4 THEN 'generic_json' WHEN 5 THEN 'fax' ELSE 'lever' END"
+_BROKEN = "CAST(length(source) + ascii(right(source, 1)) AS INT) % 7 = 6"
+
+
+def _boards(t: Tables) -> DataFrame:
+    """(source_id, kind, body): boards of all kinds with the documents as postings, in parts of up to 500; some are broken."""
+    id_, title, url = F.col("doc_id").cast("string"), F.concat(F.lit("Job "), F.coalesce("lang", F.lit("?"))), F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string"))
+    docs = t.documents.where("source IS NOT NULL").select("doc_id", F.col("source").alias("source_id"), F.expr(_BOARD).alias("kind"), F.expr(_BROKEN).alias("broken"), id_.alias("id"), title.alias("title"), url.alias("url"))
+    per = docs.groupBy("source_id", "kind", "broken", F.floor(F.col("doc_id") / 500).alias("part"))
+    jobs = lambda *fields: F.collect_list(F.struct(*fields))
+    entry = F.concat(F.lit("<item><title>"), "title", F.lit("</title><guid>"), "id", F.lit("</guid><link>"), "url", F.lit("</link></item>"))
+    bodies = {
+        "greenhouse": F.to_json(F.struct(jobs(F.col("doc_id").alias("id"), "title", F.col("url").alias("absolute_url")).alias("jobs"))),
+        "lever": F.to_json(jobs("id", F.col("title").alias("text"), F.col("url").alias("hostedUrl"))),
+        "ashby": F.to_json(F.struct(jobs("id", "title", F.col("url").alias("jobUrl")).alias("jobs"))),
+        "rss": F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(entry), ""), F.lit("</channel></rss>")),
+        "generic_json": F.to_json(F.struct(F.struct(jobs(F.col("id").alias("uid"), "title", "url").alias("items")).alias("data"))),
+    }
+    made = F.lit(None).cast("string")
+    for kind, body in bodies.items():
+        made = F.when(F.col("kind") == kind, body).otherwise(made)
+    return per.agg(made.alias("body")).select("source_id", "kind", F.when(F.col("broken"), F.concat(F.lit("<html>"), "body")).otherwise(F.col("body")).alias("body"))
+
+
+@query("C01_source", f"SELECT source AS source_id, {_BOARD} AS kind, CAST(doc_id AS VARCHAR) AS external_id, 'Job ' || coalesce(lang, '?') AS title, 'https://x.example/' || doc_id AS url FROM documents WHERE source IS NOT NULL AND {_BOARD} <> 'fax' AND NOT {_BROKEN}")
 def c01(t: Tables) -> DataFrame:
-    t.spark.dataSource.register(demo.DemoSource)
-    return t.spark.read.format("demo_board").option("polls", "11").load()
+    """The postings of boards of all kinds, each in the shape that every source gives."""
+    return B.read_boards(_boards(t))[0].select("source_id", "kind", "external_id", "title", "url")
 
 
 @query("C02_greenhouse", "SELECT CAST(doc_id AS VARCHAR) AS external_id, source AS source_id, 'Job ' || doc_id AS title, 'https://x.example/' || doc_id AS url, lang AS location, CASE WHEN doc_id % 2 = 0 THEN 'R&D' END AS department, epoch(TIMESTAMP '2024-06-01')::BIGINT AS published FROM documents WHERE doc_id % 9 <> 0")
@@ -88,20 +112,45 @@ def c07(t: Tables) -> DataFrame:
     return M.html_listing(t.pages, "li", {"title": "a"})
 
 
-@query("C09_demo_board", "SELECT 'demo-' || (n % 30) || CASE WHEN n >= 30 THEN '-r' || (n // 30) ELSE '' END AS external_id, (35 - n) * 7 AS minutes_ago FROM range(6, 36) AS r(n)")
+@query(
+    "C09_demo_board",
+    """WITH b AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, count(*) OVER (PARTITION BY source) AS size FROM documents WHERE source IS NOT NULL),
+  e AS (SELECT *, 6 + 3 * (10 + length(source)) AS final FROM b), r AS (SELECT *, unnest(range(0, 100)) AS round FROM e)
+  SELECT source AS source_id, doc_id, round::BIGINT AS round, ((final - 1 - n - round * size) * 7)::BIGINT AS minutes_ago FROM r WHERE n + round * size < final AND n + round * size >= final - 30""",
+)
 def c09(t: Tables) -> DataFrame:
-    return demo.visible(t.spark, 11)
+    """What the sources show if each releases its documents little by little, after as many polls as their names are long, and eleven."""
+    board = t.documents.where("source IS NOT NULL").select(F.col("source").alias("source_id"), "doc_id", (F.length("source") + 11).alias("polls"))
+    return demo.released(board, F.col("polls"), order="doc_id").select("source_id", "doc_id", F.col("round").cast("long").alias("round"), F.col("minutes_ago").cast("long").alias("minutes_ago"))
 
 
-@query("C10_kinds", "SELECT unnest(['ashby', 'demo', 'generic_json', 'greenhouse', 'lever', 'rss', 'static_html']) AS kind")
+@query(
+    "C10_kinds",
+    f"""WITH b AS (SELECT DISTINCT source, doc_id // 500 AS part, {_BOARD} AS kind, {_BROKEN} AS broken FROM documents WHERE source IS NOT NULL)
+  SELECT source AS source_id, kind, CASE WHEN kind = 'fax' THEN 'kind' ELSE 'unreadable' END AS reason, count(*) AS n FROM b WHERE kind = 'fax' OR broken GROUP BY ALL""",
+)
 def c10(t: Tables) -> DataFrame:
-    return t.spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in sorted(B.KINDS)])).alias("kind"))
+    """Boards of a kind that nothing reads, and of broken listings; they take no other board along."""
+    return B.read_boards(_boards(t))[1].groupBy("source_id", "kind", "reason").agg(F.count("*").alias("n"))
+
 
+_POLICY_TEXT = """CASE CAST(c_custkey % 6 AS INT) WHEN 0 THEN '{"experience_min": ' || (c_custkey % 9) || '}' WHEN 1 THEN '{"allowed_locations": ["' || n_name || '"], "allowed_work_models": ["remote", "hybrid"]}' WHEN 2 THEN '{"experienc_min": 1}'
+  WHEN 3 THEN '[1]' WHEN 4 THEN '{"experience_max": "much"}' ELSE '{"experience_min": 1.5, "experience_max": 9, "excluded_regions": []}' END"""
 
-@query("C21_policy", "SELECT 'remote' AS model, 2.0::DOUBLE AS experience_min, 6.0::DOUBLE AS experience_max")
+
+@query(
+    "C21_policy",
+    f"""SELECT c_custkey, problem, CASE WHEN problem IS NULL THEN CASE k WHEN 1 THEN n_name ELSE 'India,Worldwide' END END AS locations, CASE WHEN problem IS NULL THEN CASE k WHEN 1 THEN 'remote,hybrid' ELSE 'remote' END END AS models,
+    (CASE WHEN problem IS NULL THEN CASE k WHEN 0 THEN c_custkey % 9 WHEN 5 THEN 1.5 ELSE 3 END END)::DOUBLE AS experience_min, (CASE WHEN problem IS NULL THEN CASE k WHEN 5 THEN 9 ELSE 6 END END)::DOUBLE AS experience_max,
+    (CASE WHEN problem IS NULL THEN CASE k WHEN 5 THEN 0 ELSE 2 END END)::INT AS excluded
+  FROM (SELECT c_custkey, n_name, CAST(c_custkey % 6 AS INT) AS k, CASE CAST(c_custkey % 6 AS INT) WHEN 0 THEN CASE WHEN c_custkey % 9 > 6 THEN 'range' END WHEN 2 THEN 'unknown' WHEN 3 THEN 'unreadable' WHEN 4 THEN 'unreadable' END AS problem FROM customer JOIN nation ON n_nationkey = c_nationkey)""",
+)
 def c21(t: Tables) -> DataFrame:
-    policy = load_policy('{"experience_min": 2.0, "allowed_work_models": ["remote"]}')
-    return t.spark.range(1).select(F.lit(policy.allowed_work_models[0]).alias("model"), F.lit(policy.experience_min).alias("experience_min"), F.lit(policy.experience_max).alias("experience_max"))
+    """A policy per customer from JSON: defaults for what isn't named, and what's wrong with those that can't count."""
+    named = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.expr(_POLICY_TEXT).alias("policy"))
+    found = read_policies(named)
+    size = F.when(F.col("excluded_regions").isNotNull(), F.size("excluded_regions"))
+    return found.select("c_custkey", "problem", F.array_join("allowed_locations", ",").alias("locations"), F.array_join("allowed_work_models", ",").alias("models"), "experience_min", "experience_max", size.alias("excluded"))
 
 
 @query("C12_definitions", "SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 3 AND c_custkey % 4 <> 1")

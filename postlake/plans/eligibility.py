@@ -17,7 +17,6 @@ POLICY = R.Policy()
 HAVE = ["python", "docker", "kubernetes", "postgresql", "fastapi", "llm", "redis"]
 ROLES = ["AI Engineer", "Backend Developer"]
 _ALIASES = {a: c for c, aliases, _ in reversed(G.GAZETTEER) for a in (c, *aliases)}
-_COUNTRY = "CASE lower(trim(n_name)) " + " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in _ALIASES.items()) + " END"
 
 
 #: Cities of the oracles, on their own.
@@ -45,26 +44,51 @@ def _regions(x: str) -> str:
     return f"list_sort(list_filter([{', '.join(f'''CASE WHEN regexp_matches(lower({x}), '(^|[^a-z])({'|'.join(a)})([^a-z]|$)') THEN '{r}' END''' for r, a in by.items())}], lambda r: r IS NOT NULL))"
 
 
-_GAZETTEER_ROWS = ", ".join(f"('{c}', '{a}')" for c, aliases, _ in G.GAZETTEER for a in (c, *aliases))
-_MEMBERS = ", ".join(f"('{r}', '{c}')" for r, cs in G.region_members().items() for c in cs)
+# Fixed values of the oracles, on their own: how many names the gazetteer has for the nations, and which nations lie in its regions.
+_NAMES = {"argentina": 2, "brazil": 4, "canada": 11, "egypt": 2, "france": 2, "germany": 6, "india": 14, "indonesia": 2, "japan": 3, "kenya": 2, "peru": 2, "china": 4, "romania": 2, "saudi arabia": 2, "vietnam": 3, "united kingdom": 10, "united states": 8}
+_REGION_NATIONS = {
+    "americas": ["argentina", "brazil", "canada", "peru", "united states"], "apac": ["china", "india", "indonesia", "japan", "vietnam"], "asia": ["china", "india", "indonesia", "japan", "saudi arabia", "vietnam"],
+    "emea": ["egypt", "france", "germany", "kenya", "romania", "saudi arabia", "united kingdom"], "europe": ["france", "germany", "romania", "united kingdom"], "latam": ["argentina", "brazil", "peru"],
+    "north america": ["canada", "united states"],
+}
+#: Places of the nations, which have no names of their own, by number; and their countries.
+_PLACES = [
+    ("Argentina", "argentina"), ("Brasil", "brazil"), ("CANADA", "canada"), ("egypt", "egypt"), ("Paris", "france"), ("Deutschland", "germany"), ("Bengaluru", "india"), ("Indonesia", "indonesia"), ("Tokyo", "japan"),
+    ("Kenya", "kenya"), ("Lima", "peru"), ("Shanghai", "china"), ("Bucharest", "romania"), ("Riyadh", "saudi arabia"), ("hanoi", "vietnam"), ("U.K.", "united kingdom"), ("USA", "united states"), ("Algeria", None), ("Iran", None),
+    (" new delhi ", "india"), ("Scotland", "united kingdom"), ("são paulo", "brazil"), ("america", "united states"), ("Europe", None), ("New York", None),
+]
+_PLACED = "SELECT n_nationkey, country FROM nation JOIN (VALUES " + ", ".join(f"({i}, {'NULL' if c is None else repr(c)})" for i, (_, c) in enumerate(_PLACES)) + ") AS p(n, country) ON n = n_nationkey % 25"
+
+
+def _placed(t: Tables) -> DataFrame:
+    """(n_nationkey, country): nations by the country of their place."""
+    place = F.element_at(F.array(*[F.lit(x) for x, _ in _PLACES]), (F.col("n_nationkey") % 25 + 1).cast("int"))
+    names = G.gazetteer_table(t.spark).select(F.col("alias").alias("name"), "country")
+    return t.nation.select("n_nationkey", F.lower(F.trim(place)).alias("name")).join(names, "name", "left").select("n_nationkey", "country")
 
 
-@query("G01_gazetteer", f"SELECT country, alias FROM (VALUES {_GAZETTEER_ROWS}) AS g(country, alias)")
+@query("G01_gazetteer", f"SELECT n_nationkey, country, names::BIGINT AS names FROM ({_PLACED}) JOIN (VALUES {', '.join(f"('{c}', {n})" for c, n in _NAMES.items())}) AS g(country, names) USING (country)")
 def g01(t: Tables) -> DataFrame:
-    return G.gazetteer_table(t.spark).select("country", "alias")
+    """How many names the gazetteer has for each nation."""
+    names = G.gazetteer_table(t.spark).groupBy("country").agg(F.count("*").alias("names"))
+    return _placed(t).join(names, "country").select("n_nationkey", "country", "names")
+
+
+_IN_REGIONS = ", ".join(f"('{r}', '{c}')" for r, cs in _REGION_NATIONS.items() for c in cs)
 
 
-@query("G02_region_members", f"SELECT region, count(*) AS n FROM (VALUES {_MEMBERS}) AS m(region, country) GROUP BY 1")
+@query("G02_region_members", f"SELECT region, count(DISTINCT n_nationkey) AS nations, count(*) AS customers FROM customer JOIN ({_PLACED}) ON n_nationkey = c_nationkey JOIN (VALUES {_IN_REGIONS}) AS m(region, country) USING (country) GROUP BY 1")
 def g02(t: Tables) -> DataFrame:
+    """Nations and customers of each region of the gazetteer; customers are added up before they meet it."""
     rows = G.gazetteer_table(t.spark).select("country", F.explode("regions").alias("region")).distinct()
-    world = t.spark.sql("SELECT '*' AS country, 'worldwide' AS region")
-    return rows.unionByName(world).groupBy("region").agg(F.count("*").alias("n"))
+    per = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n")).join(_placed(t), "n_nationkey")
+    return rows.join(per, "country").groupBy("region").agg(F.count("*").alias("nations"), F.sum("n").alias("customers"))
 
 
-@query("G03_canonical_country", f"SELECT n_nationkey, {_COUNTRY} AS country FROM nation")
+@query("G03_canonical_country", _PLACED)
 def g03(t: Tables) -> DataFrame:
-    names = G.gazetteer_table(t.spark).select(F.col("alias").alias("name"), "country")
-    return t.nation.select("n_nationkey", F.lower(F.trim("n_name")).alias("name")).join(F.broadcast(names), "name", "left").select("n_nationkey", "country")
+    place = F.element_at(F.array(*[F.lit(x) for x, _ in _PLACES]), (F.col("n_nationkey") % 25 + 1).cast("int"))
+    return t.nation.select("n_nationkey", G.canonical_country(place).alias("country"))
 
 
 @query("G04_canonical_region", "SELECT r_regionkey, CASE lower(r_name) WHEN 'europe' THEN 'europe' WHEN 'asia' THEN 'asia' END AS region FROM region")
@@ -95,10 +119,23 @@ def g06(t: Tables) -> DataFrame:
     return t.postings.select("job_id", F.array_join(G.regions_in(F.col("location")), ",").alias("regions"))
 
 
-@query("G07_expand_allowed", f"SELECT DISTINCT country, true AS world FROM (VALUES {_MEMBERS}, ('asked', 'india')) AS m(region, country) WHERE region IN ('emea', 'asked')")
+@query(
+    "G07_expand_allowed",
+    f"SELECT c_mktsegment AS segment, c_custkey FROM customer JOIN ({_PLACED}) ON n_nationkey = c_nationkey WHERE CASE c_mktsegment WHEN 'BUILDING' THEN country IN {tuple(_REGION_NATIONS['emea'] + ['india'])} WHEN 'MACHINERY' THEN country IN {tuple(_REGION_NATIONS['latam'])} WHEN 'FURNITURE' THEN true ELSE country = 'united states' END",
+)
 def g07(t: Tables) -> DataFrame:
-    countries, world = G.expand_allowed(["EMEA", "India", "Worldwide"])
-    return t.spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in countries])).alias("country"), F.lit(world).alias("world"))
+    """Customers who live where their segment's policy allows, its regions and countries expanded; one allows the whole world."""
+    allowed = {"BUILDING": ["EMEA", "India"], "MACHINERY": ["Latin America"], "FURNITURE": ["Worldwide", "Peru"]}
+    lives = t.customer.join(_placed(t), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_mktsegment").alias("segment"), "c_custkey", "country")
+
+    def within(places: list[str]) -> Column:
+        countries, world = G.expand_allowed(places)
+        return F.lit(True) if world else F.coalesce(F.col("country").isin(*countries), F.lit(False))
+
+    test = within(["USA"])
+    for segment, places in allowed.items():
+        test = F.when(F.col("segment") == segment, within(places)).otherwise(test)
+    return lives.where(test).select("segment", "c_custkey")
 
 
 @query("G08_region_includes", "SELECT r_regionkey, lower(r_name) = 'asia' AS covers FROM region")
@@ -239,10 +276,14 @@ def r08(t: Tables) -> DataFrame:
 
 @query(
     "R09_policy_hash",
-    """SELECT sha256('{"allowed_locations":["India","Worldwide"],"allowed_work_models":["remote"],"allowed_timezones":["IST","GMT","BST","CET","EET"],"experience_min":3.0,"experience_max":6.0,"excluded_regions":["US-only","Canada-only"],"experience_tolerance_years":1.0}') AS policy_hash""",
+    """SELECT c_custkey, sha256('{"allowed_locations":["' || n_name || '","Worldwide"],"allowed_work_models":["remote"],"allowed_timezones":["IST","GMT","BST","CET","EET"],"experience_min":' || (c_custkey % 4) || '.5,"experience_max":6.0,"excluded_regions":["US-only","Canada-only"],"experience_tolerance_years":1.0}') AS policy_hash
+  FROM customer JOIN nation ON n_nationkey = c_nationkey""",
 )
 def r09(t: Tables) -> DataFrame:
-    return t.spark.range(1).select(POLICY.hash().alias("policy_hash"))
+    """The hash of each customer's own policy."""
+    lives = t.customer.join(t.nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    own = {"allowed_locations": F.array("n_name", F.lit("Worldwide")), "experience_min": (F.col("c_custkey") % 4 + 0.5).cast("double")}
+    return lives.select("c_custkey", POLICY.hash(**own).alias("policy_hash"))
 
 
 @query("R10_snippet", "SELECT doc_id, trim(regexp_replace(substring(text, greatest(0, 30 - 40) + 1, least(length(text), 60 + 40) - greatest(0, 30 - 40)), '\\s+', ' ', 'g'), ' ') AS snippet FROM documents")

@@ -92,9 +92,15 @@ def x17(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.max("ts").alias("last_polled_at"), F.max(F.when(~failed, F.col("ts"))).alias("last_success_at"), F.count_if(failed).alias("failures"))
 
 
-@query("X18_backoff", "SELECT unnest([1, 2, 4, 8, 10]) AS seconds")
+@query(
+    "X18_backoff",
+    "SELECT o_orderkey, CAST(o_orderkey % 7 + 1 AS INT) AS attempts, coalesce(list_sum(list_transform(range(CAST(o_orderkey % 7 AS INT)), lambda i: least(30, 2 ** i)))::BIGINT, 0) AS waited, (CASE WHEN o_orderkey % 7 > 0 THEN least(30, 2 ** (o_orderkey % 7 - 1)) END)::INT AS longest FROM orders",
+)
 def x18(t: Tables) -> DataFrame:
-    return t.spark.range(1).select(F.explode(T.backoff(1, 10, 6)).alias("seconds"))
+    """What each order's delivery waits in all before its last attempt, and its longest wait."""
+    attempts = (F.col("o_orderkey") % 7 + 1).cast("int")
+    waits = t.orders.select("o_orderkey", attempts.alias("attempts"), T.backoff(1, 30, attempts).alias("waits"))
+    return waits.select("o_orderkey", "attempts", F.aggregate("waits", F.lit(0).cast("long"), lambda s, x: s + x).alias("waited"), F.array_max("waits").alias("longest"))
 
 
 @query("X19_fan_out_once", "SELECT DISTINCT 'eval-' || user_id || '-' || event_type AS id FROM events")

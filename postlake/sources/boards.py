@@ -33,10 +33,12 @@ def split_valid(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _items(listing: DataFrame, root: str | None, schema: str) -> DataFrame:
     """The items of listings (source_id, body), an error where the root list is missing."""
-    body = F.col("body") if root is None else F.get_json_object("body", f"$.{root}")
-    items = F.from_json(body, f"array<{schema}>")
-    checked = F.when(items.isNull(), F.raise_error(F.concat(F.lit("no list of postings in the listing of "), "source_id"))).otherwise(items)
-    return listing.select("source_id", F.posexplode(checked).alias("position", "item"))
+    items = F.from_json(F.col("body") if root is None else F.get_json_object("body", f"$.{root}"), f"array<{schema}>")
+    return listing.select("source_id", F.posexplode(_checked(items)).alias("position", "item"))
+
+
+def _checked(items: Column) -> Column:
+    return F.when(items.isNull(), F.raise_error(F.concat(F.lit("no list of postings in the listing of "), "source_id"))).otherwise(items)
 
 
 def greenhouse(listing: DataFrame) -> DataFrame:
@@ -174,3 +176,40 @@ def postings_of(kind: str, *listing, **options) -> DataFrame:
     if kind not in KINDS:
         raise ValueError(f"unknown kind of board: {kind}")
     return KINDS[kind](*listing, **options)
+
+
+#: Whether a fetched body holds a list of postings, by kind, for boards whose listings are fetched as text.
+READABLE = {
+    "greenhouse": lambda body: F.from_json(F.get_json_object(body, "$.jobs"), "array<string>").isNotNull(),
+    "lever": lambda body: F.from_json(body, "array<string>").isNotNull(),
+    "ashby": lambda body: F.from_json(F.get_json_object(body, "$.jobs"), "array<string>").isNotNull(),
+    "rss": lambda body: F.from_xml(F.when(body.rlike("(?s)^\\s*<"), body), "channel struct<item:array<struct<title:string>>>", {"mode": "PERMISSIVE"}).channel["item"].isNotNull(),
+    "generic_json": lambda body: F.from_json(dig(body, "data.items"), "array<string>").isNotNull(),
+}
+#: Where postings of boards of any JSON stand, unless a definition says otherwise.
+GENERIC_MAP = {"items": "data.items", "external_id": "uid", "title": "title", "url": "url"}
+
+
+def read_boards(listings: DataFrame, field_map: dict[str, str] | None = None, base: str = "https://localhost/") -> tuple[DataFrame, DataFrame]:
+    """(postings, failures) of boards of all kinds at once.
+
+    ``listings`` is (source_id, kind, body). Each row is read by what its kind says, in one pass per kind over its own rows. A board that can't be read, as its
+    kind is unknown, its body missing or no list of postings, is a failure (source_id, kind, reason) and takes no other board along; a posting that breaks the
+    contract is one as well (reason "posting"). Postings have ``RAW``, source_id and kind.
+    """
+    field_map = GENERIC_MAP if field_map is None else field_map
+    body = F.col("body")
+    readable = F.lit(False)
+    for kind, test in READABLE.items():
+        readable = readable | ((F.col("kind") == kind) & F.coalesce(test(body), F.lit(False)))
+    reason = F.when(~F.coalesce(F.col("kind").isin(*READABLE), F.lit(False)), "kind").when(body.isNull(), "missing").when(~readable, "unreadable")
+    checked = listings.select("source_id", "kind", "body", reason.alias("reason"))
+    postings, failures = None, checked.where("reason IS NOT NULL").select("source_id", "kind", "reason")
+    for kind in READABLE:
+        own = checked.where((F.col("kind") == kind) & F.col("reason").isNull()).select("source_id", "body")
+        found = generic(own, field_map, base) if kind == "generic_json" else KINDS[kind](own)
+        good, bad = split_valid(found.withColumn("kind", F.lit(kind)))
+        failures = failures.unionByName(bad.select("source_id", "kind", F.lit("posting").alias("reason")))
+        good = good.drop("position")
+        postings = good if postings is None else postings.unionByName(good)
+    return postings, failures

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 FIRST, PER_POLL, WINDOW, MINUTES = 6, 3, 30, 7
@@ -65,3 +65,20 @@ def visible(spark: SparkSession, polls: int, size: int = 30) -> DataFrame:
     rows = spark.range(max(0, released - WINDOW), released)
     round_ = F.floor(n / size)
     return rows.select(F.concat(F.lit("demo-"), (n % size).cast("string"), F.when(round_ > 0, F.concat(F.lit("-r"), round_.cast("string"))).otherwise("")).alias("external_id"), ((released - 1 - n) * MINUTES).alias("minutes_ago"))
+
+
+def released(board: DataFrame, polls: Column, source: str = "source_id", order: str = "external_id") -> DataFrame:
+    """What boards show after so many polls each (a column of ``board``), if their rows are released little by little in the order of ``order``.
+
+    Adds ``round`` and ``minutes_ago``. Each board goes round its own rows: those that come again carry the number of their round. Rows of a board are numbered by
+    Spark, in one window a board.
+    """
+    per = Window.partitionBy(source)
+    n, size = F.col("_n"), F.col("_size")
+    rows = board.withColumns({"_end": FIRST + PER_POLL * (polls - 1), "_n": F.row_number().over(per.orderBy(order)) - 1, "_size": F.count("*").over(per)})
+    # a row's releases are n, n + size, n + 2 size, ...; of those before the end the ones in the window show
+    low = F.greatest(F.lit(0), F.ceil((F.col("_end") - WINDOW - n) / size))
+    high = F.floor((F.col("_end") - 1 - n) / size)
+    rows = rows.where(high >= low).withColumn("round", F.explode(F.sequence(low, high)))
+    age = (F.col("_end") - 1 - n - F.col("round") * size) * MINUTES
+    return rows.withColumn("minutes_ago", age).drop("_end", "_n", "_size")

@@ -87,14 +87,15 @@ class NumberedSink:
         return found.groupBy("key").agg(F.max("last").alias("last"))
 
     def __call__(self, events: DataFrame, batch: int) -> None:
-        before = self._counters(batch)
-        routed = states.routed(events, self.audience(), self.workspace).withColumn("key", F.col(self.key).cast("string"))
-        place = F.row_number().over(Window.partitionBy("key").orderBy(*self.order))
-        numbered = routed.withColumn("place", place).join(before, "key", "left").withColumn("number", F.coalesce("last", F.lit(0)) + F.col("place"))
-        numbered.drop("key", "place", "last").write.mode("overwrite").parquet(f"{self.folder}/events/batch={batch}")
-        seen = self.spark.read.parquet(f"{self.folder}/events/batch={batch}").groupBy(F.col(self.key).cast("string").alias("key")).agg(F.max("number").alias("last"))
+        key = F.col(self.key).cast("string")
+        before = self._counters(batch).select(F.col("key").alias("_key"), F.col("last").alias("_last"))
+        routed = states.routed(events, self.audience(), self.workspace).withColumn("_key", key)
+        place = F.row_number().over(Window.partitionBy("_key").orderBy(*self.order))
+        numbered = routed.withColumn("_place", place).join(before, "_key", "left").withColumn("number", F.coalesce("_last", F.lit(0)) + F.col("_place"))
+        numbered.drop("_key", "_place", "_last").write.mode("overwrite").parquet(f"{self.folder}/events/batch={batch}")
+        seen = self.spark.read.parquet(f"{self.folder}/events/batch={batch}").groupBy(key.alias("key")).agg(F.max("number").alias("last"))
         if batch % FULL_EVERY == 0:
-            seen = seen.unionByName(before).groupBy("key").agg(F.max("last").alias("last"))
+            seen = seen.union(before).groupBy("key").agg(F.max("last").alias("last"))
         seen.write.mode("overwrite").parquet(f"{self.folder}/counters/{batch}")
 
     def read(self) -> DataFrame:
