@@ -94,6 +94,22 @@ def routed(events: DataFrame, followed: DataFrame, workspace: object) -> DataFra
     return joined.where((F.col("workspace_id") == F.lit(workspace)) | (F.col("workspace_id").isNull() & F.col("_followed"))).drop("_followed")
 
 
+def toasts(events: DataFrame, key: str, order: list[str], most: int = 3) -> DataFrame:
+    """The last ``most`` toasts of each key that no later ``clear`` took away; ``events`` has kind: toast, clear or other."""
+    falling = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    later = events.where("kind IN ('toast', 'clear')").withColumn("_cleared", F.max(F.col("kind") == "clear").over(falling.rowsBetween(Window.unboundedPreceding, -1)))
+    kept = later.where("kind = 'toast' AND coalesce(_cleared, false) = false").withColumn("_n", F.row_number().over(falling))
+    return kept.where(F.col("_n") <= most).drop("_cleared", "_n")
+
+
+def shown_stages(events: DataFrame, key: str, ts: str, tie: str, in_flight: Column, expiry: str = "30 seconds") -> DataFrame:
+    """``events`` with shown_until and expired: a stage shows until the key's next event; one in flight without a next event within ``expiry`` expires."""
+    following = F.lead(ts).over(Window.partitionBy(key).orderBy(ts, tie))
+    end = F.col(ts) + F.expr(f"INTERVAL '{expiry}'")
+    expired = in_flight & F.coalesce(F.col("_next") > end, F.lit(True))
+    return events.withColumn("_next", following).withColumns({"shown_until": F.when(expired, end).otherwise(F.col("_next")), "expired": expired}).drop("_next")
+
+
 #: Dashboard keys that an event makes stale.
 STALE = {
     "click": ["jobs"],

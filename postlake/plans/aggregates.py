@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from postlake.sources.export import export_parts, manifest
 from postlake.plans.base import Tables, query
 from postlake.plans.relations import _VIEW, overlay
 
@@ -124,12 +125,28 @@ def r15(t: Tables) -> DataFrame:
 
 @query(
     "C22_export",
-    "SELECT n_nationkey, len(list_distinct(c)) AS members, len(list_distinct(s)) AS sources FROM (SELECT n_nationkey, (SELECT list(c_custkey) FROM customer WHERE c_nationkey = n_nationkey) AS c, (SELECT list(s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey) AS s FROM nation)",
+    """SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS members, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS sources,
+    (SELECT coalesce(sum(c_custkey), 0)::BIGINT FROM customer WHERE c_nationkey = n_nationkey) AS member_keys FROM nation""",
 )
 def c22(t: Tables) -> DataFrame:
-    from postlake.sources.export import workspace_export
+    """What a reader finds in the parts of each nation's document: its members, their keys, and its sources."""
+    parts = export_parts(t.nation, _exported(t), "n_nationkey", part_rows=20)
+    rows = F.from_json(F.concat(F.lit("["), "fragment", F.lit("]")), "array<struct<c_custkey:bigint,s_suppkey:bigint>>")
+    read = parts.select("n_nationkey", "name", F.explode(rows).alias("r"))
+    found = read.groupBy("n_nationkey").agg(F.count("r.c_custkey").alias("members"), F.count("r.s_suppkey").alias("sources"), F.sum("r.c_custkey").alias("member_keys"))
+    return t.nation.select("n_nationkey").join(found, "n_nationkey", "left").select("n_nationkey", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("members", "sources", "member_keys")])
 
-    tables = {"members": t.customer.withColumnRenamed("c_nationkey", "n_nationkey"), "sources": t.supplier.withColumnRenamed("s_nationkey", "n_nationkey")}
-    made = workspace_export(t.nation, tables, "n_nationkey")
-    size = lambda name: F.size(F.from_json(F.get_json_object("document", f"$.{name}"), "array<string>")).cast("long")
-    return made.select("n_nationkey", *[F.when(size(n) > 0, size(n)).alias(n) for n in tables])
+
+def _exported(t: Tables) -> dict[str, DataFrame]:
+    return {"members": t.customer.withColumnRenamed("c_nationkey", "n_nationkey"), "sources": t.supplier.withColumnRenamed("s_nationkey", "n_nationkey")}
+
+
+@query(
+    "C22_manifest",
+    """SELECT n_nationkey, 'members' AS name, greatest(1, ceil(count(c_custkey) / 20.0))::BIGINT AS parts, count(c_custkey) AS rows FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1
+  UNION ALL SELECT n_nationkey, 'sources', greatest(1, ceil(count(s_suppkey) / 20.0))::BIGINT, count(s_suppkey) FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""",
+)
+def c22_manifest(t: Tables) -> DataFrame:
+    """How many parts of about twenty rows each nation's lists are written in."""
+    parts = export_parts(t.nation, _exported(t), "n_nationkey", part_rows=20)
+    return manifest(parts, "n_nationkey").where("section > 0").select("n_nationkey", "name", "parts", "rows")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from postlake.operators import catalog as C, dedupe as D
-from postlake.plans.base import Tables, query
+from postlake.operators.stored import fresh_path
+from postlake.plans.base import WITH_POSTINGS, Tables, query
+from postlake.sources.snapshots import SnapshotStore, posting_key
 
 # A catalogue and a later listing made of documents: rows known before, some with other content; some gone, some new.
 _CATALOGUE = "SELECT doc_id AS job_id, source AS source_id, 'e' || doc_id AS external_id, md5(text) AS content_hash, doc_id % 13 = 0 AS closed FROM documents WHERE doc_id % 5 <> 0"
@@ -189,6 +191,33 @@ def c15(t: Tables) -> DataFrame:
     return now.join(checkpoint, ["doc_id", "etag"], "left_anti").select("doc_id")
 
 
+_FETCHED = """fetches AS (SELECT 0 AS batch, doc_id, coalesce(text, '') AS body FROM documents UNION ALL SELECT 1, doc_id, CASE WHEN lang = 'de' THEN coalesce(text, '') || ' edited' ELSE coalesce(text, '') END FROM documents
+    UNION ALL SELECT 2, doc_id, CASE WHEN lang = 'de' THEN coalesce(text, '') || ' edited' WHEN lang = 'fr' THEN 'gone quiet' ELSE coalesce(text, '') END FROM documents),
+  told AS (SELECT *, CASE WHEN doc_id % 3 > 0 THEN sha256(body) END AS etag, CASE WHEN doc_id % 3 = 1 THEN NULL ELSE CAST(length(body) AS VARCHAR) END AS modified FROM fetches)"""
+
+
+@query(
+    "C15_validators",
+    f"""WITH {_FETCHED}, compared AS (SELECT *, body = lag(body) OVER w AS same, sha256(lag(body) OVER w) AS last_etag, CAST(length(lag(body) OVER w) AS VARCHAR) AS last_modified FROM told WINDOW w AS (PARTITION BY doc_id ORDER BY batch)),
+  judged AS (SELECT *, body = '' AS nothing, CASE WHEN etag IS NOT NULL THEN etag = last_etag ELSE modified = last_modified END AS unmodified FROM compared),
+  known AS (SELECT j.*, EXISTS (SELECT 1 FROM told e WHERE e.batch < j.batch AND e.body = j.body) AS there FROM judged j)
+  SELECT batch, doc_id, CASE WHEN nothing THEN 'empty' WHEN coalesce(unmodified, false) THEN 'not_modified' WHEN there THEN 'known' ELSE 'stored' END AS outcome FROM known""",
+)
+def c15_validators(t: Tables) -> DataFrame:
+    """Three rounds of fetching every document, with edits between: what is told unmodified, what is known by its bytes, what is stored."""
+    store = SnapshotStore(t.spark, fresh_path(t.spark, "snapshots"))
+    docs = t.documents.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("body"))
+    edited = F.when(F.col("lang") == "de", F.concat("body", F.lit(" edited")))
+    found = None
+    for batch, body in enumerate((F.col("body"), F.coalesce(edited, F.col("body")), F.coalesce(edited, F.when(F.col("lang") == "fr", "gone quiet"), F.col("body")))):
+        one = docs.select("doc_id", body.alias("body"))
+        etag, modified = F.when(F.col("doc_id") % 3 > 0, F.sha2("body", 256)), F.when(F.col("doc_id") % 3 != 1, F.length("body").cast("string"))
+        fetches = one.select(F.col("doc_id").cast("string").alias("target"), F.expr(f"TIMESTAMP '2024-06-0{batch + 1} 00:00:00'").alias("stamp"), F.lit(200).alias("status"), etag.alias("etag"), modified.alias("last_modified"), F.col("body").cast("binary").alias("body"))
+        made = store.fetched(fetches, batch).select(F.lit(batch).alias("batch"), F.col("target").cast("long").alias("doc_id"), "outcome")
+        found = made if found is None else found.unionByName(made)
+    return found
+
+
 @query("C16_http_status", "SELECT event_id, CASE WHEN c = 304 THEN 'not_modified' WHEN c < 300 THEN 'ok' WHEN c = 429 THEN 'rate_limited' WHEN c IN (404, 410) THEN 'gone' WHEN c >= 500 OR c IN (408, 425) THEN 'transient' ELSE 'permanent' END AS outcome FROM (SELECT event_id, [200, 304, 429, 404, 503, 403, 408][CAST(event_id % 7 AS INT) + 1] AS c FROM events)")
 def c16(t: Tables) -> DataFrame:
     from postlake.sources.fetch import http_outcome
@@ -205,6 +234,13 @@ def c18(t: Tables) -> DataFrame:
     return keyed.groupBy("key").agg(F.min("doc_id").alias("first_id"))
 
 
+@query("C18_posting_snapshots", f"{WITH_POSTINGS}SELECT job_id, 'raw/lever/' || company_domain || '/' || external_id || '/' || strftime(published_at, '%Y%m%dT%H%M%SZ') || '.json' AS key FROM postings")
+def c18_postings(t: Tables) -> DataFrame:
+    """Where the raw form of each posting lies, stamped in UTC."""
+    stamp = F.col("published_at").cast("timestamp")
+    return t.postings.select("job_id", posting_key(F.lit("lever"), F.col("company_domain"), F.col("external_id"), stamp).alias("key"))
+
+
 @query("C20_preview", "SELECT doc_id, md5(substring(text, 1, 2000)) AS preview, length(text) > 2000 AS truncated FROM documents")
 def c20(t: Tables) -> DataFrame:
     from postlake.sources.snapshots import preview

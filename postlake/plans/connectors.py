@@ -106,12 +106,25 @@ def c06(t: Tables) -> DataFrame:
     item AS (SELECT page_url, unnest(range(len(found)))::INT AS position, unnest(found) AS body FROM items),
     parts AS (SELECT page_url, position, regexp_extract(body, '<a href="([^"]*)">', 1) AS href, regexp_extract(body, '<a [^>]*>(.*?)</a>', 1) AS title FROM item),
     made AS (SELECT *, regexp_extract(page_url, '^https?://[^/]+') || href AS link FROM parts)
-  SELECT page_url, position, sha256('https://' || regexp_replace(regexp_extract(link, '^https?://(.*)$', 1), '^www[.]', ''))[:32] AS external_id, title, link AS url, NULL::VARCHAR AS location FROM made""",
+  SELECT page_url, position, sha256('https://' || regexp_replace(regexp_extract(link, '^https?://(.*)$', 1), '^www[.]', ''))[:32] AS external_id, title, link AS url, NULL::VARCHAR AS location, NULL::VARCHAR AS department FROM made""",
 )
 def c07(t: Tables) -> DataFrame:
     return M.html_listing(t.pages, "li", {"title": "a"})
 
 
+@query(
+    "C07_selectors",
+    """WITH items AS (SELECT url AS page_url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1) AS found, nullif(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS heading FROM pages),
+    item AS (SELECT page_url, unnest(range(len(found)))::INT AS position, unnest(found) AS body FROM items),
+    parts AS (SELECT page_url, position, regexp_extract(body, '<a href="([^"]*)">', 1) AS href, regexp_extract(body, '<a [^>]*>(.*?)</a>', 1) AS title FROM item)
+  SELECT page_url, position, CASE WHEN starts_with(href, '/the') THEN title END AS title, regexp_extract(page_url, '^https?://[^/]+') || href AS url, title AS department FROM parts""",
+)
+def c07_selectors(t: Tables) -> DataFrame:
+    """Items, links, titles and departments by children, descendants, attributes and classes."""
+    fields = {"title": 'nav > ul a[href^="/the"], li.none a', "link": "li > a[href]", "department": "html body li a"}
+    return M.html_listing(t.pages, "body > nav > ul > li, div.ad.wide li", fields).select("page_url", "position", "title", "url", "department")
+
+
 @query(
     "C09_demo_board",
     """WITH b AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n, count(*) OVER (PARTITION BY source) AS size FROM documents WHERE source IS NOT NULL),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postlake.functions import geo as G, text as X, vocabulary as V
 from postlake.functions.facts import text_facts
 from postlake.operators import results as L, rules as R, score as K
+from postlake.operators.nearest import nearest
 from postlake.operators.stored import stored
 from postlake.plans.base import NOW, WITH_POSTINGS, Tables, query
 from postlake.plans.normalisation import _POLICY, _SENIORITY, _SKILLS, _TITLE, with_policy
@@ -488,7 +489,7 @@ def k09(t: Tables) -> DataFrame:
     "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 3) AS similarity FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q, embeddings v WHERE q.vec_id <> v.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) <= 5",
 )
 def w10(t: Tables) -> DataFrame:
-    found = K.nearest(t.embeddings.select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
+    found = nearest(t.embeddings.select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5)
     return found.select("query_id", "vec_id", F.round("similarity", 3).alias("similarity"))
 
 

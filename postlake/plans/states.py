@@ -268,6 +268,23 @@ def x29_stage(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("stage"))
 
 
+@query("X29_toasts", "SELECT user_id, event_id FROM events e WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events c WHERE c.user_id = e.user_id AND c.event_type = 'signup' AND (c.ts, c.event_id) > (e.ts, e.event_id)) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3")
+def x29_toasts(t: Tables) -> DataFrame:
+    """The last three matches of each user since the feed was cleared."""
+    kind = F.col("event_type")
+    shown = F.when(kind == "purchase", "toast").when(kind == "signup", "clear").otherwise("other")
+    return T.toasts(t.events.withColumn("kind", shown), "user_id", ["ts", "event_id"]).select("user_id", "event_id")
+
+
+@query(
+    "X29_progress",
+    "SELECT event_id, CASE WHEN event_type IN ('view', 'click') AND coalesce(next > ts + INTERVAL '2' HOUR, true) THEN ts + INTERVAL '2' HOUR ELSE next END AS shown_until, event_type IN ('view', 'click') AND coalesce(next > ts + INTERVAL '2' HOUR, true) AS expired FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events)",
+)
+def x29_progress(t: Tables) -> DataFrame:
+    """How long each stage of a source is shown: until its next one, or until a stage in flight expires."""
+    return T.shown_stages(t.events, "user_id", "ts", "event_id", F.col("event_type").isin("view", "click"), "2 hours").select("event_id", "shown_until", "expired")
+
+
 @query(
     "X29_in_flight_sessions",
     "SELECT user_id, min(ts) AS started_at, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > ts - INTERVAL '6' HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -104,58 +105,157 @@ def html_to_text(sources: pd.Series) -> pd.Series:
     return sources.map(lambda x: None if x is None else to_text(x))
 
 
+@dataclass(frozen=True)
+class Compound:
+    """What one element must be: its tag, id, classes and attributes (name, operator, value)."""
+
+    tag: str = ""
+    id: str = ""
+    classes: tuple[str, ...] = ()
+    attributes: tuple[tuple[str, str, str], ...] = ()
+
+    def fits(self, tag: str, attrs: dict[str, str]) -> bool:
+        if self.tag not in ("", "*", tag) or (self.id and attrs.get("id") != self.id):
+            return False
+        if self.classes and not set(self.classes) <= set(attrs.get("class", "").split()):
+            return False
+        return all(name in attrs and _TESTS[how](attrs[name], value) for name, how, value in self.attributes)
+
+
+_TESTS = {
+    "": lambda have, want: True,
+    "=": lambda have, want: have == want,
+    "^=": lambda have, want: bool(want) and have.startswith(want),
+    "$=": lambda have, want: bool(want) and have.endswith(want),
+    "*=": lambda have, want: bool(want) and want in have,
+    "~=": lambda have, want: want in have.split(),
+}
+_NAME = r"-?[A-Za-z_\u0080-\U0010ffff][\w\u0080-\U0010ffff-]*"
+_PART = re.compile(rf"""(?P<tag>\*|{_NAME}) | \.(?P<css>{_NAME}) | \#(?P<id>{_NAME}) | \[\s*(?P<attr>{_NAME})\s*(?:(?P<how>[\^$*~]?=)\s*(?:"(?P<q>[^"]*)"|'(?P<a>[^']*)'|(?P<bare>[^\]\s"']+))\s*)?\]""", re.X)
+_COMBINED = re.compile(r"\s*(>)\s*|\s+")
+
+
+def compile_selector(text: str) -> list[list[tuple[str, Compound]]]:
+    """The alternatives of a selector, each a chain from its last element outwards: (how it lies in the next one, what it is).
+
+    Known are tags, ``*``, ids, classes, attributes (present, ``=``, ``^=``, ``$=``, ``*=``, ``~=``), descendants, children and commas; anything else raises ValueError.
+    """
+    chains = []
+    for alternative in _split_outside(text):
+        chain: list[tuple[str, Compound]] = []
+        at, how, rest = 0, "", alternative.strip()
+        while at < len(rest):
+            tag, id_, classes, attributes, start = "", "", [], [], at
+            while m := _PART.match(rest, at):
+                if m["tag"] and at > start:
+                    break
+                tag, id_ = (m["tag"] or tag).lower(), m["id"] or id_
+                classes += [m["css"]] if m["css"] else []
+                attributes += [(m["attr"].lower(), m["how"] or "", m["q"] or m["a"] or m["bare"] or "")] if m["attr"] else []
+                at = m.end()
+            if at == start:
+                raise ValueError(f"selector {text!r} isn't understood at {rest[at:]!r}")
+            chain.append((how, Compound(tag, id_, tuple(classes), tuple(attributes))))
+            if at < len(rest):
+                m = _COMBINED.match(rest, at)
+                if not m or m.end() == len(rest):
+                    raise ValueError(f"selector {text!r} isn't understood at {rest[at:]!r}")
+                how, at = m[1] or " ", m.end()
+        if not chain:
+            raise ValueError(f"selector {text!r} is empty")
+        # the combinator before an element says how it lies in the one to its left
+        chains.append([(chain[i][0], chain[i][1]) for i in reversed(range(len(chain)))])
+    return chains
+
+
+def _split_outside(text: str) -> list[str]:
+    """The parts between commas that don't stand in brackets."""
+    parts, depth = [""], 0
+    for c in text:
+        depth += (c == "[") - (c == "]")
+        if c == "," and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
+def _fits(chain: list[tuple[str, Compound]], open_: list[tuple[str, dict[str, str]]], at: int, step: int = 0) -> bool:
+    """Whether the element ``at`` among the open ones, outermost first, fits the chain from ``step`` on."""
+    how, compound = chain[step]
+    if not compound.fits(*open_[at]):
+        return False
+    if step + 1 == len(chain):
+        return True
+    reach = range(at - 1, -1, -1) if how == " " else range(at - 1, max(-1, at - 2), -1)
+    return any(_fits(chain, open_, up, step + 1) for up in reach)
+
+
 class _Select(HTMLParser):
-    """Texts, links and item borders of a page by simple selectors: tag, .class or tag.class."""
+    """Items of a page and their fields by compiled selectors, matched against the open elements while the tags stream by.
+
+    A field is the first element in an item that its selector fits; items may lie in one another.
+    """
 
     def __init__(self, item: str, fields: dict[str, str]):
         super().__init__(convert_charrefs=True)
-        self.item, self.fields = item, fields
+        self.item, self.link = compile_selector(item), compile_selector(fields.get("link", "a[href]"))
+        self.fields = {f: compile_selector(s) for f, s in fields.items() if f != "link"}
         self.rows: list[dict[str, str]] = []
-        self.stack: list[tuple[str, bool, list[str]]] = []
-        self.row: dict[str, str] | None = None
+        self.open: list[tuple[str, dict[str, str]]] = []
+        self.inside: list[dict[str, str] | None] = []  # the row that each open element begins
+        self.reading: list[list[tuple[dict[str, str], str]]] = []  # the fields that each open element is read for
 
-    @staticmethod
-    def _is(selector: str, tag: str, attrs: dict[str, str]) -> bool:
-        name, _, css = selector.partition(".")
-        return (not name or name == tag) and (not css or css in (attrs.get("class") or "").split())
+    def _is(self, chains: list[list[tuple[str, Compound]]]) -> bool:
+        return any(_fits(chain, self.open, len(self.open) - 1) for chain in chains)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        d = {k: v or "" for k, v in attrs}
-        starts = self.row is None and self._is(self.item, tag, d)
-        if starts:
-            self.row = {}
-        open_ = [] if self.row is None else [f for f, s in self.fields.items() if f not in self.row and self._is(s, tag, d)]
-        for f in open_:
-            self.row[f] = ""
-        if self.row is not None and tag == "a" and d.get("href"):
-            self.row.setdefault("link", d["href"])
-        if tag not in VOID:
-            self.stack.append((tag, starts, open_))
+        self.open.append((tag, {k: v or "" for k, v in reversed(attrs)}))
+        rows = [r for r in self.inside if r is not None]
+        read: list[tuple[dict[str, str], str]] = []
+        for row in rows:
+            for name, chains in self.fields.items():
+                if name not in row and self._is(chains):
+                    row[name] = ""
+                    read.append((row, name))
+            if "link" not in row and self._is(self.link):
+                row["link"] = self.open[-1][1].get("href", "")
+        own: dict[str, str] | None = None
+        if self._is(self.item):
+            own = {}
+            self.rows.append(own)
+        if tag in VOID:
+            self.open.pop()
+        else:
+            self.inside.append(own)
+            self.reading.append(read)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in [x[0] for x in self.stack]:
+        if not any(name == tag for name, _ in self.open):
             return
-        while self.stack:
-            name, starts, _ = self.stack.pop()
-            if starts and self.row is not None:
-                self.rows.append(self.row)
-                self.row = None
+        while self.open:
+            name, _ = self.open.pop()
+            self.inside.pop()
+            self.reading.pop()
             if name == tag:
                 break
 
     def handle_data(self, data: str) -> None:
-        for _, _, open_ in self.stack:
-            for f in open_:
-                self.row[f] += data
+        for read in self.reading:
+            for row, name in read:
+                row[name] += data
 
 
 def html_listing(pages: DataFrame, item: str, fields: dict[str, str]) -> DataFrame:
-    """(page_url, position, external_id, title, url, location): items of listing pages (url, html) by selectors.
+    """(page_url, position, external_id, title, url, location, department): items of listing pages (url, html) by selectors.
 
-    The link is an item's first ``a`` with an address, resolved against the page; the id is the first 32
-    digits of its canonical form's SHA-256, so tracking parameters make no new posting. Items without title or link have null ids and are for :func:`boards.split_valid` to skip.
+    ``fields`` has selectors of title and, as wished, link, location and department, see :func:`compile_selector`. The link is an item's first ``a`` with an address unless
+    a selector says otherwise, resolved against the page; the id is the first 32 digits of its canonical form's SHA-256, so tracking parameters
+    make no new posting. Items without title or link have null ids and are for :func:`boards.split_valid` to skip.
     """
-    names = ["page_url", "position", "external_id", "title", "url", "location"]
+    for selector in (item, *fields.values()):
+        compile_selector(selector)
+    names = ["page_url", "position", "external_id", "title", "url", "location", "department"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -168,9 +268,9 @@ def html_listing(pages: DataFrame, item: str, fields: dict[str, str]) -> DataFra
                     clean = {k: " ".join(v.split()) for k, v in r.items()}
                     link = urljoin(page or "", clean["link"]) if clean.get("link") else None
                     ok = link and clean.get("title")
-                    rows.append((page, i, link if ok else None, clean.get("title"), link, clean.get("location")))
+                    rows.append((page, i, link if ok else None, clean.get("title") or None, link, clean.get("location") or None, clean.get("department") or None))
             yield pd.DataFrame(rows, columns=names)
 
-    found = pages.select("url", "html").mapInPandas(run, "page_url string, position int, external_id string, title string, url string, location string")
+    found = pages.select("url", "html").mapInPandas(run, "page_url string, position int, external_id string, title string, url string, location string, department string")
     identity = F.coalesce(canonicalize_url(F.col("external_id")), F.col("external_id"))
     return found.withColumn("external_id", F.substring(F.sha2(identity, 256), 1, 32))

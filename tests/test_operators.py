@@ -161,3 +161,39 @@ def test_similar_pairs_against_all_pairs(spark):
     a, b = df.alias("a"), df.alias("b")
     all_pairs = a.crossJoin(b).where("a.id <> b.id").where(trigram_similarity(trigrams(F.col("a.t")), trigrams(F.col("b.t"))) >= 0.5)
     assert {(r.l_id, r.r_id) for r in D.similar_pairs(df, df, "t", ["block"], 0.5).collect()} == {tuple(r) for r in all_pairs.select("a.id", "b.id").collect()}
+
+
+@pytest.mark.parametrize("spread", [0.02, 1.0])
+def test_nearest_vectors_against_all_pairs(spark, monkeypatch, spread):
+    import numpy as np
+
+    from postlake.operators import nearest as N
+
+    monkeypatch.setattr(N, "FIRST", 1)
+    monkeypatch.setattr(N, "TASK_ROWS", 60)
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(6, 8))
+    rows = [(i, (centers[i % 6] + spread * rng.normal(size=8)).round(3).tolist()) for i in range(400)]
+    rows += [(400 + i, rows[i][1]) for i in range(30)] + [(500, [0.0] * 8), (501, None), (None, [1.0] * 8)]
+    got = N.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, 7).collect()
+    kept = [(i, v) for i, v in rows if i is not None and v]
+    unit = np.array([np.array(v) / max(np.linalg.norm(v), 1e-300) for _, v in kept])
+    for at, (i, _) in enumerate(kept):
+        if i % 10 == 0:
+            s = unit @ unit[at]
+            want = sorted((-round(x, 9), j) for x, (j, _) in zip(s, kept) if j != i)[:7]
+            mine = sorted((-round(r.similarity, 9), r.vec_id) for r in got if r.query_id == i)
+            assert [x for x, _ in mine] == pytest.approx([x for x, _ in want], abs=1e-8)
+            assert spread < 1 or [j for _, j in mine] == [j for _, j in want]
+    assert N.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True), 3).collect() == []
+
+
+def test_places_of_close_scores_and_many_nulls(spark):
+    from postlake.operators.stored import numbered
+
+    rows = [(i, None if i % 3 == 0 else 0.56 + (i % 7) * 0.001, i % 5) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, score double, day int").repartition(6)
+    got = {r.id: r.place for r in numbered(df, [F.desc_nulls_last("score"), F.desc_nulls_last("day"), F.desc("id")]).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), -r[2], -r[0]))
+    assert got == {r[0]: n for n, r in enumerate(want, 1)}
+    assert numbered(df.limit(0), [F.col("id")]).collect() == []

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import hashlib
 import hmac
 import json
@@ -112,11 +113,104 @@ def test_snapshots_are_written_once(spark, tmp_path):
     assert more.count() == 3
 
 
-def test_export_nests_all_rows(spark):
-    w = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
-    jobs = spark.createDataFrame([(1, "x"), (1, "y")], "id int, job string")
-    docs = {r.id: json.loads(r.document) for r in export.workspace_export(w, {"jobs": jobs}, "id").collect()}
-    assert docs[1]["jobs"] == [{"job": "x"}, {"job": "y"}] and docs[2]["jobs"] == []
+def test_export_by_parts(spark):
+    w = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, name string")
+    jobs = spark.createDataFrame([(1, f"job {i}") for i in range(95)] + [(2, "y"), (2, "y"), (9, "nobody's")], "id int, job string")
+    sites = spark.createDataFrame([(2, "x, [y]")], "id int, site string")
+    parts = export.export_parts(w, {"jobs": jobs, "sites": sites}, "id", part_rows=10).collect()
+    assert max(r.rows for r in parts) < 40 and len({r.part for r in parts if r.id == 1 and r.name == "jobs"}) == 10
+    docs = {i: json.loads(export.document([(r.section, r.name, r.part, r.fragment) for r in parts if r.id == i])) for i in (1, 2, 3)}
+    assert sorted(x["job"] for x in docs[1]["jobs"]) == sorted(f"job {i}" for i in range(95)) and docs[1]["workspace"] == {"id": 1, "name": "a"}
+    assert docs[2] == {"workspace": {"id": 2, "name": "b"}, "jobs": [{"job": "y"}] * 2, "sites": [{"site": "x, [y]"}]}
+    assert docs[3] == {"workspace": {"id": 3}, "jobs": [], "sites": []}
+    assert {r.id for r in parts} == {1, 2, 3}
+
+
+def test_a_store_keeps_bodies_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "MOST_BYTES", 40)
+    store = snapshots.SnapshotStore(spark, str(tmp_path / "store"), buckets=4)
+    schema = "target string, stamp timestamp, status int, etag string, last_modified string, body binary"
+    at = datetime.datetime(2024, 6, 1)
+    row = lambda target, etag, modified, body, status=200: (target, at, status, etag, modified, None if body is None else bytearray(body))
+
+    def fetch(batch, *rows):
+        return {r.target: r.outcome for r in store.fetched(spark.createDataFrame(rows, schema), batch).collect()}
+
+    first = [row("a", '"1"', None, b"one"), row("b", None, "Mon", b"two"), row("c", None, None, b"one"), row("big", None, None, b"x" * 41), row("near", None, None, b"y" * 31), row("none", None, None, None)]
+    assert fetch(0, *first) == {"a": "stored", "b": "stored", "c": "stored", "big": "too_large", "near": "stored", "none": "empty"}
+    assert store.bodies().count() == 3
+    again = {"a": "not_modified", "b": "not_modified", "c": "known", "big": "too_large", "near": "known", "none": "empty"}
+    assert fetch(1, *first) == again and store.bodies().count() == 3  # a second run stores nothing
+    assert fetch(1, *first) == again  # nor does a batch that comes again
+    later = fetch(2, row("a", '"2"', None, b"one"), row("b", None, "Tue", b"three"), row("d", None, None, b"two", 304), row("near", '"n"', None, b"y" * 31))
+    assert later == {"a": "known", "b": "stored", "d": "not_modified", "near": "known"} and store.bodies().count() == 4
+    told = {r.target: (r.etag, r.last_modified) for r in store.validators(spark.createDataFrame([("a",), ("b",), ("x",)], "target string"), 3).collect()}
+    assert told == {"a": ('"2"', None), "b": (None, "Tue")}
+    near = spark.read.parquet(str(tmp_path / "store/manifests")).where("batch = 0 AND near_limit").collect()
+    assert {r.target for r in near} == {"big", "near"}
+
+
+def test_keys_of_postings(spark):
+    key = snapshots.posting_key(F.lit("lever"), F.lit("a.io"), F.lit("../7"), F.lit(datetime.datetime(2024, 6, 1, 2, 3, 4)))
+    got = spark.range(1).select(key.alias("k")).select("k", snapshots.valid_key(F.col("k"))).first()
+    assert got[0].startswith("raw/lever/a.io/") and got[0].endswith("/20240601T020304Z.json") and got[1]
+
+
+@pytest.mark.parametrize(
+    ("selector", "want"),
+    [
+        ("li", ["1", "2", "3", "4"]), ("ul > li", ["1", "2", "3", "4"]), ("ul.x > li", ["1", "2"]), ("div li.job.hot", ["2"]), ("#main li", ["1", "2"]), ("li[data-k]", ["1", "3"]), ('li[data-k="a b"]', ["1"]), ("li[data-k~=b]", ["1"]),
+        ("li[data-k^='z']", ["3"]), ("li[data-k$=z], li[data-k*=' ']", ["1", "3"]), ("body > li", []), ("div > ul li.job, ol *", ["2", "3", "4"]), ("section li", []), ("ol > *.job", ["4"]), ("UL LI", ["1", "2", "3", "4"]), ("div[title='a,b'] li", ["1", "2"]),
+    ],
+)
+def test_selectors(selector, want):
+    page = "<body><div id=main title='a,b'><ul class='x y'><li data-k='a b'><a href=1>t</a><li class='job hot'><a href=2>t</a></ul></div><ul><ol><li data-k=zz><a href=3>t</a></li><li class=job><a href=4>t</a></li></ol></ul></body>"
+    page = page.replace("</a><li", "</a></li><li").replace("</a></ul>", "</a></li></ul>").replace("<ul><ol>", "<ol>").replace("</ol></ul>", "</ol>")
+    if selector in ("ul > li", "UL LI"):
+        page = page.replace("<ol>", "<ul>").replace("</ol>", "</ul>")
+    p = M._Select(selector, {"title": "a"})
+    p.feed(page)
+    assert [r.get("link") for r in p.rows if "link" in r] == want
+
+
+@pytest.mark.parametrize("selector", ["", "a >", "> a", "a:hover", "a[", "a,", "a b >", "a + b", "[x=]"])
+def test_selectors_that_arent_understood(selector):
+    with pytest.raises(ValueError):
+        M.compile_selector(selector)
+
+
+def test_items_in_items_and_departments(spark):
+    page = "<div class=g><h2>Core</h2><div class=g><h2>Inner</h2><a class=t href=/1>Dev</a><i class=d>R&amp;D</i></div><a href=/2>Ops</a></div>"
+    rows = M.html_listing(spark.createDataFrame([("https://x.io/", page)], "url string, html string"), "div.g", {"title": "h2", "department": "div > i.d", "link": "a[href]"}).orderBy("position").collect()
+    assert [(r.title, r.url, r.department) for r in rows] == [("Core", "https://x.io/1", "R&D"), ("Inner", "https://x.io/1", "R&D")]
+
+
+def test_boards_of_all_kinds_at_once(spark):
+    rows = [
+        ("g", "greenhouse", '{"jobs": [{"id": 1, "title": "A", "absolute_url": "https://x/1"}, {"id": 2, "title": "", "absolute_url": "https://x/2"}]}'), ("l", "lever", '[{"id": "7", "text": "B", "hostedUrl": "https://x/7"}]'),
+        ("a", "ashby", '{"jobs": []}'), ("r", "rss", "<rss><channel><item><title>C</title><guid>g</guid><link>https://x/c</link></item></channel></rss>"), ("j", "generic_json", '{"data": {"items": [{"uid": 5, "title": "D", "url": "/d"}]}}'),
+        ("bad1", "lever", "{}"), ("bad2", "greenhouse", "<html>"), ("bad3", "fax", "x"), ("bad4", "rss", None), ("bad5", None, "x"), ("bad6", "rss", "no feed"),
+    ]
+    good, bad = B.read_boards(spark.createDataFrame(rows, "source_id string, kind string, body string"), base="https://b.io/x")
+    assert {(r.source_id, r.external_id, r.title, r.url) for r in good.collect()} == {("g", "1", "A", "https://x/1"), ("l", "7", "B", "https://x/7"), ("r", "g", "C", "https://x/c"), ("j", "5", "D", "https://b.io/d")}
+    assert {(r.source_id, r.reason) for r in bad.collect()} == {("g", "posting"), ("bad1", "unreadable"), ("bad2", "unreadable"), ("bad3", "kind"), ("bad4", "missing"), ("bad5", "kind"), ("bad6", "unreadable")}
+
+
+def test_boards_that_go_round(spark):
+    board = spark.createDataFrame([("s", f"e{i}", p) for p in (1, 11) for i in range(8)], "source_id string, external_id string, polls int")
+    for polls in (1, 11):
+        got = demo.released(board.where(F.col("polls") == polls), F.col("polls")).collect()
+        end = 6 + 3 * (polls - 1)
+        assert sorted((r.external_id, r.round, r.minutes_ago) for r in got) == sorted((f"e{n % 8}", n // 8, (end - 1 - n) * 7) for n in range(max(0, end - 30), end))
+
+
+def test_policies_of_rows(spark):
+    from postlake.sources.policy import read_policies
+
+    texts = ['{"experience_min": 1}', "[1]", '{"nope": 1}', '{"experience_min": 9.0}', "{" + " " * 70_000 + "}", None, '{"allowed_locations": 5}', "{}", '{"experience_tolerance_years": null}']
+    rows = read_policies(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, policy string")).orderBy("i").collect()
+    assert [r.problem for r in rows] == [None, "unreadable", "unknown", "range", "long", "unreadable", "unreadable", None, "unreadable"]
+    assert rows[0].experience_min == 1.0 and rows[0].allowed_work_models == ["remote"] and rows[1].experience_max is None
 
 
 def test_policies(spark):
