@@ -63,10 +63,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ranked(df: DataFrame, group: list[str], order: Column, parts: int | Column, out: str, weight: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: Column, parts: int | Column, out: str, weight: str | None = None, ties: list[str] | None = None) -> DataFrame:
     """``df`` with the 0-based rank ``out`` of a row in its group under a random order; with ``weight`` the sum of the weights before it.
 
-    ``order`` is a hash of ``_key``, a column of ``df``. A group is ranked in ``parts`` parts (a column of the group), in as
+    ``order`` is a hash of ``_key``, a column of ``df``; where hashes are equal, ``ties`` (columns that tell rows apart) decide, so that a task that runs
+    again gives the same places. A group is ranked in ``parts`` parts (a column of the group), in as
     many tasks, so a hot group isn't sorted in one. Group columns mustn't be null.
     """
     one = F.lit(1) if weight is None else F.col(weight)
@@ -74,7 +75,7 @@ def ranked(df: DataFrame, group: list[str], order: Column, parts: int | Column,
     df = df.withColumn("_part", F.pmod(F.shiftrightunsigned("_order", 20), F.col("_parts")).cast("int"))
     counts = df.where("_parts > 1").groupBy(*group, "_part").agg(F.sum(one).alias("_n"))
     starts = stored(counts.withColumn("_start", F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")).drop("_n"), "rank-starts")
-    inside = Window.partitionBy(*group, "_part").orderBy("_order", "_key")
+    inside = Window.partitionBy(*group, "_part").orderBy("_order", "_key", *(ties or []))
     own = F.row_number().over(inside) - 1 if weight is None else F.coalesce(F.sum(one).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return df.withColumn(out, own.cast("long")).join(starts, [*group, "_part"], "left").withColumn(out, F.col(out) + F.coalesce("_start", F.lit(0))).drop("_order", "_parts", "_part", "_start")
 

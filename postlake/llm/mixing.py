@@ -115,7 +115,7 @@ def _mixed(docs: DataFrame, doc_id: str, source: str, text: str, weights: tuple[
     wanted = stored(targets(cells.groupBy("skey").agg(F.first("source").alias("source"), F.sum(F.col("n") * F.col("size")).cast("double").alias("source_size")), weights, cap), "mix-targets")
     rounded = stored(rates(cells.select("skey", "size", "n"), wanted, cap).groupBy("skey").applyInPandas(_round(cap), "skey string, size long, n long, copies long"), "mix-copies")
     keyed = rows.join(rounded, ["skey", "size"]).withColumn("_key", F.xxhash64(F.lit(seed), "row_key"))
-    return ranked(keyed, ["skey", "size"], F.xxhash64(F.lit(seed + 1), "_key"), F.ceil(F.col("n") / PART_ROWS), "_at", "m"), wanted
+    return ranked(keyed, ["skey", "size"], F.xxhash64(F.lit(seed + 1), "_key"), F.ceil(F.col("n") / PART_ROWS), "_at", "m", ties=["row_key"]), wanted
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 42) -> DataFrame:
@@ -153,7 +153,7 @@ def take_copies(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     repeated = stored(taken.where("_m > 1"), "mix-repeated")
     alike = docs.withColumn("_row_key", _row_key(doc_id, source, text)).join(repeated, "_row_key").groupBy("_row_key", "_copies", "_m", *docs.columns).agg(F.count("*").alias("_n"))
     alike = alike.withColumn("_key", F.xxhash64(F.lit(seed), *docs.columns))
-    alike = ranked(alike, ["_row_key"], F.xxhash64(F.lit(seed + 1), "_key"), F.ceil(F.col("_m") / PART_ROWS), "_at", "_n")
+    alike = ranked(alike, ["_row_key"], F.xxhash64(F.lit(seed + 1), "_key"), F.ceil(F.col("_m") / PART_ROWS), "_at", "_n", ties=docs.columns)
     more = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_copies") % F.col("_m") - F.col("_at")))
     alike = alike.withColumn("_copies", F.col("_n") * F.floor(F.col("_copies") / F.col("_m")) + more).where("_copies > 0")
     both = rows.select(*docs.columns, "_copies").unionByName(alike.select(*docs.columns, "_copies"))

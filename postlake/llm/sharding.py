@@ -79,9 +79,9 @@ def shard_rows(df: DataFrame, key: list[str], n_shards: int = 8, seed: int = 42)
     base = df.drop("shard", "slot").withColumn("_key", F.xxhash64(F.lit(seed), *[F.col(x) for x in key], *[F.col(x).isNull() for x in key]))
     base = base.withColumn("_block", F.pmod("_key", F.lit(BLOCKS)).cast("int"))
     matrix = stored(communication_matrix(base.groupBy(F.col("_block").alias("block")).agg(F.count("*").alias("n")), n_shards, seed).withColumnRenamed("block", "_block"), "shard-matrix")
-    local = ranked(base, ["_block"], F.xxhash64(F.lit(seed + 1), "_key"), max(1, math.ceil(n / BLOCKS / PART_ROWS)), "_at")
+    local = ranked(base, ["_block"], F.xxhash64(F.lit(seed + 1), "_key"), max(1, math.ceil(n / BLOCKS / PART_ROWS)), "_at", ties=key)
     sent = local.join(F.broadcast(matrix), "_block").withColumn("shard", F.size(F.filter("ends", lambda x: x <= F.col("_at"))).cast("int")).drop("_block", "_at", "ends")
-    return ranked(sent, ["shard"], F.xxhash64(F.lit(seed + 2), "_key"), max(1, math.ceil(n / n_shards / PART_ROWS)), "slot").drop("_key")
+    return ranked(sent, ["shard"], F.xxhash64(F.lit(seed + 2), "_key"), max(1, math.ceil(n / n_shards / PART_ROWS)), "slot", ties=key).drop("_key")
 
 
 def op10_shards(spark, sf_dir: str) -> DataFrame:
