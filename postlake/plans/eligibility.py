@@ -436,7 +436,7 @@ def k07(t: Tables) -> DataFrame:
 
 def with_components(t: Tables, evaluated: DataFrame) -> DataFrame:
     """``evaluated`` with score ``s`` of all six components; a posting without a vector lacks the semantic one, one without skills theirs."""
-    vectors = t.embeddings.groupBy(F.col("vec_id").alias("job_id")).agg(F.first("embedding").alias("vector"))
+    vectors = t.embeddings.groupBy(F.col("vec_id").alias("job_id")).agg(F.min("embedding").alias("vector"))
     profile = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("profile")).limit(1)
     similar = vectors.join(F.broadcast(profile)).select("job_id", K.semantic(K.cosine(F.col("vector"), F.col("profile"))).alias("semantic"))
     titles = evaluated.select("title").distinct()  # the ratio is computed once per title

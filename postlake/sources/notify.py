@@ -3,22 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlake.functions.text import canonical_json, escape_html
 
 
 def signature(secret: str, timestamp: Column, body: Column) -> Column:
-    """Hex HMAC-SHA256 of ``timestamp.body``."""
-
-    @F.pandas_udf("string")
-    def sign(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else hmac.new(secret.encode(), x.encode(), hashlib.sha256).hexdigest())
-
-    return sign(F.concat_ws(".", timestamp.cast("string"), body))
+    """Hex HMAC-SHA256 of ``timestamp.body``, as two hashes over the padded key; a null body leaves the timestamp alone."""
+    raw = secret.encode()
+    key = (raw if len(raw) <= 64 else hashlib.sha256(raw).digest()).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(x ^ pad for x in key)) for pad in (0x36, 0x5C))
+    message = F.concat_ws(".", timestamp.cast("string"), body).cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
 
 
 def webhook(jobs: DataFrame, secret: str, timestamp: Column) -> DataFrame:
@@ -33,17 +31,22 @@ def email(title: Column, score: Column, reasons: Column, most: int = 8) -> Colum
     return F.format_string("<h2>%s</h2><p>%.0f%%</p><ul>%s</ul>", escape_html(title), score * 100, items)
 
 
-def outbox_sink(path: str):
-    """A ``foreachBatch`` function that appends each key once; batches that come again add nothing."""
+def outbox_sink(path: str, buckets: int = 64):
+    """A ``foreachBatch`` function that appends each key once; batches that come again add nothing.
+
+    The outbox lies in buckets by key, and a batch reads the keys of its own buckets only.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates(["key"])
+        new = batch.dropDuplicates(["key"]).withColumn("bucket", (F.crc32(F.col("key").cast("binary")) % buckets).cast("int"))
+        wanted = [r.bucket for r in new.select("bucket").distinct().collect()]  # ``buckets`` at most
         try:
-            new = new.join(spark.read.parquet(path).select("key"), "key", "left_anti")
-        except Exception as e:  # the first batch has nothing to read
-            if "PATH_NOT_FOUND" not in str(e):
+            there = spark.read.parquet(path).where(F.col("bucket").isin(wanted)).select("key")
+            new = new.join(there, "key", "left_anti")
+        except AnalysisException as e:  # the first batch has nothing to read
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-        new.write.mode("append").parquet(path)
+        new.write.mode("append").partitionBy("bucket").parquet(path)
 
     return write
