@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import os
 
 import duckdb
 import pytest
@@ -35,6 +36,12 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
     return sorted((tuple(plain(r[i]) for i in at) for r in rows), key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+@pytest.fixture(scope="module")
+def sf_dir() -> str:
+    """Tables large enough for ties, many values of a key and scores that lie close together."""
+    return os.environ.get("TEST_ORACLE_DIR", "/root/testdata/sf0.01")
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
