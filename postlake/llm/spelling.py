@@ -145,7 +145,7 @@ def variants(words: DataFrame, times: int = TIMES) -> DataFrame:
     inserted = shortened.select(F.col("shorter").alias("rank"), F.lit(1).cast("long").alias("n_near"), F.col("rank").alias("best"))
     near = replaced.union(deleted).union(inserted).groupBy("rank").agg(F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
     best = ranked.select(F.col("rank").alias("best"), F.col("word").alias("form"), F.col("n").alias("form_n"))
-    formed = ranked.join(near, "rank", "left").join(best, "best", "left").withColumn("takes", F.coalesce(F.col("form_n") >= times * F.col("n"), F.lit(False)))
+    formed = ranked.join(near, "rank", "left").join(best, "best", "left").withColumn("takes", F.coalesce(F.col("n") <= F.expr(f"form_n div {int(times)}"), F.lit(False)))
     taken = lambda x: F.when(F.col("takes"), F.col(x))
     formed = stored(formed.select("rank", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), taken("form").alias("form"), taken("form_n").alias("form_n"), taken("best").alias("next")), "spelling-forms")
     roots = ranked.select(F.col("rank").alias("root_rank"), F.col("word").alias("root"))
