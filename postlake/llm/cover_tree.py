@@ -1,10 +1,16 @@
 """Exact top-k inner products with two cover trees.
 
-Queries and data are indexed together. A node has a center, a covering radius round it, and children whose
-centers lie apart by more than half the radius, at most ``FAN`` of them; what no child covers in half
-the scale joins its nearest child, whose radius is measured. The top of the tree is grown on a bounded
-sample, and its leaves are cells that all rows join and that tasks index further, so one tree spans
-the whole table; each cell is a node of the queries' tree as well.
+Queries and data are indexed together. A node has a center, a level, and children at a lower level. Levels
+halve: with R the largest distance from a net's first center, centers of level i are more than R / 2^i apart,
+all of them and not just siblings; each lies within R / 2^(i-1) of its parent, a center of the level above; and a center
+stays one on all levels below. Such nets come from farthest-first order: the distance of each
+next center from those before falls, so every prefix of the order is a net as wide apart as it covers, and its
+distance tells a center's level. A net ends after ``NET`` centers; rows then belong to their nearest center, and
+what holds more rows than a leaf gets a net of its own below. Levels at which a center has no new
+children are left out, and covering radii are measured over all rows below.
+
+The top of the tree is a net of a bounded sample, and its centers are cells that all rows join and that
+tasks index further, so one tree spans the whole table; each cell is a node of the queries' tree as well.
 
 For nodes Q and P the best score is at most ``q.p + |q| r_P + |p| r_Q + r_Q r_P``; a pair below the
 worst kth score of Q's queries is pruned. Queries first search the cell that promises most, which gives kth
@@ -25,8 +31,8 @@ from postlake.llm import vectors as V
 from postlake.llm._shared import stored, table
 from postlake.llm.vectors import best_of, best_rows, by_length, usable
 
-#: Rows of a leaf of the data and of the queries, which a leaf prunes one by one as well; children of a node.
-LEAF, QUERY_LEAF, FAN = 128, 256, 16
+#: Rows of a leaf of the data and of the queries, which a leaf prunes one by one as well; centers of a net at most.
+LEAF, QUERY_LEAF, NET = 128, 256, 128
 #: Rows that make another cell, up to ``vectors.CELLS``.
 CELL_ROWS = 4096
 #: No score: below all others.
@@ -36,56 +42,96 @@ MOST = 2.0**500
 
 
 class Node:
-    __slots__ = ("center", "radius", "norm", "points", "children", "worst", "at")
+    """A center, its level's distance ``scale``, the rows below it, and the centers, norms and radii of its children."""
 
-    def __init__(self, x: np.ndarray, at: int, points: np.ndarray):
-        self.at, self.center, self.points, self.children = at, x[at], points, None
-        off = x[points] - self.center
-        self.radius = float(np.sqrt(np.einsum("ij,ij->i", off, off).max()))
+    __slots__ = ("center", "scale", "radius", "norm", "points", "children", "centers", "norms", "radii", "worst", "at")
+
+    def __init__(self, x: np.ndarray, at: int, points: np.ndarray, scale: float = np.inf):
+        self.at, self.center, self.points, self.children, self.scale = at, x[at], points, None, scale
+        self.radius = float(distances(x[points], self.center).max())
         self.norm = float(np.sqrt(self.center @ self.center))
         self.worst = -np.inf
 
+    def adopt(self, children: list[Node]) -> None:
+        self.children = children
+        self.centers = np.array([c.center for c in children])
+        self.norms, self.radii = np.array([c.norm for c in children]), np.array([c.radius for c in children])
 
-def split(x: np.ndarray, node: Node) -> list[Node]:
-    """Children of a node of positive radius: its center, its farthest point, and points of it that are more than half the radius from all before."""
-    points = node.points
-    own = x[points]
-    off = own - node.center
-    rng = np.random.default_rng(len(points))
-    tried = rng.permutation(len(points))[: 4 * FAN]
-    at = [node.at, int(points[np.argmax(np.einsum("ij,ij->i", off, off))])]
-    for i in points[tried]:
-        if len(at) == FAN:
+
+def distances(x: np.ndarray, center: np.ndarray) -> np.ndarray:
+    off = x - center
+    return np.sqrt(np.einsum("ij,ij->i", off, off))
+
+
+def net(x: np.ndarray, first: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most ``most`` centers in farthest-first order (rows of ``x``), the distance of each from those before, and each row's nearest center."""
+    at, gap = [first], [np.inf]
+    far, near = distances(x, x[first]), np.zeros(len(x), np.int64)
+    while len(at) < most:
+        new = int(np.argmax(far))
+        if far[new] == 0:
             break
-        apart = x[at] - x[i]
-        if np.sqrt(np.einsum("ij,ij->i", apart, apart).min()) > node.radius / 2:
-            at.append(int(i))
-    child, _ = V.nearest(own, x[at])
-    place = np.searchsorted(points, at)
-    child[place] = np.arange(len(at))
-    return [Node(x, c, points[child == i]) for i, c in enumerate(at)]
+        # a row nearer to its center than half the way to the new one can't change
+        open_ = np.flatnonzero(2 * far > distances(x[at], x[new])[near])
+        away = distances(x[open_], x[new])
+        closer = away < far[open_]
+        at.append(new)
+        gap.append(float(far[new]))
+        far[open_[closer]], near[open_[closer]] = away[closer], len(at) - 1
+    return np.array(at), np.array(gap), near
 
 
-def cover_tree(x: np.ndarray, leaf: int = LEAF, leaves: int | None = None) -> tuple[Node, list[Node]]:
-    """A cover tree over the rows of ``x`` and its leaves, which hold row numbers in rising order.
+def levels(gap: np.ndarray) -> np.ndarray:
+    """The smallest level i of each center with gap > R / 2^i, with R the second center's gap; 0 for the first center."""
+    return np.r_[0, np.floor(np.log2(gap[1] / gap[1:])).astype(np.int64) + 1] if len(gap) > 1 else np.zeros(1, np.int64)
 
-    The largest leaf is split until all hold ``leaf`` rows at most or one point only, or until there are ``leaves`` of them.
-    """
+
+def grow(x: np.ndarray, node: Node, most: int) -> list[Node]:
+    """Gives a node of positive radius the net of its rows as descendants; returns those without children."""
+    points = node.points
+    own = x[points]
+    at, gap, near = net(own, int(np.searchsorted(points, node.at)), most)
+    level = levels(gap)
+    below: list[list[int]] = [[] for _ in at]
+    for j in range(1, len(at)):
+        above = int(np.searchsorted(level, level[j]))
+        below[int(np.argmin(distances(own[at[:above]], own[at[j]])))].append(j)
+    rows = np.split(points[np.argsort(near, kind="stable")], np.cumsum(np.bincount(near, minlength=len(at)))[:-1])
+    leaves = []
+
+    def place(j: int, now: int) -> Node:
+        """Center j from level ``now`` down."""
+        later = [c for c in below[j] if level[c] > now]
+        scale = float(np.ldexp(gap[1], -int(now)))
+        if not later:
+            leaves.append(Node(x, int(points[at[j]]), rows[j], scale))
+            return leaves[-1]
+        down = level[later[0]]
+        children = [place(c, down) for c in (j, *(c for c in later if level[c] == down))]
+        made = Node(x, int(points[at[j]]), np.sort(np.concatenate([c.points for c in children])), scale)
+        made.adopt(children)
+        return made
+
+    top = place(0, 0)
+    node.scale = top.scale
+    node.adopt(top.children)
+    return leaves
+
+
+def cover_tree(x: np.ndarray, leaf: int = LEAF) -> tuple[Node, list[Node]]:
+    """A cover tree over the rows of ``x`` and its leaves, which hold row numbers in rising order: ``leaf`` rows at most, or equal ones only."""
     root = Node(x, 0, np.arange(len(x)))
-    serial = count()
-    open_, done = [(-len(x), next(serial), root)], []
+    open_, done = [root], []
     while open_:
-        _, _, node = heapq.heappop(open_)
-        if len(node.points) <= leaf or node.radius == 0 or (leaves and len(open_) + len(done) + FAN > leaves):
+        node = open_.pop()
+        if len(node.points) <= leaf or node.radius == 0:
             done.append(node)
-            continue
-        node.children = split(x, node)
-        for c in node.children:
-            heapq.heappush(open_, (-len(c.points), next(serial), c))
+        else:
+            open_ += grow(x, node, min(NET, max(2, -(-2 * len(node.points) // leaf))))
     return root, done
 
 
-def bound(dot: np.ndarray, q_norm: np.ndarray, p_norm: np.ndarray, q_radius: np.ndarray, p_radius: np.ndarray) -> np.ndarray:
+def bound(dot: np.ndarray, q_norm: np.ndarray | float, p_norm: np.ndarray | float, q_radius: np.ndarray | float, p_radius: np.ndarray | float) -> np.ndarray:
     """The best score of two nodes at most, and a little more, so that rounding never prunes a pair that reaches it."""
     reach = q_norm * p_radius + p_norm * q_radius + q_radius * p_radius
     return dot + reach + 1e-9 * (q_norm * p_norm + reach) + 1e-9
@@ -108,7 +154,7 @@ class Search:
         self.row = np.full((len(queries), self.k), -1)
         serial = count()
         q, p = cover_tree(queries, QUERY_LEAF)[0], self.root
-        heap = [(-self._bound(q, p), next(serial), q, p)]
+        heap = [(-np.inf, next(serial), q, p)]
         while heap:
             up, _, q, p = heapq.heappop(heap)
             if -up < self._worst(q):
@@ -116,18 +162,15 @@ class Search:
             if q.children is None and p.children is None:
                 self._compare(q, p)
             elif p.children is None or (q.children is not None and q.radius > p.radius):
-                for c in q.children:
-                    heapq.heappush(heap, (-self._bound(c, p), next(serial), c, p))
+                for c, best in zip(q.children, bound(q.centers @ p.center, q.norms, p.norm, q.radii, p.radius)):
+                    heapq.heappush(heap, (-best, next(serial), c, p))
             else:
-                for c in p.children:
-                    heapq.heappush(heap, (-self._bound(q, c), next(serial), q, c))
+                up, worst = bound(p.centers @ q.center, q.norm, p.norms, q.radius, p.radii), self._worst(q)
+                for i in np.flatnonzero(up >= worst):
+                    heapq.heappush(heap, (-up[i], next(serial), q, p.children[i]))
         i, j = np.nonzero(self.row >= 0)
         return i, self.row[i, j], self.score[i, j]
 
-    @staticmethod
-    def _bound(q: Node, p: Node) -> float:
-        return float(bound(q.center @ p.center, q.norm, p.norm, q.radius, p.radius))
-
     def _worst(self, q: Node) -> float:
         """The worst kth score of a node's queries; it rises as children improve."""
         if q.children is None:
@@ -189,7 +232,7 @@ def _search_length(rows: DataFrame, length: int, k: int) -> DataFrame:
     rows = stored(rows, "vector-rows")
     most = min(V.CELLS, max(1, V.CENTER_VALUES // length), max(1, rows.count() // CELL_ROWS))
     sample = V.sampled(rows, length)
-    centers = sample[:1] if most < FAN else np.array([x.center for x in cover_tree(sample, leaf=8, leaves=most)[1]])
+    centers = sample[net(sample, 0, most)[0]]
     placed, cells = V.dealt(rows, centers)
     queries = stored(V.only_queries(placed), "vector-queries")
     norms = np.sqrt(np.einsum("ij,ij->i", centers, centers))

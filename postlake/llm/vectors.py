@@ -114,8 +114,18 @@ def searched(placed: DataFrame, queries: DataFrame, cells: Cells, reach: Callabl
     """
     spark = placed.sparkSession
     text_batches(spark)
-    parts = max(1, math.ceil(queries.count() / QUERY_PART))
     first, blocks = cells.first, cells.blocks
+
+    def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n = np.count_nonzero(reach(batch) & (blocks > 0), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["cell", "n"])
+
+    parts = np.ones(len(blocks), np.int64)
+    for r in queries.mapInArrow(reaching, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        parts[r.cell] = math.ceil(r.n / QUERY_PART)
+    most = int(parts.max())
     extra = [f for f in queries.schema if f.name not in ("id", "v")]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,19 +135,20 @@ def searched(placed: DataFrame, queries: DataFrame, cells: Cells, reach: Callabl
             row, cell = np.nonzero(reach(batch) & (blocks > 0))
             n = blocks[cell]
             block = np.repeat(first[cell] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            row = np.repeat(row, n)
+            row, split = np.repeat(row, n), np.repeat(parts[cell], n)
             for s in range(0, len(row), TOGETHER):
                 took = batch.take(pa.array(row[s : s + TOGETHER]))
-                yield pa.RecordBatch.from_arrays([*took.columns, pa.array(block[s : s + TOGETHER].astype(np.int64))], names=[*batch.schema.names, "block"])
+                where = [pa.array(x[s : s + TOGETHER].astype(np.int64)) for x in (block, split)]
+                yield pa.RecordBatch.from_arrays([*took.columns, *where], names=[*batch.schema.names, "block", "parts"])
 
     names = "".join(f", {f.name} {f.dataType.simpleString()}" for f in extra)
-    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts))
-    asked = queries.select("id", "v", *[f.name for f in extra]).mapInArrow(route, f"id long, v array<double>{names}, block long")
-    asked = asked.select((F.col("block") * parts + part).alias("block"), F.lit(1).alias("kind"), "id", "v", *[f.name for f in extra])
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))
+    asked = queries.select("id", "v", *[f.name for f in extra]).mapInArrow(route, f"id long, v array<double>{names}, block long, parts long")
+    asked = asked.select((F.col("block") * most + part).alias("block"), F.lit(1).alias("kind"), "id", "v", *[f.name for f in extra])
     of_cell = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("cell") + 1)
     own = of_cell(first) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), of_cell(blocks))
-    given = placed.select(own.alias("block"), "id", "v").withColumn("part", F.explode(F.expr(f"sequence(0L, {parts - 1}L)")))
-    given = given.select((F.col("block") * parts + F.col("part")).alias("block"), F.lit(0).alias("kind"), "id", "v", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
+    given = placed.select(own.alias("block"), "id", "v", F.explode(F.sequence(F.lit(0), of_cell(parts) - 1)).alias("part"))
+    given = given.select((F.col("block") * most + F.col("part")).alias("block"), F.lit(0).alias("kind"), "id", "v", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, found = None, [], None

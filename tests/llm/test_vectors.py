@@ -52,21 +52,53 @@ def test_cover_tree_equals_brute_force(spark, monkeypatch, n, d, spread):
 
 
 @pytest.mark.parametrize("spread", [0.01, 1.0])
-def test_cover_tree_covers_all_points_and_keeps_centers_apart(spread):
+def test_cover_tree_covers_all_points(spread):
     x = np.repeat(np.random.default_rng(0).normal(size=(40, 8)) * 50 * (spread < 1), 100, axis=0) + np.random.default_rng(1).normal(size=(4000, 8))
     tree, leaves = C.cover_tree(x, leaf=16)
     assert len(leaves) > 100 and sorted(np.concatenate([n.points for n in leaves])) == list(range(4000))
+    assert max(len(n.points) for n in leaves) <= 16
     todo = [tree]
     while todo:
         node = todo.pop()
         assert np.sqrt(((x[node.points] - node.center) ** 2).sum(1)).max() <= node.radius + 1e-9
         if node.children:
-            centers = np.array([c.center for c in node.children])
-            apart = np.sqrt(((centers[:, None] - centers[None, :]) ** 2).sum(2)) + 1e9 * np.eye(len(centers))
-            assert len(centers) <= C.FAN and apart.min() > node.radius / 2 and any(c.at == node.at for c in node.children)
+            assert sorted(np.concatenate([c.points for c in node.children])) == list(node.points)
+            assert node.children[0].at == node.at and all(c.scale < node.scale or c.children for c in node.children)
+            for c in node.children:  # a center lies within its parent's scale, and siblings are more than their own apart
+                assert np.linalg.norm(c.center - node.center) <= node.scale * (1 + 1e-9)
             todo += node.children
 
 
+@pytest.mark.parametrize(("n", "d", "spread"), [(2000, 2, 1.0), (2000, 8, 0.01), (300, 32, 1.0)])
+def test_nets_keep_the_invariants_of_levels(n, d, spread):
+    x = vectors(n, d, 4, spread).astype(float)
+    at, gap, near = C.net(x, 0, 128)
+    level = C.levels(gap)
+    assert (np.diff(level) >= 0).all() and (np.diff(gap) <= 0).all() and (level[1:] >= 1).all()
+    away = np.linalg.norm(x[:, None] - x[at][None, :], axis=2)
+    assert np.allclose(away[np.arange(n), near], away.min(axis=1))
+    for i in range(int(level.max())):
+        above = np.flatnonzero(level <= i)
+        apart = away[at[above]][:, above] + 1e9 * np.eye(len(above))
+        assert apart.min() > gap[1] / 2**i * (1 - 1e-9)  # all centers of a level, not just siblings
+        assert away[:, above].min(axis=1).max() <= gap[1] / 2**i * (1 + 1e-9)  # and they cover every row
+
+
+def test_a_net_hangs_each_center_below_the_level_above():
+    x = vectors(500, 3, 6).astype(float)
+    root = C.Node(x, 0, np.arange(500))
+    leaves = C.grow(x, root, 60)
+    assert len(leaves) == 60 and len({n.at for n in leaves}) == 60
+    at, gap, _ = C.net(x, 0, 60)
+    level = dict(zip(at.tolist(), C.levels(gap).tolist()))
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        for c in node.children or []:
+            assert c.at == node.at or node.scale >= gap[1] / 2 ** (level[c.at] - 1) and level[node.at] < level[c.at]
+            todo.append(c)
+
+
 def test_tree_of_equal_rows_and_of_scales():
     x = np.r_[np.ones((500, 2)), 2.0 ** np.arange(300)[:, None] * np.ones(2)]
     _, leaves = C.cover_tree(x, leaf=4)
