@@ -5,8 +5,9 @@ is opened in each array; vectors within it collide with the query there. Windows
 (virtual rehashing: the arrays stay as they are, and only entries that newly enter are counted), and
 vectors that collide in the threshold's share of projections are verified by their exact inner
 products. A query's windows stop widening once they're wide enough for its kth nearest so far, and at a
-width, found on a bounded sample, at which a fixed share of all vectors collides. Cells of vectors
-that these widest windows can't reach in enough projections are never sent the query. Queries that end with
+width, found on a bounded sample, at which a fixed share of all vectors collides. A query first searches the cell
+of vectors that promises most; its kth score there bounds the widest windows in all other cells, and cells
+that these can't reach in enough projections are never sent the query. Queries that end with
 too few vectors are asked again with wider windows.
 
 Largest inner product becomes smallest distance by one more coordinate: vectors get
@@ -33,7 +34,7 @@ FEW = 10
 #: Sample vectors that this share is measured on.
 TRIED = 512
 #: Rounds of windows, as shares of the widest one; and how many root mean square projections of the kth distance make a window wide enough.
-ROUNDS, COVERED = (0.5, 0.75, 1.0), 1.8
+ROUNDS, COVERED = (0.125, 0.25, 0.5, 0.75, 1.0), 1.8
 #: Queries with too few vectors are asked again with windows this much wider.
 WIDEN = 2.0
 #: Rows that make another cell, up to ``vectors.CELLS``.
@@ -64,12 +65,20 @@ class Space:
         x = v / np.abs(v).max(axis=1, keepdims=True)
         return (x * (self.most / np.sqrt(np.einsum("ij,ij->i", x, x)))[:, None]) @ self.axes[:-1]
 
+    def enough(self, kth: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """Half-widths wide enough for all that is as near as the kth score of queries with these norms; without bound where that's unknown."""
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            cos = kth / (norm * self.scale * self.most)
+        far = self.most * np.sqrt(np.maximum(0.0, 2 - 2 * np.where(np.isfinite(cos), cos, 0.0)))
+        return np.where(np.isfinite(cos), COVERED * far / math.sqrt(len(self.axes)) + 1e-9 * self.most, np.inf)
+
 
 class Block:
-    """The sorted arrays of one block."""
+    """The sorted arrays of one block. ``counted`` counts entries of windows, and ``verified`` exact scores."""
 
     def __init__(self, space: Space, ids: np.ndarray, v: np.ndarray, k: int):
         self.space, self.ids, self.v, self.k = space, ids, v, k
+        self.counted = self.verified = 0
         at = np.ascontiguousarray(space.rows(v).T)
         self.order = np.argsort(at, axis=1, kind="stable")
         self.arrays = np.take_along_axis(at, self.order, 1)
@@ -83,7 +92,7 @@ class Block:
         """(query row, vector row, score) of each query's ``k`` best vectors among those that reach the threshold within ``width``."""
         asked = self.space.queries(queries)
         rounds = [self.windows(asked, width * x) for x in ROUNDS]
-        m, n, dim = DIRECTIONS, len(self.ids), self.v.shape[1] + 1
+        m, n = DIRECTIONS, len(self.ids)
         norm = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         out = []
         for i in range(len(queries)):
@@ -98,18 +107,24 @@ class Block:
                 else:
                     entered = [self.order[j, lo[j] : before[0][j]] for j in range(m)] + [self.order[j, before[1][j] : hi[j]] for j in range(m)]
                 before = lo, hi
-                counts += np.bincount(np.concatenate(entered), minlength=n)
-                new = np.flatnonzero((counts >= self.space.least) & fresh)
+                places = np.concatenate(entered)
+                self.counted += len(places)
+                if len(places) < n:  # narrow windows: only what entered is touched
+                    some, times = np.unique(places, return_counts=True)
+                    counts[some] += times
+                    new = some[(counts[some] >= self.space.least) & fresh[some]]
+                else:
+                    counts += np.bincount(places, minlength=n)
+                    new = np.flatnonzero((counts >= self.space.least) & fresh)
                 if len(new):
+                    self.verified += len(new)
                     fresh[new] = False
                     with np.errstate(over="ignore", invalid="ignore"):
                         got = np.einsum("ij,j->i", self.v[new], queries[i])
                     rows, scores = np.r_[rows, new], np.r_[scores, got]
                 if len(rows) >= self.k and share < 1:
                     kth = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-                    cos = kth / (norm[i] * self.space.scale * self.space.most)
-                    far = self.space.most * math.sqrt(max(0.0, 2 - 2 * cos)) if np.isfinite(cos) else math.inf
-                    if width[i] * share >= COVERED * far / math.sqrt(dim):
+                    if width[i] * share >= self.space.enough(kth, norm[i]):
                         break
             best = best_of(np.zeros(len(rows), np.int64), self.ids, rows, scores, self.k)
             out.append((np.full(len(best), i), rows[best], scores[best]))
@@ -156,10 +171,36 @@ def _search_length(rows: DataFrame, length: int, k: int) -> DataFrame:
         block = Block(space, ids, v, k)
         return lambda batch: block.search(batch.column("id").to_numpy(), V.matrix(batch.column("v")), batch.column("width").to_numpy())
 
+    usual = np.where(cells.count > k, 0.0, -np.inf)  # cells that can give k scores come first
+
+    def promising(batch: pa.RecordBatch) -> np.ndarray:
+        x = V.matrix(batch.column("v"))
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        best = np.argmax(np.maximum(x @ cells.centers.T + usual, np.where(cells.count > 0, -1.7e308, -np.inf)), axis=1)
+        return best[:, None] == np.arange(len(cells.centers))[None, :]
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v, kth = V.matrix(batch.column("v")), batch.column("kth").to_numpy(zero_copy_only=False)
+                with np.errstate(over="ignore"):
+                    norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+                width = np.minimum(batch.column("width").to_numpy(), space.enough(kth, norm))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(width)], names=["id", "v", "width"])
+
+    def ask(queries: DataFrame) -> DataFrame:
+        if len(cells.centers) == 1:
+            return stored(best_rows(V.searched(placed, queries, cells, opened, index, "double"), k), "vector-found")
+        near = stored(best_rows(V.searched(placed, queries, cells, promising, index, "double"), k), "vector-found")
+        kth = near.groupBy(F.col("query_id").alias("id")).agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
+        rest = stored(queries.join(kth, "id", "left").select("id", "v", "width", "kth").mapInArrow(narrowed, "id long, v array<double>, width double"), "vector-queries")
+        far = V.searched(placed, rest, cells, lambda batch: opened(batch) & ~promising(batch), index, "double")
+        return stored(best_rows(near.drop("rank").unionByName(far), k), "vector-found")
+
     queries = stored(V.only_queries(placed).select("id", "v").mapInArrow(widths, "id long, v array<double>, width double"), "vector-queries")
     found = []
     while True:
-        found.append(stored(best_rows(V.searched(placed, queries, cells, opened, index, "double"), k), "vector-found"))
+        found.append(ask(queries))
         if share >= 1:
             break
         full = found[-1].groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= k).select("id")

@@ -202,3 +202,31 @@ def test_entries_that_newly_enter_are_all_that_is_counted():
     i, j, _ = block.search(np.full(10, -1), v[:10], width)
     hits = (np.abs(space.rows(v)[None, :, :] - space.queries(v[:10])[:, None, :]) <= 0.9).sum(axis=2) >= space.least
     assert {(a, b) for a, b in zip(*np.nonzero(hits))} == set(zip(i.tolist(), j.tolist()))
+
+
+def test_windows_stay_narrow_where_near_vectors_are_found():
+    rng = np.random.default_rng(8)
+    v = np.repeat(rng.normal(size=(40, 32)), 100, axis=0) + 0.02 * rng.normal(size=(4000, 32))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    space = A.Space(32, 1.0, float(np.sqrt((v**2).sum(1)).max()))
+    block, asked = A.Block(space, np.arange(4000), v, 20), np.arange(0, 4000, 100)
+    i, j, s = block.search(asked, v[asked], np.full(40, 0.4 * space.most))
+    assert block.counted < 0.5 * len(asked) * v.shape[0] * A.DIRECTIONS and block.verified < 0.1 * len(asked) * len(v)
+    for n, q in enumerate(asked):
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        assert len(set(j[i == n]) & set(np.argsort(-scores)[:20])) >= 18
+        width = float(space.enough(np.sort(scores)[-20], np.linalg.norm(v[q])))
+        assert 0 < width < 2 * space.most and space.enough(np.nan, 1.0) == np.inf
+
+
+@pytest.mark.parametrize("spread", [0.02, 1.0])
+def test_the_promising_cell_narrows_the_others_without_loss(spark, monkeypatch, spread):
+    monkeypatch.setattr(A, "CELL_ROWS", 60)
+    monkeypatch.setattr(V, "LEAST_BLOCK", 70)
+    monkeypatch.setattr(V, "QUERY_PART", 5)
+    x, ids = vectors(1200, 16, 11, spread), np.arange(1200)
+    got = result(A.approximate_neighbours(table(spark, x), F.col("id") % 30 == 0, 20))
+    want = brute(x.astype(float), ids, 30, 20)
+    assert set(got) == set(want) and all(len({i for i, _ in rows}) == 20 for rows in got.values())
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
