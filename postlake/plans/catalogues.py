@@ -125,7 +125,7 @@ def j13(t: Tables) -> DataFrame:
 )
 def j14(t: Tables) -> DataFrame:
     n = _names(t)
-    return D.top_similar(D.similar_pairs(n, n, "c_name", ["block"], 0.6), 5).select("l_id", "r_id", F.round("similarity", 4).alias("similarity"))
+    return D.top_similar(n, n, "c_name", ["block"], 0.6, 5).select("l_id", "r_id", F.round("similarity", 4).alias("similarity"))
 
 
 @query("X07_upsert", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT c_custkey + 1000000, c_name, c_acctbal FROM customer WHERE c_custkey % 4 = 1")

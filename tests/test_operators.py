@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlake.functions.stems import stem
+from postlake.functions.text import trigram_similarity, trigrams
 from postlake.operators import catalog as C, dedupe as D, rules as R, scope as S, score as K, search as Q, states as T
 
 POLICY = R.Policy()
@@ -163,6 +164,31 @@ def test_similar_pairs_against_all_pairs(spark):
     assert {(r.l_id, r.r_id) for r in D.similar_pairs(df, df, "t", ["block"], 0.5).collect()} == {tuple(r) for r in all_pairs.select("a.id", "b.id").collect()}
 
 
+def test_top_similar_of_copies_against_all_pairs(spark):
+    names = [f"Customer#{i:09d}" for i in (0, 1, 12, 13, 123, 124, 1230, 4567, 4568, 99_999)] + ["", None]
+    df = spark.createDataFrame([(100 * c + i, i % 2, x) for c in range(4) for i, x in enumerate(names) if c < 1 or i > 5], "id int, block int, t string")
+    grams = df.where("t <> ''").withColumn("g", trigrams(F.col("t")))
+    both = grams.alias("a").join(grams.alias("b"), F.expr("a.block = b.block AND a.id <> b.id")).select(F.col("a.id").alias("l"), F.col("b.id").alias("r"), trigram_similarity(F.col("a.g"), F.col("b.g")).alias("s"))
+    want = {}
+    for x in sorted(both.where("s >= 0.6").collect(), key=lambda x: (x.l, -x.s, x.r)):
+        want.setdefault(x.l, []).append((x.r, x.s))
+    got = {}
+    for x in D.top_similar(df, df, "t", ["block"], 0.6, 3).orderBy("l_id", "rank").collect():
+        got.setdefault(x.l_id, []).append((x.r_id, x.similarity))
+    assert got == {k: v[:3] for k, v in want.items()}
+
+
+def test_copies_and_common_trigrams_make_no_candidates(spark):
+    def classes(copies):
+        rows = [(1000 * c + i, 0, f"Customer#{i:09d}") for c in range(copies) for i in range(200)]
+        df = spark.createDataFrame(rows, "id int, block int, t string")
+        return D._classes(D._sides(df, df, "t", ["block"]), ["block"])[1]
+
+    once, often = classes(1), classes(5)
+    assert once.count() == often.count() == 200
+    assert D._similar_classes(once, once, ["block"], 0.6).count() == D._similar_classes(often, often, ["block"], 0.6).count()
+
+
 @pytest.mark.parametrize("spread", [0.02, 1.0])
 def test_nearest_vectors_against_all_pairs(spark, monkeypatch, spread):
     import numpy as np
