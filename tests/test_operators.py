@@ -189,6 +189,12 @@ def test_copies_and_common_trigrams_make_no_candidates(spark):
     assert D._similar_classes(once, once, ["block"], 0.6).count() == D._similar_classes(often, often, ["block"], 0.6).count()
 
 
+def test_similar_pairs_broadcast_no_trigrams(spark):
+    df = spark.range(20).selectExpr("id", "0 AS block", "concat('Customer#', id) AS t")  # small enough for the planner to broadcast names
+    pairs = D.similar_pairs(df, df, "t", ["block"], 0.85)
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().sparkPlan().toString()
+
+
 @pytest.mark.parametrize("spread", [0.02, 1.0])
 def test_nearest_vectors_against_all_pairs(spark, monkeypatch, spread):
     import numpy as np
