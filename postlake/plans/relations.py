@@ -17,6 +17,7 @@ from postlake.plans.stems_sql import stems_sql
 from postlake.plans.normalisation import _POLICY as _MODEL, _SENIORITY, with_policy
 
 _ME = 7  # the workspace of the examples: a nation
+_FAN = 64  # tasks that one nation's customers are dealt to
 
 
 @query("F01_tenant_scope", "SELECT 'mine' AS scope, c_custkey FROM customer WHERE c_nationkey = 7 UNION ALL SELECT 'system', c_custkey FROM customer")
@@ -154,8 +155,13 @@ def j07(t: Tables) -> DataFrame:
 
 @query("J08_fan_out", "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_suppkey % 4 <> 0")
 def j08(t: Tables) -> DataFrame:
-    unpaused = t.supplier.where("s_suppkey % 4 <> 0")
-    return t.customer.join(unpaused, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey")
+    """Every customer with every supplier of its nation that isn't paused.
+
+    The result is as large as the product of both. A nation's customers are dealt to ``_FAN`` tasks, and its suppliers sent to each of them, so that no file or nation is one task.
+    """
+    unpaused = t.supplier.where("s_suppkey % 4 <> 0").select("s_suppkey", "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(_FAN - 1))).alias("s_part"))
+    dealt = t.customer.select("c_custkey", "c_nationkey", F.pmod(F.xxhash64("c_custkey"), F.lit(_FAN)).cast("int").alias("c_part"))
+    return dealt.join(unpaused.hint("merge"), (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_part") == F.col("s_part"))).select("c_custkey", "s_suppkey")
 
 
 @query("J09_targets", "SELECT p_partkey, r_name FROM part, region")

@@ -229,3 +229,10 @@ def test_places_of_close_scores_and_many_nulls(spark):
     want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), -r[2], -r[0]))
     assert got == {r[0]: n for n, r in enumerate(want, 1)}
     assert numbered(df.limit(0), [F.col("id")]).collect() == []
+
+
+def test_fan_out_of_one_file_is_dealt_to_many_tasks(spark, sf_dir):
+    from postlake.plans.registry import QUERIES
+
+    plan = QUERIES["J08_fan_out"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "s_part" in plan.split("SortMergeJoin")[1].splitlines()[0]
