@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from postlake.functions.batches import text_batches
 from postlake.functions.stems import stem
 from postlake.functions.text import trigrams
 from postlake.operators.search import SIMILAR, STOP_WORDS, Term, web_search
 
 _SPLIT = re.compile("[^a-z0-9]+")
 _POSTING = "field string, bucket int, term string, doc long, places array<int>, size int"
+_ROWS = 20_000  # postings that a worker holds before it sends them on
 _COMMIT = "generation long, base boolean, documents long"
 
 
@@ -39,24 +41,29 @@ def text_terms(text: str | None) -> dict[str, list[int]]:
 
 
 def _text_postings(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def rows(terms: list[str], docs: list[int], places: list[list[int]]) -> pa.RecordBatch:
+        columns = [
+            pa.array(["text"] * len(terms), pa.string()),
+            pa.array([crc32(t.encode()) % buckets for t in terms], pa.int32()),
+            pa.array(terms, pa.string()),
+            pa.array(docs, pa.int64()),
+            pa.array(places, pa.list_(pa.int32())),
+            pa.array([len(p) for p in places], pa.int32()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["field", "bucket", "term", "doc", "places", "size"])
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms, docs, places = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = text_terms(text)
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = text_terms(text.as_py())
                 terms += found
                 places += found.values()
-                docs += [doc] * len(found)
-            n = len(terms)
-            columns = [
-                pa.array(["text"] * n, pa.string()),
-                pa.array([crc32(t.encode()) % buckets for t in terms], pa.int32()),
-                pa.array(terms, pa.string()),
-                pa.array(docs, pa.int64()),
-                pa.array(places, pa.list_(pa.int32())),
-                pa.array([len(p) for p in places], pa.int32()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["field", "bucket", "term", "doc", "places", "size"])
+                docs += [doc.as_py()] * len(found)
+                if len(terms) >= _ROWS:
+                    yield rows(terms, docs, places)
+                    terms, docs, places = [], [], []
+            yield rows(terms, docs, places)
 
     return made
 
@@ -79,6 +86,7 @@ class Index:
 
         Rows of one document in a batch count together. The same generation applied again, after a loss, gives the same index.
         """
+        text_batches(changed.sparkSession)
         rows = changed.select(F.col("doc").cast("long").alias("doc"), "title", "text").where("doc IS NOT NULL")
         alive = rows.where("title IS NOT NULL OR text IS NOT NULL")
         of_text = alive.select("doc", F.concat_ws(" ", "title", "text").alias("text")).mapInArrow(_text_postings(self.buckets), _POSTING)
