@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from postlake.functions import batches
+from postlake.functions.facts import text_facts
+from postlake.functions.stems import stems
+from postlake.functions.text import fold_exact
 from postlake.operators import inverted
 
 NAMES = {"spark.sql.execution.arrow.maxRecordsPerBatch": batches.ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": batches.BYTES}
@@ -35,3 +39,9 @@ def test_an_index_takes_small_batches(large, tmp_path):
     df = large.createDataFrame([(1, None, "a word")], "doc long, title string, text string")
     inverted.Index(large, f"file://{tmp_path}/index").apply(df, 0)
     assert all(int(large.conf.get(name)) == most for name, most in NAMES.items())
+
+
+@pytest.mark.parametrize("made", [lambda: text_facts(F.col("t"), "skills"), lambda: stems(F.split("t", " ")), lambda: fold_exact(F.col("t"))])
+def test_functions_of_texts_take_small_batches(large, made):
+    large.createDataFrame([("Python",)], "t string").select(made()).collect()
+    assert all(int(large.conf.get(name)) == most for name, most in NAMES.items())
