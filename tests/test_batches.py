@@ -11,6 +11,7 @@ from postlake.functions.facts import text_facts
 from postlake.functions.stems import stems
 from postlake.functions.text import fold_exact
 from postlake.operators import inverted
+from postlake.sources import markup
 
 NAMES = {"spark.sql.execution.arrow.maxRecordsPerBatch": batches.ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": batches.BYTES}
 
@@ -45,3 +46,9 @@ def test_an_index_takes_small_batches(large, tmp_path):
 def test_functions_of_texts_take_small_batches(large, made):
     large.createDataFrame([("Python",)], "t string").select(made()).collect()
     assert all(int(large.conf.get(name)) == most for name, most in NAMES.items())
+
+
+@pytest.mark.parametrize("made", [markup.html_to_text, markup.sanitize_html])
+def test_functions_of_pages_take_small_batches(large, made):
+    assert large.createDataFrame([("<p>a</p>",), (None,)], "t string").select(made("t").alias("x")).where("x IS NOT NULL").count() == 1
+    assert all(int(large.conf.get(name)) == most for name, most in NAMES.items())
