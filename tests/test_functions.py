@@ -142,3 +142,10 @@ def test_zone_clauses_equal_a_search_of_all_clauses(spark):
         for clause in re.split(r"[.\n]", text):
             want |= {V.ZONES[n.lower()] for a, n, b in re.findall(V.ZONE_IN_CONTEXT, clause, re.I) if re.search(V.TIME_WORDS, f"{a} {b}", re.I)}
         assert Walk(("zones",), []).facts(text)["zones"] == sorted(want), text
+
+
+def test_a_small_gazetteer_is_broadcast(spark):
+    texts = spark.range(50).selectExpr("id", "'From Peru to New Zealand' AS text")
+    found = G.countries_by_join(texts, "id", "text", G.gazetteer_table(spark))
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().sparkPlan().toString()
+    assert [r["countries"] for r in found.collect()] == [["new zealand", "peru"]] * 50
