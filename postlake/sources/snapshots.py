@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postlake.functions.url import safe_segment
+from postlake.operators.stored import stored
 
 PREVIEW_CHARS = 200_000
 
@@ -75,24 +76,40 @@ class SnapshotStore:
         An outcome is not_modified (a status of 304, or the validator is the one of the last body: the ETag, or where the answer has none the Last-Modified), too_large (beyond ``MOST_BYTES``; not stored), empty (no
         body), stored, or known, if the same bytes are there already, from this source or another.
         """
-        size = F.coalesce(F.octet_length("body"), F.lit(0)).cast("long")
+        size, sha = F.coalesce(F.octet_length("body"), F.lit(0)).cast("long"), F.sha2("body", 256)
         told = self.validators(fetches, batch).select("target", F.col("etag").alias("_etag"), F.col("last_modified").alias("_modified"))
-        met = fetches.select("target", "stamp", "status", "etag", "last_modified", "body", size.alias("size")).join(told, "target", "left")
+        # outcomes follow from digests; bodies travel once, to be written
+        met = fetches.select("target", "stamp", "status", "etag", "last_modified", size.alias("size"), sha.alias("sha")).join(told, "target", "left")
         same = F.when(F.col("etag").isNotNull(), F.col("etag") == F.col("_etag")).otherwise(F.col("last_modified") == F.col("_modified"))
-        outcome = F.when((F.col("status") == 304) | F.coalesce(same, F.lit(False)), "not_modified").when(size > MOST_BYTES, "too_large").when(size == 0, "empty")
+        outcome = F.when((F.col("status") == 304) | F.coalesce(same, F.lit(False)), "not_modified").when(F.col("size") > MOST_BYTES, "too_large").when(F.col("size") == 0, "empty")
         met = met.withColumn("outcome", outcome)
-        keyed = met.withColumn("digest", F.when(F.col("outcome").isNull(), F.sha2("body", 256))).withColumn("bucket", self._bucket(F.col("digest")))
+        keyed = met.withColumn("digest", F.when(F.col("outcome").isNull(), F.col("sha"))).withColumn("bucket", self._bucket(F.col("digest")))
+        keyed = stored(keyed.drop("sha", "_etag", "_modified"), "fetches")
         digests = keyed.where("digest IS NOT NULL").select("digest", "bucket")
         there = self._read("bodies", "digest string, body binary", batch, digests.select("bucket")).select("digest").withColumn("there", F.lit(True))
         new = keyed.where("digest IS NOT NULL").join(there, "digest", "left_anti")
-        once = new.groupBy("bucket", "digest").agg(F.any_value("body").alias("body"))
-        once.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/bodies/batch={batch}")
-        marked = keyed.drop("body", "bucket").join(there, "digest", "left").withColumn("outcome", F.coalesce("outcome", F.when(F.col("there"), "known").otherwise("stored")))
+        per = new.groupBy("bucket", "digest", "target", "stamp").agg(F.count("*").alias("n"))
+        once = per.groupBy("bucket", "digest").agg(F.min(F.struct("target", "stamp", "n")).alias("one")).select("bucket", "digest", "one.*")
+        self._bodies_of(fetches.select("target", "stamp", sha.alias("digest"), "body"), stored(once, "once")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/bodies/batch={batch}")
+        marked = keyed.drop("bucket").join(there, "digest", "left").withColumn("outcome", F.coalesce("outcome", F.when(F.col("there"), "known").otherwise("stored")))
         rows = marked.withColumn("near_limit", F.col("size") > NEAR * MOST_BYTES).withColumn("bucket", self._bucket(F.coalesce("target", F.lit(""))))
         names = [x.split()[0] for x in MANIFEST.split(", ")]
         rows.select(*names, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/manifests/batch={batch}")
         return self.spark.read.schema(f"{MANIFEST}, bucket int").parquet(f"{self.folder}/manifests/batch={batch}").drop("bucket")
 
+    def _bodies_of(self, fetches: DataFrame, once: DataFrame) -> DataFrame:
+        """(bucket, digest, body): the body of the fetch that stands for each digest; of ``n`` equal fetches any."""
+
+        def met(of: DataFrame) -> DataFrame:
+            a, b = fetches.alias("a"), of.hint("shuffle_hash").alias("b")  # the smaller side is hashed, so no bodies are sorted
+            same = (F.col("a.digest") == F.col("b.digest")) & F.col("a.target").eqNullSafe(F.col("b.target")) & F.col("a.stamp").eqNullSafe(F.col("b.stamp"))
+            return a.join(b, same).select("b.bucket", "b.digest", "a.body")
+
+        repeated = once.where("n > 1")
+        if repeated.isEmpty():
+            return met(once)
+        return met(once.where("n = 1")).unionByName(met(repeated).groupBy("bucket", "digest").agg(F.any_value("body").alias("body")))
+
     def bodies(self) -> DataFrame:
         """(digest, body) of all batches."""
         return self.spark.read.schema("digest string, body binary, batch int, bucket int").parquet(f"{self.folder}/bodies").select("digest", "body")

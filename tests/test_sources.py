@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import hmac
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,3 +226,21 @@ def test_policies(spark):
     assert good.count() == 1 and bad.count() == 1
     with pytest.raises(ValueError):
         B.postings_of("nope", seeds)
+
+
+def test_bodies_are_shuffled_once(spark, tmp_path):
+    def shuffled() -> int:
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    rng = random.Random(1)
+    bodies = [rng.randbytes(100_000) for _ in range(40)]
+    at = datetime.datetime(2024, 6, 1)
+    rows = [(str(i), at, 200, None, None, bytearray(x)) for i, x in enumerate([*bodies, *bodies[:5], b"twice"])] + [("45", at, 200, None, None, bytearray(b"twice"))]
+    fetches = spark.createDataFrame(rows, "target string, stamp timestamp, status int, etag string, last_modified string, body binary")
+    store, before = snapshots.SnapshotStore(spark, str(tmp_path / "store"), buckets=4), shuffled()
+    assert {r.outcome for r in store.fetched(fetches, 0).collect()} == {"stored"}
+    assert sorted(bytes(r.body) for r in store.bodies().collect()) == sorted([*bodies, b"twice"])
+    assert shuffled() - before < 1.5 * sum(map(len, bodies))
