@@ -59,6 +59,26 @@ def test_html_as_text():
     assert M.to_text("<h1>A</h1><p>b  &amp;\tc</p><style>x</style><ul><li>d</li><li>e</li></ul>") == "A\n\nb & c\n\nd\n\ne"
 
 
+#: Pages whose titles end within a reference, as in the tables, one of more than 500,000 characters, one that begins in a wide space.
+CUT = [f"<h1>token = {'&quot;x&amp;y&lt;&gt;&copy;&middot;'[:n]}</h1><p>R&amp;D &copy2 &notit; &quotx; x&ampy</p>" for n in range(40)] + ["<p>" + "x &amp; y " * 60_000 + "</p><p>end</p>", "<p>\u3000a</p>", None]
+
+
+def _as_in_sql(name: str, made) -> None:
+    import duckdb
+
+    from postlake.plans.registry import ORACLES
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id INT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(CUT)))
+    want = dict(con.execute(ORACLES[name]).fetchall())
+    assert [want[i] for i in range(len(CUT))] == [x and made(x) for x in CUT]
+
+
+def test_sanitised_html_of_cut_references_and_long_pages_as_in_sql():
+    _as_in_sql("E01_sanitize_html", M.sanitize)
+
+
 def test_html_listing(spark):
     page = '<ul><li class="job"><a class="t" href="/1">Dev</a><span class="loc"> Rome </span></li><li class="job"><b>none</b></li><li class="job"><a class="t" href="https://y.io/2">Ops</a></li></ul>'
     df = spark.createDataFrame([("https://x.io/list", page)], "url string, html string")
