@@ -79,6 +79,10 @@ def test_sanitised_html_of_cut_references_and_long_pages_as_in_sql():
     _as_in_sql("E01_sanitize_html", M.sanitize)
 
 
+def test_text_of_cut_references_and_long_pages_as_in_sql():
+    _as_in_sql("E02_html_to_text", M.to_text)
+
+
 def test_html_listing(spark):
     page = '<ul><li class="job"><a class="t" href="/1">Dev</a><span class="loc"> Rome </span></li><li class="job"><b>none</b></li><li class="job"><a class="t" href="https://y.io/2">Ops</a></li></ul>'
     df = spark.createDataFrame([("https://x.io/list", page)], "url string, html string")
