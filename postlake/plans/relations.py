@@ -17,7 +17,7 @@ from postlake.plans.stems_sql import stems_sql
 from postlake.plans.normalisation import _POLICY as _MODEL, _SENIORITY, with_policy
 
 _ME = 7  # the workspace of the examples: a nation
-_FAN = 64  # tasks that one nation's customers are dealt to
+_FAN, _FAN_TASKS, _FAN_BLOCK = 64, 200, 128  # parts that one nation's customers are dealt to, tasks at most, customers that are sent together
 
 
 @query("F01_tenant_scope", "SELECT 'mine' AS scope, c_custkey FROM customer WHERE c_nationkey = 7 UNION ALL SELECT 'system', c_custkey FROM customer")
@@ -157,11 +157,18 @@ def j07(t: Tables) -> DataFrame:
 def j08(t: Tables) -> DataFrame:
     """Every customer with every supplier of its nation that isn't paused.
 
-    The result is as large as the product of both. A nation's customers are dealt to ``_FAN`` tasks, and its suppliers sent to each of them, so that no file or nation is one task.
+    The result is as large as the product of both. A nation's customers are dealt to ``_FAN`` parts, and its suppliers sent to each of them, so that no file or nation is one task.
+    Blocks of a part's customers meet the suppliers and are taken apart last: runs of rows share a supplier or repeat a block, and a task has few parts, so that the
+    dictionaries of a written file hold its keys and the file stays far smaller than its rows.
     """
+    tasks = max(8, min(_FAN_TASKS, t.customer.count() // 4096))
     unpaused = t.supplier.where("s_suppkey % 4 <> 0").select("s_suppkey", "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(_FAN - 1))).alias("s_part"))
-    dealt = t.customer.select("c_custkey", "c_nationkey", F.pmod(F.xxhash64("c_custkey"), F.lit(_FAN)).cast("int").alias("c_part"))
-    return dealt.join(unpaused.hint("merge"), (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_part") == F.col("s_part"))).select("c_custkey", "s_suppkey")
+    dealt = t.customer.select("c_custkey", "c_nationkey", F.pmod(F.xxhash64("c_custkey"), F.lit(_FAN)).cast("int").alias("c_part")).repartition(tasks, "c_nationkey", "c_part")
+    place = F.row_number().over(Window.partitionBy("c_nationkey", "c_part").orderBy("c_custkey")) - 1
+    blocks = dealt.withColumn("block", F.floor(place / _FAN_BLOCK)).groupBy("c_nationkey", "c_part", "block").agg(F.collect_list(F.struct("c_custkey")).alias("customers"))
+    met = blocks.join(unpaused.repartition(tasks, "s_nationkey", "s_part").hint("merge"), (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_part") == F.col("s_part")))
+    # coalesce() moves nothing; it ends the stage's compiled loop, which would hold all rows of a block before it gives the first
+    return met.select("s_suppkey", "customers").coalesce(tasks).select("s_suppkey", F.inline("customers")).select("c_custkey", "s_suppkey")
 
 
 @query("J09_targets", "SELECT p_partkey, r_name FROM part, region")

@@ -280,3 +280,33 @@ def test_fan_out_of_one_file_is_dealt_to_many_tasks(spark, sf_dir):
 
     plan = QUERIES["J08_fan_out"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan and "s_part" in plan.split("SortMergeJoin")[1].splitlines()[0]
+
+
+def _fan_out(spark, tmp_path, customers, suppliers):
+    from postlake.plans.registry import QUERIES
+
+    customers.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    suppliers.coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    return QUERIES["J08_fan_out"](spark, str(tmp_path))
+
+
+def test_a_written_fan_out_stays_smaller_than_its_rows(spark, tmp_path):
+    customers, suppliers = spark.range(1280).selectExpr("id AS c_custkey", "1 AS c_nationkey"), spark.range(12_000).selectExpr("id AS s_suppkey", "1 AS s_nationkey")
+    _fan_out(spark, tmp_path, customers, suppliers).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 1280 * 9000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 1280 * 9000 * 0.6
+
+
+def test_fan_out_of_odd_keys_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from postlake.plans.registry import ORACLES
+
+    customers = spark.createDataFrame([(i % 700 if i % 50 else None, i % 3 if i % 7 else None) for i in range(900)], "c_custkey long, c_nationkey int")
+    suppliers = spark.createDataFrame([(i % 20 if i % 9 else None, i % 4 if i % 5 else None) for i in range(40)], "s_suppkey long, s_nationkey int")
+    got = _fan_out(spark, tmp_path, customers, suppliers).collect()
+    con = duckdb.connect()
+    for name in ("customer", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(ORACLES["J08_fan_out"]).fetchall()
+    assert any(c is None for c, _ in want) and sorted(map(str, map(tuple, got))) == sorted(map(str, want))
